@@ -77,9 +77,15 @@ def _tile_topk(q_ids, Q, i_ids, X, k, metric, exclude_self, sub=512):
             else:
                 cand = np.arange(len(row))
             cand = cand[np.isfinite(row[cand])]
-            if metric == "l2sq":  # exact re-score of the few candidates
+            if metric == "l2sq":
+                # Exact re-score of the few candidates, summed left to right over the
+                # dimensions so equal vectors give bit-equal scores (SIMD reductions
+                # depend on memory alignment and would break ties arbitrarily).
                 d = X[cand] - qb[r]
-                sc = 1.0 - np.einsum("ij,ij->i", d, d)
+                acc = np.zeros(len(cand))
+                for j in range(d.shape[1]):
+                    acc += d[:, j] * d[:, j]
+                sc = 1.0 - acc
             else:
                 sc = row[cand]
             order = np.lexsort((i_ids[cand], -sc))[:kk]
