@@ -181,7 +181,7 @@ def slug(col, n: int = 12) -> Column:
 def parse_seen_date(col) -> Column:
     """``YYYYMMDD...`` -> ``YYYY-MM-DD``; null or shorter than 8 -> ''; unparseable -> input."""
     x = _c(col)
-    parsed = F.date_format(F.try_to_date(F.left(x, F.lit(8)), F.lit("yyyyMMdd")), "yyyy-MM-dd")
+    parsed = F.date_format(F.try_to_date(F.left(x, F.lit(8)), "yyyyMMdd"), "yyyy-MM-dd")
     return F.when(x.isNull() | (F.length(x) < 8), F.lit("")).otherwise(F.coalesce(parsed, x))
 
 
@@ -243,3 +243,57 @@ def page_chunk_id(page_col, idx_col) -> Column:
 def py_len(col) -> Column:
     """Code points, same as Python ``len``."""
     return F.char_length(_c(col))
+
+
+# P10 ---------------------------------------------------------------------------
+# Our own rule list for the social-text normaliser: HTML entities are unescaped,
+# then urls, e-mails, users, percents, money, phones, times, dates and numbers become
+# tags, hashtags / all-caps words / elongated words / repeated punctuation are
+# annotated, and the result is lower-cased. Ordered (pattern, replacement) pairs;
+# Java group references ($n) are turned into RE2 ones (\n) for the SQL twin.
+_LETTER_RUNS = "|".join(f"{c}{{3,}}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+NORMALIZE_RULES = (
+    ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+    (URL_RE, " <url> "),
+    (r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.[A-Za-z]{2,}", " <email> "),
+    (MENTION_RE, " <user> "),
+    (r"[0-9]+(?:[.,][0-9]+)?[ ]?%", " <percent> "),
+    (r"[$€£][ ]?[0-9]+(?:[.,][0-9]+)*|[0-9]+(?:[.,][0-9]+)*[ ]?[$€£]", " <money> "),
+    (r"\+?[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}[ -]?[0-9]{4}", " <phone> "),
+    (r"[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:[ ]?[AaPp][Mm])?", " <time> "),
+    (r"[0-9]{1,4}[/-][0-9]{1,2}[/-][0-9]{1,4}", " <date> "),
+    (r"[0-9]+(?:[.,][0-9]+)*", " <number> "),
+    (r"#([\p{L}\p{N}_]+)", " <hashtag> $1 </hashtag> "),
+    (r"(^|[^\p{L}\p{N}_])([A-Z][A-Z]+)([^\p{L}\p{N}_]|$)", "$1 <allcaps> $2 </allcaps> $3"),
+    (r"([\p{L}]*(?:" + _LETTER_RUNS + r")[\p{L}]*)", "$1 <elongated> "),
+    (r"(!{2,}|\?{2,}|\.{2,})", "$1 <repeated> "),
+)
+
+
+def normalize_entities(col) -> Column:
+    out = _c(col)
+    for pat, rep in NORMALIZE_RULES:
+        out = F.regexp_replace(out, pat, rep)
+    return collapse_ws(F.lower(out))
+
+
+def sql_normalize_entities(e: str) -> str:
+    import re as _re
+
+    out = e
+    for pat, rep in NORMALIZE_RULES:
+        out = f"regexp_replace({out}, {_lit(pat)}, {_lit(_re.sub(r'[$]([0-9])', r'\\\1', rep))}, 'g')"
+    return sql_collapse_ws(f"lower({out})")
+
+
+# P11 ---------------------------------------------------------------------------
+
+SPLIT_LONG_TOKENS = 30  # fixed value: only texts of more than 30 tokens are re-split
+
+
+def split_long(col) -> Column:
+    """Texts of more than 30 tokens: sentence-split and re-join with single spaces;
+    shorter ones: whitespace-joined tokens."""
+    parts = F.filter(F.transform(F.split(_c(col), SENTENCE_BREAK_RE, -1), lambda s: py_strip(s)),
+                     lambda s: s != "")
+    return F.when(word_count(col) > SPLIT_LONG_TOKENS, F.array_join(parts, " ")).otherwise(collapse_ws(col))
