@@ -1 +1,177 @@
-"""Registered queries."""
+"""Registered queries: annotator, keywords, keyword search and back-off, pronoun
+resolution (M1, M2, J7, J8, W6, W7)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from factlens.operators import annotate as AN
+from factlens.operators import coref as CR
+from factlens.operators import keywords as KW
+from factlens.plans.catalog import register
+from factlens.sources.tables import Tables
+
+
+def _q(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def annot_sql(src: str, id_col: str, text_col: str, p: str = "a") -> str:
+    """DuckDB spelling of the default annotator: {p}_tok and {p}_ent CTEs."""
+    tre = AN.TOKEN_RE.replace("'", "''")
+    pron = _q(AN.PRONOUN_CLASSES)
+    stop = _q(AN.STOP_WORDS)
+    return f"""
+{p}_src AS (SELECT {id_col} AS doc_id, {text_col} AS text FROM {src}),
+{p}_arr AS (SELECT doc_id, regexp_extract_all(text, '{tre}') AS toks, string_split_regex(text, '{tre}') AS gaps FROM {p}_src),
+{p}_u AS (SELECT doc_id, unnest(toks) AS text, unnest(list_slice(gaps, 1, len(toks))) AS g,
+                 unnest(range(len(toks))) AS tok_i FROM {p}_arr),
+{p}_t0 AS (SELECT doc_id, CAST(tok_i AS INTEGER) AS tok_i, text,
+                  CAST(sum(length(g) + length(text)) OVER (PARTITION BY doc_id ORDER BY tok_i ROWS UNBOUNDED PRECEDING)
+                       - length(text) AS INTEGER) AS char_idx,
+                  lower(text) AS low, lag(text) OVER (PARTITION BY doc_id ORDER BY tok_i) AS prev,
+                  substr(text, 1, 1) = upper(substr(text, 1, 1)) AND substr(text, 1, 1) <> lower(substr(text, 1, 1)) AS is_title,
+                  regexp_full_match(text, '\\p{{L}}+') AS is_alpha FROM {p}_u),
+{p}_tok AS (SELECT doc_id, tok_i, char_idx, text, low AS lemma, list_contains({stop}, low) AS is_stop, is_alpha, is_title,
+                   CASE WHEN list_contains({pron}, low) THEN 'PRON'
+                        WHEN regexp_full_match(text, '[0-9]+') THEN 'NUM'
+                        WHEN NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]') THEN 'PUNCT'
+                        WHEN is_title AND NOT list_contains({stop}, low) AND prev IS NOT NULL
+                             AND prev NOT IN ('.', '!', '?') THEN 'PROPN'
+                        ELSE 'NOUN' END AS pos FROM {p}_t0),
+{p}_c AS (SELECT doc_id, tok_i, text, is_title AND is_alpha AND NOT is_stop AS cap FROM {p}_tok),
+{p}_r AS (SELECT *, tok_i - sum(CAST(cap AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY tok_i ROWS UNBOUNDED PRECEDING) AS run
+          FROM {p}_c),
+{p}_e0 AS (SELECT doc_id, run, min(tok_i) AS start_tok, max(tok_i) + 1 AS end_tok,
+                  string_agg(text, ' ' ORDER BY tok_i) AS text FROM {p}_r WHERE cap GROUP BY doc_id, run),
+{p}_ent AS (SELECT doc_id, CAST(start_tok AS INTEGER) AS start_tok, CAST(end_tok AS INTEGER) AS end_tok, text,
+                   CASE WHEN list_contains({_q(AN.GPE_NAMES)}, lower(text)) THEN 'GPE'
+                        WHEN list_contains({_q(AN.ORG_SUFFIXES)}, lower(string_split(text, ' ')[-1])) THEN 'ORG'
+                        WHEN len(list_filter({_q(AN.NORP_ENDINGS)}, lambda s: ends_with(lower(text), s))) > 0
+                             AND NOT contains(text, ' ') THEN 'NORP'
+                        ELSE 'PERSON' END AS label FROM {p}_e0)"""
+
+
+def m1_sql(p: str = "a") -> str:
+    ex = _q(AN.default_exclusions())
+    return f""",
+{p}_ke AS (SELECT doc_id, trim(text) AS keyword, start_tok AS pos FROM {p}_ent
+          WHERE label IN {tuple(KW.KEYWORD_ENTITY_LABELS)} AND length(trim(text)) > 1
+            AND NOT list_contains({ex}, lower(trim(text)))),
+{p}_kb0 AS (SELECT doc_id, lower(lemma) AS k, arg_min(lemma, tok_i) AS keyword, min(tok_i) AS pos FROM {p}_tok
+           WHERE pos IN {tuple(KW.KEYWORD_POS)} AND length(text) > 3 AND NOT is_stop AND is_alpha
+             AND NOT list_contains({ex}, lower(text)) GROUP BY doc_id, lower(lemma)),
+{p}_kb AS (SELECT doc_id, keyword, pos FROM {p}_kb0 b
+          WHERE NOT EXISTS (SELECT 1 FROM {p}_ke e WHERE e.doc_id = b.doc_id AND lower(e.keyword) = b.k)),
+{p}_kw AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o, pos) - 1 AS INTEGER) AS kw_idx,
+                 keyword, kind FROM (SELECT doc_id, keyword, pos, 0 AS o, 'entity' AS kind FROM {p}_ke
+                                     UNION ALL SELECT doc_id, keyword, pos, 1, 'word' FROM {p}_kb))"""
+
+
+@register("m1_extract_keywords", sql="WITH " + annot_sql("benchmark", "item_id", "text") + m1_sql() + """
+SELECT doc_id, kw_idx, keyword, kind FROM a_kw""")
+def m1_extract_keywords(spark, sf_dir):
+    b = Tables(spark, sf_dir).benchmark
+    toks, ents = AN.annotate(b, "item_id", "text")
+    return KW.extract_keywords(toks, ents)
+
+
+@register("m1_document_keywords", sql="WITH " + annot_sql("documents", "doc_id", "text") + m1_sql() + """
+SELECT doc_id, count(*) AS n_keywords, count(*) FILTER (WHERE kind = 'entity') AS n_entities,
+       md5(string_agg(keyword, '|' ORDER BY kw_idx)) AS keywords_md5 FROM a_kw GROUP BY doc_id""")
+def m1_document_keywords(spark, sf_dir):
+    d = Tables(spark, sf_dir).documents
+    toks, ents = AN.annotate(d, "doc_id", "text")
+    kw = KW.extract_keywords(toks, ents)
+    return kw.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_keywords"), F.count_if(F.col("kind") == "entity").alias("n_entities"),
+        F.md5(F.array_join(F.array_sort(F.collect_list(F.struct("kw_idx", "keyword")))["keyword"], "|"))
+        .alias("keywords_md5"))
+
+
+@register("m2_search_queries", sql="WITH " + annot_sql("benchmark", "item_id", "text") + f""",
+q AS (SELECT doc_id, text AS term, 0 AS o, start_tok AS pos FROM a_ent WHERE label IN {tuple(KW.QUERY_ENTITY_LABELS)}
+      UNION ALL SELECT doc_id, lower(lemma), 1, tok_i FROM a_tok WHERE pos = 'VERB' AND length(text) > 3)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o, pos) - 1 AS INTEGER) AS q_idx, term FROM q""")
+def m2_search_queries(spark, sf_dir):
+    b = Tables(spark, sf_dir).benchmark
+    toks, ents = AN.annotate(b, "item_id", "text")
+    return KW.search_queries(toks, ents)
+
+
+def _claim_keywords(spark, sf_dir):
+    b = Tables(spark, sf_dir).benchmark
+    toks, ents = AN.annotate(b, "item_id", "text")
+    return KW.extract_keywords(toks, ents)
+
+
+SEARCH_SQL = """,
+ct AS (SELECT DISTINCT claim_id, {levelsel} term FROM (
+         SELECT k.doc_id AS claim_id, {levelsel2} unnest(string_split(lower(k.keyword), ' ')) AS term
+         FROM a_kw k {levelsjoin})),
+need AS (SELECT claim_id, {levelsel} count(*) AS n FROM ct GROUP BY ALL),
+dt AS (SELECT doc, term, count(*) AS tf FROM (
+         SELECT doc_id AS doc, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM documents)
+       WHERE term <> '' AND term IN (SELECT term FROM ct) GROUP BY ALL),
+hits AS (SELECT ct.claim_id, {levelsel3} dt.doc, count(*) AS m, sum(dt.tf) AS score FROM ct JOIN dt USING (term)
+         GROUP BY ALL),
+ok AS (SELECT h.* FROM hits h JOIN need n ON n.claim_id = h.claim_id {levelcond} WHERE h.m = n.n),
+ranked AS (SELECT claim_id, {levelsel} doc, score,
+                  row_number() OVER (PARTITION BY claim_id {levelpart} ORDER BY score DESC, doc) AS rank FROM ok)"""
+
+
+def _search_sql(levels: bool) -> str:
+    if not levels:
+        return SEARCH_SQL.format(levelsel="", levelsel2="", levelsjoin="WHERE k.kw_idx < 3", levelsel3="",
+                                 levelcond="", levelpart="")
+    return SEARCH_SQL.format(levelsel="level,", levelsel2="lv.level AS level,",
+                             levelsjoin="JOIN lv ON k.kw_idx < lv.n_words", levelsel3="ct.level,",
+                             levelcond="AND n.level = h.level", levelpart=", level")
+
+
+@register("j7_keyword_search", sql="WITH " + annot_sql("benchmark", "item_id", "text") + m1_sql() + _search_sql(False) + """
+SELECT claim_id, doc, CAST(score AS BIGINT) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5""")
+def j7_keyword_search(spark, sf_dir):
+    """AND of the words of each claim's first three keywords over whole documents; top 5."""
+    kw = _claim_keywords(spark, sf_dir).where(F.col("kw_idx") < 3)
+    terms = kw.select(F.col("doc_id").alias("claim_id"), F.explode(F.split(F.lower("keyword"), " ")).alias("term"))
+    docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
+    r = KW.keyword_search(terms, docs, "doc_id", "text", limit=5)
+    return r.select("claim_id", "doc", F.col("score").cast("bigint"), F.col("rank").cast("int"))
+
+
+_LEVELS_SQL = "lv AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {n}, {lim})" for i, (n, lim) in enumerate(KW.NEWS_LEVELS)) + ") t(level, n_words, lim))"
+
+
+@register("j8_keyword_backoff", sql="WITH " + annot_sql("benchmark", "item_id", "text") + m1_sql() + ",\n" + _LEVELS_SQL
+          + _search_sql(True) + """,
+lim AS (SELECT r.* FROM ranked r JOIN lv USING (level) WHERE r.rank <= lv.lim),
+best AS (SELECT claim_id, min(level) AS level FROM lim GROUP BY claim_id)
+SELECT claim_id, CAST(level AS INTEGER) AS level, doc, CAST(score AS BIGINT) AS score, CAST(rank AS INTEGER) AS rank
+FROM lim JOIN best USING (claim_id, level)""")
+def j8_keyword_backoff(spark, sf_dir):
+    kw = _claim_keywords(spark, sf_dir)
+    docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
+    r = KW.keyword_backoff(kw, docs, KW.NEWS_LEVELS)
+    return r.select("claim_id", F.col("level").cast("int"), "doc", F.col("score").cast("bigint"),
+                    F.col("rank").cast("int"))
+
+
+@register("w6_resolve_pronouns")
+def w6_resolve_pronouns(spark, sf_dir):
+    """Conversation turns with the default annotator; priority rule."""
+    c = Tables(spark, sf_dir).conversations.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    toks, ents = AN.annotate(c)
+    r = CR.resolve_pronouns(c, toks, ents)
+    return r.select("doc_id", "n_replaced", F.md5("resolved_text").alias("resolved_md5"))
+
+
+@register("w7_resolve_pronouns_nearest")
+def w7_resolve_pronouns_nearest(spark, sf_dir):
+    c = Tables(spark, sf_dir).conversations.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    toks, ents = AN.annotate(c)
+    r = CR.resolve_pronouns(c, toks, ents, rule="nearest")
+    return r.select("doc_id", "n_replaced", F.md5("resolved_text").alias("resolved_md5"))
