@@ -63,7 +63,7 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     toks = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_RE), 0)
     gaps = F.split(F.col(text_col), TOKEN_RE, -1)
     d = docs.select(F.col(id_col).alias("doc_id"), F.arrays_zip(toks.alias("t"), gaps.alias("g")).alias("z"))
-    e = d.select("doc_id", F.posexplode("z").alias("tok_i", "p")).where(F.col("p.t").isNotNull())
+    e = d.select("doc_id", F.posexplode_outer("z").alias("tok_i", "p")).where(F.col("p.t").isNotNull())
     w = Window.partitionBy("doc_id").orderBy("tok_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = F.char_length("p.g") + F.char_length("p.t")
     e = e.select("doc_id", "tok_i", F.col("p.t").alias("text"),

@@ -40,15 +40,20 @@ def chunk_words(df: DataFrame, keys: list[str], text_col: str = "text",
     step = size - overlap
     w = df.select(*keys, T.words(text_col).alias("_w"))
     w = w.select(*keys, "_w", n_chunks(F.size("_w"), size, overlap).alias("total_chunks"))
-    w = w.where(F.col("total_chunks") > 0)
-    starts = F.sequence(F.lit(0), F.col("total_chunks") - 1)
-    out = w.select(*keys, "_w", "total_chunks", F.posexplode(starts).alias("chunk_index", "_i"))
-    piece = F.slice(F.col("_w"), F.col("_i") * step + 1, F.lit(size))
+    # Chunk strings are built inside the generator's input array, so exploded rows
+    # carry one chunk each rather than a copy of the whole word array. The outer
+    # generator plus a filter after it keeps Catalyst from inferring a non-empty
+    # filter below the projection (which would re-evaluate the word split per chunk).
+    pieces = F.when(F.col("total_chunks") > 0, F.transform(
+        F.sequence(F.lit(0), F.col("total_chunks") - 1), lambda i: F.slice(F.col("_w"), i * step + 1, F.lit(size))))
+    w = w.select(*keys, "total_chunks", pieces.alias("_p"))
+    out = (w.select(*keys, "total_chunks", F.posexplode_outer("_p").alias("chunk_index", "_piece"))
+           .where(F.col("_piece").isNotNull()))
     return out.select(
         *keys,
         F.col("chunk_index").cast("int").alias("chunk_index"),
-        F.array_join(piece, " ").alias("content"),
-        F.size(piece).alias("word_count"),
+        F.array_join("_piece", " ").alias("content"),
+        F.size("_piece").alias("word_count"),
         F.col("total_chunks").cast("int").alias("total_chunks"),
     )
 

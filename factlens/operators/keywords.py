@@ -73,8 +73,8 @@ def search_queries(tokens: DataFrame, entities: DataFrame) -> DataFrame:
 def doc_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, term, tf) with lower-cased letter/digit terms."""
     toks = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    return (docs.select(F.col(id_col).alias("doc"), F.explode(toks).alias("term"))
-            .groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
+    return (docs.select(F.col(id_col).alias("doc"), F.explode_outer(toks).alias("term"))
+            .where(F.col("term").isNotNull()).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def keyword_search(claim_terms: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

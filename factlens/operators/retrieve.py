@@ -21,29 +21,48 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factlens.session import ensure_checkpoint_dir
+
 TOKEN_SPLIT_RE = r"[^\p{L}\p{N}]+"
 
 
 # M7 ----------------------------------------------------------------------------
 
 def token_bucket(tok: Column, dim: int) -> Column:
-    """Feature index of a token: first 8 hex digits of md5 as an integer, mod dim."""
+    """Feature index of a token: first 8 hex digits of md5 as an integer, mod dim
+    (JVM form of the rule ``_embed_batch`` applies)."""
     return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
 
 
+def _embed_batch(texts: pd.Series, dim: int) -> pd.Series:
+    """Hashed bag of words for one Arrow batch: lower-case, split on non letters /
+    digits, bucket = int(md5(token)[:8], 16) % dim, counts L2-normalised. Only the
+    batch's distinct tokens are hashed; counting is one ``bincount`` for the batch."""
+    import hashlib
+
+    import regex
+
+    split = regex.compile(TOKEN_SPLIT_RE).split
+    toks = [[x for x in split(t.lower()) if x] if isinstance(t, str) else [] for t in texts]
+    lens = np.fromiter((len(t) for t in toks), dtype=np.int64, count=len(toks))
+    n = len(toks)
+    if lens.sum() == 0:
+        return pd.Series([None] * n, dtype="object")
+    codes, uniq = pd.factorize(pd.Series([x for t in toks for x in t], dtype="object"))
+    ub = np.fromiter((int(hashlib.md5(u.encode("utf-8")).hexdigest()[:8], 16) % dim for u in uniq),
+                     dtype=np.int64, count=len(uniq))
+    rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+    counts = np.bincount(rows * dim + ub[codes], minlength=n * dim).reshape(n, dim).astype(np.float64)
+    norms = np.sqrt(np.einsum("ij,ij->i", counts, counts))
+    return pd.Series([counts[i] / norms[i] if lens[i] else None for i in range(n)], dtype="object")
+
+
 def embed_text(df: DataFrame, id_col: str, text_col: str, dim: int = 64, out_col: str = "embedding") -> DataFrame:
-    """Hashed bag-of-words vector, L2-normalised; a pure per-row projection (no
-    shuffle). Rows without any token are dropped."""
-    toks = F.filter(F.split(F.lower(F.col(text_col)), TOKEN_SPLIT_RE), lambda t: t != "")
-    buckets = F.transform(toks, lambda t: token_bucket(t, dim))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    counts = F.aggregate(buckets, zero,
-                         lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + 1.0).otherwise(x)))
-    out = df.select(*[c for c in df.columns if c != text_col], counts.alias("_c"))
-    norm = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x))
-    out = out.where(norm > 0)
-    return out.select(*[c for c in out.columns if c != "_c"],
-                      F.transform("_c", lambda x: x / norm).alias(out_col))
+    """M7: hashed bag-of-words vector, L2-normalised. A narrow per-row step (no
+    shuffle), vectorised per Arrow batch; rows without any token are dropped."""
+    emb = F.pandas_udf(lambda s: _embed_batch(s, dim), "array<double>")
+    out = df.select(*[c for c in df.columns if c != text_col], emb(F.col(text_col)).alias(out_col))
+    return out.where(F.col(out_col).isNotNull())
 
 
 # J5 ----------------------------------------------------------------------------
@@ -105,6 +124,10 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "l
     spark = queries.sparkSession
     q = queries.select(F.col(q_id).cast("bigint").alias("qid"), F.col(q_vec).cast("array<double>").alias("v"))
     it = items.select(F.col(i_id).cast("bigint").alias("item_id"), F.col(i_vec).cast("array<double>").alias("v"))
+    # Both sides are checkpointed to the shared checkpoint folder: the block sizes
+    # need row counts, and the tiles must not recompute the (embedding) lineage.
+    ensure_checkpoint_dir(spark)
+    q, it = q.checkpoint(eager=True), it.checkpoint(eager=True)
     nq, ni = q.count(), it.count()
     par = spark.sparkContext.defaultParallelism
     QB = max(1, math.ceil(nq / q_block))

@@ -22,7 +22,7 @@ POLITICAL, NON_POLITICAL = "POLITICAL", "NON_POLITICAL"
 
 
 def sentence_array(text_col: str, min_chars: int = MIN_SENTENCE_CHARS):
-    parts = F.transform(F.split(F.col(text_col), T.SENTENCE_BREAK_RE, -1), lambda s: T.py_strip(s))
+    parts = F.transform(F.split(F.col(text_col), T.SENTENCE_BREAK_JAVA, -1), lambda s: T.py_strip(s))
     return F.filter(parts, lambda s: F.char_length(s) >= min_chars)
 
 
@@ -30,7 +30,9 @@ def split_sentences(df: DataFrame, id_col: str, text_col: str = "text",
                     min_chars: int = MIN_SENTENCE_CHARS) -> DataFrame:
     """U1. ``id_col, sent_idx, text`` for every stripped piece of at least
     ``min_chars`` code points, in order, re-indexed from 0."""
-    return df.select(id_col, F.posexplode(sentence_array(text_col, min_chars)).alias("sent_idx", "text"))
+    # outer generator + filter after it: no inferred pre-filter re-evaluating the split
+    return (df.select(id_col, F.posexplode_outer(sentence_array(text_col, min_chars)).alias("sent_idx", "text"))
+            .where(F.col("text").isNotNull()))
 
 
 def min_length_status(text_col: str):

@@ -10,9 +10,23 @@ TABLES = (
 )
 
 
+# Tables whose rows carry long texts: per-row work on them is heavy, so a scan that
+# yields fewer splits than the cluster has cores is spread round-robin.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy parquet scan; column pruning and filter pushdown happen in Catalyst."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition only when the input has fewer partitions than the
+    cluster's default parallelism (a few large files / row groups). Large inputs
+    already have thousands of splits and pass through untouched."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
 
 
 class Tables:
