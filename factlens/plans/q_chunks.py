@@ -111,3 +111,31 @@ def l2_ordered_chunks(spark, sf_dir):
     # The url whose article has the most chunks (ties: smallest url) - a one-row aggregate.
     top = ch.agg(F.min_by("url", F.struct(-F.col("total_chunks"), F.col("url"))).alias("url"))
     return ch.join(top, "url").orderBy("chunk_index").select("url", "chunk_index", "word_count", "content")
+
+
+@register("u7_extract_article_text")
+def u7_extract_article_text(spark, sf_dir):
+    """Article text of every page (first article, else main, else body)."""
+    from factlens.operators.html import extract_article_text
+
+    r = extract_article_text(Tables(spark, sf_dir).pages)
+    return r.select("page_id", "word_count", "success", F.md5("content").alias("content_md5"))
+
+
+@register("u8_extract_wiki_text")
+def u8_extract_wiki_text(spark, sf_dir):
+    from factlens.operators.html import extract_wiki_text
+
+    r = extract_wiki_text(Tables(spark, sf_dir).pages)
+    return r.select("page_id", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@register("u3_chunk_pages")
+def u3_chunk_pages(spark, sf_dir):
+    """Pages -> article text -> 64/8 chunks with url-derived ids (the store's input)."""
+    from factlens.operators.html import extract_article_text
+
+    p = Tables(spark, sf_dir).pages
+    txt = extract_article_text(p).where("success").join(p.select("page_id", "url"), "page_id")
+    ch = C.chunk_articles(txt.select("url", F.col("content").alias("full_content")))
+    return ch.select("chunk_id", "url", "chunk_index", "total_chunks", "word_count")
