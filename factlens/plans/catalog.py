@@ -33,7 +33,7 @@ def register(name: str, sql: str | None = None):
 def _load_all() -> None:
     # Importing the plan modules fills the registry.
     from factlens.plans import (  # noqa: F401
-        q_text, q_chunks, q_retrieval, q_sampling, q_stats, q_keywords, q_verify, q_streaming,
+        q_text, q_chunks, q_retrieval, q_sampling, q_stats, q_keywords, q_verify, q_evidence, q_streaming,
     )
 
 
