@@ -1 +1,92 @@
-"""Registered queries."""
+"""Registered queries: trending windows (batch, SQL-checked) and the streaming jobs
+X1-X3 driven over the driver's files with an available-now trigger."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from factlens.plans.catalog import register
+from factlens.session import scratch_path
+from factlens.sources.tables import Tables
+from factlens.streaming import ingest as IN
+from factlens.streaming import trending as TR
+
+
+def _fmt(df):
+    return df.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                     F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("window_end"),
+                     "topic", "n", F.col("rank").cast("int").alias("rank"))
+
+
+@register("x3_trending", sql="""
+WITH w AS (SELECT event_type AS topic, date_trunc('hour', ts) - INTERVAL 1 HOUR * i AS ws FROM events, range(6) t(i)),
+c AS (SELECT ws, topic, count(*) AS n FROM w GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY n DESC, topic) AS rank FROM c)
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(ws + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
+       topic, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
+def x3_trending(spark, sf_dir):
+    """Top 3 event types of every 6-hour window sliding by 1 hour."""
+    return _fmt(TR.trending(Tables(spark, sf_dir).events, "event_type", "ts", "6 hours", "1 hour", 3))
+
+
+@register("x3_trending_tumbling", sql="""
+WITH c AS (SELECT date_trunc('day', ts) AS ws, event_type AS topic, count(*) AS n FROM events GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY n DESC, topic) AS rank FROM c)
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(ws + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+       topic, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 2""")
+def x3_trending_tumbling(spark, sf_dir):
+    return _fmt(TR.trending(Tables(spark, sf_dir).events, "event_type", "ts", "1 day", None, 2))
+
+
+def _stream(spark, sf_dir, name):
+    """A file stream over one table of the folder (the source watches the folder)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    s = (spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", f"{name}.parquet")
+         .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    # event-time operators need TIMESTAMP (not TIMESTAMP_NTZ); session zone is UTC
+    for c, t in s.dtypes:
+        if t == "timestamp_ntz":
+            s = s.withColumn(c, F.col(c).cast("timestamp"))
+    return s
+
+
+@register("x3_trending_stream")
+def x3_trending_stream(spark, sf_dir):
+    """The same sliding top-3 as a stream: windows are emitted once the watermark
+    (1 hour) passes their end; the last open windows stay in state."""
+    out, ck = scratch_path(spark, "trending-out"), scratch_path(spark, "trending-ck")
+    q = TR.trending_stream(spark, _stream(spark, sf_dir, "events"), "event_type", "ts", out, ck)
+    q.awaitTermination()
+    try:
+        return _fmt(spark.read.parquet(out))
+    except Exception:  # noqa: BLE001 - no window finished
+        return spark.createDataFrame([], "window_start string, window_end string, topic string, n long, rank int")
+
+
+@register("x1_stream_ingest_articles")
+def x1_stream_ingest_articles(spark, sf_dir):
+    """Pages streamed in (event time derived from the page id), de-duplicated by url
+    within a 1-hour watermark, article text extracted and chunked into a store with
+    an idempotent append per micro-batch."""
+    out, ck = scratch_path(spark, "store"), scratch_path(spark, "ingest-ck")
+    s = _stream(spark, sf_dir, "pages").withColumn(
+        "ts", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60))
+    q = IN.stream_ingest_articles(spark, s, out, ck, html=True)
+    q.awaitTermination()
+    return spark.read.parquet(out).select("chunk_id", "url", "chunk_index", "word_count")
+
+
+@register("x2_stream_verify_posts")
+def x2_stream_verify_posts(spark, sf_dir):
+    """Benchmark claims streamed as posts and verified against the static store."""
+    from factlens.plans.q_chunks import doc_chunks
+    from factlens.plans.q_verify import claim_classifier, evidence_labels, topic_classifier
+
+    out, ck = scratch_path(spark, "verify-out"), scratch_path(spark, "verify-ck")
+    posts = _stream(spark, sf_dir, "benchmark").select(F.col("item_id").alias("post_id"), "text")
+    q = IN.stream_verify_posts(spark, posts, out, ck, chunks=doc_chunks(spark, sf_dir),
+                               evidence_labels=evidence_labels(spark, sf_dir),
+                               topic=topic_classifier(spark, sf_dir, False), claim=claim_classifier(spark, sf_dir))
+    q.awaitTermination()
+    return spark.read.parquet(out).select("post_id", "is_political", "success", "message",
+                                          F.size("fact_check_results").alias("n_results"))
