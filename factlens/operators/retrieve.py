@@ -57,11 +57,13 @@ def _embed_batch(texts: pd.Series, dim: int) -> pd.Series:
     return pd.Series([counts[i] / norms[i] if lens[i] else None for i in range(n)], dtype="object")
 
 
-def embed_text(df: DataFrame, id_col: str, text_col: str, dim: int = 64, out_col: str = "embedding") -> DataFrame:
+def embed_text(df: DataFrame, id_col: str, text_col: str, dim: int = 64, out_col: str = "embedding",
+               keep_text: bool = False) -> DataFrame:
     """M7: hashed bag-of-words vector, L2-normalised. A narrow per-row step (no
     shuffle), vectorised per Arrow batch; rows without any token are dropped."""
     emb = F.pandas_udf(lambda s: _embed_batch(s, dim), "array<double>")
-    out = df.select(*[c for c in df.columns if c != text_col], emb(F.col(text_col)).alias(out_col))
+    keep = [c for c in df.columns if keep_text or c != text_col]
+    out = df.select(*keep, emb(F.col(text_col)).alias(out_col))
     return out.where(F.col(out_col).isNotNull())
 
 
@@ -129,9 +131,12 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "l
     ensure_checkpoint_dir(spark)
     q, it = q.checkpoint(eager=True), it.checkpoint(eager=True)
     nq, ni = q.count(), it.count()
+    # Tile grid: tiles hold at most q_block x i_block pairs; when that gives fewer
+    # tiles than the cluster has cores, split further (items first, then queries),
+    # never below 256 rows per block.
     par = spark.sparkContext.defaultParallelism
-    QB = max(1, math.ceil(nq / q_block))
     IB = max(1, math.ceil(ni / i_block), min(par, ni // 2048))
+    QB = max(1, math.ceil(nq / q_block), min(math.ceil(par / IB), nq // 256))
     qx = q.select("qid", "v", F.pmod(F.xxhash64("qid"), F.lit(QB)).alias("qb"),
                   F.explode(F.sequence(F.lit(0), F.lit(IB - 1))).alias("ib"))
     ix = it.select("item_id", "v", F.pmod(F.xxhash64("item_id"), F.lit(IB)).alias("ib"),

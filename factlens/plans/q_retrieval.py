@@ -12,6 +12,7 @@ from factlens.plans.catalog import register
 from factlens.plans.q_chunks import doc_chunks
 from factlens.plans.sqlparts import doc_chunks_cte, embed_cte, l2sim
 from factlens.functions.text import SENTENCE_BREAK_RE, sql_py_strip
+from factlens.session import ensure_checkpoint_dir
 from factlens.sources.tables import Tables
 
 DIM = 64
@@ -31,9 +32,17 @@ def claim_labels(spark, sf_dir):
         .otherwise("REFUTES").alias("label"))
 
 
-def chunk_vectors(spark, sf_dir):
+def vector_store(spark, sf_dir):
+    """The chunk store with its vectors (what an ingest job maintains), built once
+    per query and checkpointed so retrieval, metadata and labels read it back
+    instead of re-chunking and re-embedding."""
+    ensure_checkpoint_dir(spark)
     ch = doc_chunks(spark, sf_dir)
-    return R.embed_text(ch, "chunk_id", "content", DIM).select("chunk_id", "embedding")
+    return R.embed_text(ch, "chunk_id", "content", DIM, keep_text=True).checkpoint(eager=True)
+
+
+def chunk_vectors(spark, sf_dir, store=None):
+    return (store if store is not None else vector_store(spark, sf_dir)).select("chunk_id", "embedding")
 
 
 def claim_queries(spark, sf_dir):
@@ -49,9 +58,11 @@ def claim_queries(spark, sf_dir):
 def retrieval(spark, sf_dir, k=K):
     """J6 result joined back to chunk metadata: claim_id, chunk_id, url, chunk_index,
     content, score, query_idx, query_type, rank."""
-    hits = R.multi_query_retrieve(claim_queries(spark, sf_dir), chunk_vectors(spark, sf_dir), k=k)
-    ch = doc_chunks(spark, sf_dir).select("chunk_id", "url", "chunk_index", "content")
-    return hits.join(ch, "chunk_id")
+    store = vector_store(spark, sf_dir)
+    hits = R.multi_query_retrieve(claim_queries(spark, sf_dir), chunk_vectors(spark, sf_dir, store), k=k)
+    # read by several consumers (selection, merge, judge, reports): run the k-NN once
+    return hits.join(store.select("chunk_id", "doc_id", "url", "chunk_index", "content"),
+                     "chunk_id").checkpoint(eager=True)
 
 
 # ---- shared SQL -----------------------------------------------------------------------

@@ -219,12 +219,14 @@ DOC_LABELS_SQL = """doc_labels AS (SELECT doc_id, CASE WHEN quality = 1 AND toxi
                     ELSE 'NOT ENOUGH INFO' END AS label FROM labels)"""
 
 
-def evidence_labels(spark, sf_dir):
-    """Chunk -> verdict label of its labelled source document (unlabelled ones do not vote)."""
+def evidence_labels(spark, sf_dir, chunks=None):
+    """Chunk -> verdict label of its labelled source document (unlabelled ones do not
+    vote). ``chunks`` (chunk_id, doc_id) defaults to re-chunking the documents."""
     lab = Tables(spark, sf_dir).labels.select(
         "doc_id", F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "SUPPORTS")
         .when(F.col("toxic") == 1, "REFUTES").otherwise("NOT ENOUGH INFO").alias("label"))
-    return doc_chunks(spark, sf_dir).select("chunk_id", "doc_id").join(lab, "doc_id").select("chunk_id", "label")
+    ch = chunks if chunks is not None else doc_chunks(spark, sf_dir)
+    return ch.select("chunk_id", "doc_id").distinct().join(lab, "doc_id").select("chunk_id", "label")
 
 
 @register("m9_verdict_status", sql="WITH " + RETRIEVAL_SQL + ",\n" + DOC_LABELS_SQL + """,
@@ -243,7 +245,7 @@ SELECT b.item_id AS claim_id,
 FROM benchmark b LEFT JOIN rc ON rc.claim_id = b.item_id LEFT JOIN v ON v.claim_id = b.item_id""")
 def m9_verdict_status(spark, sf_dir):
     r = retrieval(spark, sf_dir)
-    verdicts = ML.judge(r, evidence_labels(spark, sf_dir))
+    verdicts = ML.judge(r, evidence_labels(spark, sf_dir, r))
     claims = Tables(spark, sf_dir).benchmark.select(F.col("item_id").alias("claim_id"))
     s = ML.verdict_status(claims, r, verdicts)
     return s.select("claim_id", "verdict", F.round("confidence", 6).alias("confidence"), "evidence_count")
@@ -414,9 +416,12 @@ def m4_train_text_classifier(spark, sf_dir):
 def m10_verify_posts(spark, sf_dir):
     from factlens.plans.verify import verify_posts
 
+    from factlens.plans.q_retrieval import vector_store
+
     t = Tables(spark, sf_dir)
     posts = t.benchmark.select(F.col("item_id").alias("post_id"), "text")
-    return verify_posts(posts, doc_chunks(spark, sf_dir), evidence_labels(spark, sf_dir),
+    store = vector_store(spark, sf_dir)
+    return verify_posts(posts, store, evidence_labels(spark, sf_dir, store),
                         topic=topic_classifier(spark, sf_dir, False), claim=claim_classifier(spark, sf_dir))
 
 

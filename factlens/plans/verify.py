@@ -19,6 +19,7 @@ from factlens.operators import coref as CR
 from factlens.operators import ml as ML
 from factlens.operators import retrieve as R
 from factlens.operators import sentences as SE
+from factlens.session import ensure_checkpoint_dir
 
 # Response messages.
 MSG_NON_POLITICAL = "Non political content detected."
@@ -37,13 +38,11 @@ def assemble_response(posts: DataFrame, gate: DataFrame, claims: DataFrame, resu
         .join(ec, "post_id", "left").join(fr, "post_id", "left")
     political = F.coalesce(F.col("classification") == SE.POLITICAL, F.lit(False))
     n_claims = F.coalesce(F.size("_c"), F.lit(0))
-    drop_idx = "struct<text:string,confidence:double,is_factual_claim:boolean>"
     claims_out = F.transform(F.coalesce("_c", F.array()), lambda s: F.struct(
         s["text"].alias("text"), s["confidence"].alias("confidence"), s["is_factual_claim"].alias("is_factual_claim")))
     results_out = F.transform(F.coalesce("_r", F.array()), lambda s: F.struct(
         s["claim"].alias("claim"), s["verdict"].alias("verdict"), s["confidence"].alias("confidence"),
         s["evidence_count"].alias("evidence_count"), s["source_urls"].alias("source_urls")))
-    del drop_idx
     return j.select(
         "post_id", F.col("text").alias("original_text"),
         (political & F.coalesce("is_political", F.lit(False))).alias("is_political"),
@@ -57,11 +56,16 @@ def assemble_response(posts: DataFrame, gate: DataFrame, claims: DataFrame, resu
 
 def verify_posts(posts: DataFrame, chunks: DataFrame, evidence_labels: DataFrame, *, topic, claim,
                  k: int = 5, annotator=AN.annotate) -> DataFrame:
-    """``posts``: post_id, text. ``chunks``: chunk_id, url, content (the store).
+    """``posts``: post_id, text. ``chunks``: chunk_id, url, content and, when the
+    store keeps them, its ``embedding`` vectors (the store).
     ``evidence_labels``: chunk_id, label (votes for the default judge)."""
     scored = ML.score_batch(posts, "post_id", "text", topic).withColumn("status", SE.min_length_status("text"))
     gate = SE.topic_gate(scored.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
                          .withColumn("label", F.coalesce("label", F.lit(SE.NON_POLITICAL))))
+    # gate, claims and hits are small (a row per post / claim / hit) and each feeds
+    # several consumers: checkpoint them so the k-NN scoring upstream runs once.
+    ensure_checkpoint_dir(posts.sparkSession)
+    gate = gate.checkpoint(eager=True)
     political = gate.where(F.col("classification") == SE.POLITICAL).select("post_id", "text")
     toks, ents = annotator(political.withColumnRenamed("post_id", "doc_id"), "doc_id", "text")
     resolved = CR.resolve_pronouns(political.withColumnRenamed("post_id", "doc_id"), toks, ents)
@@ -69,12 +73,13 @@ def verify_posts(posts: DataFrame, chunks: DataFrame, evidence_labels: DataFrame
                                "post_id", "resolved_text")
     sents = sents.select((F.col("post_id") * 1000 + F.col("sent_idx")).alias("claim_id"), "post_id", "sent_idx", "text")
     cs = ML.score_batch(sents, "claim_id", "text", claim).where(F.col("label").isNotNull())
-    claims = SE.claim_gate(cs, claim_label="claim")
+    claims = SE.claim_gate(cs, claim_label="claim").checkpoint(eager=True)
     qv = R.embed_text(claims.select("claim_id", "text"), "claim_id", "text", DIM)
-    cv = R.embed_text(chunks.select("chunk_id", "content"), "chunk_id", "content", DIM)
+    cv = (chunks.select("chunk_id", "embedding") if "embedding" in chunks.columns
+          else R.embed_text(chunks.select("chunk_id", "content"), "chunk_id", "content", DIM))
     hits = R.knn_join(qv, cv, k=k, q_id="claim_id", i_id="chunk_id")
     hits = hits.select(F.col("qid").alias("claim_id"), F.col("item_id").alias("chunk_id"), "score", "rank") \
-        .join(chunks.select("chunk_id", "url", "content"), "chunk_id")
+        .join(chunks.select("chunk_id", "url", "content"), "chunk_id").checkpoint(eager=True)
     verdicts = ML.judge(hits, evidence_labels)
     status = ML.verdict_status(claims.select("claim_id"), hits, verdicts)
     first = hits.groupBy("claim_id", "url").agg(F.min("rank").alias("_f"))
