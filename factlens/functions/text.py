@@ -307,3 +307,19 @@ def split_long(col) -> Column:
     parts = F.filter(F.transform(F.split(_c(col), SENTENCE_BREAK_JAVA, -1), lambda s: py_strip(s)),
                      lambda s: s != "")
     return F.when(word_count(col) > SPLIT_LONG_TOKENS, F.array_join(parts, " ")).otherwise(collapse_ws(col))
+
+
+# P9 ----------------------------------------------------------------------------
+
+def _nfkd_batch(s):
+    import unicodedata
+
+    import pandas as pd
+
+    return pd.Series([unicodedata.normalize("NFKD", x) if isinstance(x, str) else None for x in s], dtype="object")
+
+
+def nfkd(col) -> Column:
+    """Unicode NFKD normal form. Spark 4.1 has no built-in for it, so this is an
+    Arrow-batched pandas UDF (one C call per value, no per-row JVM round trip)."""
+    return F.pandas_udf(_nfkd_batch, "string")(_c(col))

@@ -181,3 +181,9 @@ def merge_adjacent_scored(blocks: DataFrame, group_cols: list[str]) -> DataFrame
         *group_cols, F.row_number().over(w).alias("score_rank"), "url",
         F.concat_ws("-", F.col("start_index").cast("string"), F.col("end_index").cast("string"))
         .alias("chunk_range"), "n_chunks", "max_score", "text")
+
+
+def peek(chunks: DataFrame, n: int, order_col: str = "chunk_id") -> DataFrame:
+    """L3: the first ``n`` rows in ``order_col`` order (a top-n: each partition keeps
+    n, one final merge of n x partitions rows)."""
+    return chunks.orderBy(order_col).limit(n)

@@ -139,3 +139,11 @@ def u3_chunk_pages(spark, sf_dir):
     txt = extract_article_text(p).where("success").join(p.select("page_id", "url"), "page_id")
     ch = C.chunk_articles(txt.select("url", F.col("content").alias("full_content")))
     return ch.select("chunk_id", "url", "chunk_index", "total_chunks", "word_count")
+
+
+@register("l3_peek", sql="WITH " + ARTICLES_SQL + "," + _article_chunks_sql() + """
+SELECT chunk_id, url, chunk_index, word_count FROM ac ORDER BY chunk_id LIMIT 5""")
+def l3_peek(spark, sf_dir):
+    """The first five chunks of the store in id order (the limit is the feature)."""
+    return C.peek(_article_chunks(spark, sf_dir), 5, "chunk_id").select("chunk_id", "url", "chunk_index",
+                                                                        "word_count")

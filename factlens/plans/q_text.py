@@ -236,3 +236,11 @@ def u9_parse_responses(spark, sf_dir):
              .alias("response_id"), F.col("text").alias("response"))))
     p = RSP.parse_responses(r, "response")
     return p.select("response_id", "parsed", "who", "what", "raw")
+
+
+@register("p9_nfkd")
+def p9_nfkd(spark, sf_dir):
+    """Documents in NFKD form (accented letters decomposed)."""
+    d = Tables(spark, sf_dir).documents
+    n = T.nfkd("text")
+    return d.select("doc_id", F.char_length(n).cast("bigint").alias("nfkd_len"), F.md5(n).alias("nfkd_md5"))

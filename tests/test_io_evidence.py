@@ -63,3 +63,18 @@ def test_json_arrays_and_payloads(spark, tmp_path):
     assert (n["source"], n["url"]) == ("S", "https://x/1")
     assert (g["published_at"], g["word_count"], g["language"]) == ("2024-01-05", 0, "")
     assert (w["title"], w["page_id"]) == ("W", 12)
+
+
+def test_export_and_nfkd(spark, tmp_path):
+    import datetime as dt
+    import unicodedata
+
+    from factlens.functions.text import nfkd
+
+    df = spark.createDataFrame([("é ﬁ", "a"), ("x", "b")], "text string, label string")
+    path = SK.export(df, str(tmp_path), "sample", "csv", ["label"], stamp=dt.datetime(2024, 1, 2, 3, 4, 5))
+    assert path.endswith("sample_20240102030405")
+    back = spark.read.option("header", True).csv(path)
+    assert sorted(r["label"] for r in back.collect()) == ["a", "b"]
+    got = [r[0] for r in df.select(nfkd("text")).collect()]
+    assert got == [unicodedata.normalize("NFKD", "é ﬁ"), "x"]
