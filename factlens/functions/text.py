@@ -161,9 +161,9 @@ def sql_py_strip(e: str) -> str:
 
 
 def words(col) -> Column:
-    """``text.split()`` as an array; empty or blank text gives an empty array (the
-    only empty piece a collapsed text can split into is the whole empty text)."""
-    return F.array_remove(F.split(collapse_ws(col), " "), "")
+    """``text.split()`` as an array: one regex split on whitespace runs; the only
+    empty pieces are a leading / trailing one, removed (blank text -> [])."""
+    return F.array_remove(F.split(_c(col), WS_JAVA + "+", -1), "")
 
 
 def sql_words(e: str) -> str:

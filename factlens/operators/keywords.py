@@ -70,11 +70,15 @@ def search_queries(tokens: DataFrame, entities: DataFrame) -> DataFrame:
     return e.unionByName(v).select("doc_id", (F.row_number().over(w) - 1).cast("int").alias("q_idx"), "term")
 
 
-def doc_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, term, tf) with lower-cased letter/digit terms."""
-    toks = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    return (docs.select(F.col(id_col).alias("doc"), F.explode_outer(toks).alias("term"))
-            .where(F.col("term").isNotNull()).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
+def doc_terms(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame | None = None) -> DataFrame:
+    """(doc, term, tf) with lower-cased letter/digit terms; with ``vocab`` (a ``term``
+    column) only those terms are kept, before the aggregation."""
+    toks = F.array_remove(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+", -1), "")
+    t = (docs.select(F.col(id_col).alias("doc"), F.explode_outer(toks).alias("term"))
+         .where(F.col("term").isNotNull()))
+    if vocab is not None:
+        t = t.join(vocab, "term", "left_semi")
+    return (t.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def keyword_search(claim_terms: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -88,7 +92,7 @@ def keyword_search(claim_terms: DataFrame, docs: DataFrame, id_col: str = "doc_i
     ct = claim_terms.select(*keys, F.lower("term").alias("term")).distinct()
     need = ct.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     vocab = ct.select("term").distinct()
-    dt = doc_terms(docs, id_col, text_col).join(vocab, "term", "left_semi")  # only asked-for terms
+    dt = doc_terms(docs, id_col, text_col, vocab)  # only asked-for terms reach the aggregation
     df_ = dt.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     rare = (ct.join(df_, "term")
             .withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_df", "term")))

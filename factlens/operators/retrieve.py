@@ -59,12 +59,15 @@ def _embed_batch(texts: pd.Series, dim: int) -> pd.Series:
 
 def embed_text(df: DataFrame, id_col: str, text_col: str, dim: int = 64, out_col: str = "embedding",
                keep_text: bool = False) -> DataFrame:
-    """M7: hashed bag-of-words vector, L2-normalised. A narrow per-row step (no
-    shuffle), vectorised per Arrow batch; rows without any token are dropped."""
+    """M7: hashed bag-of-words vector, L2-normalised; NULL for a text without any
+    token. A narrow per-row step (no shuffle), vectorised per Arrow batch.
+
+    No filter is applied here on purpose: a filter on the UDF result would be pushed
+    below earlier exchanges and evaluate the UDF a second time. Consumers drop NULL
+    vectors after materialising them (``knn_join`` does)."""
     emb = F.pandas_udf(lambda s: _embed_batch(s, dim), "array<double>")
     keep = [c for c in df.columns if keep_text or c != text_col]
-    out = df.select(*keep, emb(F.col(text_col)).alias(out_col))
-    return out.where(F.col(out_col).isNotNull())
+    return df.select(*keep, emb(F.col(text_col)).alias(out_col))
 
 
 # J5 ----------------------------------------------------------------------------
@@ -130,6 +133,7 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "l
     # need row counts, and the tiles must not recompute the (embedding) lineage.
     ensure_checkpoint_dir(spark)
     q, it = q.checkpoint(eager=True), it.checkpoint(eager=True)
+    q, it = q.where(F.col("v").isNotNull()), it.where(F.col("v").isNotNull())  # rows without a vector
     nq, ni = q.count(), it.count()
     # Tile grid: tiles hold at most q_block x i_block pairs; when that gives fewer
     # tiles than the cluster has cores, split further (items first, then queries),

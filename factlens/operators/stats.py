@@ -170,10 +170,15 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str, digits: i
     """A10: accuracy and support-weighted precision / recall / F1 (zero division -> 0),
     computed from the confusion matrix (a table of classes^2 rows)."""
     cm = confusion_matrix(df, actual, predicted)
-    tp = cm.where(F.col("actual") == F.col("predicted")).select(F.col("actual").alias("cls"), F.col("n").alias("tp"))
-    sup = cm.groupBy(F.col("actual").alias("cls")).agg(F.sum("n").alias("support"))
-    pred = cm.groupBy(F.col("predicted").alias("cls")).agg(F.sum("n").alias("npred"))
-    per = sup.join(pred, "cls", "full").join(tp, "cls", "left").fillna(0, ["support", "npred", "tp"])
+    # one pass over the (classes^2-row) matrix: each cell counts towards the support
+    # of its actual class, the predictions of its predicted class, and tp when equal
+    cells = F.explode(F.array(
+        F.struct(F.col("actual").alias("cls"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("npred"),
+                 F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0).alias("tp")),
+        F.struct(F.col("predicted").alias("cls"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("npred"),
+                 F.lit(0).cast("bigint").alias("tp"))))
+    per = cm.select(cells.alias("c")).select("c.*").groupBy("cls").agg(
+        F.sum("support").alias("support"), F.sum("npred").alias("npred"), F.sum("tp").alias("tp"))
     prec = F.when(F.col("npred") > 0, F.col("tp") / F.col("npred")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     per = per.withColumn("p", prec).withColumn("r", rec).withColumn(

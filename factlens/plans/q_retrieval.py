@@ -38,7 +38,8 @@ def vector_store(spark, sf_dir):
     instead of re-chunking and re-embedding."""
     ensure_checkpoint_dir(spark)
     ch = doc_chunks(spark, sf_dir)
-    return R.embed_text(ch, "chunk_id", "content", DIM, keep_text=True).checkpoint(eager=True)
+    store = R.embed_text(ch, "chunk_id", "content", DIM, keep_text=True).checkpoint(eager=True)
+    return store.where(F.col("embedding").isNotNull())
 
 
 def chunk_vectors(spark, sf_dir, store=None):
@@ -110,7 +111,7 @@ SELECT id AS item_id, CAST(len(list_filter(v, lambda x: x > 0)) AS INTEGER) AS n
 FROM e""")
 def m7_embed_text(spark, sf_dir):
     b = Tables(spark, sf_dir).benchmark
-    e = R.embed_text(b, "item_id", "text", DIM)
+    e = R.embed_text(b, "item_id", "text", DIM).where(F.col("embedding").isNotNull())
     return e.select("item_id", F.size(F.filter("embedding", lambda x: x > 0)).alias("n_nonzero"),
                     _vec_digest(F.col("embedding")).alias("vec_md5"))
 
