@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlens.operators.annotate import default_exclusions
+from factlens.session import ensure_checkpoint_dir
 
 # Entity labels and parts of speech that yield keywords.
 KEYWORD_ENTITY_LABELS = ("PERSON", "ORG", "GPE", "EVENT", "PRODUCT", "NORP")
@@ -89,10 +90,13 @@ def keyword_search(claim_terms: DataFrame, docs: DataFrame, id_col: str = "doc_i
 
     Output: claim_id, [level], doc, score, rank."""
     keys = ["claim_id"] + ([level_col] if level_col else [])
-    ct = claim_terms.select(*keys, F.lower("term").alias("term")).distinct()
+    ensure_checkpoint_dir(docs.sparkSession)
+    # claim terms and the (filtered) term table each feed several joins below; both
+    # are small after the vocabulary filter, so they are materialised once.
+    ct = claim_terms.select(*keys, F.lower("term").alias("term")).distinct().checkpoint(eager=True)
     need = ct.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     vocab = ct.select("term").distinct()
-    dt = doc_terms(docs, id_col, text_col, vocab)  # only asked-for terms reach the aggregation
+    dt = doc_terms(docs, id_col, text_col, vocab).checkpoint(eager=True)  # only asked-for terms
     df_ = dt.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     rare = (ct.join(df_, "term")
             .withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_df", "term")))

@@ -158,20 +158,68 @@ def j8_keyword_backoff(spark, sf_dir):
                     F.col("rank").cast("int"))
 
 
-@register("w6_resolve_pronouns")
+CONV_SQL = "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)"
+_APOS_S = "''s"  # SQL literal body for 's
+
+
+def coref_sql(rule: str) -> str:
+    """DuckDB spelling of W6 / W7 over the SQL annotator."""
+    from factlens.functions.text import POSSESSIVE_RE
+
+    labels = ("PERSON", "ORG", "GPE", "NORP")
+    lasts = ",\n".join(
+        f"last_value(CASE WHEN label = '{lab}' THEN etext END IGNORE NULLS) OVER w AS l_{lab.lower()}" for lab in labels)
+    singular = sorted({c for c in AN.PRONOUN_CLASSES.values() if "NORP" not in c})
+    nears = ",\n".join(
+        "last_value(CASE WHEN label IN (" + ", ".join(f"'{x}'" for x in c) + f") THEN etext END IGNORE NULLS)"
+        f" OVER w AS n_{i}" for i, c in enumerate(singular))
+    cases = []
+    for p, classes in AN.PRONOUN_CLASSES.items():
+        if rule == "priority" or "NORP" in classes:
+            e = "coalesce(" + ", ".join(f"l_{c.lower()}" for c in classes) + ")"
+        else:
+            e = f"n_{singular.index(classes)}"
+        cases.append(f"WHEN '{p}' THEN {e}")
+    poss = _q(AN.POSSESSIVE_PRONOUNS)
+    poss_re = POSSESSIVE_RE.replace("'", "''")
+    return "WITH " + annot_sql(CONV_SQL, "doc_id", "text") + f""",
+tl AS (SELECT doc_id, tok_i AS p, 1 AS k, tok_i, char_idx, text, NULL::VARCHAR AS label, NULL::VARCHAR AS etext
+       FROM a_tok WHERE pos = 'PRON' AND list_contains({_q(AN.PRONOUN_CLASSES)}, lower(text))
+       UNION ALL SELECT doc_id, end_tok, 0, NULL, NULL, NULL, label, regexp_replace(text, '{poss_re}', '\\1') FROM a_ent),
+lw AS (SELECT *, {lasts},
+       {nears}
+       FROM tl WINDOW w AS (PARTITION BY doc_id ORDER BY p, k, tok_i NULLS FIRST
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+r0 AS (SELECT doc_id, tok_i, char_idx, text, CASE lower(text) {" ".join(cases)} END AS rep FROM lw WHERE k = 1),
+r1 AS (SELECT *, CASE WHEN list_contains({poss}, lower(text)) AND NOT ends_with(rep, '{_APOS_S}')
+                      THEN rep || '{_APOS_S}' ELSE rep END AS r
+       FROM r0 WHERE rep IS NOT NULL),
+r2 AS (SELECT doc_id, char_idx, length(text) AS len,
+              CASE WHEN substr(text, 1, 1) = upper(substr(text, 1, 1)) AND substr(text, 1, 1) <> lower(substr(text, 1, 1))
+                   THEN upper(substr(r, 1, 1)) || substr(r, 2) ELSE r END AS r FROM r1),
+pc AS (SELECT r2.*, coalesce(lag(char_idx + len) OVER (PARTITION BY doc_id ORDER BY char_idx), 0) AS prev_end FROM r2),
+pieces AS (SELECT pc.doc_id, string_agg(substr(c.text, pc.prev_end + 1, pc.char_idx - pc.prev_end) || pc.r, ''
+                                        ORDER BY pc.char_idx) AS body, max(pc.char_idx + pc.len) AS last_end,
+                  count(*) AS n FROM pc JOIN {CONV_SQL} c USING (doc_id) GROUP BY pc.doc_id)
+SELECT c.doc_id, CAST(coalesce(p.n, 0) AS INTEGER) AS n_replaced,
+       md5(CASE WHEN p.doc_id IS NULL THEN c.text ELSE p.body || substr(c.text, p.last_end + 1) END) AS resolved_md5
+FROM {CONV_SQL} c LEFT JOIN pieces p USING (doc_id)"""
+
+
+@register("w6_resolve_pronouns", sql=coref_sql("priority"))
 def w6_resolve_pronouns(spark, sf_dir):
     """Conversation turns with the default annotator; priority rule."""
     c = Tables(spark, sf_dir).conversations.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     toks, ents = AN.annotate(c)
     r = CR.resolve_pronouns(c, toks, ents)
-    return r.select("doc_id", "n_replaced", F.md5("resolved_text").alias("resolved_md5"))
+    return r.select("doc_id", F.col("n_replaced").cast("int"), F.md5("resolved_text").alias("resolved_md5"))
 
 
-@register("w7_resolve_pronouns_nearest")
+@register("w7_resolve_pronouns_nearest", sql=coref_sql("nearest"))
 def w7_resolve_pronouns_nearest(spark, sf_dir):
     c = Tables(spark, sf_dir).conversations.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     toks, ents = AN.annotate(c)
     r = CR.resolve_pronouns(c, toks, ents, rule="nearest")
-    return r.select("doc_id", "n_replaced", F.md5("resolved_text").alias("resolved_md5"))
+    return r.select("doc_id", F.col("n_replaced").cast("int"), F.md5("resolved_text").alias("resolved_md5"))
