@@ -93,9 +93,13 @@ def new_urls_only(incoming: DataFrame, store: DataFrame, url_col: str = "url") -
 
 
 def dedupe_articles(articles: DataFrame, order_cols: list[str], url_col: str = "url") -> DataFrame:
-    """In-batch duplicates: keep the first article per url by ``order_cols``."""
-    w = Window.partitionBy(url_col).orderBy(*order_cols)
-    return articles.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """In-batch duplicates: keep the first article per url by ``order_cols``. A
+    ``min_by`` aggregate (combined map-side), so a url repeated millions of times
+    does not pile up in one task the way a window per url would."""
+    cols = articles.columns
+    best = articles.groupBy(url_col).agg(
+        F.min_by(F.struct(*cols), F.struct(*order_cols, *[c for c in cols if c not in order_cols])).alias("_r"))
+    return best.select("_r.*")
 
 
 def append_chunks(spark, store_path: str, new_chunks: DataFrame) -> DataFrame:

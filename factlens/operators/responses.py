@@ -8,7 +8,7 @@ object it is used, otherwise a leading ``assistant`` is dropped and the outermos
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlens.functions.text import py_strip
@@ -38,7 +38,6 @@ def parse_responses(df: DataFrame, col: str = "response", keep_first: int | None
                      *[F.get_json_object("_js", f"$.{f}").alias(f) for f in FIELDS],
                      F.when(F.col("_js").isNull(), F.col(col)).alias("raw"))
     if keep_first is not None:
-        w = Window.partitionBy("parsed").orderBy(order_col)
-        out = out.where(F.col("parsed")).withColumn("_n", F.row_number().over(w)) \
-            .where(F.col("_n") <= keep_first).drop("_n")
+        # a top-N (each partition keeps N, one merge), not a window over all rows
+        out = out.where(F.col("parsed")).orderBy(order_col).limit(keep_first)
     return out

@@ -121,9 +121,12 @@ def _tile_topk(q_ids, Q, i_ids, X, k, metric, exclude_self, sub=512):
 
 def knn_join(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "l2sq",
              q_id: str = "qid", q_vec: str = "embedding", i_id: str = "item_id", i_vec: str = "embedding",
-             exclude_self: bool = False, q_block: int = 4096, i_block: int = 16384) -> DataFrame:
+             exclude_self: bool = False, q_block: int = 4096, i_block: int = 16384,
+             items_materialized: bool = False) -> DataFrame:
     """Exact top-k items per query: ``qid, item_id, score, rank`` (rank 1 = best;
-    ties by smaller item_id). ``score`` is ``1 - squared L2`` for ``l2sq``."""
+    ties by smaller item_id). ``score`` is ``1 - squared L2`` for ``l2sq``.
+    ``items_materialized``: the item side is already a stored table (the vector
+    store), so it is not checkpointed again; its count is a scan of that table."""
     if metric not in ("l2sq", "cosine", "ip"):
         raise ValueError(metric)
     spark = queries.sparkSession
@@ -132,7 +135,9 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "l
     # Both sides are checkpointed to the shared checkpoint folder: the block sizes
     # need row counts, and the tiles must not recompute the (embedding) lineage.
     ensure_checkpoint_dir(spark)
-    q, it = q.checkpoint(eager=True), it.checkpoint(eager=True)
+    q = q.checkpoint(eager=True)
+    if not items_materialized:
+        it = it.checkpoint(eager=True)
     q, it = q.where(F.col("v").isNotNull()), it.where(F.col("v").isNotNull())  # rows without a vector
     nq, ni = q.count(), it.count()
     # Tile grid: tiles hold at most q_block x i_block pairs; when that gives fewer

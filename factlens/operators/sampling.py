@@ -201,8 +201,14 @@ def sample_with_replacement(df: DataFrame, label_col: str, id_col: str, seed: in
     r = seeded_rank(df, [label_col], id_col, seed).join(F.broadcast(cn), label_col)
     plain = r.where((F.col("_c") >= F.col("_n")) & (F.col("rank") <= F.col("_n"))) \
         .withColumn("draw", F.col("rank")).drop("_c", "_n", "rank")
-    draws = cn.where(F.col("_c") < F.col("_n")).select(
-        label_col, "_c", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("draw"))
+    # draws are generated as a distributed range per rare label (labels are few),
+    # never as one row exploding n elements
+    spark = df.sparkSession
+    rare_labels = [(k, c) for k, c in counts.items() if c < n]
+    draws = spark.createDataFrame([], f"{label_col} string, _c long, draw long")
+    for lab, c in rare_labels:
+        draws = draws.unionByName(spark.range(1, n + 1).select(
+            F.lit(lab).cast("string").alias(label_col), F.lit(c).cast("long").alias("_c"), F.col("id").alias("draw")))
     key = F.md5(F.concat(F.col("draw").cast("string"), F.lit(f":{seed}:"), F.col(label_col).cast("string")))
     draws = draws.withColumn("rank", F.pmod(hash_int(key), F.col("_c")) + 1).drop("_c")
     rare = r.where(F.col("_c") < F.col("_n")).drop("_c", "_n").join(draws, [label_col, "rank"]).drop("rank")

@@ -60,7 +60,8 @@ def retrieval(spark, sf_dir, k=K):
     """J6 result joined back to chunk metadata: claim_id, chunk_id, url, chunk_index,
     content, score, query_idx, query_type, rank."""
     store = vector_store(spark, sf_dir)
-    hits = R.multi_query_retrieve(claim_queries(spark, sf_dir), chunk_vectors(spark, sf_dir, store), k=k)
+    hits = R.multi_query_retrieve(claim_queries(spark, sf_dir), chunk_vectors(spark, sf_dir, store), k=k,
+                                  items_materialized=True)
     # read by several consumers (selection, merge, judge, reports): run the k-NN once
     return hits.join(store.select("chunk_id", "doc_id", "url", "chunk_index", "content"),
                      "chunk_id").checkpoint(eager=True)

@@ -77,7 +77,7 @@ def verify_posts(posts: DataFrame, chunks: DataFrame, evidence_labels: DataFrame
     qv = R.embed_text(claims.select("claim_id", "text"), "claim_id", "text", DIM)
     cv = (chunks.select("chunk_id", "embedding") if "embedding" in chunks.columns
           else R.embed_text(chunks.select("chunk_id", "content"), "chunk_id", "content", DIM))
-    hits = R.knn_join(qv, cv, k=k, q_id="claim_id", i_id="chunk_id")
+    hits = R.knn_join(qv, cv, k=k, q_id="claim_id", i_id="chunk_id", items_materialized="embedding" in chunks.columns)
     hits = hits.select(F.col("qid").alias("claim_id"), F.col("item_id").alias("chunk_id"), "score", "rank") \
         .join(chunks.select("chunk_id", "url", "content"), "chunk_id").checkpoint(eager=True)
     verdicts = ML.judge(hits, evidence_labels)
