@@ -40,6 +40,21 @@ def topic_classifier(spark, sf_dir, exclude_self):
                                 exclude_self=exclude_self)
 
 
+def labelled_vectors(spark, sf_dir):
+    """Embedded labelled documents with both stand-in labels, checkpointed once so the
+    topic and the claim classifier share one embedding pass."""
+    from factlens.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    t = Tables(spark, sf_dir)
+    d = t.labels.join(t.documents.select("doc_id", "text"), "doc_id").select(
+        F.col("doc_id").alias("id"), "text",
+        F.when(F.col("quality") == 1, SE.POLITICAL).otherwise(SE.NON_POLITICAL).alias("topic"),
+        F.when(F.col("toxic") == 0, "claim").otherwise("other").alias("claimness"))
+    v = R.embed_text(d, "id", "text", 64).checkpoint(eager=True)
+    return v.where(F.col("embedding").isNotNull())
+
+
 def claim_classifier(spark, sf_dir):
     lab = F.when(F.col("toxic") == 0, "claim").otherwise("other")
     return ML.KnnVoteClassifier(_train_docs(spark, sf_dir, lab), "doc_id", "text", "label", K_VOTE,
@@ -421,8 +436,10 @@ def m10_verify_posts(spark, sf_dir):
     t = Tables(spark, sf_dir)
     posts = t.benchmark.select(F.col("item_id").alias("post_id"), "text")
     store = vector_store(spark, sf_dir)
-    return verify_posts(posts, store, evidence_labels(spark, sf_dir, store),
-                        topic=topic_classifier(spark, sf_dir, False), claim=claim_classifier(spark, sf_dir))
+    lv = labelled_vectors(spark, sf_dir)
+    topic = ML.KnnVoteClassifier.from_vectors(lv, "topic", K_VOTE, exclude_self=False)
+    claim = ML.KnnVoteClassifier.from_vectors(lv, "claimness", K_VOTE, exclude_self=False)
+    return verify_posts(posts, store, evidence_labels(spark, sf_dir, store), topic=topic, claim=claim)
 
 
 register("m10_verify_posts")(m10_verify_posts)
