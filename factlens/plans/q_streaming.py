@@ -79,14 +79,18 @@ def x1_stream_ingest_articles(spark, sf_dir):
 @register("x2_stream_verify_posts")
 def x2_stream_verify_posts(spark, sf_dir):
     """Benchmark claims streamed as posts and verified against the static store."""
-    from factlens.plans.q_chunks import doc_chunks
-    from factlens.plans.q_verify import claim_classifier, evidence_labels, topic_classifier
+    from factlens.operators.ml import KnnVoteClassifier
+    from factlens.plans.q_retrieval import vector_store
+    from factlens.plans.q_verify import K_VOTE, evidence_labels, labelled_vectors
 
     out, ck = scratch_path(spark, "verify-out"), scratch_path(spark, "verify-ck")
     posts = _stream(spark, sf_dir, "benchmark").select(F.col("item_id").alias("post_id"), "text")
-    q = IN.stream_verify_posts(spark, posts, out, ck, chunks=doc_chunks(spark, sf_dir),
-                               evidence_labels=evidence_labels(spark, sf_dir),
-                               topic=topic_classifier(spark, sf_dir, False), claim=claim_classifier(spark, sf_dir))
+    # the static side (store with vectors, labelled vectors) is materialised once and
+    # reused by every micro-batch
+    store, lv = vector_store(spark, sf_dir), labelled_vectors(spark, sf_dir)
+    q = IN.stream_verify_posts(spark, posts, out, ck, chunks=store, evidence_labels=evidence_labels(spark, sf_dir, store),
+                               topic=KnnVoteClassifier.from_vectors(lv, "topic", K_VOTE, exclude_self=False),
+                               claim=KnnVoteClassifier.from_vectors(lv, "claimness", K_VOTE, exclude_self=False))
     q.awaitTermination()
     return spark.read.parquet(out).select("post_id", "is_political", "success", "message",
                                           F.size("fact_check_results").alias("n_results"))
