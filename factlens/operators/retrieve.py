@@ -72,19 +72,39 @@ def embed_text(df: DataFrame, id_col: str, text_col: str, dim: int = 64, out_col
 
 # J5 ----------------------------------------------------------------------------
 
-def _tile_topk(q_ids, Q, i_ids, X, k, metric, exclude_self, sub=512):
-    """Top-k items per query for one tile; returns (qid, item_id, score) lists."""
+def _exact_scores(Xc, q, metric, approx):
+    """Exact scores of candidate rows ``Xc`` (..., d) against ``q`` (..., d)."""
+    if metric != "l2sq":
+        return approx
+    # summed left to right over the dimensions so equal vectors give bit-equal
+    # scores (SIMD reductions depend on memory alignment and would break ties)
+    d = Xc - q
+    acc = np.zeros(d.shape[:-1])
+    for j in range(d.shape[-1]):
+        acc += d[..., j] * d[..., j]
+    return 1.0 - acc
+
+
+def _tile_topk(q_ids, Q, i_ids, X, k, metric, exclude_self, sub=512, margin=8):
+    """Top-k items per query for one tile; returns (qid, item_id, score) lists.
+
+    Per sub-block of queries: approximate scores by one matrix product, the
+    ``k + margin`` best candidates per row by ``argpartition``, exact re-scores of
+    those, order by (score desc, item id). A row whose near-tie band (within 1e-9 of
+    its k-th score) does not fit in the candidates is redone over all items."""
     out_q, out_i, out_s = [], [], []
-    if len(i_ids) == 0 or len(q_ids) == 0:
+    n = len(i_ids)
+    if n == 0 or len(q_ids) == 0:
         return out_q, out_i, out_s
     x2 = np.einsum("ij,ij->i", X, X)
-    for s in range(0, len(q_ids), sub):
-        qb = Q[s:s + sub]
-        ids = q_ids[s:s + sub]
+    kk = min(k, n)
+    c = min(n, kk + margin)
+    for s0 in range(0, len(q_ids), sub):
+        qb = Q[s0:s0 + sub]
+        ids = q_ids[s0:s0 + sub]
         dots = qb @ X.T
         if metric == "l2sq":
-            q2 = np.einsum("ij,ij->i", qb, qb)
-            sims = 1.0 - (q2[:, None] + x2[None, :] - 2.0 * dots)
+            sims = 1.0 - (np.einsum("ij,ij->i", qb, qb)[:, None] + x2[None, :] - 2.0 * dots)
         elif metric == "cosine":
             qn = np.sqrt(np.einsum("ij,ij->i", qb, qb))
             sims = dots / (qn[:, None] * np.sqrt(x2)[None, :])
@@ -92,30 +112,37 @@ def _tile_topk(q_ids, Q, i_ids, X, k, metric, exclude_self, sub=512):
             sims = dots
         if exclude_self:
             sims[ids[:, None] == i_ids[None, :]] = -np.inf
-        kk = min(k, sims.shape[1])
+        rows = np.arange(len(ids))[:, None]
+        if c < n:
+            cand = np.argpartition(-sims, c - 1, axis=1)[:, :c]
+            cs = sims[rows, cand]
+            srt = -np.sort(-cs, axis=1)
+            safe = srt[:, c - 1] < srt[:, kk - 1] - 1e-9      # band fits in the candidates
+        else:
+            cand = np.broadcast_to(np.arange(n), (len(ids), n))
+            cs = sims
+            safe = np.ones(len(ids), dtype=bool)
+        sc = _exact_scores(X[cand], qb[:, None, :], metric, cs)
+        sc = np.where(np.isfinite(cs), sc, -np.inf)
+        cid = i_ids[cand]
+        order = np.lexsort((cid, -sc), axis=1)[:, :kk]
+        top_s = np.take_along_axis(sc, order, axis=1)
+        top_i = np.take_along_axis(cid, order, axis=1)
         for r in range(len(ids)):
-            row = sims[r]
-            if kk < len(row):
-                kth = np.partition(row, len(row) - kk)[len(row) - kk]
-                cand = np.nonzero(row >= kth - 1e-9)[0]
-            else:
-                cand = np.arange(len(row))
-            cand = cand[np.isfinite(row[cand])]
-            if metric == "l2sq":
-                # Exact re-score of the few candidates, summed left to right over the
-                # dimensions so equal vectors give bit-equal scores (SIMD reductions
-                # depend on memory alignment and would break ties arbitrarily).
-                d = X[cand] - qb[r]
-                acc = np.zeros(len(cand))
-                for j in range(d.shape[1]):
-                    acc += d[:, j] * d[:, j]
-                sc = 1.0 - acc
-            else:
-                sc = row[cand]
-            order = np.lexsort((i_ids[cand], -sc))[:kk]
-            out_q.extend([ids[r]] * len(order))
-            out_i.extend(i_ids[cand][order].tolist())
-            out_s.extend(sc[order].tolist())
+            if safe[r]:
+                keep = np.isfinite(top_s[r])
+                out_q.extend([ids[r]] * int(keep.sum()))
+                out_i.extend(top_i[r][keep].tolist())
+                out_s.extend(top_s[r][keep].tolist())
+                continue
+            row = sims[r]                                     # rare: many near-ties
+            kth = np.partition(row, n - kk)[n - kk]
+            cc = np.nonzero((row >= kth - 1e-9) & np.isfinite(row))[0]
+            scr = _exact_scores(X[cc], qb[r], metric, row[cc])
+            o = np.lexsort((i_ids[cc], -scr))[:kk]
+            out_q.extend([ids[r]] * len(o))
+            out_i.extend(i_ids[cc][o].tolist())
+            out_s.extend(scr[o].tolist())
     return out_q, out_i, out_s
 
 

@@ -58,3 +58,15 @@ def test_keyword_and_search_brute_force(spark):
             if all(w in toks for w in ws):
                 exp.add((cid, r["doc_id"]))
     assert got == exp
+
+
+def test_knn_many_exact_ties(spark):
+    """20 identical vectors (more than the candidate margin): ties broken by id."""
+    rows = [(i, [1.0, 0.0]) for i in range(20)] + [(100, [0.0, 1.0]), (101, [0.6, 0.8])]
+    items = spark.createDataFrame(rows, "item_id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "qid long, embedding array<double>")
+    got = {}
+    for r in R.knn_join(q, items, k=12).collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["item_id"]))
+    assert [i for _, i in sorted(got[1])] == list(range(12))
+    assert [i for _, i in sorted(got[2])][:2] == [100, 101]
