@@ -42,7 +42,9 @@ def extract_keywords(tokens: DataFrame, entities: DataFrame, exclude=None) -> Da
     alphabetic non-stop tokens longer than 3 and not excluded, distinct
     case-insensitively (first occurrence), minus those equal to an entity."""
     spark = tokens.sparkSession
-    ex = F.broadcast(_exclusion_df(spark, exclude))  # exclusion word list: small by nature
+    ex = _exclusion_df(spark, exclude)
+    if not isinstance(exclude, DataFrame) and len(exclude or default_exclusions()) <= 1_000_000:
+        ex = F.broadcast(ex)  # an in-memory word list: its size is known here
     ents = (entities.where(F.col("label").isin(*KEYWORD_ENTITY_LABELS))
             .select("doc_id", F.trim("text").alias("keyword"), F.col("start_tok").alias("_pos"))
             .where(F.char_length("keyword") > 1))

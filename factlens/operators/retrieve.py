@@ -4,7 +4,8 @@ L1 select_evidence.
 k-NN plan (exact). Queries and items are hashed into a grid of blocks, the query
 block ``qb`` and the item block ``ib``. Each query row is replicated once per item
 block and each item row once per query block, and ``cogroup`` on ``(qb, ib)`` hands
-one task a bounded tile (``<= q_block`` queries x ``<= i_block`` items). The task
+one task a bounded tile (``<= q_block`` queries x ``<= i_block`` items; the item
+block, 64 MB of 64-dim vectors, is what a task holds). The task
 scores the tile with numpy matrix products in sub-batches and emits only its local
 top-k per query. A window over ``qid`` then keeps the global top-k from
 ``IB * k`` candidates per query. Shuffle volume is ``nq*IB + ni*QB`` rows plus
@@ -85,7 +86,10 @@ def _exact_scores(Xc, q, metric, approx):
     return 1.0 - acc
 
 
-def _tile_topk(q_ids, Q, i_ids, X, k, metric, exclude_self, sub=512, margin=8):
+TILE_SCORE_BUDGET = 1 << 25   # doubles in one sub-block score matrix (256 MB)
+
+
+def _tile_topk(q_ids, Q, i_ids, X, k, metric, exclude_self, sub=None, margin=8):
     """Top-k items per query for one tile; returns (qid, item_id, score) lists.
 
     Per sub-block of queries: approximate scores by one matrix product, the
@@ -99,6 +103,7 @@ def _tile_topk(q_ids, Q, i_ids, X, k, metric, exclude_self, sub=512, margin=8):
     x2 = np.einsum("ij,ij->i", X, X)
     kk = min(k, n)
     c = min(n, kk + margin)
+    sub = sub or max(16, min(1024, TILE_SCORE_BUDGET // n))
     for s0 in range(0, len(q_ids), sub):
         qb = Q[s0:s0 + sub]
         ids = q_ids[s0:s0 + sub]
@@ -148,7 +153,7 @@ def _tile_topk(q_ids, Q, i_ids, X, k, metric, exclude_self, sub=512, margin=8):
 
 def knn_join(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "l2sq",
              q_id: str = "qid", q_vec: str = "embedding", i_id: str = "item_id", i_vec: str = "embedding",
-             exclude_self: bool = False, q_block: int = 4096, i_block: int = 16384,
+             exclude_self: bool = False, q_block: int = 8192, i_block: int = 131072,
              items_materialized: bool = False) -> DataFrame:
     """Exact top-k items per query: ``qid, item_id, score, rank`` (rank 1 = best;
     ties by smaller item_id). ``score`` is ``1 - squared L2`` for ``l2sq``.

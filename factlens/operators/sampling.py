@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 DEFAULT_SEED = 42
 BUCKET_HEX = 4
 MAX_BROADCAST_BUCKET_ROWS = 2_000_000
+MAX_BROADCAST_LABELS = 1_000_000   # per-label tables built from driver-side counts
 
 
 def seed_key(id_col: str, seed: int) -> Column:
@@ -182,7 +183,10 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, frac: float = 0
     q = spark.createDataFrame([(k, test[k], val[k]) for k in counts], f"{label_col} string, _t long, _v long") \
         if counts else None
     r = seeded_rank(df, [label_col], id_col, seed)
-    r = r.join(F.broadcast(q), label_col) if q is not None else r.withColumn("_t", F.lit(0)).withColumn("_v", F.lit(0))
+    if q is None:
+        r = r.withColumn("_t", F.lit(0)).withColumn("_v", F.lit(0))
+    else:  # one row per label, counted on the driver: broadcast only under the bound
+        r = r.join(F.broadcast(q) if len(counts) <= MAX_BROADCAST_LABELS else q, label_col)
     split = (F.when(F.col("rank") <= F.col("_t"), "test")
              .when(F.col("rank") <= F.col("_t") + F.col("_v"), "val").otherwise("train"))
     return r.withColumn("split", split).drop("_t", "_v", "rank")
@@ -198,7 +202,8 @@ def sample_with_replacement(df: DataFrame, label_col: str, id_col: str, seed: in
     n = 2 * min(counts.values()) if counts else 0
     cn = df.sparkSession.createDataFrame([(k, c, n) for k, c in counts.items()],
                                          f"{label_col} string, _c long, _n long")
-    r = seeded_rank(df, [label_col], id_col, seed).join(F.broadcast(cn), label_col)
+    r = seeded_rank(df, [label_col], id_col, seed)
+    r = r.join(F.broadcast(cn) if len(counts) <= MAX_BROADCAST_LABELS else cn, label_col)
     plain = r.where((F.col("_c") >= F.col("_n")) & (F.col("rank") <= F.col("_n"))) \
         .withColumn("draw", F.col("rank")).drop("_c", "_n", "rank")
     # draws are generated as a distributed range per rare label (labels are few),

@@ -109,8 +109,8 @@ def boxplot(df: DataFrame, value_col: str, by: list[str] | None = None, digits:
     by = by or []
     q = df.groupBy(*by).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
     q = q.select(*by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
-    if by:  # one row per group; groups are few when a box plot is asked for
-        j = df.join(F.broadcast(q), by)
+    if by:  # one row per group: AQE broadcasts it at run time when it is small
+        j = df.join(q, by)
     else:
         r = q.first()
         j = df.select("*", *[F.lit(r[c]).alias(c) for c in ("q1", "median", "q3")])
