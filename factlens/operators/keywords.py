@@ -115,12 +115,13 @@ def keyword_search(claim_terms: DataFrame, docs: DataFrame, id_col: str = "doc_i
 def claim_level_terms(keywords: DataFrame, levels) -> DataFrame:
     """Leading keywords per back-off level: level L uses the words of the first n_L
     keywords. Output claim_id, level, term, lim."""
-    lv = keywords.sparkSession.createDataFrame([(i, n, lim) for i, (n, lim) in enumerate(levels)],
-                                               "level int, n_words int, lim int")
+    lv = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(n).alias("n_words"), F.lit(lim).alias("lim"))
+                   for i, (n, lim) in enumerate(levels)])
     kw = keywords.select(F.col("doc_id").alias("claim_id"), "kw_idx",
                          F.explode(F.split(F.lower("keyword"), " ")).alias("term"))
-    # each claim row is repeated once per level (a handful): the levels table is tiny
-    return kw.join(F.broadcast(lv), F.col("kw_idx") < F.col("n_words")).select("claim_id", "level", "term", "lim")
+    # each keyword word is repeated once per level it belongs to (a handful of levels)
+    x = kw.select("claim_id", "kw_idx", "term", F.explode(lv).alias("l")).where(F.col("kw_idx") < F.col("l.n_words"))
+    return x.select("claim_id", F.col("l.level").alias("level"), "term", F.col("l.lim").alias("lim"))
 
 
 def keyword_backoff(keywords: DataFrame, docs: DataFrame, levels=NEWS_LEVELS, id_col: str = "doc_id",
@@ -128,8 +129,10 @@ def keyword_backoff(keywords: DataFrame, docs: DataFrame, levels=NEWS_LEVELS, id
     """All levels searched in one pass; per claim the first level with at least
     one hit wins, limited to that level's result count."""
     lt = claim_level_terms(keywords, levels)
-    lims = lt.select("level", "lim").distinct()
-    hits = keyword_search(lt.select("claim_id", "level", "term"), docs, id_col, text_col, level_col="level")
-    hits = hits.join(F.broadcast(lims), "level").where(F.col("rank") <= F.col("lim")).drop("lim")
+    # the largest page size bounds every level's ranking (partial top-k per task)
+    hits = keyword_search(lt.select("claim_id", "level", "term"), docs, id_col, text_col,
+                          limit=max(lim for _, lim in levels), level_col="level")
+    lim = F.element_at(F.array(*[F.lit(m) for _, m in levels]), F.col("level") + 1)
+    hits = hits.where(F.col("rank") <= lim)
     best = hits.groupBy("claim_id").agg(F.min("level").alias("level"))
     return hits.join(best, ["claim_id", "level"])
