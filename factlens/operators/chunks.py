@@ -102,16 +102,18 @@ def dedupe_articles(articles: DataFrame, order_cols: list[str], url_col: str = "
     return best.select("_r.*")
 
 
+def path_exists(spark, path: str) -> bool:
+    """Whether a (possibly remote) path exists, through the Hadoop file system."""
+    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jp)
+
+
 def append_chunks(spark, store_path: str, new_chunks: DataFrame) -> DataFrame:
-    """K3. Idempotent append: chunks of urls already in the store are skipped. Returns
-    the appended rows (read back from the written files, not recomputed)."""
-    from py4j.protocol import Py4JJavaError  # noqa: F401
-
-    try:
-        store = spark.read.parquet(store_path)
-        fresh = new_urls_only(new_chunks, store)
-    except Exception:  # noqa: BLE001 - first write: no store yet
-        fresh = new_chunks
+    """K3. Idempotent append: chunks of urls already in the store are skipped, so a
+    re-run (or a retried micro-batch) appends nothing twice. Returns the store."""
+    fresh = new_chunks
+    if path_exists(spark, store_path):
+        fresh = new_urls_only(new_chunks, spark.read.parquet(store_path))
     fresh.write.mode("append").parquet(store_path)
     return spark.read.parquet(store_path)
 

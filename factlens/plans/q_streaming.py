@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factlens.operators import chunks as C
 from factlens.plans.catalog import register
 from factlens.session import scratch_path
 from factlens.sources.tables import Tables
@@ -57,10 +58,9 @@ def x3_trending_stream(spark, sf_dir):
     out, ck = scratch_path(spark, "trending-out"), scratch_path(spark, "trending-ck")
     q = TR.trending_stream(spark, _stream(spark, sf_dir, "events"), "event_type", "ts", out, ck)
     q.awaitTermination()
-    try:
+    if C.path_exists(spark, out):
         return _fmt(spark.read.parquet(out))
-    except Exception:  # noqa: BLE001 - no window finished
-        return spark.createDataFrame([], "window_start string, window_end string, topic string, n long, rank int")
+    return spark.createDataFrame([], "window_start string, window_end string, topic string, n long, rank int")
 
 
 @register("x1_stream_ingest_articles")

@@ -52,6 +52,17 @@ def stream_ingest_articles(spark: SparkSession, stream: DataFrame, store_path: s
     return w.start()
 
 
+def rows_dropped_late(query) -> int:
+    """Rows the watermark dropped as too late, summed over the query's recent
+    progress reports (the stateful operators' ``numRowsDroppedByWatermark``)."""
+    total = 0
+    for p in query.recentProgress:
+        for op in p.get("stateOperators", []) if isinstance(p, dict) else p.stateOperators:
+            total += (op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict)
+                      else op.numRowsDroppedByWatermark)
+    return total
+
+
 def stream_verify_posts(spark: SparkSession, posts_stream: DataFrame, out_path: str, checkpoint: str, *,
                         chunks: DataFrame, evidence_labels: DataFrame, topic, claim, available_now: bool = True):
     """Every micro-batch of posts is verified against the static store and the
@@ -60,11 +71,8 @@ def stream_verify_posts(spark: SparkSession, posts_stream: DataFrame, out_path:
     from factlens.plans.verify import verify_posts
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        try:
-            done = spark.read.parquet(out_path).select("post_id")
-            batch = batch.join(done, "post_id", "left_anti")
-        except Exception:  # noqa: BLE001 - nothing written yet
-            pass
+        if C.path_exists(spark, out_path):
+            batch = batch.join(spark.read.parquet(out_path).select("post_id"), "post_id", "left_anti")
         res = verify_posts(batch, chunks, evidence_labels, topic=topic, claim=claim)
         res.write.mode("append").parquet(out_path)
 

@@ -24,6 +24,7 @@ def test_ingest_dedupes_and_drops_late(spark, tmp_path):
     store = str(tmp_path / "store")
     q = IN.stream_ingest_articles(spark, stream, store, str(tmp_path / "ck"))
     q.awaitTermination()
+    assert IN.rows_dropped_late(q) >= 1          # u4 arrived behind the watermark
     urls = sorted(r[0] for r in spark.read.parquet(store).select("url").distinct().collect())
     assert "u4" not in urls and {"u1", "u2", "u3", "u5"} <= set(urls)
     per_url = {r[0]: r[1] for r in spark.read.parquet(store).groupBy("url").count().collect()}
