@@ -10,8 +10,8 @@ levels:
    form a table of at most ``labels x 16^bucket_hex`` rows (partial aggregation,
    no skew);
 2. a running sum over that small table gives each bucket's offset; it is joined
-   back (broadcast: its size is bounded by the bucket count, checked below) and the
-   rank is ``offset + row_number() within (label, bucket)``.
+   back (AQE broadcasts it after measuring it) and the rank is
+   ``offset + row_number() within (label, bucket)``.
 
 The result equals the single-window rank exactly, while the largest window
 partition is one bucket (1/65536 of a label with the default 4 digits).
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 DEFAULT_SEED = 42
 BUCKET_HEX = 4
-MAX_BROADCAST_BUCKET_ROWS = 2_000_000
 MAX_BROADCAST_LABELS = 1_000_000   # per-label tables built from driver-side counts
 
 
@@ -47,11 +46,10 @@ def seeded_rank(df: DataFrame, label_cols: list[str], id_col: str, seed: int = D
     counts = k.groupBy(*label_cols, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
     wo = Window.partitionBy(*label_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(wo), F.lit(0))).drop("_cnt")
-    n_labels_bound = MAX_BROADCAST_BUCKET_ROWS // (16 ** bucket_hex)
-    # The offsets table has at most labels * 16^bucket_hex rows; broadcast it only when
-    # the number of labels keeps that under the bound.
-    small = n_labels_bound >= 1 and _few_labels(df, label_cols, n_labels_bound)
-    j = k.join(F.broadcast(offsets) if small else offsets, [*label_cols, "_bkt"])
+    # The offsets table has at most labels x 16^bucket_hex rows (a few MB for a few
+    # labels). No hint: AQE measures it after its stage runs and broadcasts it when
+    # it is under the broadcast threshold, else keeps a shuffle join.
+    j = k.join(offsets, [*label_cols, "_bkt"])
     if max_rank is not None:
         mr = F.lit(max_rank) if isinstance(max_rank, int) else max_rank
         j = j.where(F.col("_off") < mr)
@@ -59,11 +57,6 @@ def seeded_rank(df: DataFrame, label_cols: list[str], id_col: str, seed: int = D
     return j.withColumn(rank_col, F.col("_off") + F.row_number().over(w)).drop("_key", "_bkt", "_off")
 
 
-def _few_labels(df: DataFrame, label_cols: list[str], bound: int) -> bool:
-    # One tiny aggregate job; label cardinality is what bounds the offsets table.
-    return df.select(*label_cols).distinct().limit(bound + 1).count() <= bound
-
-
 # W4 / L12 ---------------------------------------------------------------------------
 
 def stratified_exact_sample(df: DataFrame, label_col: str, id_col: str, n: int,
