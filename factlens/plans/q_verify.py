@@ -443,3 +443,15 @@ def m10_verify_posts(spark, sf_dir):
 
 
 register("m10_verify_posts")(m10_verify_posts)
+
+
+@register("a14_evidence_count_distribution", sql="WITH " + RETRIEVAL_SQL + ",\n" + CLAIM_LABELS_SQL + """,
+per AS (SELECT l.claim_id, count(r.chunk_id) AS evidence_count FROM claim_labels l LEFT JOIN retrieval r USING (claim_id)
+        GROUP BY l.claim_id)
+SELECT evidence_count, count(*) AS claims FROM per GROUP BY evidence_count""")
+def a14_evidence_count_distribution(spark, sf_dir):
+    """How many claims got 0, 1, 2, ... evidence chunks (part of the retrieval report)."""
+    r = retrieval(spark, sf_dir)
+    per = claim_labels(spark, sf_dir).join(r, "claim_id", "left").groupBy("claim_id").agg(
+        F.count("chunk_id").alias("evidence_count"))
+    return per.groupBy("evidence_count").agg(F.count(F.lit(1)).alias("claims"))
