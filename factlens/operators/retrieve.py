@@ -86,7 +86,7 @@ def _exact_scores(Xc, q, metric, approx):
     return 1.0 - acc
 
 
-TILE_SCORE_BUDGET = 1 << 25   # doubles in one sub-block score matrix (256 MB)
+TILE_SCORE_BUDGET = 1 << 24   # doubles in one sub-block score matrix (128 MB)
 
 
 def _tile_topk(q_ids, Q, i_ids, X, k, metric, exclude_self, sub=None, margin=8):

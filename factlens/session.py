@@ -20,14 +20,23 @@ LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
-    "spark.driver.memory": "8g",
 }
 
 
+def _driver_memory() -> str:
+    """60% of physical memory, at most 8 GB (local mode: the driver JVM is the
+    executor; Python workers need the rest)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    return f"{max(1, min(8, int(total * 0.6 / 2**30)))}g"
+
+
 def get_spark(app: str = "factlens", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     builder = builder.master(master or os.environ.get("FACTLENS_MASTER", "local[8]"))
-    for k, v in {**LOCAL_CONF, **conf}.items():
+    for k, v in {**LOCAL_CONF, "spark.driver.memory": _driver_memory(), **conf}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
