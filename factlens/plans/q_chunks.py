@@ -9,7 +9,7 @@ from factlens.operators import chunks as C
 from factlens.plans.catalog import register
 from factlens.plans.sqlparts import doc_chunks_cte, n_chunks_sql
 from factlens.session import scratch_path
-from factlens.sources.tables import Tables
+from factlens.sources.tables import Tables, raw, spread
 
 
 def doc_chunks(spark, sf_dir, size=C.LIVE_SIZE, overlap=C.LIVE_OVERLAP):
@@ -25,8 +25,9 @@ def articles(spark, sf_dir):
     """Documents as articles: url from the page with the same id (NULL when none)."""
     t = Tables(spark, sf_dir)
     p = t.pages.select(F.col("page_id").alias("doc_id"), "url")
-    return t.documents.join(p, "doc_id", "left").select(
+    j = t.documents.join(p, "doc_id", "left").select(
         "doc_id", "url", F.col("source"), F.col("lang"), F.col("text").alias("full_content"))
+    return spread(j, raw(spark, sf_dir, "documents"))
 
 
 ARTICLES_SQL = """articles AS (SELECT d.doc_id, p.url, d.source, d.lang, d.text AS full_content

@@ -9,7 +9,7 @@ from factlens.functions import text as T
 from factlens.operators import responses as RSP
 from factlens.operators.sentences import sentence_array, split_sentences
 from factlens.plans.catalog import register
-from factlens.sources.tables import Tables
+from factlens.sources.tables import Tables, raw, spread
 
 POSTS_SQL = """posts AS (SELECT d.doc_id, concat_ws(' ', p.url, d.text) AS text
                FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id)"""
@@ -20,7 +20,8 @@ def posts(spark, sf_dir):
     rules see real links."""
     t = Tables(spark, sf_dir)
     p = t.pages.select(F.col("page_id").alias("doc_id"), "url")
-    return t.documents.join(p, "doc_id", "left").select("doc_id", F.concat_ws(" ", "url", "text").alias("text"))
+    j = t.documents.join(p, "doc_id", "left").select("doc_id", F.concat_ws(" ", "url", "text").alias("text"))
+    return spread(j, raw(spark, sf_dir, "documents"))
 
 
 def _digest(col):

@@ -21,7 +21,7 @@ from factlens.plans.q_retrieval import (CLAIM_LABELS_SQL, MERGE_SQL, RETRIEVAL_S
 from factlens.plans.q_sampling import S as SAMPLING
 from factlens.plans.sqlparts import embed_cte, l2sim
 from factlens.plans.q_stats import rnd
-from factlens.sources.tables import Tables
+from factlens.sources.tables import Tables, raw, spread
 
 K_VOTE = 5
 
@@ -30,8 +30,8 @@ K_VOTE = 5
 
 def _train_docs(spark, sf_dir, label_expr):
     t = Tables(spark, sf_dir)
-    return t.labels.join(t.documents.select("doc_id", "text"), "doc_id").select(
-        "doc_id", "text", label_expr.alias("label"))
+    return spread(t.labels.join(t.documents.select("doc_id", "text"), "doc_id").select(
+        "doc_id", "text", label_expr.alias("label")), raw(spark, sf_dir, "documents"))
 
 
 def topic_classifier(spark, sf_dir, exclude_self):
@@ -51,7 +51,7 @@ def labelled_vectors(spark, sf_dir):
         F.col("doc_id").alias("id"), "text",
         F.when(F.col("quality") == 1, SE.POLITICAL).otherwise(SE.NON_POLITICAL).alias("topic"),
         F.when(F.col("toxic") == 0, "claim").otherwise("other").alias("claimness"))
-    v = R.embed_text(d, "id", "text", 64).checkpoint(eager=True)
+    v = R.embed_text(spread(d, raw(spark, sf_dir, "documents")), "id", "text", 64).checkpoint(eager=True)
     return v.where(F.col("embedding").isNotNull())
 
 
@@ -172,7 +172,8 @@ def m5_pseudo_label(spark, sf_dir):
     t = Tables(spark, sf_dir)
     train = _train_docs(spark, sf_dir, F.concat(F.lit("LABEL_"), F.col("quality").cast("string")))
     clf = ML.KnnVoteClassifier(train, "doc_id", "text", "label", K_VOTE, exclude_self=False)
-    unl = t.documents.select("doc_id", "text").join(t.labels.select("doc_id"), "doc_id", "left_anti")
+    unl = spread(t.documents.select("doc_id", "text").join(t.labels.select("doc_id"), "doc_id", "left_anti"),
+                 raw(spark, sf_dir, "documents"))
     p = ML.pseudo_label(unl, "doc_id", "text", clf)
     return p.select("doc_id", "label", F.round("confidence", 6).alias("confidence"))
 
