@@ -155,7 +155,10 @@ def merge_adjacent(retrieval: DataFrame, group_cols: list[str], overlap: int = L
     piece = (F.when(F.row_number().over(w_isl) == 1, F.col("content"))
              .when(F.size(wds) > overlap, F.array_join(F.slice(wds, overlap + 1, 1 << 30), " ")))
     r = r.withColumn("_piece", piece).withColumn("_url_first", F.min(rank_col).over(Window.partitionBy(*g)))
+    first_meta = ([F.min_by("chunk_id", F.struct("chunk_index", rank_col)).alias("first_chunk_id")]
+                  if "chunk_id" in r.columns else [])
     blocks = r.groupBy(*g, "_island").agg(
+        *first_meta,
         F.min("chunk_index").alias("start_index"),
         F.max("chunk_index").alias("end_index"),
         F.count(F.lit(1)).alias("n_chunks"),
@@ -169,7 +172,7 @@ def merge_adjacent(retrieval: DataFrame, group_cols: list[str], overlap: int = L
     wb = Window.partitionBy(*group_cols).orderBy("_url_first", "start_index")
     return blocks.select(
         *group_cols, F.row_number().over(wb).alias("block_no"), "url", "start_index", "end_index",
-        "n_chunks", "max_score", "first_rank", text.alias("text"),
+        "n_chunks", "max_score", "first_rank", *(["first_chunk_id"] if first_meta else []), text.alias("text"),
     )
 
 
@@ -181,10 +184,12 @@ def merged_evidence(blocks: DataFrame, group_cols: list[str]) -> DataFrame:
 
 
 def merge_adjacent_scored(blocks: DataFrame, group_cols: list[str]) -> DataFrame:
-    """Blocks with ``chunk_range`` 'a-b', sorted by best score within the group."""
+    """Blocks with ``chunk_range`` 'a-b', sorted by best score within the group;
+    the first chunk's id (for its metadata) is kept when the input had chunk ids."""
     w = Window.partitionBy(*group_cols).orderBy(F.col("max_score").desc(), "block_no")
+    meta = ["first_chunk_id"] if "first_chunk_id" in blocks.columns else []
     return blocks.select(
-        *group_cols, F.row_number().over(w).alias("score_rank"), "url",
+        *group_cols, F.row_number().over(w).alias("score_rank"), "url", *meta,
         F.concat_ws("-", F.col("start_index").cast("string"), F.col("end_index").cast("string"))
         .alias("chunk_range"), "n_chunks", "max_score", "text")
 
