@@ -22,3 +22,86 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factlens.llm.substring_dedup import substring_dedup
 
     return substring_dedup(read(spark, sf_dir, "documents"), with_text=False)
+
+
+@query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factlens.llm.decontaminate import decontaminate
+
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items", "spans")
+
+
+_ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE["op3_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+b AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, unnest(range(len(w) - least(10, len(w)) + 1)) AS i, w FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i + 1, i + n), ' ') AS t FROM bw),
+dw AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i + 1, i + n), ' ') AS t
+       FROM (SELECT doc_id, n, w, unnest(range(greatest(len(w) - n + 1, 0))) AS i FROM d, (SELECT DISTINCT n FROM win))),
+h AS (SELECT doc_id, n, i, item_id FROM dw JOIN win USING (n, t)),
+p AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS q FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factlens.llm.licenses import scan_licenses
+
+    return scan_licenses(read(spark, sf_dir, "documents")).drop("notices")
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from factlens.llm.quality_rules import BASE, ledger, mask, passes
+
+    x = ledger(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    m = F.col("quality_ledger")
+    return x.select("doc_id", *(m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+                    (m["failed"].bitwiseAND(F.lit(mask(BASE))) != 0).alias("base_failed"), passes().alias("kept"), m["failed"].alias("failed_bits"))
+
+
+_LEDGER_SQL = r"""
+l0 AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+              list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+l1 AS (SELECT doc_id, t, w, ls, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+              length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+              length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS n_letters FROM l0),
+l2 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c
+       FROM (SELECT doc_id, i, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS g FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 0))) AS i FROM l1))),
+l3 AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM l2 WHERE c > 1) GROUP BY doc_id),
+l4 AS (SELECT l1.*, coalesce(n_repeat_words, 0) AS n_repeat_words FROM l1 LEFT JOIN l3 USING (doc_id)),
+l5 AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END)
+       + (CASE WHEN 100 * n_symbols > 5 * word_chars THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 60 * n_lines THEN 8 ELSE 0 END)
+       + (CASE WHEN 100 * n_upper > 70 * n_letters AND n_letters > 0 THEN 16 ELSE 0 END) + (CASE WHEN 100 * n_letters < 40 * word_chars THEN 32 ELSE 0 END)
+       + (CASE WHEN word_chars > 40 * n_words THEN 64 ELSE 0 END) AS f FROM l4)"""
+
+ORACLE["op7_quality_rules"] = f"""WITH {_LEDGER_SQL}
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, f & 3 <> 0 AS base_failed, f = 0 AS kept, f::BIGINT AS failed_bits FROM l5"""
+
+
+@query
+def llm_quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factlens.llm.quality_rules import ablation, ledger
+
+    return ablation(ledger(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+ORACLE["llm_quality_ablation"] = f"""WITH {_LEDGER_SQL},
+r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8), ('shouting', 16), ('few_letters', 32), ('long_words', 64)) t(rule, bit))
+SELECT rule, bit::BIGINT AS bit, count(*) FILTER (f & bit <> 0) AS n_failed, count(*) FILTER (f = bit) AS n_only, count(*) FILTER (f & (127 - bit) = 0) AS n_kept_without
+FROM l5, r GROUP BY rule, bit"""
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factlens.llm.quality_classifier import classify
+
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("difference")
