@@ -105,3 +105,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factlens.llm.quality_classifier import classify
 
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("difference")
+
+
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factlens.llm.jaccard_join import jaccard_classes
+
+    return jaccard_classes(read(spark, sf_dir, "documents"))
