@@ -112,3 +112,23 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factlens.llm.jaccard_join import jaccard_classes
 
     return jaccard_classes(read(spark, sf_dir, "documents"))
+
+
+KEY = "surrogate-key-of-this-corpus"  # a deployment passes its own secret
+
+
+@query
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factlens.llm.pii import pseudonymize
+
+    return pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), KEY, count_col="n_entities")
+
+
+TARGETS = {"source": 0.5, "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}, "topic": 0.7}
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factlens.llm.mixing import sample
+
+    return sample(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), TARGETS).drop("text")
