@@ -49,16 +49,24 @@ TYPES = {  # in the order they are tried
     "ip": f"(?<![0-9.])(?:{OCTET}\\.){{3}}{OCTET}(?![0-9]|\\.[0-9])",
     "phone": "(?<![0-9+])(?:\\+[0-9]{1,3}[ .-]?)?(?:\\([0-9]{3}\\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": "(?<![0-9])[3-6][0-9]{3}(?:[ -]?[0-9]){9,15}(?![0-9])",
+    "card": "(?<![0-9])[2-6][0-9]{3}(?:[ -]?[0-9]){9,15}(?![0-9])",
     "person": f"(?<!\\p{{L}})(?:{'|'.join(MALE + FEMALE)})\\.? {NAME}(?: {NAME}){{0,2}}",
 }
 PATTERN = "|".join(TYPES.values())
-#: A text without any of these holds no entity.
-HINT = f"[0-9@]|AKIA|(?i:token|passw|pwd|secret|api.?key)|(?:{'|'.join(MALE + FEMALE)})\\.? \\p{{Lu}}"
+#: A text without one of these characters or strings holds no entity (plain searches: cheap over long texts).
+HINT_CHARS = "[0-9@=:]"
+HINT_STRINGS = ("AKIA", "Mr", "Ms", "Miss", "Herr", "Frau", "Señor", "Sr", "Monsieur", "Madame", "Mme", "Mlle", "г-")
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ROUNDS = 20
 
 
+def may_hold(text: Column) -> Column:
+    out = text.rlike(HINT_CHARS)
+    for x in HINT_STRINGS:
+        out = out | text.contains(x)
+    return F.coalesce(out, F.lit(False))
+
+
 def _whole(pattern: str) -> str:
     return f"^(?:{pattern})$"
 
@@ -122,21 +130,26 @@ def _in_format(e: Column, digits: Column) -> Column:
     return F.array_join(F.zip_with(F.split(e, "[0-9]", -1), F.split(digits, ""), lambda gap, d: F.concat(gap, F.coalesce(d, F.lit("")))), "")
 
 
-def _draw(canon: Column, kind: Column, noise: Column) -> Column:
-    """The canonical surrogate: what makes one entity differ from another."""
+def _keyed(key: str, *parts: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), *parts), 256)
+
+
+def _draw(canon: Column, kind: Column, noise: Column, key: str) -> Column:
+    """The canonical surrogate: what makes one entity differ from another. Hosts and the words
+    of names depend on the key and themselves alone, so a part keeps its surrogate in any entity."""
     card = let(F.concat(F.left(canon, F.lit(1)), _drawn_digits(F.length(canon) - 2, noise)),
                lambda d: F.concat(d, ((F.lit(10) - _luhn_sum(d, True) % 10) % 10).cast("string")))
     phone = F.concat(_pick("23456789", _byte(noise, F.lit(0))), _drawn_digits(F.lit(2), noise, 1), _pick("23456789", _byte(noise, F.lit(3))), _drawn_digits(F.lit(6), noise, 4))
     tld = F.regexp_extract(canon, "\\.(com|net|org)$", 1)
-    host = F.concat(F.lit("h"), F.substring(F.sha2(F.concat(noise.substr(1, 0), F.substring_index(canon, "@", -1)), 256), 1, 8))
+    host = F.concat(F.lit("h"), F.substring(_keyed(key, F.substring_index(canon, "@", -1)), 1, 8))
     email = F.concat(_same_classes(F.substring_index(canon, "@", 1), noise), F.lit("@"), host, F.lit(".example"), F.when(tld != "", F.concat(F.lit("."), tld)).otherwise(F.lit("")))
     ip = F.array_join(F.array(*(F.lit(1) + _byte(noise, F.lit(i)) % 254 for i in range(4))).cast("array<string>"), ".")
     iban = F.concat(F.left(canon, F.lit(2)), _same_classes(F.substr(canon, F.lit(3)), noise))
-    key = F.concat(F.lit("AKIA"), _same_classes(F.substr(canon, F.lit(5)), noise))
+    access = F.concat(F.lit("AKIA"), _same_classes(F.substr(canon, F.lit(5)), noise))
     names = F.split(canon, " ")
-    name = F.array_join(F.transform(names, lambda w: F.substring(F.sha2(F.concat(F.right(noise, F.lit(8)).substr(1, 0), w), 256), 1, 12)), " ")
+    name = F.array_join(F.transform(names, lambda w: F.substring(_keyed(key, F.lower(w)), 1, 12)), " ")
     return (F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", F.concat(F.lit("9"), _drawn_digits(F.lit(8), noise)))
-            .when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "access_key", key).when(kind == "person", name).otherwise(_same_classes(canon, noise)))
+            .when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "access_key", access).when(kind == "person", name).otherwise(_same_classes(canon, noise)))
 
 
 def _nibble(h: Column, i: int) -> Column:
@@ -169,16 +182,15 @@ def _person(e: Column, drawn: Column) -> Column:
 def _render(e: Column, kind: Column, drawn: Column) -> Column:
     """The canonical surrogate in the format of one occurrence."""
     d = _digits(e)
-    spaced = F.array_join(F.transform(F.split(e, " "), lambda p, i: p), " ")
     iban = F.when(e.contains(" "), F.regexp_replace(drawn, "(.{4})(?=.)", "$1 ")).otherwise(drawn)
     return (F.when(kind == "phone", _in_format(e, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), drawn))).when(kind.isin("card", "ssn"), _in_format(e, drawn))
             .when(kind == "secret", F.concat(F.regexp_extract(e, "(?s)^(.*?[=:]\\s*[\"']?)", 1), drawn)).when(kind == "iban", iban)
-            .when(kind == "person", _person(spaced, drawn)).otherwise(drawn))
+            .when(kind == "person", _person(e, drawn)).otherwise(drawn))
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Distinct entities as they stand in the corpus: entity, kind, canon."""
-    found = docs.where(F.col(text_col).rlike(HINT)).select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0)))).alias("entity"))
+    found = docs.where(may_hold(F.col(text_col))).select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0)))).alias("entity"))
     typed = found.groupBy("entity").agg(F.lit(1).alias("_")).select("entity", _type(F.col("entity")).alias("kind"))
     typed = typed.select("entity", "kind", _canonical(F.col("entity"), F.col("kind")).alias("canon"))
     return typed.where((F.col("kind") != "card") | (_luhn_sum(F.col("canon"), False) % 10 == 0))
@@ -187,9 +199,8 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def surrogates(found: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     """(entity, kind, surrogate) without collisions, see the module."""
     def draw(df: DataFrame) -> DataFrame:
-        # the host and name parts depend on the key alone, so that parts of an entity keep their surrogate
-        noise = F.concat(*(F.sha2(F.concat_ws("|", F.lit(key), F.lit(part), "kind", "canon", F.col("turn").cast("string")), 256) for part in "ab"))
-        return df.withColumn("noise", noise).withColumn("drawn", _draw(F.col("canon"), F.col("kind"), F.col("noise"))).drop("noise")
+        noise = F.concat(*(_keyed(key, F.lit(part), F.col("kind"), F.col("canon"), F.col("turn").cast("string")) for part in "ab"))
+        return df.withColumn("drawn", let(noise, lambda n: _draw(F.col("canon"), F.col("kind"), n, key)))
 
     canon = stored(draw(found.select("kind", "canon").distinct().withColumn("turn", F.lit(0))))
     known = canon.select("kind", F.col("canon").alias("drawn"), F.lit(True).alias("is_entity"))
@@ -211,7 +222,7 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """``docs`` with every entity of ``text_col`` replaced; ``count_col`` adds their number."""
     mapping = stored(surrogates(entities(docs, text_col), key))
     t = F.col(f"d.{text_col}")
-    hint = F.coalesce(F.col(text_col).rlike(HINT), F.lit(False))
+    hint = may_hold(F.col(text_col))
     digest = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).cast("binary"))
     some = docs.where(hint).withColumn("__row", digest)
     place = (some.select("__row", F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))).alias("i", "entity")).distinct()

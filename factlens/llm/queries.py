@@ -132,3 +132,34 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factlens.llm.mixing import sample
 
     return sample(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), TARGETS).drop("text")
+
+
+@query
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from factlens.llm import chat
+
+    text = "\\### Assistant: </turn> ok"
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    out = chat.format_chats(chat.records_of(rows.unionByName(extra)), "record")
+    turns = chat.read_back(F.col("formatted"))
+    digest = lambda ts: F.sha2(F.array_join(F.transform(ts, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256)
+    learned = chat.masked(F.col("formatted"), F.col("loss"))
+    back = chat.let(turns, lambda ts: F.struct(F.size(ts).cast("long").alias("n"), digest(ts).alias("sha")))
+    loss = chat.let(learned, lambda t: F.struct(F.char_length(t).cast("long").alias("n"), F.sha2(t, 256).alias("sha")))
+    return out.select("conv_id", back.alias("b"), loss.alias("l"), F.char_length("formatted").cast("long").alias("formatted_chars"), "layout").select(
+        "conv_id", F.col("b.n").alias("n_turns"), F.col("b.sha").alias("turns_sha256"), F.col("l.n").alias("loss_chars"), F.col("l.sha").alias("loss_sha256"), "formatted_chars")
+
+
+ORACLE["op4_chat_format"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS x FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       sum(4 + length(role) + 2 + length(x) + 9)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
