@@ -163,3 +163,13 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
        sum(4 + length(role) + 2 + length(x) + 9)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
+
+
+@query
+def op2_html_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from factlens.llm.html_layout import render_pages
+
+    text = render_pages(read(spark, sf_dir, "pages"))
+    return text.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long")).withColumn("n_chars", F.char_length("text").cast("long"))
