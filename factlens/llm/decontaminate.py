@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factlens.llm import words as W
+from factlens.llm.tables import arrow_map
 
 SPAN, GRAM = 10, 5
 MAX_KNOWN = 1 << 20
@@ -148,7 +149,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"))
     row = lambda df: T.StructType([T.StructField("id", df.schema["id"].dataType), T.StructField("tag", T.LongType()), T.StructField("n_words", T.LongType()),
                                    T.StructField("marks", T._parse_datatype_string(_MARK_DDL))])
-    marked = items.mapInArrow(_fingerprints(span, gram, tuple(range(1, span)), None, True), row(items))
+    marked = arrow_map(items, _fingerprints(span, gram, tuple(range(1, span)), None, True), row(items))
     prints = marked.select(F.col("id").alias("item"), F.explode("marks").alias("m")).select("item", "m.*")
     known = prints.select("print").distinct()
     shared = None
@@ -156,12 +157,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         shared = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in known.collect()], dtype=np.int64)))
     lengths = tuple(sorted(r[0] for r in prints.filter("kind > 0").select("kind").distinct().collect()))
 
-    cands = docs.mapInArrow(_fingerprints(span, gram, lengths, shared, False), row(docs)).select("id", "tag", "n_words", F.explode_outer("marks").alias("m")).select("id", "tag", "n_words", "m.*")
+    cands = arrow_map(docs, _fingerprints(span, gram, lengths, shared, False), row(docs)).select("id", "tag", "n_words", F.explode_outer("marks").alias("m")).select("id", "tag", "n_words", "m.*")
     theirs = prints.select(F.col("kind").alias("i_kind"), F.col("print").alias("i_print"), "item", F.col("around").alias("i_around"), F.col("lead").alias("i_lead"))
     # documents without a candidate have nothing to join: their null key would be one hot key
     cands = cands.withColumn("print", F.coalesce("print", F.xxhash64("id", "tag"))).withColumn("kind", F.coalesce("kind", F.lit(-1)))
     joined = cands.join(theirs, (F.col("print") == F.col("i_print")) & (F.col("kind") == F.col("i_kind")), "left")
-    hits = joined.select("id", "tag", "n_words", "kind", "at", "around", "lead", "item", "i_around", "i_lead").mapInArrow(_extend(span, gram), T.StructType([
+    hits = arrow_map(joined.select("id", "tag", "n_words", "kind", "at", "around", "lead", "item", "i_around", "i_lead"), _extend(span, gram), T.StructType([
         *row(docs).fields[:3], T.StructField("item", items.schema["id"].dataType), T.StructField("span", T._parse_datatype_string("struct<a:int,b:int>"))]))
     per_doc = hits.groupBy("id", "tag").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"),
                                             F.array_sort(F.transform(F.collect_set("item"), lambda i: i.cast("string"))).alias("items"))

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factlens.llm.tables import arrow_map
+
 DEPTH = 256
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -364,4 +366,4 @@ def render_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """One row per page: id and ``text``."""
     x = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
     out = T.StructType([T.StructField("id", x.schema["id"].dataType), T.StructField("text", T.StringType())])
-    return x.mapInArrow(_pages(), out).withColumnRenamed("id", id_col)
+    return arrow_map(x, _pages(), out).withColumnRenamed("id", id_col)

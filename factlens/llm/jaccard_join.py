@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from factlens.llm import words as W
 from factlens.llm.components import components
-from factlens.llm.tables import stored
+from factlens.llm.tables import arrow_map, stored
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 LEVELS, SKETCH = 3, 64
@@ -274,7 +274,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id (a bigint), class id (the smallest id of its class) and number of links."""
     runs = runs_for(recall, threshold)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sk = stored(docs.where("id is not null").mapInArrow(
+    sk = stored(arrow_map(docs.where("id is not null"),
         _sketches(shingle, threshold, runs, LEVELS), "id long, size int, h1 long, h2 long, sketch binary, chosen array<struct<slot:int,token:long>>"))
     sets = sk.where("size > 0")
     equal = stored(sets.groupBy("size", "h1", "h2").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("weight")))
@@ -294,21 +294,21 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             paths = paths.where(F.col("n") > small).select("id", "run", "bucket").join(deeper, ["id", "run"]).select("id", "run", F.xxhash64("bucket", "token").alias("bucket"))
     salt = F.when(F.col("n") > crowd, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / crowd))).otherwise(F.lit(-1)).cast("int")
     members = leaves.select("id", "bucket", salt.alias("salt")).join(reps.select("id", "sketch"), "id").select("bucket", "salt", "id", "sketch")
-    ties = stored(members.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "id")
-                  .mapInArrow(_buckets(TIE, CORE, True), "u long, v long, bucket long, sketch binary"))
-    met = (ties.where("bucket is not null").select("bucket", F.lit(-1).alias("salt"), F.col("u").alias("id"), "sketch")
-           .repartition("bucket").sortWithinPartitions("bucket", "salt", "id").mapInArrow(_buckets(MEET, 2.0, False), "u long, v long, bucket long, sketch binary"))
+    ties = stored(arrow_map(members.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "id"),
+                            _buckets(TIE, CORE, True), "u long, v long, bucket long, sketch binary"))
+    pivots = ties.where("bucket is not null").select("bucket", F.lit(-1).alias("salt"), F.col("u").alias("id"), "sketch")
+    met = arrow_map(pivots.repartition("bucket").sortWithinPartitions("bucket", "salt", "id"), _buckets(MEET, 2.0, False), "u long, v long, bucket long, sketch binary")
     comp = stored(components(ties.where("bucket is null").select("u", "v").union(met.select("u", "v"))))
 
     crowded = comp.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     member = comp.join(crowded, "root").select(F.col("node").alias("id"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     weights = equal.groupBy(F.col("rep").alias("id")).agg(F.max("weight").alias("weight"))
     texts = docs.join(member.join(weights, "id"), "id").select("text", "root", "blocks", "id", "weight", "block")
-    tokens = texts.mapInArrow(_token_sets(shingle), "tokens array<long>, root long, blocks int, id long, weight long, block int").where(F.size("tokens") > 0)
+    tokens = arrow_map(texts, _token_sets(shingle), "tokens array<long>, root long, blocks int, id long, weight long, block int").where(F.size("tokens") > 0)
     pairs = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as p, greatest(x, block) as q))")
     dealt = (tokens.select("root", F.explode(pairs).alias("pq"), "tokens", "id", "weight", "block")
              .select("root", "pq.p", "pq.q", "tokens", "id", "weight", "block").repartition("root", "p", "q").sortWithinPartitions("root", "p", "q"))
-    verified = stored(dealt.mapInArrow(_verify(threshold), "u long, v long, links long"))
+    verified = stored(arrow_map(dealt, _verify(threshold), "u long, v long, links long"))
     links = verified.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     classes = components(verified.select("u", "v")).select(F.col("node").alias("rep"), "root")
 

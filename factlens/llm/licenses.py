@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factlens.llm import words as W
+from factlens.llm.tables import arrow_map
 
 # Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -189,11 +190,11 @@ def _scan(idf: list[float]):
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per file: id, n_words, n_base, first_word, last_word, base_labels, labels, score, notices."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counted = docs.select("text").mapInArrow(_frequencies(), "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = arrow_map(docs.select("text"), _frequencies(), "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     df = dict(counted.collect())  # one row per licence word: bounded by the templates
     top = max(df.values(), default=0) + 1
     idf = [float(np.log(top / (1 + df.get(i, 0)))) for i in range(len(Index().vocabulary))]
     out = T.StructType([T.StructField("id", docs.schema["id"].dataType)] + T._parse_datatype_string(
         "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
         "notices array<struct<label:string,from:long,cover:double>>").fields)
-    return docs.mapInArrow(_scan(idf), out).withColumnRenamed("id", id_col)
+    return arrow_map(docs, _scan(idf), out).withColumnRenamed("id", id_col)

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factlens.llm.tables import arrow_map
+
 FIT_ROWS, FIT_BYTES = 600, 1 << 15
 DICT_BYTES, PIECE, LEVEL = 1 << 16, 1024, 1
 
@@ -112,5 +114,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("difference", T.DoubleType()), T.StructField("score", T.DoubleType())])
     held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return docs.mapInArrow(_scores(model), out).select(
+    return arrow_map(docs, _scores(model), out).select(
         F.col("id").alias(id_col), held.alias("held_out"), "difference", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

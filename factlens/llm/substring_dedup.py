@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factlens.llm import words as W
-from factlens.llm.tables import stored
+from factlens.llm.tables import arrow_map, stored
 
 LENGTH, GRAM = 20, 8
 PIECES = 8192
@@ -50,18 +50,19 @@ def _tags(batch: pa.RecordBatch) -> np.ndarray:
     return np.array([zlib.crc32((t.as_py() or "").encode()) & 0xFFFFFF for t in batch.column(1)], dtype=np.int64)
 
 
-def _anchors(length: int, gram: int):
+def _anchors(length: int, gram: int, count_only: bool = False):
+    """The runs of every text; with ``count_only`` just how often a block holds each anchor."""
     width = length - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tags = _tags(batch)
+            tags = None if count_only else _tags(batch)
             for lo, _, w in W.blocks(batch, "text", W.SPACE):
                 at = w.window_starts(length)
                 if not len(at):
                     continue
                 h = w.hashes()
-                short, whole = W.rolling(h, 0), W.rolling(h, 1)
+                short = W.rolling(h, 0)
                 grams = short(i := np.arange(len(h) - gram + 1), i + gram)
                 view = np.lib.stride_tricks.sliding_window_view(grams, width)
                 anchor = at + np.argmin(view[at], axis=1) if len(at) < len(view) else at + np.argmin(view, axis=1)
@@ -69,11 +70,16 @@ def _anchors(length: int, gram: int):
                 new = np.ones(len(at), dtype=bool)
                 new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
                 b = np.flatnonzero(new)
+                if count_only:
+                    seen, times = np.unique(grams[anchor[b]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([W.signed(seen), pa.array(times)], names=["anchor", "c"])
+                    continue
                 n = np.diff(np.append(b, len(at)))
                 start, row = at[b], row[b]
+                whole = W.rolling(h, 1)
                 place = (tags[lo + row] << 32) | (start - w.first[row])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(lo + row)), W.signed(grams[anchor[b]]), W.signed(whole(start, start + n + length - 1)), pa.array(place), pa.array(n.astype(np.int32))],
+                    [batch.column(0).take(pa.array(lo + row)), W.signed(grams[anchor[b]]), W.signed(whole(start, start + n + length - 1)), pa.array(place), pa.array(n.astype(np.int8))],
                     names=["id", "anchor", "content", "place", "n"])
 
     return run
@@ -211,14 +217,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = docs.schema["id"].dataType
     place = T.StructField("place", T.LongType())
-    anchors = docs.mapInArrow(_anchors(length, gram), T.StructType([
-        T.StructField("id", key), T.StructField("anchor", T.LongType()), T.StructField("content", T.LongType()), place, T.StructField("n", T.IntegerType())]))
-    again = anchors.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
+    anchors = arrow_map(docs, _anchors(length, gram), T.StructType([
+        T.StructField("id", key), T.StructField("anchor", T.LongType()), T.StructField("content", T.LongType()), place, T.StructField("n", T.ByteType())]))
+    counts = arrow_map(docs, _anchors(length, gram, True), "anchor long, c long")
+    again = counts.groupBy("anchor").agg(F.sum("c").alias("c")).filter("c > 1").select("anchor")
     hits = stored(anchors.join(again, "anchor", "left_semi"))
 
-    firsts = hits.groupBy("anchor", "content").agg(F.min(F.struct("id", "place")).alias("first"))
+    firsts = stored(hits.groupBy("anchor", "content").agg(F.min(F.struct("id", "place")).alias("first")))
     crowd = firsts.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    marked = hits.join(firsts, ["anchor", "content"]).join(crowd, "anchor").withColumn("is_first", F.struct("id", "place").eqNullSafe(F.col("first")))
+    known = firsts.join(crowd, "anchor")
+    marked = hits.join(known, ["anchor", "content"]).withColumn("is_first", F.struct("id", "place").eqNullSafe(F.col("first")))
     todo = marked.filter("not is_first or kinds > 1").select(
         "id", F.shiftright("place", 32).alias("tag"),
         F.struct("place", "n", F.expr("if(is_first, anchor, null)").alias("anchor"), (F.col("kinds") > hot_pieces).alias("hot")).alias("run"))
@@ -229,15 +237,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     touched = stored(d.join(r, F.col("d.id").eqNullSafe(F.col("r.id")) & (F.col("d.tag") == F.col("r.tag")))
                      .select("d.id", "d.text", "d.tag", "r.runs"))
 
-    pieces = touched.mapInArrow(_pieces(length), T.StructType([
+    pieces = arrow_map(touched, _pieces(length), T.StructType([
         T.StructField("id", key), T.StructField("anchor", T.LongType()), place, T.StructField("hot", T.BooleanType()), T.StructField("words", T.BinaryType())]))
     from pyspark.sql.pandas.types import to_arrow_type
 
     found = T.StructType([T.StructField("id", key), place])
-    by_shard = (pieces.filter("not hot").select("id", "anchor", "place", "words").repartition("anchor").sortWithinPartitions("anchor")
-                .mapInArrow(_shards(length, to_arrow_type(key)), found))
-    windows = pieces.filter("hot").select("id", "place", "words").mapInArrow(
-        _windows(length), T.StructType([*found.fields, T.StructField("words", T.BinaryType())]))
+    by_shard = arrow_map(pieces.filter("not hot").select("id", "anchor", "place", "words").repartition("anchor").sortWithinPartitions("anchor"),
+                         _shards(length, to_arrow_type(key)), found)
+    windows = arrow_map(pieces.filter("hot").select("id", "place", "words"), _windows(length), T.StructType([*found.fields, T.StructField("words", T.BinaryType())]))
     earliest = windows.groupBy("words").agg(F.min(F.struct("id", "place")).alias("first"))
     by_count = windows.join(earliest, "words").filter(~F.struct("id", "place").eqNullSafe(F.col("first"))).select("id", "place")
     more = (by_shard.unionByName(by_count).groupBy("id", F.shiftright("place", 32).alias("tag"))
@@ -247,10 +254,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                            T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept", T.StringType())] * with_text)
     same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.tag") == F.col(f"{b}.tag"))
     t = touched.alias("t")
-    changed = t.join(more, same("t", "m"), "left").select("t.id", "t.tag", "t.text", "t.runs", "m.more").mapInArrow(_cut(length, with_text), result)
+    changed = arrow_map(t.join(more, same("t", "m"), "left").select("t.id", "t.tag", "t.text", "t.runs", "m.more"), _cut(length, with_text), result)
     # all other documents keep their words: a narrow pass, only small rows meet the list of changed ones
     nothing = [F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"), F.lit(None).cast("array<bigint>").alias("more")]
-    whole = d.select("id", "tag", "text", *nothing).mapInArrow(_cut(length, with_text), result).alias("w")
+    whole = arrow_map(d.select("id", "tag", "text", *nothing), _cut(length, with_text), result).alias("w")
     keys = touched.select("id", "tag").distinct().alias("k")
     plain = whole.join(keys, same("w", "k"), "left_anti")
     return changed.unionByName(plain).drop("tag").withColumnRenamed("id", id_col)

@@ -11,6 +11,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+BATCH_ROWS = 1000  # whole texts per Arrow batch: bounds what a Python worker holds at once
+
+
+def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(fn, schema)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder named by spark.checkpoint.dir
     and read it back: cuts the lineage and survives lost executors. Only where that

@@ -7,20 +7,19 @@ such a buffer with numpy, so no Python object is made per word. Two word rules a
 * ``ALNUM``: A-Z lower-cased, words are the runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.
 
 Both separators sets are ASCII, so working on UTF-8 bytes equals working on characters.
-A null text has no words. Blocks hold a few MB of text (or one longer document), which
+A null text has no words. Blocks hold half a MB of text (or one longer document), which
 bounds memory whatever the batch size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd multipliers of the rolling hashes
 
@@ -57,19 +56,32 @@ def seeded(x: np.ndarray, seed: int) -> np.ndarray:
     return mix(x ^ U((seed * 0xA0761D6478BD642F + 0xE7037ED1A0B428DB) & 0xFFFFFFFFFFFFFFFF))
 
 
-@lru_cache(maxsize=8)
+class _Cache(dict):
+    """Never shipped with its content when this module is pickled to a worker."""
+
+    def __reduce__(self):
+        return _Cache, ()
+
+
+_POWERS = _Cache()
+
+
 def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n, b, dtype=U)
-        p[:1] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+    """At least n powers of ``base`` and of its inverse modulo 2^64."""
+    have = _POWERS.get(base)
+    if have is None or len(have[0]) < n:
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(1 << max(16, (n - 1).bit_length()), b, dtype=U)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        have = _POWERS[base] = out[0], out[1]
+    return have
 
 
 def _rolling(values: np.ndarray, base: int):
     """``h(start, end)``: hash of values[start:end] that does not depend on its place."""
-    power, inverse = _powers(1 << max(10, int(len(values)).bit_length()), base)
+    power, inverse = _powers(len(values) + 1, base)
     total = np.zeros(len(values) + 1, dtype=U)
     np.cumsum(values * power[: len(values)], out=total[1:])
     return lambda start, end: mix((total[end] - total[start]) * inverse[start] + mix((end - start).astype(U)))
