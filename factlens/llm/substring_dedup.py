@@ -237,8 +237,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     touched = stored(d.join(r, F.col("d.id").eqNullSafe(F.col("r.id")) & (F.col("d.tag") == F.col("r.tag")))
                      .select("d.id", "d.text", "d.tag", "r.runs"))
 
-    pieces = arrow_map(touched, _pieces(length), T.StructType([
-        T.StructField("id", key), T.StructField("anchor", T.LongType()), place, T.StructField("hot", T.BooleanType()), T.StructField("words", T.BinaryType())]))
+    pieces = stored(arrow_map(touched, _pieces(length), T.StructType([
+        T.StructField("id", key), T.StructField("anchor", T.LongType()), place, T.StructField("hot", T.BooleanType()), T.StructField("words", T.BinaryType())])))
     from pyspark.sql.pandas.types import to_arrow_type
 
     found = T.StructType([T.StructField("id", key), place])
