@@ -44,7 +44,8 @@ from factlens.llm.tables import arrow_map, stored
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 LEVELS, SKETCH = 3, 64
 SMALL, CROWD, BLOCK = 256, 4096, 2048
-TIE, CORE, MEET = 0.5, 0.9, 0.3  # sketch similarities, see step 3
+TIE, CORE = 0.5, 0.9  # sketch similarities, see step 3
+CROWD_TIE, CROWD_CORE, MEET = 0.4, 0.75, 0.2  # the same in crowded buckets, and between their pivots
 
 
 def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, levels: int = LEVELS) -> int:
@@ -116,39 +117,44 @@ def _sketches(k: int, threshold: float, runs: int, levels: int):
     return run
 
 
-def _ties(ids: np.ndarray, sk: np.ndarray, tie: float, core: float) -> tuple[list, list, list]:
-    """(pivot, member) ties of one bucket and the pivots, see step 3."""
-    left = np.ones(len(ids), dtype=bool)
-    a, b, pivots = [], [], []
-    for p in range(len(ids)):
+def _ties(sk: np.ndarray, tie: float, core: float, all_pivots: bool) -> tuple[np.ndarray, list[int]]:
+    """(component label of every member, pivots) of one bucket, see step 3. Only what is
+    connected matters: without ``all_pivots`` the search ends when everything is."""
+    n = len(sk)
+    left, label, pivots = np.ones(n, dtype=bool), np.arange(n), []
+    for p in range(n):
         if not left[p]:
             continue
         alike = (sk == sk[p]).mean(axis=1)
-        near = np.flatnonzero(alike >= tie)
-        a += [ids[p]] * len(near)
-        b += ids[near].tolist()
+        joined = np.zeros(n, dtype=bool)
+        joined[label[alike >= tie]] = True
+        joined[label[p]] = True
+        label = np.where(joined[label], np.flatnonzero(joined)[0], label)
         pivots.append(p)
-        left[p] = False
         left &= alike < core
-    return a, b, pivots
+        left[p] = False
+        if not all_pivots and not label.any():
+            break
+    return label, pivots
 
 
-def _buckets(tie: float, core: float, with_pivots: bool):
-    """Ties within each bucket of a partition sorted by bucket; with the pivots of crowded ones."""
+def _buckets(meet: bool):
+    """Spanning ties within each bucket of a partition sorted by bucket; crowded parts give their pivots too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         last = None
 
         def ties():
-            ids = np.array([h[0] for h in held])
+            crowded = last[1] >= 0
             sk = np.frombuffer(b"".join(h[1] for h in held), dtype=np.uint8).reshape(len(held), SKETCH)
-            a, b, pivots = _ties(ids, sk, tie, core)
-            none = [None] * len(a)
-            yield from zip(a, b, none, none)
-            if with_pivots and last[1] >= 0:
+            tie, core = (MEET, 2.0) if meet else (CROWD_TIE, CROWD_CORE) if crowded else (TIE, CORE)
+            label, pivots = _ties(sk, tie, core, crowded and not meet)
+            for i in np.flatnonzero(label != np.arange(len(label))).tolist():
+                yield held[int(label[i])][0], held[i][0], None, None
+            if crowded and not meet:
                 for p in pivots:
-                    yield int(ids[p]), int(ids[p]), last[0], held[p][1]
+                    yield held[p][0], held[p][0], last[0], held[p][1]
 
         def batch_of(rows):
             cols = list(zip(*rows))
@@ -158,7 +164,7 @@ def _buckets(tie: float, core: float, with_pivots: bool):
         for batch in batches:
             for bucket, salt, key, sketch in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 if last is not None and (bucket, salt) != last:
-                    out += [x for x in ties() if x[0] != x[1] or x[2] is not None]
+                    out += ties()
                     held = []
                     if len(out) > 20000:
                         yield batch_of(out)
@@ -166,7 +172,7 @@ def _buckets(tie: float, core: float, with_pivots: bool):
                 last = (bucket, salt)
                 held.append((key, sketch))
         if held:
-            out += [x for x in ties() if x[0] != x[1] or x[2] is not None]
+            out += ties()
         if out:
             yield batch_of(out)
 
@@ -291,13 +297,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         leaves = done if leaves is None else leaves.unionByName(done)
         if depth < LEVELS:
             deeper = level.where(F.col("level") == depth).select("id", "run", "token")
-            paths = paths.where(F.col("n") > small).select("id", "run", "bucket").join(deeper, ["id", "run"]).select("id", "run", F.xxhash64("bucket", "token").alias("bucket"))
+            longer = paths.where(F.col("n") > small).select("id", "run", "bucket").join(deeper, ["id", "run"])
+            paths = stored(longer.select("id", "run", F.xxhash64("bucket", "token").alias("bucket")))  # counted and kept: made once
     salt = F.when(F.col("n") > crowd, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / crowd))).otherwise(F.lit(-1)).cast("int")
     members = leaves.select("id", "bucket", salt.alias("salt")).join(reps.select("id", "sketch"), "id").select("bucket", "salt", "id", "sketch")
     ties = stored(arrow_map(members.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "id"),
-                            _buckets(TIE, CORE, True), "u long, v long, bucket long, sketch binary"))
+                            _buckets(False), "u long, v long, bucket long, sketch binary"))
     pivots = ties.where("bucket is not null").select("bucket", F.lit(-1).alias("salt"), F.col("u").alias("id"), "sketch")
-    met = arrow_map(pivots.repartition("bucket").sortWithinPartitions("bucket", "salt", "id"), _buckets(MEET, 2.0, False), "u long, v long, bucket long, sketch binary")
+    met = arrow_map(pivots.repartition("bucket").sortWithinPartitions("bucket", "salt", "id"), _buckets(True), "u long, v long, bucket long, sketch binary")
     comp = stored(components(ties.where("bucket is null").select("u", "v").union(met.select("u", "v"))))
 
     crowded = comp.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
