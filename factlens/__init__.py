@@ -6,5 +6,5 @@ try:  # ship UDF / pandas-function code with the task: workers need not import f
     from pyspark import cloudpickle as _cloudpickle
 
     _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # noqa: BLE001 - older cloudpickle: the package must be importable on workers
+except (ImportError, AttributeError):  # older cloudpickle: the package must be importable on workers
     pass

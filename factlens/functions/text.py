@@ -177,8 +177,22 @@ def word_count(col) -> Column:
 
 # P13 ---------------------------------------------------------------------------
 
+# Letters whose case folding has ASCII letters that lower-casing does not give.
+FOLDS = (("\u00df", "ss"), ("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb05", "st"),
+         ("\ufb06", "st"), ("\u0149", "n"), ("\u01f0", "j"), ("\u1e96", "h"), ("\u1e97", "t"), ("\u1e98", "w"), ("\u1e99", "y"),
+         ("\u1e9a", "a"), ("\u017f", "s"))
+
+
+def casefold_ascii(col) -> Column:
+    """Lower case, with the full foldings that matter once only a-z and 0-9 are kept."""
+    out = F.lower(_c(col))
+    for letter, folded in FOLDS:
+        out = F.replace(out, F.lit(letter), F.lit(folded))
+    return out
+
+
 def slug(col, n: int = 12) -> Column:
-    return F.left(F.regexp_replace(F.lower(_c(col)), "[^a-z0-9]+", ""), F.lit(n))
+    return F.left(F.regexp_replace(casefold_ascii(col), "[^a-z0-9]+", ""), F.lit(n))
 
 
 # P14 ---------------------------------------------------------------------------
@@ -240,7 +254,7 @@ def chunk_id(url_col, idx_col) -> Column:
 
 
 def page_chunk_id(page_col, idx_col) -> Column:
-    return F.concat(_c(page_col), F.lit("_chunk_"), F.lpad(_c(idx_col).cast("string"), 4, "0"))
+    return F.concat(_c(page_col), F.lit("_chunk_"), F.format_string("%04d", _c(idx_col).cast("bigint")))
 
 
 # F1 ----------------------------------------------------------------------------

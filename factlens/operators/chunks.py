@@ -85,11 +85,12 @@ def chunk_articles(articles: DataFrame, size: int = LIVE_SIZE, overlap: int = LI
 
 
 def new_urls_only(incoming: DataFrame, store: DataFrame, url_col: str = "url") -> DataFrame:
-    """J3. Rows whose url is not in the store (NOT EXISTS). Catalyst broadcasts the
-    distinct store urls only when statistics put them under the broadcast threshold;
-    otherwise this is a shuffle anti-join on url."""
-    return incoming.join(store.select(F.col(url_col).alias("_u")).distinct(),
-                         F.col(url_col) == F.col("_u"), "left_anti")
+    """J3. Rows whose url is not in the store (NOT EXISTS). The store is first reduced to
+    the incoming urls (the small side, so nothing of the store need be shuffled), then
+    the short list of known urls is taken off."""
+    asked = incoming.select(F.col(url_col).alias("_a")).distinct()
+    known = store.select(F.col(url_col).alias("_u")).join(asked, F.col("_u") == F.col("_a"), "left_semi").distinct()
+    return incoming.join(known, F.col(url_col) == F.col("_u"), "left_anti")
 
 
 def dedupe_articles(articles: DataFrame, order_cols: list[str], url_col: str = "url") -> DataFrame:
@@ -109,11 +110,17 @@ def path_exists(spark, path: str) -> bool:
 
 
 def append_chunks(spark, store_path: str, new_chunks: DataFrame) -> DataFrame:
-    """K3. Idempotent append: chunks of urls already in the store are skipped, so a
-    re-run (or a retried micro-batch) appends nothing twice. Returns the store."""
+    """K3. Idempotent append: chunks of urls that the store holds completely are skipped,
+    and so is every chunk it holds of the others, so a re-run (or a retried micro-batch)
+    appends nothing twice and completes what a failed one left. Returns the store."""
     fresh = new_chunks
     if path_exists(spark, store_path):
-        fresh = new_urls_only(new_chunks, spark.read.parquet(store_path))
+        asked = new_chunks.select(F.col("url").alias("_a")).distinct()
+        known = (spark.read.parquet(store_path).select(F.col("url").alias("_u"), F.col("chunk_id").alias("_id"), "total_chunks")
+                 .join(asked, F.col("_u") == F.col("_a"), "left_semi"))
+        complete = known.groupBy("_u").agg(F.count_distinct("_id").alias("_n"), F.max("total_chunks").alias("_t")).where("_n >= _t").select("_u")
+        fresh = (new_chunks.join(complete, F.col("url") == F.col("_u"), "left_anti")
+                 .join(known.select("_id").distinct(), F.col("chunk_id") == F.col("_id"), "left_anti"))
     fresh.write.mode("append").parquet(store_path)
     return spark.read.parquet(store_path)
 

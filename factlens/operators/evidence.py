@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factlens.functions.text import strip_wiki_links, title_to_page
+from factlens.functions.text import py_strip, strip_wiki_links, title_to_page
 
 SENTENCE_REF_RE = r"^(.*)_sentence_([0-9]+)$"
 # Typed suffixes of evidence references.
@@ -47,7 +47,7 @@ def extract_titles(raw: DataFrame) -> DataFrame:
     before the typed suffix, stripped), distinct in first-seen order, and the
     matching page names (spaces -> underscores)."""
     firsts = F.transform(F.filter("evidence", lambda ev: F.size(ev["content"]) > 0),
-                         lambda ev: F.trim(F.regexp_extract(ev["content"][0], TYPED_REF_RE, 1)))
+                         lambda ev: py_strip(F.regexp_extract(ev["content"][0], TYPED_REF_RE, 1)))
     titles = F.array_distinct(F.filter(firsts, lambda t: t != ""))
     out = raw.select("id", titles.alias("titles"))
     return out.select("id", "titles", F.transform("titles", lambda t: title_to_page(t)).alias("pages"))

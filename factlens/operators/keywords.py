@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factlens.functions.text import py_strip
 from factlens.operators.annotate import default_exclusions
 from factlens.session import ensure_checkpoint_dir
 
@@ -43,10 +44,8 @@ def extract_keywords(tokens: DataFrame, entities: DataFrame, exclude=None) -> Da
     case-insensitively (first occurrence), minus those equal to an entity."""
     spark = tokens.sparkSession
     ex = _exclusion_df(spark, exclude)
-    if not isinstance(exclude, DataFrame) and len(exclude or default_exclusions()) <= 1_000_000:
-        ex = F.broadcast(ex)  # an in-memory word list: its size is known here
     ents = (entities.where(F.col("label").isin(*KEYWORD_ENTITY_LABELS))
-            .select("doc_id", F.trim("text").alias("keyword"), F.col("start_tok").alias("_pos"))
+            .select("doc_id", py_strip("text").alias("keyword"), F.col("start_tok").alias("_pos"))
             .where(F.char_length("keyword") > 1))
     ents = ents.join(ex, F.lower("keyword") == F.col("_x"), "left_anti")
     back = (tokens.where(F.col("pos").isin(*KEYWORD_POS) & (F.char_length("text") > 3) & ~F.col("is_stop")

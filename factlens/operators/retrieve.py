@@ -162,8 +162,8 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "l
     if metric not in ("l2sq", "cosine", "ip"):
         raise ValueError(metric)
     spark = queries.sparkSession
-    q = queries.select(F.col(q_id).cast("bigint").alias("qid"), F.col(q_vec).cast("array<double>").alias("v"))
-    it = items.select(F.col(i_id).cast("bigint").alias("item_id"), F.col(i_vec).cast("array<double>").alias("v"))
+    q = queries.select(F.col(q_id).alias("qid"), F.col(q_vec).cast("array<double>").alias("v"))
+    it = items.select(F.col(i_id).alias("item_id"), F.col(i_vec).cast("array<double>").alias("v"))
     # Both sides are checkpointed to the shared checkpoint folder: the block sizes
     # need row counts, and the tiles must not recompute the (embedding) lineage.
     ensure_checkpoint_dir(spark)
@@ -188,12 +188,18 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "l
             return pd.DataFrame({"qid": [], "item_id": [], "score": []})
         Q = np.stack(qpdf["v"].to_numpy()).astype(np.float64)
         X = np.stack(ipdf["v"].to_numpy()).astype(np.float64)
-        a, b, c = _tile_topk(qpdf["qid"].to_numpy(), Q, ipdf["item_id"].to_numpy(), X, k, metric, exclude_self)
-        return pd.DataFrame({"qid": np.asarray(a, dtype=np.int64), "item_id": np.asarray(b, dtype=np.int64),
+        # ids of any type count as their rank in the tile (ties go to the smaller id)
+        q_keys, q_at = np.unique(qpdf["qid"].to_numpy(), return_inverse=True)
+        i_keys, i_at = np.unique(ipdf["item_id"].to_numpy(), return_inverse=True)
+        place = {x: n for n, x in enumerate(i_keys.tolist())} if exclude_self else {}
+        codes = [place.get(x, -1 - n) for n, x in enumerate(q_keys.tolist())]
+        back = dict(zip(codes, q_keys.tolist()))
+        a, b, c = _tile_topk(np.array(codes)[q_at], Q, i_at, X, k, metric, exclude_self)
+        return pd.DataFrame({"qid": [back[int(x)] for x in a], "item_id": i_keys[np.asarray(b, dtype=np.int64)],
                              "score": np.asarray(c, dtype=np.float64)})
 
     cand = (qx.groupBy("qb", "ib").cogroup(ix.groupBy("qb", "ib"))
-            .applyInPandas(tile, "qid bigint, item_id bigint, score double"))
+            .applyInPandas(tile, f"qid {q.schema['qid'].dataType.simpleString()}, item_id {it.schema['item_id'].dataType.simpleString()}, score double"))
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "item_id")
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -214,7 +220,7 @@ def multi_query_retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, **k
 
     Output: claim_id, chunk_id, score, query_idx, query_type, rank."""
     qkey = queries.select(
-        (F.col("claim_id").cast("bigint") * F.lit(1 << 20) + F.col("query_idx")).alias("qid"),
+        F.concat_ws(":", "claim_id", "query_idx").alias("qid"),
         "claim_id", "query_idx", "query_type", "embedding")
     hits = knn_join(qkey, chunks, k=k, q_id="qid", i_id="chunk_id", **knn_kw)
     hits = hits.join(qkey.select("qid", "claim_id", "query_idx", "query_type"), "qid")

@@ -24,16 +24,15 @@ from pyspark.sql import functions as F
 
 DEFAULT_SEED = 42
 BUCKET_HEX = 4
-MAX_BROADCAST_LABELS = 1_000_000   # per-label tables built from driver-side counts
 
 
 def seed_key(id_col: str, seed: int) -> Column:
-    return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(f":{seed}")))
 
 
 def hash_int(key: Column) -> Column:
-    """First 8 hex digits of a hex digest as a non-negative integer."""
-    return F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint")
+    """First 15 hex digits (60 bits) of a hex digest as a non-negative integer."""
+    return F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint")
 
 
 def seeded_rank(df: DataFrame, label_cols: list[str], id_col: str, seed: int = DEFAULT_SEED,
@@ -49,7 +48,12 @@ def seeded_rank(df: DataFrame, label_cols: list[str], id_col: str, seed: int = D
     # The offsets table has at most labels x 16^bucket_hex rows (a few MB for a few
     # labels). No hint: AQE measures it after its stage runs and broadcasts it when
     # it is under the broadcast threshold, else keeps a shuffle join.
-    j = k.join(offsets, [*label_cols, "_bkt"])
+    # Labels are compared null-safe, so rows without a label are ranked among themselves.
+    named = offsets.select(*(F.col(c).alias(f"_l{i}") for i, c in enumerate(label_cols)), F.col("_bkt").alias("_ob"), "_off")
+    same = F.col("_bkt") == F.col("_ob")
+    for i, c in enumerate(label_cols):
+        same = same & F.col(c).eqNullSafe(F.col(f"_l{i}"))
+    j = k.join(named, same).drop("_ob", *(f"_l{i}" for i in range(len(label_cols))))
     if max_rank is not None:
         mr = F.lit(max_rank) if isinstance(max_rank, int) else max_rank
         j = j.where(F.col("_off") < mr)
@@ -179,7 +183,7 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, frac: float = 0
     if q is None:
         r = r.withColumn("_t", F.lit(0)).withColumn("_v", F.lit(0))
     else:  # one row per label, counted on the driver: broadcast only under the bound
-        r = r.join(F.broadcast(q) if len(counts) <= MAX_BROADCAST_LABELS else q, label_col)
+        r = r.join(q.withColumnRenamed(label_col, "_label"), F.col(label_col).eqNullSafe(F.col("_label"))).drop("_label")
     split = (F.when(F.col("rank") <= F.col("_t"), "test")
              .when(F.col("rank") <= F.col("_t") + F.col("_v"), "val").otherwise("train"))
     return r.withColumn("split", split).drop("_t", "_v", "rank")
@@ -196,7 +200,7 @@ def sample_with_replacement(df: DataFrame, label_col: str, id_col: str, seed: in
     cn = df.sparkSession.createDataFrame([(k, c, n) for k, c in counts.items()],
                                          f"{label_col} string, _c long, _n long")
     r = seeded_rank(df, [label_col], id_col, seed)
-    r = r.join(F.broadcast(cn) if len(counts) <= MAX_BROADCAST_LABELS else cn, label_col)
+    r = r.join(cn.withColumnRenamed(label_col, "_label"), F.col(label_col).eqNullSafe(F.col("_label"))).drop("_label")
     plain = r.where((F.col("_c") >= F.col("_n")) & (F.col("rank") <= F.col("_n"))) \
         .withColumn("draw", F.col("rank")).drop("_c", "_n", "rank")
     # draws are generated as a distributed range per rare label (labels are few),
@@ -207,9 +211,9 @@ def sample_with_replacement(df: DataFrame, label_col: str, id_col: str, seed: in
     for lab, c in rare_labels:
         draws = draws.unionByName(spark.range(1, n + 1).select(
             F.lit(lab).cast("string").alias(label_col), F.lit(c).cast("long").alias("_c"), F.col("id").alias("draw")))
-    key = F.md5(F.concat(F.col("draw").cast("string"), F.lit(f":{seed}:"), F.col(label_col).cast("string")))
+    key = F.md5(F.concat(F.col("draw").cast("string"), F.lit(f":{seed}:"), F.coalesce(F.col(label_col).cast("string"), F.lit("null"))))
     draws = draws.withColumn("rank", F.pmod(hash_int(key), F.col("_c")) + 1).drop("_c")
-    rare = r.where(F.col("_c") < F.col("_n")).drop("_c", "_n").join(draws, [label_col, "rank"]).drop("rank")
+    rare = r.where(F.col("_c") < F.col("_n")).drop("_c", "_n").join(draws.withColumnRenamed(label_col, "_label").withColumnRenamed("rank", "_rank"), F.col(label_col).eqNullSafe(F.col("_label")) & (F.col("rank") == F.col("_rank"))).drop("rank", "_label", "_rank")
     return plain.unionByName(rare.select(*plain.columns))
 
 

@@ -58,11 +58,12 @@ def claim_gate(scored: DataFrame, text_col: str = "text", label_col: str = "labe
                promote_below: float = CLAIM_PROMOTE_BELOW, min_chars: int = MIN_CLAIM_CHARS,
                claim_label: str = "claim") -> DataFrame:
     """F7. Keep sentences of at least ``min_chars`` that the model calls a claim, or
-    that it calls something else with confidence below ``promote_below``."""
+    that it calls something else with confidence below ``promote_below``; the latter
+    are promoted: they become claims too."""
     is_claim = (F.col(label_col) == claim_label) | (F.col(conf_col) < promote_below)
     return (scored.where(F.char_length(T.py_strip(F.col(text_col))) >= min_chars)
-            .withColumn("is_factual_claim", F.col(label_col) == claim_label)
-            .where(is_claim))
+            .where(is_claim)
+            .withColumn(label_col, F.lit(claim_label)).withColumn("is_factual_claim", F.lit(True)))
 
 
 def post_rollup(sent_scores: DataFrame, posts: DataFrame, post_col: str = "post_id",

@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factlens.functions.text import sql_words
+from factlens.functions.text import chunk_id, sql_words
 from factlens.operators import chunks as C
 from factlens.plans.catalog import register
 from factlens.plans.sqlparts import doc_chunks_cte, n_chunks_sql
 from factlens.session import scratch_path
-from factlens.sources.tables import Tables, raw, spread
+from factlens.sources.tables import Tables, spread
 
 
 def doc_chunks(spark, sf_dir, size=C.LIVE_SIZE, overlap=C.LIVE_OVERLAP):
-    """documents -> chunks with a numeric chunk id and a document locator as url."""
+    """documents -> chunks with the store's own md5 ids and a document locator as url."""
     docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
     ch = C.chunk_words(docs, ["doc_id"], "text", size, overlap)
     return ch.select("doc_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"),
-                     (F.col("doc_id") * 100000 + F.col("chunk_index")).alias("chunk_id"),
+                     chunk_id(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")), "chunk_index").alias("chunk_id"),
                      "chunk_index", "content", "word_count", "total_chunks")
 
 
@@ -27,7 +27,7 @@ def articles(spark, sf_dir):
     p = t.pages.select(F.col("page_id").alias("doc_id"), "url")
     j = t.documents.join(p, "doc_id", "left").select(
         "doc_id", "url", F.col("source"), F.col("lang"), F.col("text").alias("full_content"))
-    return spread(j, raw(spark, sf_dir, "documents"))
+    return spread(j)
 
 
 ARTICLES_SQL = """articles AS (SELECT d.doc_id, p.url, d.source, d.lang, d.text AS full_content

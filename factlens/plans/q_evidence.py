@@ -21,7 +21,7 @@ from factlens.plans.catalog import register
 from factlens.session import scratch_path
 from factlens.sources import readers as RD
 from factlens.sources import sinks as SK
-from factlens.sources.tables import Tables, raw, spread
+from factlens.sources.tables import Tables, spread
 
 
 def wiki_store(spark, sf_dir):
@@ -35,7 +35,7 @@ def wiki_store(spark, sf_dir):
 
 def raw_claims(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    d = spread(t.labels.join(t.documents.select("doc_id", "lang", "text"), "doc_id"), raw(spark, sf_dir, "documents"))
+    d = spread(t.labels.join(t.documents.select("doc_id", "lang", "text"), "doc_id"))
 
     def ref(doc, n, kind="sentence"):
         return F.concat(F.lit("doc_"), doc.cast("string"), F.lit(f"_{kind}_{n}"))

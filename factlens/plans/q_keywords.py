@@ -158,7 +158,7 @@ def j8_keyword_backoff(spark, sf_dir):
                     F.col("rank").cast("int"))
 
 
-CONV_SQL = "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)"
+CONV_SQL = "(SELECT conv_id || ':' || turn AS doc_id, text FROM conversations)"
 _APOS_S = "''s"  # SQL literal body for 's
 
 
@@ -210,7 +210,7 @@ FROM {CONV_SQL} c LEFT JOIN pieces p USING (doc_id)"""
 def w6_resolve_pronouns(spark, sf_dir):
     """Conversation turns with the default annotator; priority rule."""
     c = Tables(spark, sf_dir).conversations.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+        F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
     toks, ents = AN.annotate(c)
     r = CR.resolve_pronouns(c, toks, ents)
     return r.select("doc_id", F.col("n_replaced").cast("int"), F.md5("resolved_text").alias("resolved_md5"))
@@ -219,7 +219,7 @@ def w6_resolve_pronouns(spark, sf_dir):
 @register("w7_resolve_pronouns_nearest", sql=coref_sql("nearest"))
 def w7_resolve_pronouns_nearest(spark, sf_dir):
     c = Tables(spark, sf_dir).conversations.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+        F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
     toks, ents = AN.annotate(c)
     r = CR.resolve_pronouns(c, toks, ents, rule="nearest")
     return r.select("doc_id", F.col("n_replaced").cast("int"), F.md5("resolved_text").alias("resolved_md5"))

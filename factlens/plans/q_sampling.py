@@ -171,7 +171,7 @@ WITH d AS {THREE_LABELS_SQL},
 c AS (SELECT label, count(*) AS c FROM d GROUP BY label), n AS (SELECT 2 * min(c) AS n FROM c),
 r AS (SELECT doc_id, label, {_rk('label', 'doc_id')} AS rank FROM d),
 draws AS (SELECT label, c.c, unnest(range(1, n.n + 1)) AS draw FROM c, n WHERE c.c < n.n),
-dr AS (SELECT label, draw, ('0x' || substr(md5(CAST(draw AS VARCHAR) || ':{SEED}:' || label), 1, 8))::BIGINT % c + 1 AS rank
+dr AS (SELECT label, draw, ('0x' || substr(md5(CAST(draw AS VARCHAR) || ':{SEED}:' || label), 1, 15))::BIGINT % c + 1 AS rank
        FROM draws)
 SELECT r.doc_id, r.label, r.rank AS draw FROM r JOIN c USING (label), n WHERE c.c >= n.n AND r.rank <= n.n
 UNION ALL SELECT r.doc_id, r.label, dr.draw FROM dr JOIN r USING (label, rank)""")

@@ -9,7 +9,7 @@ from factlens.functions import text as T
 from factlens.operators import responses as RSP
 from factlens.operators.sentences import sentence_array, split_sentences
 from factlens.plans.catalog import register
-from factlens.sources.tables import Tables, raw, spread
+from factlens.sources.tables import Tables, spread
 
 POSTS_SQL = """posts AS (SELECT d.doc_id, concat_ws(' ', p.url, d.text) AS text
                FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id)"""
@@ -21,7 +21,7 @@ def posts(spark, sf_dir):
     t = Tables(spark, sf_dir)
     p = t.pages.select(F.col("page_id").alias("doc_id"), "url")
     j = t.documents.join(p, "doc_id", "left").select("doc_id", F.concat_ws(" ", "url", "text").alias("text"))
-    return spread(j, raw(spark, sf_dir, "documents"))
+    return spread(j)
 
 
 def _digest(col):
@@ -103,10 +103,11 @@ def p7_model_input(spark, sf_dir):
                     F.md5(T.wrap_claim_evidence("text", sentence_array("text"))).alias("pair_input_md5"))
 
 
-@register("p13_slug", sql="""SELECT item_id, left(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), 12) AS slug
+@register("p13_slug", sql="""SELECT item_id, left(regexp_replace(replace(lower('Stra' || chr(223) || 'e ' || text), chr(223), 'ss'), '[^a-z0-9]+', '', 'g'), 12) AS slug,
+  left(regexp_replace(replace(lower(text), chr(223), 'ss'), '[^a-z0-9]+', '', 'g'), 12) AS plain_slug
 FROM benchmark""")
 def p13_slug(spark, sf_dir):
-    return Tables(spark, sf_dir).benchmark.select("item_id", T.slug("text").alias("slug"))
+    return Tables(spark, sf_dir).benchmark.select("item_id", T.slug(F.concat(F.lit("Stra\u00dfe "), F.col("text"))).alias("slug"), T.slug("text").alias("plain_slug"))
 
 
 _SEEN_SQL = """CASE WHEN value < 2 THEN NULL WHEN value < 5 THEN left(s, 7)
@@ -157,11 +158,13 @@ def p16_map_label(spark, sf_dir):
 
 @register("p17_stable_text_id", sql=f"""
 SELECT doc_id, md5({T.sql_collapse_ws('text')}) AS text_id,
-       source || '_chunk_' || lpad(CAST(doc_id AS VARCHAR), 4, '0') AS page_chunk_id FROM documents""")
+       source || '_chunk_' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(4, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') AS page_chunk_id,
+       source || '_chunk_' || CAST(doc_id + 10000 AS VARCHAR) AS long_chunk_id FROM documents""")
 def p17_stable_text_id(spark, sf_dir):
     d = Tables(spark, sf_dir).documents
     return d.select("doc_id", F.md5(T.collapse_ws("text")).alias("text_id"),
-                    T.page_chunk_id("source", "doc_id").alias("page_chunk_id"))
+                    T.page_chunk_id("source", "doc_id").alias("page_chunk_id"),
+                    T.page_chunk_id("source", F.col("doc_id") + 10000).alias("long_chunk_id"))
 
 
 @register("p18_reshape", sql="""

@@ -22,7 +22,7 @@ def doc_chunks_cte(size: int = 64, overlap: int = 8, name: str = "chunks") -> st
 {name}_n AS (SELECT doc_id, w, {n_chunks_sql('len(w)', size, overlap)} AS total_chunks FROM {name}_w),
 {name}_e AS (SELECT doc_id, w, total_chunks, unnest(range(total_chunks)) AS i FROM {name}_n),
 {name} AS (
-  SELECT doc_id, 'doc:' || CAST(doc_id AS VARCHAR) AS url, doc_id * 100000 + i AS chunk_id,
+  SELECT doc_id, 'doc:' || CAST(doc_id AS VARCHAR) AS url, md5('doc:' || CAST(doc_id AS VARCHAR) || '_' || CAST(i AS VARCHAR)) AS chunk_id,
          CAST(i AS INTEGER) AS chunk_index,
          array_to_string(list_slice(w, i * {step} + 1, i * {step} + {size}), ' ') AS content,
          CAST(len(list_slice(w, i * {step} + 1, i * {step} + {size})) AS INTEGER) AS word_count,

@@ -71,7 +71,7 @@ def verify_posts(posts: DataFrame, chunks: DataFrame, evidence_labels: DataFrame
     resolved = CR.resolve_pronouns(political.withColumnRenamed("post_id", "doc_id"), toks, ents)
     sents = SE.split_sentences(resolved.select(F.col("doc_id").alias("post_id"), "resolved_text"),
                                "post_id", "resolved_text")
-    sents = sents.select((F.col("post_id") * 1000 + F.col("sent_idx")).alias("claim_id"), "post_id", "sent_idx", "text")
+    sents = sents.select(F.concat_ws(":", "post_id", "sent_idx").alias("claim_id"), "post_id", "sent_idx", "text")
     cs = ML.score_batch(sents, "claim_id", "text", claim).where(F.col("label").isNotNull())
     claims = SE.claim_gate(cs, claim_label="claim").checkpoint(eager=True)
     qv = R.embed_text(claims.select("claim_id", "text"), "claim_id", "text", DIM)

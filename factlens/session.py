@@ -20,6 +20,7 @@ LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
+    "spark.factlens.spread": "true",  # few large local files: see sources.tables.spread
 }
 
 
@@ -51,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     fresh scratch folder when it is unset (local tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
+    if not d and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="factlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

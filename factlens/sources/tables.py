@@ -10,8 +10,7 @@ TABLES = (
 )
 
 
-# Tables whose rows carry long texts: per-row work on them is heavy, so a scan that
-# yields fewer splits than the cluster has cores is spread round-robin.
+# Tables whose rows carry long texts, so per-row work on them is heavy.
 TEXT_TABLES = ("documents", "pages", "conversations")
 
 
@@ -21,25 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
-def spread(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """Round-robin repartition only when the input (or ``source``, the raw scan it
-    came from) has fewer files than the cluster's default parallelism (a few large
-    files). Large inputs already have thousands of files and pass through untouched.
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition to the default parallelism, only where the session asks for
+    it (``spark.factlens.spread``; local sessions do, as their test tables are single
+    files of one row group). On a cluster it is off: scans are split by Spark.
 
-    Joins: a join right above a spread scan may replace its exchange with the join's
-    own shuffle, and AQE may then turn the join into a broadcast join whose streamed
-    side is not shuffled at all. Callers that join before heavy per-row work
-    therefore spread the join's output, judged by the raw scan (``source``): the
-    joined plan's partition count is the pre-AQE one and says nothing."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    ref = source if source is not None else df
-    # Input files, not partitions: a single-row-group file is cut into several byte
-    # ranges but only one of them holds rows. File listing is metadata only.
-    return df.repartition(par) if len(ref.inputFiles()) < par else df
+    A join right above a spread scan may replace its exchange with the join's own shuffle,
+    so callers that join before heavy per-row work spread the join's output."""
+    if df.sparkSession.conf.get("spark.factlens.spread", "false") != "true":
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The scan without spreading (the reference for ``spread(..., source=)``)."""
+    """The scan without spreading."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

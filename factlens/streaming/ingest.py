@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from factlens.operators import chunks as C
 
@@ -52,9 +53,26 @@ def stream_ingest_articles(spark: SparkSession, stream: DataFrame, store_path: s
     return w.start()
 
 
+class LateRows(StreamingQueryListener):
+    """Counts the rows that watermarks drop over the whole life of the queries:
+    ``spark.streams.addListener(late := LateRows())``, then ``late.total``."""
+
+    def __init__(self) -> None:
+        self.total = 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.total += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def rows_dropped_late(query) -> int:
-    """Rows the watermark dropped as too late, summed over the query's recent
-    progress reports (the stateful operators' ``numRowsDroppedByWatermark``)."""
+    """Rows the watermark dropped as too late in the progress reports that Spark still
+    keeps of a query (its last 100); ``LateRows`` counts them all."""
     total = 0
     for p in query.recentProgress:
         for op in p.get("stateOperators", []) if isinstance(p, dict) else p.stateOperators:

@@ -36,7 +36,8 @@ def trending_stream(spark, stream: DataFrame, topic_col: str, ts_col: str, out_p
     counts = window_counts(stream.withWatermark(ts_col, delay), topic_col, ts_col, size, slide)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        top_k(batch, k).write.mode("append").parquet(out_path)
+        # one folder per micro-batch, overwritten: a replayed batch replaces its rows
+        top_k(batch, k).write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
 
     w = counts.writeStream.outputMode("append").foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

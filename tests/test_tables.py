@@ -1,21 +1,17 @@
-"""Scan spreading: decided by input files, not by the (pre-AQE) partition count."""
+"""Scan spreading is asked for by the session, never decided from the input."""
 
 from factlens.sources.tables import raw, spread
 from tests.conftest import SF_SMALL
 
 
-def test_single_file_table_is_spread(spark):
+def test_spread_only_where_the_session_asks(spark):
     par = spark.sparkContext.defaultParallelism
     d = raw(spark, SF_SMALL, "documents")
-    assert len(d.inputFiles()) == 1
     s = spread(d)
     assert s.rdd.getNumPartitions() == par
     assert sorted(r[0] for r in s.select("doc_id").collect()) == sorted(r[0] for r in d.select("doc_id").collect())
-
-
-def test_many_file_input_untouched(spark, tmp_path):
-    par = spark.sparkContext.defaultParallelism
-    spark.range(0, 1000).repartition(par + 2).write.parquet(str(tmp_path / "many"))
-    m = spark.read.parquet(str(tmp_path / "many"))
-    assert len(m.inputFiles()) >= par
-    assert spread(m) is m
+    spark.conf.set("spark.factlens.spread", "false")
+    try:
+        assert spread(d) is d
+    finally:
+        spark.conf.set("spark.factlens.spread", "true")
