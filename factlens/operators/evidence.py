@@ -3,10 +3,10 @@ J2 merge_on_id, A17 distinct_pages.
 
 Reference strings look like ``<page title>_sentence_<n>``; titles may themselves
 contain ``_``, so they are matched from the right. Other evidence kinds (cells,
-captions) are skipped. Resolution is one equi-join of the needed (page, sentence)
-references against the page store (semi-joined to the referenced pages first);
-a missing page or sentence drops that reference and is counted, it does not fail
-the job. Hot pages (referenced by many claims) are handled by AQE skew-join splits.
+captions) are skipped. Resolution is one equi-join of the references with the
+sentences of the page store on (page, sentence), so no row carries a page and a hot
+page is spread over its sentences; a missing page or sentence drops that reference
+and is counted, it does not fail the job.
 """
 
 from __future__ import annotations
@@ -57,11 +57,8 @@ def resolve_evidence(raw: DataFrame, wiki: DataFrame) -> DataFrame:
     """``id, claim, label, challenge, evidence`` with evidence = resolved sentence
     texts (wiki links stripped) in reference order; claims left without any
     resolved sentence are dropped (F5). ``wiki``: id (page), sentences MAP."""
-    refs = explode_evidence_refs(raw)
-    pages = wiki.join(refs.select(F.col("page").alias("id")).distinct(), "id", "left_semi")
-    j = refs.join(pages.select(F.col("id").alias("page"), "sentences"), "page")
-    j = j.select("id", "ev_idx", "c_idx", F.element_at("sentences", F.col("sentence_key")).alias("s"))
-    j = j.where(F.col("s").isNotNull())
+    sents = wiki.select(F.col("id").alias("page"), F.explode_outer("sentences").alias("sentence_key", "s"))
+    j = explode_evidence_refs(raw).join(sents.where(F.col("s").isNotNull()), ["page", "sentence_key"])
     ev = j.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ev_idx", "c_idx", strip_wiki_links("s").alias("s"))))
                              .alias("_e"))
     ev = ev.select("id", F.col("_e")["s"].alias("evidence"))

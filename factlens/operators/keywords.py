@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from factlens.functions.text import py_strip
 from factlens.operators.annotate import default_exclusions
+from factlens.operators.filters import date_window, domain_filter
 from factlens.session import ensure_checkpoint_dir
 
 # Entity labels and parts of speech that yield keywords.
@@ -84,13 +85,19 @@ def doc_terms(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame | No
 
 
 def keyword_search(claim_terms: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   limit: int | None = None, level_col: str | None = None) -> DataFrame:
+                   limit: int | None = None, level_col: str | None = None, *, include=None, exclude=None, lang=None,
+                   as_of=None, days_back: int = 30, url_col: str = "url", lang_col: str = "language",
+                   ts_col: str = "published_at") -> DataFrame:
     """Documents containing ALL of a claim's terms (``claim_id, term`` rows,
     lower-case, optional level column for J8). Relevance = total term frequency;
-    ``rank`` by relevance desc then doc; ``limit`` keeps the page size.
+    ``rank`` by relevance desc then doc; ``limit`` keeps the page size. The scope of the
+    search is cut before any term is read: ``include`` / ``exclude`` domains and ``lang``
+    (F8), and the ``days_back`` days up to ``as_of`` (F9).
 
     Output: claim_id, [level], doc, score, rank."""
     keys = ["claim_id"] + ([level_col] if level_col else [])
+    docs = domain_filter(docs, url_col, include, exclude, lang, lang_col)
+    docs = date_window(docs, ts_col, as_of, days_back) if as_of is not None else docs
     ensure_checkpoint_dir(docs.sparkSession)
     # claim terms and the (filtered) term table each feed several joins below; both
     # are small after the vocabulary filter, so they are materialised once.

@@ -75,15 +75,27 @@ def j1_resolve_evidence(spark, sf_dir):
                     F.md5(F.array_join("evidence", "\n")).alias("evidence_md5"))
 
 
-@register("u4_explode_evidence_refs", sql="""
+_REFS_SQL = """
 SELECT doc_id AS id, 0 AS ev_idx, 0 AS c_idx, 'doc_' || CAST(doc_id AS VARCHAR) AS page, 'sentence_0' AS sentence_key FROM labels
 UNION ALL SELECT doc_id, 0, 1, 'doc_' || CAST(doc_id AS VARCHAR), 'sentence_2' FROM labels
-UNION ALL SELECT doc_id, 1, 0, 'doc_' || CAST(doc_id + 1 AS VARCHAR), 'sentence_1' FROM labels""")
+UNION ALL SELECT doc_id, 1, 0, 'doc_' || CAST(doc_id + 1 AS VARCHAR), 'sentence_1' FROM labels"""
+
+
+@register("u4_explode_evidence_refs", sql=_REFS_SQL)
 def u4_explode_evidence_refs(spark, sf_dir):
     r = EV.explode_evidence_refs(raw_claims(spark, sf_dir))
     return r.select("id", F.col("ev_idx").cast("int"), F.col("c_idx").cast("int"), "page", "sentence_key")
 
 
+@register("s4_read_evidence_jsonl", sql=_REFS_SQL)
+def s4_read_evidence_jsonl(spark, sf_dir):
+    """Claim records written as JSON lines, read back (S4) and their references listed."""
+    path = scratch_path(spark, "claims")
+    raw_claims(spark, sf_dir).write.json(path)
+    r = EV.explode_evidence_refs(RD.read_evidence_jsonl(spark, path))
+    return r.select("id", F.col("ev_idx").cast("int"), F.col("c_idx").cast("int"), "page", "sentence_key")
+
+
 @register("u5_extract_titles", sql="""
 SELECT doc_id AS id, array_to_string(list_distinct_ordered, '|') AS titles, array_to_string(list_distinct_ordered, '|') AS pages
 FROM (SELECT doc_id, CASE WHEN doc_id + 1 = doc_id THEN [] ELSE
@@ -120,6 +132,30 @@ def s2_read_delimited(spark, sf_dir):
     return RD.read_delimited(spark, path, ("id", "label", "statement"))
 
 
+@register("k2_export", sql="""
+SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS label, o_orderpriority AS statement FROM orders""")
+def k2_export(spark, sf_dir):
+    """orders exported as CSV with a header (K2) and read back."""
+    o = Tables(spark, sf_dir).orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("label"),
+                                            F.col("o_orderpriority").alias("statement"))
+    path = SK.export(o, scratch_path(spark, "export"), "orders")
+    return RD.read_delimited(spark, path, ("id", "label", "statement"), sep=",", header=True)
+
+
+@register("s6_flatten_payload", sql="""
+SELECT 'https://' || source || '.example/' || CAST(doc_id AS VARCHAR) AS url, lang AS title, source,
+       md5(text) AS content_md5 FROM documents""")
+def s6_flatten_payload(spark, sf_dir):
+    """Every document as a landed news response (JSON text), flattened to article rows."""
+    d = Tables(spark, sf_dir).documents
+    url = F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string"))
+    article = F.struct(F.struct(F.col("source").alias("name")).alias("source"), url.alias("url"), F.col("lang").alias("title"),
+                       F.col("text").alias("content"))
+    payload = F.to_json(F.struct(F.array(article).alias("articles")))
+    r = RD.flatten_api_payload(d.select(payload.alias("payload")), "news")
+    return r.select("url", "title", "source", F.md5("content").alias("content_md5"))
+
+
 @register("k4_fold_files", sql="""
 WITH n AS (SELECT min(c) // 4 AS n FROM (SELECT count(*) AS c FROM orders GROUP BY o_orderstatus)),
 r AS (SELECT o_orderkey, o_orderstatus,

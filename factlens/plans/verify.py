@@ -55,10 +55,14 @@ def assemble_response(posts: DataFrame, gate: DataFrame, claims: DataFrame, resu
 
 
 def verify_posts(posts: DataFrame, chunks: DataFrame, evidence_labels: DataFrame, *, topic, claim,
-                 k: int = 5, annotator=AN.annotate) -> DataFrame:
+                 k: int = 5, annotator=AN.annotate, embedder=None, judge=None) -> DataFrame:
     """``posts``: post_id, text. ``chunks``: chunk_id, url, content and, when the
     store keeps them, its ``embedding`` vectors (the store).
-    ``evidence_labels``: chunk_id, label (votes for the default judge)."""
+    ``evidence_labels``: chunk_id, label (votes for the default judge). Hooks:
+    ``embedder(df, id_col, text_col)`` gives (id, embedding); ``judge(claims, hits)``
+    gives (claim_id, verdict, confidence) and, if it can fail on a claim, a boolean
+    ``failed`` (status ERROR)."""
+    embed = embedder or (lambda df, id_col, text_col: R.embed_text(df, id_col, text_col, DIM))
     scored = ML.score_batch(posts, "post_id", "text", topic).withColumn("status", SE.min_length_status("text"))
     gate = SE.topic_gate(scored.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
                          .withColumn("label", F.coalesce("label", F.lit(SE.NON_POLITICAL))))
@@ -74,18 +78,19 @@ def verify_posts(posts: DataFrame, chunks: DataFrame, evidence_labels: DataFrame
     sents = sents.select(F.concat_ws(":", "post_id", "sent_idx").alias("claim_id"), "post_id", "sent_idx", "text")
     cs = ML.score_batch(sents, "claim_id", "text", claim).where(F.col("label").isNotNull())
     claims = SE.claim_gate(cs, claim_label="claim").checkpoint(eager=True)
-    qv = R.embed_text(claims.select("claim_id", "text"), "claim_id", "text", DIM)
+    qv = embed(claims.select("claim_id", "text"), "claim_id", "text")
     cv = (chunks.select("chunk_id", "embedding") if "embedding" in chunks.columns
-          else R.embed_text(chunks.select("chunk_id", "content"), "chunk_id", "content", DIM))
+          else embed(chunks.select("chunk_id", "content"), "chunk_id", "content"))
     hits = R.knn_join(qv, cv, k=k, q_id="claim_id", i_id="chunk_id", items_materialized="embedding" in chunks.columns)
     hits = hits.select(F.col("qid").alias("claim_id"), F.col("item_id").alias("chunk_id"), "score", "rank") \
         .join(chunks.select("chunk_id", "url", "content"), "chunk_id").checkpoint(eager=True)
-    verdicts = ML.judge(hits, evidence_labels)
+    verdicts = judge(claims, hits) if judge else ML.judge(hits, evidence_labels)
     status = ML.verdict_status(claims.select("claim_id"), hits, verdicts)
     first = hits.groupBy("claim_id", "url").agg(F.min("rank").alias("_f"))
     urls = first.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("_f", "url")))["url"].alias("source_urls"))
     results = (claims.select("claim_id", "post_id", "sent_idx", "text")
                .join(status.withColumnRenamed("confidence", "verdict_confidence"), "claim_id")
                .join(urls, "claim_id", "left")
-               .withColumn("source_urls", F.coalesce("source_urls", F.array().cast("array<string>"))))
+               .withColumn("source_urls", F.when(F.col("verdict") == "ERROR", F.array().cast("array<string>"))
+                           .otherwise(F.coalesce("source_urls", F.array().cast("array<string>")))))
     return assemble_response(posts, gate, claims, results)

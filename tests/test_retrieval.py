@@ -1,6 +1,8 @@
 """k-NN join equals brute force; multi-query keeps the best score; evidence selection;
 keyword AND search equals brute force."""
 
+import datetime as dt
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -70,3 +72,23 @@ def test_knn_many_exact_ties(spark):
         got.setdefault(r["qid"], []).append((r["rank"], r["item_id"]))
     assert [i for _, i in sorted(got[1])] == list(range(12))
     assert [i for _, i in sorted(got[2])][:2] == [100, 101]
+
+
+def test_keyword_search_scope(spark):
+    """Domains, language and dates narrow what is searched."""
+    docs = spark.createDataFrame([
+        (1, "tax vote", "https://a.example/1", "English", "2024-05-20"),
+        (2, "tax vote", "https://news.a.example/2", "English", "2024-05-20"),
+        (3, "tax vote", "https://b.example/3", "English", "2024-05-20"),
+        (4, "tax vote", "https://a.example/4", "Spanish", "2024-05-20"),
+        (5, "tax vote", "https://a.example/5", "English", "2024-01-01"),
+        (6, "tax", "https://a.example/6", "English", "2024-05-20"),
+    ], "doc_id long, text string, url string, language string, day string").withColumn("published_at", F.to_timestamp("day"))
+    terms = spark.createDataFrame([(7, "tax"), (7, "Vote")], "claim_id long, term string")
+
+    def found(**kw):
+        return sorted(r["doc"] for r in KW.keyword_search(terms, docs, **kw).collect())
+
+    assert found() == [1, 2, 3, 4, 5]
+    assert found(include=["a.example"], lang="English", as_of=dt.datetime(2024, 6, 1)) == [1, 2]
+    assert found(exclude=["a.example"]) == [3]

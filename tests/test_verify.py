@@ -52,3 +52,26 @@ def test_pandas_model_and_spark_ml_hooks(spark):
     clf = ML.train_text_classifier(df, "text", "label")
     s = clf.score(df, "id", "text").join(df.select("id", F.col("label").alias("actual")), "id")
     assert s.where(F.col("label") == F.col("actual")).count() == df.count()
+
+
+def test_judge_and_embedder_hooks(spark):
+    """A plugged judge decides; a claim it fails on is an ERROR without evidence."""
+    posts = spark.createDataFrame([(1, "The senate cut the budget twice. The senate kept the budget whole. The senate lost the budget vote.")],
+                                  "post_id long, text string")
+    chunks = spark.createDataFrame([(10, "u1", "the senate and the budget")], "chunk_id long, url string, content string")
+    seen = []
+
+    def embedder(df, id_col, text_col):
+        seen.append(id_col)
+        return df.select(id_col, F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+
+    def judge(claims, hits):
+        failed = F.col("text").contains("whole")
+        verdict = F.when(F.col("text").contains("twice"), "REFUTES")
+        return claims.select("claim_id", verdict.alias("verdict"), F.lit(0.7).alias("confidence"), failed.alias("failed"))
+
+    out = verify_posts(posts, chunks, None, topic=_Fixed("senate", "POLITICAL", "NON_POLITICAL", 0.99),
+                       claim=_Fixed("budget", "claim", "other", 0.95), k=1, embedder=embedder, judge=judge).first()
+    got = [(r["verdict"], r["confidence"], r["evidence_count"], r["source_urls"]) for r in out["fact_check_results"]]
+    assert got == [("REFUTES", 0.7, 1, ["u1"]), ("ERROR", 0.0, 0, []), ("INSUFFICIENT_EVIDENCE", 0.0, 1, ["u1"])]
+    assert seen == ["claim_id", "chunk_id"]
