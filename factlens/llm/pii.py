@@ -3,7 +3,9 @@
 Entities are found by one pattern, typed, and replaced by keyed surrogates of the same
 type and format: an address stays an address (on a reserved host), a phone number keeps
 its punctuation and country code, a card number stays valid under Luhn, keys and tokens
-keep length and character classes, and a name after a title keeps gender and script.
+keep length and character classes, and a name after a title keeps gender, script and the
+case of its words. A name is replaced word by word, so "Mr Smith" and "Mr John Smith"
+still share a family name; given names keep their gender.
 The same entity (by its canonical form: letter case, punctuation and number format do
 not count) gets the same surrogate in every document; different entities get different
 ones. Surrogates are made once per distinct entity in a table of their own; that table is
@@ -57,6 +59,7 @@ PATTERN = "|".join(TYPES.values())
 HINT_CHARS = "[0-9@=:]"
 HINT_STRINGS = ("AKIA", "Mr", "Ms", "Miss", "Herr", "Frau", "Señor", "Sr", "Monsieur", "Madame", "Mme", "Mlle", "г-")
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+WORD_KINDS = {f"given_{g}_{s}": (s, g) for s, g in GIVEN} | {f"family_{s}": (s, None) for s in SYLLABLES}
 ROUNDS = 20
 
 
@@ -135,8 +138,8 @@ def _keyed(key: str, *parts: Column) -> Column:
 
 
 def _draw(canon: Column, kind: Column, noise: Column, key: str) -> Column:
-    """The canonical surrogate: what makes one entity differ from another. Hosts and the words
-    of names depend on the key and themselves alone, so a part keeps its surrogate in any entity."""
+    """The canonical surrogate: what makes one entity differ from another. Hosts depend on the
+    key and themselves alone, so a host keeps its surrogate in any address."""
     card = let(F.concat(F.left(canon, F.lit(1)), _drawn_digits(F.length(canon) - 2, noise)),
                lambda d: F.concat(d, ((F.lit(10) - _luhn_sum(d, True) % 10) % 10).cast("string")))
     phone = F.concat(_pick("23456789", _byte(noise, F.lit(0))), _drawn_digits(F.lit(2), noise, 1), _pick("23456789", _byte(noise, F.lit(3))), _drawn_digits(F.lit(6), noise, 4))
@@ -146,37 +149,49 @@ def _draw(canon: Column, kind: Column, noise: Column, key: str) -> Column:
     ip = F.array_join(F.array(*(F.lit(1) + _byte(noise, F.lit(i)) % 254 for i in range(4))).cast("array<string>"), ".")
     iban = F.concat(F.left(canon, F.lit(2)), _same_classes(F.substr(canon, F.lit(3)), noise))
     access = F.concat(F.lit("AKIA"), _same_classes(F.substr(canon, F.lit(5)), noise))
-    names = F.split(canon, " ")
-    name = F.array_join(F.transform(names, lambda w: F.substring(_keyed(key, F.lower(w)), 1, 12)), " ")
+    words = _drawn_word(kind, noise, F.col("turn"))
     return (F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", F.concat(F.lit("9"), _drawn_digits(F.lit(8), noise)))
-            .when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "access_key", access).when(kind == "person", name).otherwise(_same_classes(canon, noise)))
+            .when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "access_key", access).when(kind.isin(*WORD_KINDS), words).otherwise(_same_classes(canon, noise)))
 
 
 def _nibble(h: Column, i: int) -> Column:
     return F.conv(F.substring(h, i + 1, 1), 16, 10).cast("int")
 
 
-def _person(e: Column, drawn: Column) -> Column:
-    """Title kept; given names by gender and script, the family name from syllables of the script."""
-    title = F.substring_index(e, " ", 1)
-    bare = F.regexp_replace(title, "\\.$", "")
-    gender = F.when(bare.isin(*FEMALE), "f").otherwise("m")
-    script = F.when(_name(e).rlike("\\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    words = F.split(drawn, " ")
+def _drawn_word(kind: Column, noise: Column, turn: Column) -> Column:
+    """One word of a name, in lower case. The first draw is a plain one; those that collided
+    draw from ever wider sets (given names get a second part, family names more syllables)."""
+    def pick(values, i: int) -> Column:
+        return F.lower(F.get(F.array(*map(F.lit, values)), _nibble(noise, i)))
+
+    out = None
+    for name, (script, gender) in WORD_KINDS.items():
+        tail = [pick(SYLLABLES[script], k) for k in range(2, 8)]
+        if gender:
+            first, second = pick(GIVEN[script, gender], 0), pick(GIVEN[script, gender], 1)
+            drawn = F.when(turn == 0, first).when(turn == 1, F.concat_ws("-", first, second)).otherwise(F.concat_ws("-", first, F.concat(*tail)))
+        else:
+            drawn = F.when(turn == 0, F.concat(*tail[:4])).when(turn == 1, F.concat(*tail[:5])).otherwise(F.concat(*tail))
+        out = F.when(kind == name, drawn) if out is None else out.when(kind == name, drawn)
+    return out
+
+
+def _name_words(persons: DataFrame) -> DataFrame:
+    """(entity, i, word, kind, canon): the words of each name with their kinds; the last one is the family name."""
+    e, name = F.col("entity"), _name(F.col("entity"))
+    gender = F.when(F.regexp_replace(F.substring_index(e, " ", 1), "\\.$", "").isin(*FEMALE), "f").otherwise("m")
+    script = F.when(name.rlike("\\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    words = persons.select("entity", gender.alias("gender"), script.alias("script"), F.size(F.split(name, " ")).alias("n"), F.posexplode(F.split(name, " ")).alias("i", "word"))
+    kind = F.when(F.col("i") == F.col("n") - 1, F.concat_ws("_", F.lit("family"), "script")).otherwise(F.concat_ws("_", F.lit("given"), "gender", "script"))
+    return words.select("entity", "i", "word", kind.alias("kind"), F.lower("word").alias("canon"))
 
-    def word(h: Column, i: Column) -> Column:
-        given = None
-        for (s, g), names in GIVEN.items():
-            c = (script == s) & (gender == g)
-            v = F.get(F.array(*map(F.lit, names)), _nibble(h, 0))
-            given = F.when(c, v) if given is None else given.when(c, v)
-        family = None
-        for s, parts in SYLLABLES.items():
-            v = F.initcap(F.concat(*(F.get(F.array(*map(F.lit, parts)), _nibble(h, k)) for k in range(1, 5))))
-            family = F.when(script == s, v) if family is None else family.when(script == s, v)
-        return F.when(i < F.size(words) - 1, given).otherwise(family)
 
-    return F.concat_ws(" ", title, F.array_join(F.transform(words, word), " "))
+def _persons(words: DataFrame, canon: DataFrame) -> DataFrame:
+    """(entity, kind, surrogate) of names put together again: title kept, words in the case of the original ones."""
+    capital = F.array_join(F.transform(F.split("drawn", "-"), F.initcap), "-")
+    shown = F.when((F.col("word") == F.upper("word")) & (F.length("word") > 1), F.upper("drawn")).otherwise(capital)
+    parts = words.join(canon.select("kind", "canon", "drawn"), ["kind", "canon"]).groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("i", shown.alias("w")))).alias("x"))
+    return parts.select("entity", F.lit("person").alias("kind"), F.concat_ws(" ", F.substring_index("entity", " ", 1), F.array_join("x.w", " ")).alias("surrogate"))
 
 
 def _render(e: Column, kind: Column, drawn: Column) -> Column:
@@ -184,8 +199,7 @@ def _render(e: Column, kind: Column, drawn: Column) -> Column:
     d = _digits(e)
     iban = F.when(e.contains(" "), F.regexp_replace(drawn, "(.{4})(?=.)", "$1 ")).otherwise(drawn)
     return (F.when(kind == "phone", _in_format(e, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), drawn))).when(kind.isin("card", "ssn"), _in_format(e, drawn))
-            .when(kind == "secret", F.concat(F.regexp_extract(e, "(?s)^(.*?[=:]\\s*[\"']?)", 1), drawn)).when(kind == "iban", iban)
-            .when(kind == "person", _person(e, drawn)).otherwise(drawn))
+            .when(kind == "secret", F.concat(F.regexp_extract(e, "(?s)^(.*?[=:]\\s*[\"']?)", 1), drawn)).when(kind == "iban", iban).otherwise(drawn))
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -202,25 +216,29 @@ def surrogates(found: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
         noise = F.concat(*(_keyed(key, F.lit(part), F.col("kind"), F.col("canon"), F.col("turn").cast("string")) for part in "ab"))
         return df.withColumn("drawn", let(noise, lambda n: _draw(F.col("canon"), F.col("kind"), n, key)))
 
-    canon = stored(draw(found.select("kind", "canon").distinct().withColumn("turn", F.lit(0))))
-    known = canon.select("kind", F.col("canon").alias("drawn"), F.lit(True).alias("is_entity"))
+    is_person = F.col("kind") == "person"
+    words, others = stored(_name_words(found.where(is_person))), found.where(~is_person)
+    items = others.select("kind", "canon").unionByName(words.select("kind", "canon")).distinct()
+    canon = stored(draw(items.withColumn("turn", F.lit(0))))
+    group = F.when(F.col("kind").isin(*WORD_KINDS), "name").otherwise(F.col("kind"))  # a surrogate given name is no one's family name either
+    known = canon.select(group.alias("group"), F.col("canon").alias("drawn")).distinct().withColumn("is_entity", F.lit(True))
     for _ in range(rounds):
         owner = canon.groupBy("kind", "drawn").agg(F.min("canon").alias("owner"), F.count("*").alias("n")).where("n > 1")
-        checked = canon.join(owner.select("kind", "drawn", "owner"), ["kind", "drawn"], "left").join(known, ["kind", "drawn"], "left")
+        checked = canon.withColumn("group", group).join(owner.select("kind", "drawn", "owner"), ["kind", "drawn"], "left").join(known, ["group", "drawn"], "left")
         clash = (F.col("owner").isNotNull() & (F.col("owner") != F.col("canon"))) | F.coalesce("is_entity", F.lit(False))
-        # persons are rendered from the words' digests: the same word keeps its surrogate
-        again = checked.where(clash & (F.col("kind") != "person")).select("kind", "canon", (F.col("turn") + 1).alias("turn"))
+        again = checked.where(clash).select("kind", "canon", (F.col("turn") + 1).alias("turn"))
         if not again.head(1):
             break
         canon = stored(canon.join(again.select("kind", "canon"), ["kind", "canon"], "left_anti").unionByName(draw(again)))
     else:
         raise RuntimeError("surrogates still collide; the format of some type has too few values")
-    return found.join(canon.select("kind", "canon", "drawn"), ["kind", "canon"]).select("entity", "kind", _render(F.col("entity"), F.col("kind"), F.col("drawn")).alias("surrogate"))
+    plain = others.join(canon.select("kind", "canon", "drawn"), ["kind", "canon"]).select("entity", "kind", _render(F.col("entity"), F.col("kind"), F.col("drawn")).alias("surrogate"))
+    return plain.unionByName(_persons(words, canon))
 
 
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with every entity of ``text_col`` replaced; ``count_col`` adds their number."""
-    mapping = stored(surrogates(entities(docs, text_col), key))
+    mapping = stored(surrogates(stored(entities(docs, text_col)), key))
     t = F.col(f"d.{text_col}")
     hint = may_hold(F.col(text_col))
     digest = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).cast("binary"))

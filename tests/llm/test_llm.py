@@ -300,6 +300,14 @@ def test_op9_distinct_and_edges(spark):
     got = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k")
     assert got.select("text").distinct().count() == 3000
     assert got.join(spark.createDataFrame(rows, "doc_id long, text string").select("text"), "text").count() == 0
+    letters = "abcdefghijklmnop"
+    word = lambda i: "".join(letters[i // 16**k % 16] for k in range(4)).title()
+    names = [(i, f"{('Mr', 'Mrs', 'Herr', 'Frau')[i % 4]} {word(i % 900)} {word(i)}") for i in range(1800)] + [(1800, "MR X"), (1801, "Mr ABEL Abba"), (1802, "Mr Abba"), (1803, "Mrs Abba")]
+    new = {r.doc_id: r.text for r in pii.pseudonymize(spark.createDataFrame(names, "doc_id long, text string"), "k").collect()}
+    old_words, new_words = ({w for i, t in x if i != 1800 for w in t.split()[1:]} for x in (names, new.items()))
+    assert len(set(new.values())) == len(names) and old_words & new_words == set()
+    assert new[1800] == "MR X" and new[1801].split()[1].isupper() and new[1801].split()[2] == new[1802].split()[1] == new[1803].split()[1]
+    assert len({new[i].split()[1] for i in range(0, 900, 4)}) == 225
     odd = pii.pseudonymize(frame(spark, EDGES), "k")
     assert odd.columns == ["doc_id", "text", "n_words", "id", "tag"]
     assert sorted(((r.doc_id, r.text) for r in odd.collect()), key=str) == sorted(EDGES, key=str)
