@@ -86,7 +86,8 @@ def mixture(docs: DataFrame, targets: Targets, budget: float = 0.5, seed: str =
 
     ``targets`` name the dimensions (columns of ``docs``, or ``topic``); ``budget`` is the expected share of the input's tokens."""
     dims = list(targets)
-    x = docs.withColumns({"__n": tokens(F.col(text_col)), "__topic": topic_col if topic_col is not None else topic(F.col(text_col))})
+    # written once: cells and draws both need the counts, and cutting words costs far more than the copy
+    x = stored(docs.withColumns({"__n": tokens(F.col(text_col)), "__topic": topic_col if topic_col is not None else topic(F.col(text_col))}))
     col = lambda d: F.col("__topic") if d == "topic" else F.col(f"`{d}`")
     cells = x.groupBy(*(col(d).alias(d) for d in dims)).agg(F.sum("__n").alias("mass")).where("mass > 0")
     cells = stored(cells)
