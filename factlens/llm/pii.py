@@ -10,7 +10,9 @@ The same entity (by its canonical form: letter case, punctuation and number form
 not count) gets the same surrogate in every document; different entities get different
 ones. Surrogates are made once per distinct entity in a table of their own; that table is
 checked for collisions (two entities, one surrogate; a surrogate that is itself an
-entity of the corpus), and colliding entities draw again until none is left.
+entity of the corpus), and colliding entities draw again until none is left. Draws keep
+the format first; those that still collide get longer ones with every round, so that a
+format with few values cannot hold up the job.
 
 Documents that cannot hold an entity (one cheap pattern) pass untouched in a narrow
 pass; only the others meet the surrogates of their own entities.
@@ -45,7 +47,7 @@ OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 NAME = "\\p{Lu}\\p{L}{1,40}(?:-\\p{Lu}\\p{L}{1,40})?"
 TYPES = {  # in the order they are tried
     "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\\.[A-Za-z0-9-]{1,63}){0,6}\\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": "(?i:(?<![a-z0-9])(?:token|password|passwd|pwd|secret|api[_-]?key)\\s{0,3}[=:]\\s{0,3}[\"']?[A-Za-z0-9_/+-]{8,}+)",
+    "secret": "(?i:(?<![a-z0-9])(?:token|password|passwd|pwd|secret|api[_-]?key)\\s{0,3}[=:]\\s{0,3}[\"']?(?=[_/+-]*+[A-Za-z0-9])[A-Za-z0-9_/+-]{8,}+)",
     "access_key": "(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": f"(?<![0-9.])(?:{OCTET}\\.){{3}}{OCTET}(?![0-9]|\\.[0-9])",
@@ -61,6 +63,8 @@ HINT_STRINGS = ("AKIA", "Mr", "Ms", "Miss", "Herr", "Frau", "Señor", "Sr", "Mon
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 WORD_KINDS = {f"given_{g}_{s}": (s, g) for s, g in GIVEN} | {f"family_{s}": (s, None) for s in SYLLABLES}
 ROUNDS = 20
+#: Draws that keep the format: few of free text (local parts, secrets), more of numbers.
+FREE_TURNS, FORMAT_TURNS = 3, 8
 
 
 def may_hold(text: Column) -> Column:
@@ -129,8 +133,21 @@ def _drawn_digits(n: Column, noise: Column, skip: int = 0) -> Column:
 
 
 def _in_format(e: Column, digits: Column) -> Column:
-    """``digits`` put where the digits of ``e`` stand."""
-    return F.array_join(F.zip_with(F.split(e, "[0-9]", -1), F.split(digits, ""), lambda gap, d: F.concat(gap, F.coalesce(d, F.lit("")))), "")
+    """``digits`` put where the digits of ``e`` stand; those beyond its last one follow it."""
+    n = F.length(_digits(e))
+    more = F.substr(digits, n + 1)
+    place = F.zip_with(F.split(e, "[0-9]", -1), F.split(F.left(digits, n), ""), lambda gap, d: F.concat(gap, F.coalesce(d, F.lit(""))))
+    last = F.size(place) - 1  # what follows the last digit of e
+    return F.concat(F.array_join(F.slice(place, 1, last), ""), more, F.element_at(place, -1))
+
+
+def _more(turn: Column, kept: int) -> Column:
+    """How many characters a draw is longer than its format: none in the first ``kept`` turns, then ever more."""
+    return F.greatest(F.lit(0), 2 * (turn - kept + 1))
+
+
+def _tail(noise: Column, turn: Column, kept: int) -> Column:
+    return F.substring(noise, F.lit(65), _more(turn, kept))
 
 
 def _keyed(key: str, *parts: Column) -> Column:
@@ -139,19 +156,24 @@ def _keyed(key: str, *parts: Column) -> Column:
 
 def _draw(canon: Column, kind: Column, noise: Column, key: str) -> Column:
     """The canonical surrogate: what makes one entity differ from another. Hosts depend on the
-    key and themselves alone, so a host keeps its surrogate in any address."""
-    card = let(F.concat(F.left(canon, F.lit(1)), _drawn_digits(F.length(canon) - 2, noise)),
+    key and themselves alone, so a host keeps its surrogate in any address. Draws of late turns are longer."""
+    turn = F.col("turn")
+    extra = lambda skip: F.when(turn < FORMAT_TURNS, "").otherwise(_drawn_digits(F.greatest(_more(turn, FORMAT_TURNS), F.lit(1)), noise, skip))
+    card = let(F.concat(F.left(canon, F.lit(1)), _drawn_digits(F.length(canon) - 2 + _more(turn, FORMAT_TURNS), noise)),
                lambda d: F.concat(d, ((F.lit(10) - _luhn_sum(d, True) % 10) % 10).cast("string")))
-    phone = F.concat(_pick("23456789", _byte(noise, F.lit(0))), _drawn_digits(F.lit(2), noise, 1), _pick("23456789", _byte(noise, F.lit(3))), _drawn_digits(F.lit(6), noise, 4))
+    phone = F.concat(_pick("23456789", _byte(noise, F.lit(0))), _drawn_digits(F.lit(2), noise, 1), _pick("23456789", _byte(noise, F.lit(3))), _drawn_digits(F.lit(6), noise, 4), extra(10))
     tld = F.regexp_extract(canon, "\\.(com|net|org)$", 1)
     host = F.concat(F.lit("h"), F.substring(_keyed(key, F.substring_index(canon, "@", -1)), 1, 8))
-    email = F.concat(_same_classes(F.substring_index(canon, "@", 1), noise), F.lit("@"), host, F.lit(".example"), F.when(tld != "", F.concat(F.lit("."), tld)).otherwise(F.lit("")))
-    ip = F.array_join(F.array(*(F.lit(1) + _byte(noise, F.lit(i)) % 254 for i in range(4))).cast("array<string>"), ".")
-    iban = F.concat(F.left(canon, F.lit(2)), _same_classes(F.substr(canon, F.lit(3)), noise))
-    access = F.concat(F.lit("AKIA"), _same_classes(F.substr(canon, F.lit(5)), noise))
-    words = _drawn_word(kind, noise, F.col("turn"))
-    return (F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", F.concat(F.lit("9"), _drawn_digits(F.lit(8), noise)))
-            .when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "access_key", access).when(kind.isin(*WORD_KINDS), words).otherwise(_same_classes(canon, noise)))
+    local = let(_same_classes(F.substring_index(canon, "@", 1), noise), lambda x: F.when(turn < FREE_TURNS, x).otherwise(F.concat(F.left(x, F.lit(24)), _tail(noise, turn, FREE_TURNS))))
+    email = F.concat(local, F.lit("@"), host, F.lit(".example"), F.when(tld != "", F.concat(F.lit("."), tld)).otherwise(F.lit("")))
+    ip = F.when(turn < FORMAT_TURNS, F.array_join(F.array(*(F.lit(1) + _byte(noise, F.lit(i)) % 254 for i in range(4))).cast("array<string>"), ".")).otherwise(
+        F.concat(F.lit("2001:db8:"), F.regexp_replace(F.substring(noise, 1, 24), "(.{4})(?=.)", "$1:")))  # the documentation range of IPv6
+    iban = F.concat(F.left(canon, F.lit(2)), _same_classes(F.substr(canon, F.lit(3)), noise), F.upper(_tail(noise, turn, FORMAT_TURNS)))
+    access = F.concat(F.lit("AKIA"), _same_classes(F.substr(canon, F.lit(5)), noise), F.upper(_tail(noise, turn, FORMAT_TURNS)))
+    secret = F.concat(_same_classes(canon, noise), _tail(noise, turn, FREE_TURNS))
+    words = _drawn_word(kind, noise, turn)
+    return (F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", F.concat(F.lit("9"), _drawn_digits(F.lit(8), noise), extra(8)))
+            .when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "access_key", access).when(kind.isin(*WORD_KINDS), words).otherwise(secret))
 
 
 def _nibble(h: Column, i: int) -> Column:
@@ -166,12 +188,12 @@ def _drawn_word(kind: Column, noise: Column, turn: Column) -> Column:
 
     out = None
     for name, (script, gender) in WORD_KINDS.items():
-        tail = [pick(SYLLABLES[script], k) for k in range(2, 8)]
+        tail = [pick(SYLLABLES[script], k) for k in range(2, 14)]
         if gender:
             first, second = pick(GIVEN[script, gender], 0), pick(GIVEN[script, gender], 1)
-            drawn = F.when(turn == 0, first).when(turn == 1, F.concat_ws("-", first, second)).otherwise(F.concat_ws("-", first, F.concat(*tail)))
+            drawn = F.when(turn == 0, first).when(turn == 1, F.concat_ws("-", first, second)).when(turn == 2, F.concat_ws("-", first, F.concat(*tail[:6]))).otherwise(F.concat_ws("-", first, F.concat(*tail)))
         else:
-            drawn = F.when(turn == 0, F.concat(*tail[:4])).when(turn == 1, F.concat(*tail[:5])).otherwise(F.concat(*tail))
+            drawn = F.when(turn == 0, F.concat(*tail[:4])).when(turn == 1, F.concat(*tail[:5])).when(turn == 2, F.concat(*tail[:6])).otherwise(F.concat(*tail))
         out = F.when(kind == name, drawn) if out is None else out.when(kind == name, drawn)
     return out
 
