@@ -2,7 +2,9 @@
 
 Entities are found by one pattern, typed, and replaced by keyed surrogates of the same
 type and format: an address stays an address (on a reserved host), a phone number keeps
-its punctuation and country code, a card number stays valid under Luhn, keys and tokens
+its punctuation and country code, a card number stays valid under Luhn (and is found
+among other digits by it: a run of digit groups is searched for whole groups of 13 to 19
+digits; places that overlap are replaced as one), keys and tokens
 keep length and character classes, and a name after a title keeps gender, script and the
 case of its words. A name is replaced word by word, so "Mr Smith" and "Mr John Smith"
 still share a family name; given names keep their gender.
@@ -44,6 +46,8 @@ SYLLABLES = {
     "cyrillic": ("ба", "ве", "ги", "до", "жа", "зе", "ки", "ло", "ма", "не", "пи", "ро", "са", "те", "фи", "хо"),
 }
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+US_PHONE = "(?<![0-9+])(?:\\+[0-9]{1,3}[ .-]?)?(?:\\([0-9]{3}\\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 NAME = "\\p{Lu}\\p{L}{1,40}(?:-\\p{Lu}\\p{L}{1,40})?"
 TYPES = {  # in the order they are tried
     "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\\.[A-Za-z0-9-]{1,63}){0,6}\\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
@@ -51,12 +55,18 @@ TYPES = {  # in the order they are tried
     "access_key": "(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": f"(?<![0-9.])(?:{OCTET}\\.){{3}}{OCTET}(?![0-9]|\\.[0-9])",
-    "phone": "(?<![0-9+])(?:\\+[0-9]{1,3}[ .-]?)?(?:\\([0-9]{3}\\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": US_PHONE,
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": "(?<![0-9])[2-6][0-9]{3}(?:[ -]?[0-9]){9,15}(?![0-9])",
     "person": f"(?<!\\p{{L}})(?:{'|'.join(MALE + FEMALE)})\\.? {NAME}(?: {NAME}){{0,2}}",
 }
+# Runs of digits end where another entity begins.
+_NEXT = "|".join(TYPES[k] for k in ("email", "ip", "phone", "ssn"))
+TYPES["card"] = f"(?<![0-9])[2-6][0-9]{{3}}(?:[0-9]|[ -](?!{_NEXT})[0-9]){{9,}}+"
+TYPES["phone_world"] = f"(?<![0-9A-Za-z+])\\+[1-9](?:(?:[ .()/-]{{1,2}}(?!{_NEXT}|{TYPES['card']}))?+[0-9]){{7,14}}(?![0-9])"
 PATTERN = "|".join(TYPES.values())
+#: What a found entity is by itself, without what stands beside it; the first that fits.
+ALONE = {"phone_world": "\\+(?!1(?:[^0-9]*[0-9]){10}$)[1-9](?:[^0-9]{0,2}[0-9]){7,14}", "phone": "\\+1(?:[^0-9]{0,2}[0-9]){10}|" + US_PHONE, "card": "[2-6][0-9]{3}(?:[ -]?[0-9]){9,}+"}
+ALONE |= {k: v for k, v in TYPES.items() if k not in ALONE}
 #: A text without one of these characters or strings holds no entity (plain searches: cheap over long texts).
 HINT_CHARS = "[0-9@=:]"
 HINT_STRINGS = ("AKIA", "Mr", "Ms", "Miss", "Herr", "Frau", "Señor", "Sr", "Monsieur", "Madame", "Mme", "Mlle", "г-")
@@ -80,7 +90,7 @@ def _whole(pattern: str) -> str:
 
 def _type(e: Column) -> Column:
     out = None
-    for name, pattern in TYPES.items():
+    for name, pattern in ALONE.items():
         test = e.rlike(_whole(pattern))
         out = F.when(test, F.lit(name)) if out is None else out.when(test, F.lit(name))
     return out
@@ -97,8 +107,29 @@ def _luhn_sum(digits: Column, first_doubled: bool) -> Column:
     return F.aggregate(F.transform(back, lambda c, i: value(F.coalesce(c.try_cast("int"), F.lit(0)), i)), F.lit(0), lambda s, x: s + x)
 
 
+def _marked(run: Column) -> Column:
+    """A run of digit groups with <> around its card numbers."""
+    def groups_of_card(s: Column) -> Column:
+        found = (F.regexp_extract(s, f"^[2-6][0-9]{{3}}(?: ?[0-9]){{{n - 4}}}(?![0-9])", 0) for n in range(19, 12, -1))
+        return F.coalesce(*(F.when((m != "") & (_luhn_sum(_digits(m), False) % 10 == 0), F.size(F.split(m, " "))) for m in found), F.lit(0))
+
+    def shown(groups: Column, gaps: Column, upto: Column) -> Column:
+        # a card has at most 16 groups, as its first one has 4 digits; upto: the group after the longest card that starts with this one
+        covers = lambda i, n: F.coalesce(F.array_max(F.slice(upto, F.greatest(i - 15, F.lit(0)) + 1, n)), F.lit(0)) > i
+        inner = lambda i: covers(i, F.least(i, F.lit(15)))
+        return F.array_join(F.transform(groups, lambda g, i: F.concat(
+            F.get(gaps, i), F.when((F.get(upto, i) > i) & ~inner(i), "<").otherwise(""), g,
+            F.when(covers(i, F.least(i, F.lit(15)) + 1) & ~inner(i + 1), ">").otherwise(""))), "")
+
+    def marked(groups: Column) -> Column:
+        upto = F.transform(groups, lambda g, i: let(groups_of_card(F.array_join(F.slice(groups, i + 1, 16), " ")), lambda n: F.when(n > 0, i + n).otherwise(0)))
+        return let(F.split(run, "[0-9]+", -1), lambda gaps: let(upto, lambda u: shown(groups, gaps, u)))
+
+    return let(F.split(run, "[ -]"), marked)
+
+
 def _canonical(e: Column, kind: Column) -> Column:
-    return (F.when(kind == "email", F.lower(e)).when(kind == "phone", F.right(_digits(e), F.lit(10))).when(kind.isin("card", "ssn"), _digits(e))
+    return (F.when(kind == "email", F.lower(e)).when(kind == "phone", F.right(_digits(e), F.lit(10))).when(kind.isin("phone_world", "ssn"), _digits(e)).when(kind == "card", _marked(e))
             .when(kind == "iban", F.replace(e, F.lit(" "), F.lit(""))).when(kind == "secret", F.regexp_extract(e, "(?s)[=:]\\s*[\"']?(.*)$", 1))
             .when(kind == "person", _name(e)).otherwise(e))
 
@@ -162,6 +193,8 @@ def _draw(canon: Column, kind: Column, noise: Column, key: str) -> Column:
     card = let(F.concat(F.left(canon, F.lit(1)), _drawn_digits(F.length(canon) - 2 + _more(turn, FORMAT_TURNS), noise)),
                lambda d: F.concat(d, ((F.lit(10) - _luhn_sum(d, True) % 10) % 10).cast("string")))
     phone = F.concat(_pick("23456789", _byte(noise, F.lit(0))), _drawn_digits(F.lit(2), noise, 1), _pick("23456789", _byte(noise, F.lit(3))), _drawn_digits(F.lit(6), noise, 4), extra(10))
+    country = F.regexp_extract(canon, COUNTRY, 0)
+    world = F.concat(country, _drawn_digits(F.length(canon) - F.length(country) + _more(turn, FORMAT_TURNS), noise))
     tld = F.regexp_extract(canon, "\\.(com|net|org)$", 1)
     host = F.concat(F.lit("h"), F.substring(_keyed(key, F.substring_index(canon, "@", -1)), 1, 8))
     local = let(_same_classes(F.substring_index(canon, "@", 1), noise), lambda x: F.when(turn < FREE_TURNS, x).otherwise(F.concat(F.left(x, F.lit(24)), _tail(noise, turn, FREE_TURNS))))
@@ -172,7 +205,7 @@ def _draw(canon: Column, kind: Column, noise: Column, key: str) -> Column:
     access = F.concat(F.lit("AKIA"), _same_classes(F.substr(canon, F.lit(5)), noise), F.upper(_tail(noise, turn, FORMAT_TURNS)))
     secret = F.concat(_same_classes(canon, noise), _tail(noise, turn, FREE_TURNS))
     words = _drawn_word(kind, noise, turn)
-    return (F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", F.concat(F.lit("9"), _drawn_digits(F.lit(8), noise), extra(8)))
+    return (F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "phone_world", world).when(kind == "card", card).when(kind == "ssn", F.concat(F.lit("9"), _drawn_digits(F.lit(8), noise), extra(8)))
             .when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "access_key", access).when(kind.isin(*WORD_KINDS), words).otherwise(secret))
 
 
@@ -209,38 +242,52 @@ def _name_words(persons: DataFrame) -> DataFrame:
 
 
 def _persons(words: DataFrame, canon: DataFrame) -> DataFrame:
-    """(entity, kind, surrogate) of names put together again: title kept, words in the case of the original ones."""
+    """(entity, kind, surrogate, n) of names put together again: title kept, words in the case of the original ones."""
     capital = F.array_join(F.transform(F.split("drawn", "-"), F.initcap), "-")
     shown = F.when((F.col("word") == F.upper("word")) & (F.length("word") > 1), F.upper("drawn")).otherwise(capital)
     parts = words.join(canon.select("kind", "canon", "drawn"), ["kind", "canon"]).groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("i", shown.alias("w")))).alias("x"))
-    return parts.select("entity", F.lit("person").alias("kind"), F.concat_ws(" ", F.substring_index("entity", " ", 1), F.array_join("x.w", " ")).alias("surrogate"))
+    return parts.select("entity", F.lit("person").alias("kind"), F.concat_ws(" ", F.substring_index("entity", " ", 1), F.array_join("x.w", " ")).alias("surrogate"), F.lit(1).alias("n"))
+
+
+def _card_parts(runs: DataFrame) -> DataFrame:
+    """(entity, marked, i, part, kind, canon): the card numbers of each run of digits."""
+    parts = runs.select("entity", F.col("canon").alias("marked"), F.posexplode(F.regexp_extract_all("canon", F.lit("<([^>]+)>"), F.lit(1))).alias("i", "part"))
+    return parts.select("*", F.lit("card").alias("kind"), _digits(F.col("part")).alias("canon"))
+
+
+def _runs(parts: DataFrame, canon: DataFrame) -> DataFrame:
+    """(entity, kind, surrogate, n) of runs of digits with their card numbers replaced."""
+    shown = _in_format(F.col("part"), F.col("drawn"))
+    x = parts.join(canon.select("kind", "canon", "drawn"), ["kind", "canon"]).groupBy("entity", "marked").agg(F.array_sort(F.collect_list(F.struct("i", shown.alias("w")))).alias("x"))
+    text = F.array_join(F.zip_with(F.split("marked", "<[^>]+>", -1), F.col("x.w"), lambda gap, w: F.concat(gap, F.coalesce(w, F.lit("")))), "")
+    return x.select("entity", F.lit("card").alias("kind"), text.alias("surrogate"), F.size("x").alias("n"))
 
 
 def _render(e: Column, kind: Column, drawn: Column) -> Column:
     """The canonical surrogate in the format of one occurrence."""
     d = _digits(e)
     iban = F.when(e.contains(" "), F.regexp_replace(drawn, "(.{4})(?=.)", "$1 ")).otherwise(drawn)
-    return (F.when(kind == "phone", _in_format(e, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), drawn))).when(kind.isin("card", "ssn"), _in_format(e, drawn))
+    return (F.when(kind == "phone", _in_format(e, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), drawn))).when(kind.isin("phone_world", "ssn"), _in_format(e, drawn))
             .when(kind == "secret", F.concat(F.regexp_extract(e, "(?s)^(.*?[=:]\\s*[\"']?)", 1), drawn)).when(kind == "iban", iban).otherwise(drawn))
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct entities as they stand in the corpus: entity, kind, canon."""
+    """Distinct entities as they stand in the corpus: entity, kind, canon (of a run of digits: the run with its cards marked)."""
     found = docs.where(may_hold(F.col(text_col))).select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0)))).alias("entity"))
     typed = found.groupBy("entity").agg(F.lit(1).alias("_")).select("entity", _type(F.col("entity")).alias("kind"))
     typed = typed.select("entity", "kind", _canonical(F.col("entity"), F.col("kind")).alias("canon"))
-    return typed.where((F.col("kind") != "card") | (_luhn_sum(F.col("canon"), False) % 10 == 0))
+    return typed.where((F.col("kind") != "card") | F.col("canon").contains("<"))
 
 
 def surrogates(found: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
-    """(entity, kind, surrogate) without collisions, see the module."""
+    """(entity, kind, surrogate, n) without collisions, see the module; n: how many entities it stands for."""
     def draw(df: DataFrame) -> DataFrame:
         noise = F.concat(*(_keyed(key, F.lit(part), F.col("kind"), F.col("canon"), F.col("turn").cast("string")) for part in "ab"))
         return df.withColumn("drawn", let(noise, lambda n: _draw(F.col("canon"), F.col("kind"), n, key)))
 
-    is_person = F.col("kind") == "person"
-    words, others = stored(_name_words(found.where(is_person))), found.where(~is_person)
-    items = others.select("kind", "canon").unionByName(words.select("kind", "canon")).distinct()
+    words, cards = stored(_name_words(found.where("kind = 'person'"))), stored(_card_parts(found.where("kind = 'card'")))
+    others = found.where("kind not in ('person', 'card')")
+    items = others.select("kind", "canon").unionByName(words.select("kind", "canon")).unionByName(cards.select("kind", "canon")).distinct()
     canon = stored(draw(items.withColumn("turn", F.lit(0))))
     group = F.when(F.col("kind").isin(*WORD_KINDS), "name").otherwise(F.col("kind"))  # a surrogate given name is no one's family name either
     known = canon.select(group.alias("group"), F.col("canon").alias("drawn")).distinct().withColumn("is_entity", F.lit(True))
@@ -254,8 +301,8 @@ def surrogates(found: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
         canon = stored(canon.join(again.select("kind", "canon"), ["kind", "canon"], "left_anti").unionByName(draw(again)))
     else:
         raise RuntimeError("surrogates still collide; the format of some type has too few values")
-    plain = others.join(canon.select("kind", "canon", "drawn"), ["kind", "canon"]).select("entity", "kind", _render(F.col("entity"), F.col("kind"), F.col("drawn")).alias("surrogate"))
-    return plain.unionByName(_persons(words, canon))
+    plain = others.join(canon.select("kind", "canon", "drawn"), ["kind", "canon"]).select("entity", "kind", _render(F.col("entity"), F.col("kind"), F.col("drawn")).alias("surrogate"), F.lit(1).alias("n"))
+    return plain.unionByName(_persons(words, canon)).unionByName(_runs(cards, canon))
 
 
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -266,12 +313,12 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     digest = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).cast("binary"))
     some = docs.where(hint).withColumn("__row", digest)
     place = (some.select("__row", F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))).alias("i", "entity")).distinct()
-             .join(mapping, "entity", "left").select("__row", F.struct("i", F.coalesce("surrogate", "entity").alias("s"), F.col("surrogate").isNotNull().alias("hit")).alias("x")))
+             .join(mapping, "entity", "left").select("__row", F.struct("i", F.coalesce("surrogate", "entity").alias("s"), F.coalesce("n", F.lit(0)).alias("n")).alias("x")))
     lists = place.groupBy("__row").agg(F.array_sort(F.collect_list("x")).alias("__x"))
     gaps = F.split(t, PATTERN, -1)
     new = F.when(F.col("r.__x").isNull(), t).otherwise(
         F.array_join(F.zip_with(gaps, F.col("r.__x"), lambda g, x: F.concat(g, F.coalesce(x["s"], F.lit("")))), ""))
-    extra = [F.coalesce(F.size(F.filter("r.__x", lambda x: x["hit"])), F.lit(0)).cast("long").alias(count_col)] if count_col else []
+    extra = [F.coalesce(F.aggregate("r.__x", F.lit(0), lambda s, x: s + x["n"]), F.lit(0)).cast("long").alias(count_col)] if count_col else []
     changed = some.alias("d").join(lists.alias("r"), F.col("d.__row") == F.col("r.__row"), "left").select(
         *(new.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns), *extra)
     rest = docs.where(~hint).select(*(F.col(f"`{c}`") for c in docs.columns), *([F.lit(0).cast("long").alias(count_col)] if count_col else []))
