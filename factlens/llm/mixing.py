@@ -11,7 +11,8 @@ Cells are a table (at most sources x languages x topics rows) and stay distribut
 keyed sums, written to the shared folder.
 
 A target is a mapping of values to shares (shares of values that have no tokens go to the
-others; values without a share divide what ``REST`` names) or a number: the power to
+others; values without a share divide what ``REST`` names, and without ``REST`` they keep their
+observed share while the named ones divide what is left; ``REST`` of 0 leaves them out) or a number: the power to
 which the observed token shares are raised (1 keeps them, 0 makes them equal).
 
 Cases: null source, language or topic is a value of its own; documents without tokens get no weight and are never drawn;
@@ -52,8 +53,12 @@ def _shares(cells: DataFrame, dim: str, target) -> DataFrame:
             if value != REST:
                 named = F.when(F.col("value") == value, F.lit(float(share))).otherwise(named)
         have = have.select("value", "mass", named.alias("named"))
-        rest = have.agg(F.sum(F.when(F.col("named").isNull(), F.col("mass"))).alias("rest"))
-        raw = have.join(F.broadcast(rest)).select("value", F.coalesce("named", F.lit(float(target.get(REST, 0.0))) * F.col("mass") / F.col("rest")).alias("raw"))
+        rest = have.agg(F.sum(F.when(F.col("named").isNull(), F.col("mass"))).alias("rest"), F.sum("mass").alias("all"), F.sum("named").alias("shares"))
+        if REST in target:
+            share, scale = F.lit(float(target[REST])) * F.col("mass") / F.col("rest"), F.lit(1.0)
+        else:  # what no share is named for is not dropped
+            share, scale = F.col("mass") / F.col("all"), F.when(F.col("shares") > 0, (1 - F.coalesce("rest", F.lit(0)) / F.col("all")) / F.col("shares")).otherwise(0.0)
+        raw = have.join(F.broadcast(rest)).select("value", F.coalesce(F.col("named") * scale, share).alias("raw"))
     else:
         raw = have.select("value", F.pow("mass", F.lit(float(target))).alias("raw"))
     whole = raw.agg(F.sum("raw").alias("whole"))  # one row

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factlens.llm import chat, components, decontaminate, html_layout, jaccard_join, licenses, mixing, pii, quality_classifier, quality_rules, substring_dedup
-from factlens.llm.queries import QUERIES
+from factlens.llm.queries import QUERIES, TARGETS
 
 SF = "/root/testdata/sf0.001"
 SPACE, ALNUM = "[^\x20\x09-\x0D]+", "[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -381,6 +381,22 @@ def test_op10_margins(spark):
     assert mixing.sample(docs.where("false"), {"source": 0.5}).count() == 0
 
 
+def test_op10_values_without_a_share(spark, tmp_path):
+    rows = [(i, "w " * 50, ["en", "de", "pt", None][i % 4], f"s{i % 3}", 100) for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["op10_mixing"](spark, str(tmp_path)).collect()
+    n = Counter(r.lang for r in out)
+    assert set(n) == {"en", "de", "pt", None} and n["pt"] > 150 and n[None] > 150  # half the tokens of 500 documents each
+    whole = mixing.mixture(spark.read.parquet(f"{tmp_path}/documents.parquet"), TARGETS).collect()
+    mass = Counter()
+    for r in whole:
+        mass[r.lang] += r.mix_expected * r.mix_tokens / (0.5 * sum(x.mix_tokens for x in whole))
+    assert all(abs(mass[v] - w) < 1e-3 for v, w in {"pt": 0.25, None: 0.25, "en": 0.5 * 55 / 70, "de": 0.5 * 15 / 70}.items())
+    only = mixing.mixture(spark.read.parquet(f"{tmp_path}/documents.parquet").where("lang is null"), TARGETS)
+    assert only.agg(F.sum("mix_copies")).first()[0] > 150
+    assert {r.lang for r in mixing.sample(spark.read.parquet(f"{tmp_path}/documents.parquet"), {"lang": {"en": 1.0, "*": 0.0}}).collect()} == {"en"}
+
+
 # pipeline
 
 def test_pipeline_equals_brute_force(spark):
