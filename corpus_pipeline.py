@@ -1,7 +1,8 @@
 """Corpus pipeline over ``documents``: quality rules, near duplicates, benchmark
 decontamination, PII surrogates, mixing. Each stage takes what its predecessor kept and
 returns the columns of documents; the last adds the columns of the mixture. ``run`` writes
-each stage to the shared folder and reads it back.
+each stage to the shared folder and reads it back. Ids may be null or repeat: the stages that drop
+documents decide on a key that each row has to itself.
 
 The similarity join and the raking are not expressible in SQL, so there is no ORACLE_SQL;
 tests/llm checks the whole against a brute-force version.
@@ -21,9 +22,12 @@ from factlens.llm.queries import KEY, TARGETS
 from factlens.llm.tables import read, stored
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id is not listed (a null id is never listed)."""
-    return docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+ROW = "__row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of its own for every row, written once so that the keys stay."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +36,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one with the smallest id."""
-    return _without(docs, jaccard_classes(docs).where("class_id <> doc_id"))
+    """One document of each class stays: the one with the smallest id (those without an id come last)."""
+    keyed = _keyed(docs)
+    rank = keyed.select(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", F.md5(F.to_json(F.struct(*docs.columns)).cast("binary")), ROW).alias("rank"))
+    first = jaccard_classes(keyed, id_col=ROW).join(rank, ROW).groupBy("class_id").agg(F.min("rank").alias("rank"))
+    return keyed.join(first.select(f"rank.{ROW}"), ROW, "left_semi").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    return _without(docs, decontaminate(docs, read(spark, sf_dir, "benchmark")).where("contaminated and doc_id is not null"))
+    keyed = _keyed(docs)
+    hit = decontaminate(keyed, read(spark, sf_dir, "benchmark"), id_col=ROW).where("contaminated")
+    return keyed.join(hit.select(ROW), ROW, "left_anti").select(*docs.columns)
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

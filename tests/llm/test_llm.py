@@ -437,3 +437,19 @@ def test_pipeline_stages_on_odd_rows(spark):
             docs = stored(stage(spark, docs, SF))
         assert sorted((str(r.doc_id) for r in docs.collect())) == (["30", "5", "None"] if data else [])
         assert isinstance(cp.mixing(spark, docs, SF).schema, T.StructType)
+
+
+def test_pipeline_decides_row_by_row(spark):
+    import corpus_pipeline as cp
+
+    text = lambda p: " ".join(f"{p}{chr(97 + i)}" for i in range(26))
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) >= 10)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [
+        (None, f"{text('lead')} {item}"), (None, text("clean")), (7, f"{text('seven')} {item}"), (7, text("other"))]], schema)
+    assert sorted(r.text for r in cp.benchmark_decontamination(spark, docs, SF).collect()) == sorted([text("clean"), text("other")])
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [
+        (None, text("twice")), (None, text("twice")), (None, text("known")), (9, text("known")), (3, text("known")), (5, text("same")), (5, text("same")), (5, text("apart")), (8, None), (8, None), (None, None)]], schema)
+    got = sorted(((r.doc_id, r.text) for r in cp.ngram_jaccard(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(None, text("twice")), (3, text("known")), (5, text("same")), (5, text("apart")), (8, None), (8, None), (None, None)], key=str)
+    assert cp.ngram_jaccard(spark, docs, SF).columns == docs.columns
