@@ -1,11 +1,11 @@
 """Licence scan with a positional rare-token index (operator 5).
 
 The index holds the words of the licence templates below with their positions. Every
-file's licence words are ranked by inverse document frequency (document frequencies are
-counted over the whole corpus), the postings of its ``RARE`` highest-IDF ones are looked
-up, and places that agree on the relative position (document position minus template
+template whose key phrase stands in a file is searched around that place: its ``RARE``
+words of highest inverse document frequency (counted over the whole corpus) vote, and
+places that agree on the relative position (document position minus template
 position) of at least two words become candidates; a template of a single rare word
-needs one. A candidate is verified when ``MIN_COVER`` of the template's words stand where
+needs one. What else a file holds takes no votes away. A candidate is verified when ``MIN_COVER`` of the template's words stand where
 they should and one of its mandatory key phrases stands inside the aligned region.
 
 Base phrases (``BASE``) are found wherever their words stand consecutively; their labels
@@ -118,26 +118,31 @@ def _consecutive(ids: np.ndarray, row: np.ndarray, phrase: np.ndarray) -> np.nda
 
 def _align(index: Index, idf: np.ndarray, ids: np.ndarray) -> list[tuple[int, int, float]]:
     """Verified (template, place, cover) alignments in one file's word ids."""
-    at = np.flatnonzero(ids >= 0)
-    if not len(at):
-        return []
-    present = np.unique(ids[at])
-    rare = present[np.argsort(-idf[present], kind="stable")][:RARE]
-    places = at[np.isin(ids[at], rare)]
-    votes: dict[tuple[int, int], int] = {}
-    for p in places.tolist():
-        for t, q in index.postings[ids[p]]:
-            votes[t, p - q] = votes.get((t, p - q), 0) + 1
-    out = []
-    for (t, a), n in votes.items():
-        seq = index.templates[t]
-        if n < min(2, int(np.isin(seq, rare).sum())):
+    one_row, out = np.zeros(len(ids), dtype=np.int8), []
+    for t, seq in enumerate(index.templates):
+        keys = np.concatenate([_consecutive(ids, one_row, k) for k in index.keys[t]])
+        if not len(keys):
             continue
-        lo, hi = max(a, 0), min(a + len(seq), len(ids))
-        cover = float((ids[lo:hi] == seq[lo - a:hi - a]).sum()) / len(seq)
-        region = ids[lo:hi]
-        if cover >= MIN_COVER and any(len(_consecutive(region, np.zeros(len(region)), k)) for k in index.keys[t]):
-            out.append((t, a, cover))
+        words = np.unique(seq)
+        rare = words[np.argsort(-idf[words], kind="stable")][:RARE]
+        edges = np.zeros(len(ids) + 1, dtype=np.int64)  # a template's words stand less than its length from its key phrase
+        np.add.at(edges, np.maximum(keys - len(seq), 0), 1)
+        np.add.at(edges, np.minimum(keys + len(seq), len(ids)), -1)
+        near = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+        places = near[np.isin(ids[near], rare)]
+        votes: dict[int, int] = {}
+        for p in places.tolist():
+            for u, q in index.postings[ids[p]]:
+                if u == t:
+                    votes[p - q] = votes.get(p - q, 0) + 1
+        for a, n in votes.items():
+            if n < min(2, len(rare)):
+                continue
+            lo, hi = max(a, 0), min(a + len(seq), len(ids))
+            region = ids[lo:hi]
+            cover = float((region == seq[lo - a:hi - a]).sum()) / len(seq)
+            if cover >= MIN_COVER and any(len(_consecutive(region, one_row, k)) for k in index.keys[t]):
+                out.append((t, a, cover))
     return out
 
 

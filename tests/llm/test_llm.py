@@ -175,6 +175,16 @@ def test_op5_base_equals_brute_force(spark):
     assert got[10**6 + 2].labels == "mit" and got[10**6 + 5].labels == "cc-by,cc-by-nc-4.0" and got[10**6 + 6].labels == "mit"
 
 
+def test_op5_all_notices_of_a_long_file(spark):
+    notices = "\n\n".join(f"{n}. {text}." for n, (_, text, _) in enumerate(licenses.TEMPLATES))
+    filler = " ".join(licenses.Index().vocabulary)
+    rows = [(1, notices), (2, f"{filler} plain words between. {licenses.TEMPLATES[7][1]} {'x ' * 500} licensed under cc by nc 4 0"), (3, filler)]
+    rows += [(10 + i, f"{label} {text}") for i, (label, text, _) in enumerate(licenses.TEMPLATES) for _ in range(3)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert {n.label for n in got[1].notices} == {label for label, _, _ in licenses.TEMPLATES} and len(got[1].notices) >= len(licenses.TEMPLATES)
+    assert {"bsd", "cc-by-nc-4.0"} <= set(got[2].labels.split(",")) and got[2].score == 1 and not got[3].notices
+
+
 def test_op5_edges(spark):
     got = licenses.scan_licenses(frame(spark, EDGES)).collect()
     assert len(got) == len(EDGES) and not any(r.labels or r.score for r in got)
