@@ -4,8 +4,9 @@ A small tree builder reads tags as browsers do where it matters for text: void a
 text elements, implied end tags (a block ends a paragraph, an item the item before it,
 a cell the cell before it, ...), stray end tags ignored, depth limited to ``DEPTH`` (deeper elements
 become siblings). A renderer walks the tree: elements that are not displayed (by tag,
-``hidden``, ``display:none``, ``visibility:hidden``, closed ``details`` and ``dialog``)
-give nothing; white space collapses outside ``pre``; paragraphs, headings, lists and
+``hidden``, ``display:none``, closed ``details`` and ``dialog``) give nothing; visibility
+is inherited, and what is invisible gives no text; labels of drawings (svg) stand on lines of
+their own, formulas (math) in line; text fields show their values; white space collapses outside ``pre``; paragraphs, headings, lists and
 tables stand between blank lines; list items get bullets or their numbers and hang;
 table cells are padded to columns, spans included.
 
@@ -32,7 +33,7 @@ from factlens.llm.tables import arrow_map
 DEPTH = 256
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("script style template head title meta link noscript iframe noembed noframes datalist object audio video canvas svg math area map param source track".split())
+UNSEEN = frozenset("script style template head title meta link noscript iframe noembed noframes datalist object audio video canvas area param source track".split())
 BLOCKS = frozenset("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption tr ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl pre blockquote table figure hr fieldset".split())
 # Opening one of the right ends an open element of the left, up to the fence.
@@ -51,15 +52,21 @@ FENCE = frozenset(("td", "th", "table", "caption", "body", "html", "template", "
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)[^>]*+>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACES = re.compile(r"[ \t\n\f\r]+")
-HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)", re.I)
+HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|initial|hidden|collapse)\b", re.I)
+FOREIGN = frozenset(("svg", "math"))
+SVG_UNSEEN = frozenset("defs symbol desc metadata clippath mask marker pattern lineargradient radialgradient filter".split())
+MATH_UNSEEN = frozenset("annotation annotation-xml mphantom".split())
+MATH_TOKENS = frozenset("mi mn mo mtext ms".split())
+VALUELESS = frozenset("hidden password checkbox radio file image color range".split())
 PRESERVED = re.compile(r"(?:^|;)\s*white-space\s*:\s*(?:pre|pre-wrap|break-spaces)\b", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "seen")
 
     def __init__(self, tag: str, attrs: dict[str, str]) -> None:
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.seen = tag, attrs, [], True
 
 
 def build(page: str) -> Node:
@@ -108,7 +115,7 @@ def build(page: str) -> Node:
             close(*IMPLIED[tag])
         node = Node(tag, attrs)
         stack[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID or (m[3].endswith("/") and (tag in FOREIGN or any(n.tag in FOREIGN for n in stack))):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -127,6 +134,21 @@ def hidden(node: Node) -> bool:
             or (node.tag == "dialog" and "open" not in a) or (node.tag == "input" and a.get("type", "").lower() == "hidden"))
 
 
+def mark(root: Node) -> None:
+    """``seen`` of every element: its own visibility or that of the element it stands in."""
+    todo = [(root, False)]
+    while todo:
+        node, drawn = todo.pop()
+        drawn = drawn or node.tag == "svg"
+        for c in node.children:
+            if isinstance(c, Node):
+                own = VISIBILITY.findall(c.attrs["style"]) if "style" in c.attrs else []
+                if not own and (drawn or c.tag == "svg") and "visibility" in c.attrs:
+                    own = [c.attrs["visibility"].strip()]
+                c.seen = own[-1].lower() in ("visible", "initial") if own else node.seen
+                todo.append((c, drawn))
+
+
 def width(s: str) -> int:
     return len(s) if s.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
@@ -207,19 +229,53 @@ def label(n: int, kind: str) -> str:
 def walk(node: Node, out: Lines, pre: bool = False, depth: int = 0) -> None:
     for child in node.children:
         if isinstance(child, str):
-            out.text(child, pre)
+            if node.seen:
+                out.text(child, pre)
         elif not hidden(child):
             element(child, out, pre, depth)
 
 
+def drawing(node: Node, out: Lines, pre: bool, depth: int) -> None:
+    for c in node.children:  # text that stands outside of text elements is not shown
+        if isinstance(c, str) or hidden(c) or c.tag in SVG_UNSEEN or c.attrs.get("display") == "none":
+            continue
+        if c.tag in ("text", "foreignobject"):
+            out.end_line()
+            walk(c, out, pre, depth)
+            out.end_line()
+        else:
+            drawing(c, out, pre, depth)
+
+
+def formula(node: Node, out: Lines, depth: int) -> None:
+    for i, c in enumerate(node.children):
+        if isinstance(c, str):
+            if node.seen and c.strip():
+                out.text(c, False)
+        elif not hidden(c) and c.tag not in MATH_UNSEEN:
+            if c.tag == "mtr":
+                out.end_line()
+            elif c.tag in ("mtd", "mspace") or node.tag == "mfrac":
+                out.text(" ", False)
+            walk(c, out, False, depth) if c.tag in MATH_TOKENS else formula(c, out, depth)
+    if node.tag in ("mtable", "mfrac"):
+        out.end_line() if node.tag == "mtable" else out.text(" ", False)
+
+
 def element(node: Node, out: Lines, pre: bool, depth: int) -> None:
     tag = node.tag
     if tag == "br":
-        return out.end_line(True)
+        return out.end_line(True) if node.seen else None
+    if tag == "svg":
+        return drawing(node, out, pre, depth)
+    if tag == "math":
+        return formula(node, out, depth)
+    if tag == "tspan" and {"x", "y", "dy"} & node.attrs.keys():
+        out.text(" ", False)
     if tag == "wbr" or tag == "img":
         return None
     if tag == "input":
-        return out.text(node.attrs.get("value", "") if node.attrs.get("type", "").lower() in ("submit", "button", "reset") else "", False)
+        return out.text(node.attrs.get("value", "") if node.seen and node.attrs.get("type", "").strip().lower() not in VALUELESS else "", False)
     if tag not in BLOCKS:
         return walk(node, out, pre or ("style" in node.attrs and PRESERVED.search(node.attrs["style"]) is not None), depth)
     gap = 1 if tag in SPACED and not (tag in ("ul", "ol", "menu") and depth) else 0
@@ -254,7 +310,8 @@ def listed(node: Node, out: Lines, pre: bool, depth: int) -> None:
     n = number(node, "start", len(items) if step < 0 else 1)
     for child in node.children:
         if isinstance(child, str):
-            out.text(child, pre)
+            if node.seen:
+                out.text(child, pre)
         elif hidden(child):
             continue
         elif child.tag == "li":
@@ -265,7 +322,7 @@ def listed(node: Node, out: Lines, pre: bool, depth: int) -> None:
             if out.marker is not None:
                 out._put("")
             out.indent.append(" " * len(marker))
-            out.marker = marker
+            out.marker = marker if child.seen else None
             walk(child, out, pre, depth + 1)
             out.end_line()
             if out.marker is not None:
@@ -289,7 +346,8 @@ def table(node: Node) -> list[str]:
     loose = Lines()
     for c in node.children:  # captions and text that stands outside of cells come first
         if isinstance(c, str):
-            loose.text(c, False)
+            if node.seen:
+                loose.text(c, False)
         elif not hidden(c) and c.tag not in ("tr", "thead", "tbody", "tfoot", "col", "colgroup"):
             element(c, loose, False, 0)
             loose.end_line()
@@ -299,7 +357,7 @@ def table(node: Node) -> list[str]:
         cells, col = [], 0
         for c in tr.children:
             if isinstance(c, str):
-                if c.strip():
+                if c.strip() and tr.seen:
                     loose.text(c, False)
                 continue
             if hidden(c):
@@ -343,8 +401,9 @@ def table(node: Node) -> list[str]:
 
 
 def render(page: str) -> str:
-    out = Lines()
-    walk(build(page), out)
+    out, root = Lines(), build(page)
+    mark(root)
+    walk(root, out)
     return "\n".join(out.done())
 
 

@@ -82,6 +82,18 @@ def test_op2_layout():
     assert [html_layout.render(p) for p in ("", "<", "a < b", "<p", "<!-- open", "<div>" * 3000 + "x")] == ["", "<", "a < b", "", "", "x"]
 
 
+def test_op2_drawings_formulas_visibility_and_fields():
+    r = html_layout.render
+    assert r('<p>a</p><svg viewBox="0 0 1 1"><title>no</title><defs><text>no</text></defs><rect x="1"/><path d="M0"/><g><text x=1>Label <tspan>one</tspan><tspan dy=1>two</tspan></text>'
+             '<text visibility="hidden">no</text></g><foreignObject><div>inside</div></foreignObject>no</svg><p>b</p>') == "a\n\nLabel one two\ninside\n\nb"
+    assert r("x <svg><path d='M0'/></svg> y") == "x y"
+    assert r("so <math><mrow><mi>x</mi><mo>=</mo>\n<mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>no</annotation></math> holds") == "so x= 1 2 holds"
+    assert r("<map name=m>see <a href=x>the plan</a><area alt=no></map>") == "see the plan"
+    assert r('<div style="visibility:hidden">no<br><b style="visibility: visible">yes</b><ul><li>no<li style="visibility:visible">item</ul><input value=no></div>after') == "yes\n\n- item\n\nafter"
+    assert r('<table style="visibility:hidden"><tr><td>no<td style="visibility:visible">cell</table>') == "cell"
+    assert r('<input value="Ann"> <input type=email value=a@b> <input type=password value=no><input type=checkbox value=no><input type=hidden value=no><input type=submit value=Go>') == "Ann a@b Go"
+
+
 def test_op2_edges(spark):
     pages = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "<p>x", "c"), (3, "<p>x", "c"), (3, "<p>x", "c")], "page_id long, html string, text string")
     got = sorted(((r.page_id, r.text) for r in html_layout.render_pages(pages).collect()), key=str)
