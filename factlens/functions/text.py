@@ -247,6 +247,33 @@ def map_label(col) -> Column:
     return out
 
 
+# Fixed value: the reference's name of a label without any class digit.
+ERROR_LABEL = "ERROR - WHAT?!?"
+
+
+def map_label_by_digit(col) -> Column:
+    """Verdict name of the first class digit (0, 1, 2, tried in this order) that stands anywhere in the label, else the error label."""
+    x = _c(col)
+    out = F.when(x.isNotNull(), F.lit(ERROR_LABEL))
+    for i in reversed(range(len(VERDICT_LABELS))):
+        out = F.when(x.contains(str(i)), F.lit(VERDICT_LABELS[i])).otherwise(out)
+    return out
+
+
+def label_id(col) -> Column:
+    """Class id of a verdict name; null for any other label."""
+    x = _c(col)
+    out = F.lit(None).cast("int")
+    for i, name in enumerate(VERDICT_LABELS):
+        out = F.when(x == name, F.lit(i)).otherwise(out)
+    return out
+
+
+def claim_label(col) -> Column:
+    """``LABEL_1`` -> Claim, anything else -> Opinion."""
+    return F.when(_c(col) == "LABEL_1", "Claim").otherwise("Opinion")
+
+
 # P17 ---------------------------------------------------------------------------
 
 def chunk_id(url_col, idx_col) -> Column:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factlens.functions import text as T
+from factlens.operators.ml import claim_topic, constant_label
 from factlens.operators.responses import parse_responses
 
 PY_URL = re.compile(r'http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+')
@@ -67,6 +68,14 @@ def test_map_label_and_slug(spark):
     assert _one(spark, ["Hello, World! 123 and more"], T.slug) == ["helloworld12"]
 
 
+def test_label_variants(spark):
+    assert _one(spark, ["LABEL_0", "x1", "2", "12", "none", None], T.map_label_by_digit) == ["SUPPORTS", "REFUTES", "NOT ENOUGH INFO", "REFUTES", "ERROR - WHAT?!?", None]
+    assert _one(spark, ["SUPPORTS", "REFUTES", "NOT ENOUGH INFO", "LABEL_0", None], T.label_id) == [0, 1, 2, None, None]
+    assert _one(spark, ["LABEL_1", "LABEL_0", None], T.claim_label) == ["Claim", "Opinion", "Opinion"]
+    df = spark.createDataFrame([(0, 1), (1, 0), (2, None)], "i int, y int")
+    assert [tuple(r) for r in df.orderBy("i").select(claim_topic("y"), constant_label()).collect()] == [("claim", "political"), ("other", "political"), ("other", "political")]
+
+
 def test_response_parsing(spark):
     df = spark.createDataFrame([(1, '{"who": "A", "what": "B"}'), (2, 'assistant\nsure {"who": "C"} ok'),
                                 (3, "no json here"), (4, "{broken")], "id int, response string")
