@@ -51,9 +51,10 @@ CROWD_TIE, CROWD_CORE, MEET = 0.4, 0.75, 0.2  # the same in crowded buckets, and
 def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, levels: int = LEVELS) -> int:
     """Runs until a pair at the threshold is missed with probability at most 1 - recall.
 
-    A pair of equal sizes shares on average 2/(1+threshold) chosen tokens a level; the chance that
-    a common path survives is that of a branching process."""
-    mean, alive = 2 / (1 + threshold), 1.0
+    A pair shares on average common / (threshold * larger size) chosen tokens a level: 2/(1+threshold) for
+    equal sizes, and least, 1, for a set inside a larger one. The chance that a common path survives is that
+    of a branching process."""
+    mean, alive = 1.0, 1.0
     for _ in range(levels):
         alive = 1 - math.exp(-mean * alive)
     return math.ceil(math.log(1 - recall) / math.log(1 - alive))

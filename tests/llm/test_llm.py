@@ -247,6 +247,13 @@ def test_op6_equals_brute_force(spark):
     assert sum(v[1] for v in want.values()) > 100
 
 
+def test_op6_runs_hold_the_recall_for_any_sizes():
+    alive = 1.0
+    for _ in range(jaccard_join.LEVELS):  # a set inside another one: one common chosen token a level
+        alive = 1 - 2.718281828459045 ** -alive
+    assert (1 - alive) ** jaccard_join.runs_for() <= 1 - jaccard_join.RECALL + 1e-12
+
+
 def test_op6_edges(spark):
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(frame(spark, EDGES)).collect()), key=str)
     assert got == sorted([(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 1), (6, 5, 1), (None, None, 0), (7, 7, 0), (8, 8, 1), (9, 8, 1)], key=str)
