@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlens.llm import words as W
-from factlens.llm.components import components
+from factlens.llm.components import components, forest
 from factlens.llm.tables import arrow_map, stored
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -211,19 +211,6 @@ def _shared(sets_a: list, sets_b: list, columns: int = 8192) -> np.ndarray:
     return out
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest member of the component of each of 0..n-1 under the edges (a, b)."""
-    label = np.arange(n)
-    while True:
-        low = label.copy()
-        np.minimum.at(low, a, label[b])
-        np.minimum.at(low, b, label[a])
-        low = low[low]
-        if (low == label).all():
-            return label
-        label = low
-
-
 def _verify(threshold: float):
     """Counts of verified links and a spanning forest per (component, block, block)."""
 
@@ -245,7 +232,7 @@ def _verify(threshold: float):
             linked = (both >= np.ceil(threshold * (sa[:, None] + sb[None, :]) / (1 + threshold) - 1e-9)) & (ia[:, None] != ib[None, :])
             i, j = np.nonzero(linked)
             n = len(a) + (0 if p == q else len(b))
-            label = _forest(n, i, j if p == q else j + len(a))
+            label = forest(n, i, j if p == q else j + len(a))
             nodes = ia if p == q else np.concatenate([ia, ib])
             links = linked @ wb if p == q else np.concatenate([linked @ wb, wa @ linked])
             yield from zip(nodes.tolist(), nodes[label].tolist(), links.astype(np.int64).tolist())

@@ -173,3 +173,83 @@ def op2_html_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     text = render_pages(read(spark, sf_dir, "pages"))
     return text.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factlens.llm.prefix_trie import prefix_trie, sequences, with_shared_starts
+
+    return prefix_trie(with_shared_starts(sequences(read(spark, sf_dir, "conversations"))))
+
+
+def crc32_sql(codes: str) -> str:
+    """DuckDB: the unsigned crc32 of a list of byte values; -1 stands for one step of the division."""
+    steps = f"flatten(list_transform({codes}, lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    fold = "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), {fold}), 4294967295)"
+
+
+_CRC_ID = crc32_sql("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)")
+
+ORACLE["op11_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, md5(coalesce(role, '') || chr(10) || coalesce(text, '')) AS k, length(coalesce(text, '')) AS s,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_CRC_ID} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, n, k, s FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND n <= h
+      UNION ALL SELECT c.conv_id, n, k, s FROM c JOIN t USING (conv_id) WHERE n > h),
+l AS (SELECT conv_id, coalesce(ks, []) AS ks, ss FROM (SELECT DISTINCT conv_id FROM t)
+      LEFT JOIN (SELECT conv_id, list(k ORDER BY n) AS ks, list(s ORDER BY n) AS ss FROM r GROUP BY conv_id) USING (conv_id)),
+p AS (SELECT conv_id, ks, ss, unnest(range(len(ks) + 1)) AS d FROM l),
+nodes AS (SELECT array_to_string(list_slice(ks, 1, d), ',') AS path, d, min(conv_id) AS conv_id, any_value(list_slice(ks, 1, d)) AS ks, count(*) AS n_convs,
+                 coalesce(any_value(ss[d]), 0) AS size, string_agg(CASE WHEN len(ks) = d THEN conv_id END, ',' ORDER BY conv_id) AS ends FROM p GROUP BY 1, 2),
+kids AS (SELECT array_to_string(list_slice(ks, 1, d - 1), ',') AS path, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+own AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (path, d)),
+up AS (SELECT ks, n_children, (n_convs - 1) * size AS saved, unnest(range(d + 1)) AS d FROM own),
+below AS (SELECT array_to_string(list_slice(ks, 1, d), ',') AS path, d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved FROM up GROUP BY 1, 2)
+SELECT o.conv_id, o.d::BIGINT AS depth, par.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(o.ends, '')) AS ends_sha256
+FROM own o JOIN below USING (path, d) LEFT JOIN nodes par ON par.d = o.d - 1 AND par.path = array_to_string(list_slice(o.ks, 1, o.d - 1), ',')"""
+
+
+@query
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factlens.llm.importance import importance_resample
+
+    return importance_resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_CRC_WORD = crc32_sql("list_transform(range(octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT)")
+
+ORACLE["op12_importance_resample"] = f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS ws, row_number() OVER () AS r FROM documents),
+b AS (SELECT unnest({_ALNUM}) AS w FROM benchmark),
+dw AS (SELECT r, unnest(ws) AS w FROM d),
+v AS (SELECT w, {_CRC_WORD} % 10000 AS bucket FROM (SELECT w FROM dw UNION SELECT w FROM b)),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN v USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN v USING (w) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM dw) AS sn, (SELECT count(*) FROM b) AS tn),
+g AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (sn + 10000)) / ((s + 1)::DOUBLE * (tn + 10000)))) AS gain FROM s LEFT JOIN t USING (bucket), n),
+x AS (SELECT r, count(*) AS k, floor(sum(gain) / count(*)) AS weight FROM dw JOIN v USING (w) JOIN g USING (bucket) GROUP BY r),
+y AS (SELECT doc_id, coalesce(k, 0) AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT AS h
+      FROM d LEFT JOIN x USING (r)),
+z AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM y),
+q AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place, count(*) FILTER (n_features >= 20) OVER () AS able FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM q"""
+
+
+@query
+def op13_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factlens.llm.odd_sketch import odd_sketch_components
+
+    return odd_sketch_components(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_odd_sketch"] = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS g FROM (SELECT r, w, unnest(range(greatest(len(w) - 4, least(len(w), 1)))) AS i FROM d)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+o AS (SELECT a.r AS u, b.r AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+e AS (SELECT u, v FROM o JOIN n x ON x.r = u JOIN n y ON y.r = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+m(r, root) AS (SELECT r, r FROM d UNION SELECT e.v, m.root FROM m JOIN e ON e.u = m.r)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, k.c AS component_id, d.doc_id IS NOT DISTINCT FROM k.c AS kept
+FROM d LEFT JOIN n USING (r) JOIN (SELECT root AS r, min(x.doc_id) AS c FROM m JOIN d x ON x.r = m.r GROUP BY root) k USING (r)"""

@@ -1,9 +1,10 @@
 """Vectorised words, word hashes and word windows over blocks of texts.
 
 Arrow string columns arrive as one byte buffer with offsets; everything here works on
-such a buffer with numpy, so no Python object is made per word. Two word rules are used:
+such a buffer with numpy, so no Python object is made per word. Three word rules are used:
 
 * ``SPACE``: words are the runs of ``[^\\x20\\x09-\\x0D]``, unchanged;
+* ``SPACE_LOWER``: the same words, A-Z lower-cased;
 * ``ALNUM``: A-Z lower-cased, words are the runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.
 
 Both separators sets are ASCII, so working on UTF-8 bytes equals working on characters.
@@ -42,6 +43,7 @@ def _alnum_rule():
 
 
 SPACE, ALNUM = _space_rule(), _alnum_rule()
+SPACE_LOWER = SPACE[0], ALNUM[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
