@@ -4,18 +4,22 @@ tokens:   doc_id, tok_i, char_idx, text, pos, lemma, is_stop, is_alpha
 entities: doc_id, start_tok, end_tok, label, text
 
 Any annotator producing these two tables can be plugged into keywords / pronoun
-resolution (e.g. a model run with ``mapInPandas``). This default one uses only JVM
-expressions: tokens come from ``regexp_extract_all``, their character offsets from
-a running sum over the gaps between tokens (window per document), entities are
-runs of capitalised non-stop tokens (gaps-and-islands), labelled by small rule
-tables. It is a deliberately simple stand-in for a linguistic model.
+resolution (e.g. a model run with ``mapInPandas``). This default one works document by document, without
+a shuffle: tokens and the gaps between them come from JVM regular expressions; offsets (running sums over gaps and tokens), previous
+tokens and runs of capitalised non-stop tokens (the entities, labelled by small rule tables) from vectorised steps over
+all tokens of an Arrow batch. It is a deliberately simple stand-in for a linguistic model.
 """
 
 from __future__ import annotations
 
 import calendar
+import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlens.functions.text import WS
@@ -46,6 +50,7 @@ being have has had having do does did doing would could might must shall may als
 # Our own rule tables for entity labels.
 ORG_SUFFIXES = ("inc", "corp", "party", "ministry", "council", "university", "company", "bank",
                 "association", "agency", "committee", "senate", "congress", "court", "union", "news")
+VERB_ENDINGS = ("ing", "ed")
 NORP_ENDINGS = ("ans", "ese", "ish", "ians")
 GPE_NAMES = ("america", "united states", "usa", "china", "russia", "ukraine", "france", "germany", "spain",
              "italy", "india", "japan", "canada", "mexico", "brazil", "israel", "iran", "texas", "california",
@@ -59,49 +64,77 @@ def default_exclusions() -> list[str]:
     return [d.lower() for d in calendar.day_name] + [m.lower() for m in calendar.month_name if m]
 
 
-def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+TOKENS = "array<struct<tok_i:int,char_idx:int,text:string,pos:string,lemma:string,is_stop:boolean,is_alpha:boolean>>"
+ENTITIES = "array<struct<start_tok:int,end_tok:int,label:string,text:string>>"
+
+
+def _is_in(values: pa.Array, words) -> np.ndarray:
+    return pc.is_in(values, value_set=pa.array(list(words), pa.string())).to_numpy(zero_copy_only=False)
+
+
+def _annotations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, tokens, lengths of the gaps before them) to (id, toks, ents); all tokens of a batch at once."""
+    tok_names, ent_names = (re.findall(r"(\w+):", t) for t in (TOKENS, ENTITIES))
+    for batch in batches:
+        lists, gap_lists = (c if c.null_count == 0 else pc.fill_null(c, pa.scalar([], c.type)) for c in (batch.column(1), batch.column(2)))
+        ends = lists.offsets.to_numpy()
+        text = lists.values.slice(int(ends[0]), int(ends[-1] - ends[0])).cast(pa.string())
+        ends = ends - ends[0]
+        n, counts = len(text), np.diff(ends)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        at = np.arange(n) - np.repeat(ends[:-1], counts)
+        gap_ends = gap_lists.offsets.to_numpy()
+        gaps = gap_lists.values.to_numpy(zero_copy_only=False)[np.repeat(gap_ends[:-1], counts) + at]  # one more gap than tokens
+        length = pc.utf8_length(text).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(gaps + length)
+        before = np.concatenate([[0], upto])[np.repeat(ends[:-1], counts)]
+        low = pc.utf8_lower(text)
+        first = pc.utf8_slice_codeunits(text, 0, 1)
+        title = pc.and_(pc.equal(first, pc.utf8_upper(first)), pc.not_equal(first, pc.utf8_lower(first))).to_numpy(zero_copy_only=False)
+        match = lambda values, rule: pc.match_substring_regex(values, rule).to_numpy(zero_copy_only=False)
+        alpha, stop = match(text, r"^\p{L}+$"), _is_in(low, STOP_WORDS)
+        ends_sentence = _is_in(text, (".", "!", "?"))
+        prev_open = np.concatenate([[False], ~ends_sentence[:-1]]) & (at > 0) if n else np.zeros(0, bool)
+        verb = alpha & np.logical_or.reduce([pc.ends_with(low, s).to_numpy(zero_copy_only=False) for s in VERB_ENDINGS])
+        pos = np.select([_is_in(low, PRONOUN_CLASSES), match(text, "^[0-9]+$"), ~match(text, r"[\p{L}\p{N}]"), title & ~stop & prev_open, verb],
+                        ["PRON", "NUM", "PUNCT", "PROPN", "VERB"], "NOUN")
+        toks = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array((upto - length - before).astype(np.int32)), text, pa.array(pos.astype(object), pa.string()), low,
+                                           pa.array(stop), pa.array(alpha)], names=tok_names)
+        cap = title & alpha & ~stop
+        new = cap & np.concatenate([[True], ~cap[:-1] | (doc[1:] != doc[:-1])]) if n else cap
+        start = np.flatnonzero(new)
+        run = np.cumsum(new)[cap] - 1
+        size = np.bincount(run, minlength=len(start))
+        named = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), text.filter(pa.array(cap)))
+        name = pc.binary_join(named, " ")
+        low_name = pc.utf8_lower(name)
+        last = low.take(pa.array(start + size - 1))
+        norp = np.logical_or.reduce([pc.ends_with(low_name, s).to_numpy(zero_copy_only=False) for s in NORP_ENDINGS]) & (size == 1)
+        label = np.select([_is_in(low_name, GPE_NAMES), _is_in(last, ORG_SUFFIXES), norp], ["GPE", "ORG", "NORP"], "PERSON")
+        ents = pa.StructArray.from_arrays([pa.array(at[start].astype(np.int32)), pa.array((at[start] + size).astype(np.int32)), pa.array(label.astype(object), pa.string()), name],
+                                          names=ent_names)
+        ent_ends = np.searchsorted(doc[start], np.arange(len(counts) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), toks), pa.ListArray.from_arrays(pa.array(ent_ends), ents)],
+                                         names=["doc_id", "toks", "ents"])
+
+
+def annotate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``doc_id, toks, ents`` (the rows of both tables as lists, in order). One scan, no shuffle."""
     toks = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_RE), 0)
-    gaps = F.split(F.col(text_col), TOKEN_RE, -1)
-    d = docs.select(F.col(id_col).alias("doc_id"), F.arrays_zip(toks.alias("t"), gaps.alias("g")).alias("z"))
-    e = d.select("doc_id", F.posexplode_outer("z").alias("tok_i", "p")).where(F.col("p.t").isNotNull())
-    w = Window.partitionBy("doc_id").orderBy("tok_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = F.char_length("p.g") + F.char_length("p.t")
-    e = e.select("doc_id", "tok_i", F.col("p.t").alias("text"),
-                 (F.sum(step).over(w) - F.char_length("p.t")).cast("int").alias("char_idx"))
-    low = F.lower("text")
-    first = F.substring("text", 1, 1)
-    is_alpha = F.col("text").rlike(r"^\p{L}+$")
-    is_title = (first == F.upper(first)) & (first != F.lower(first))
-    is_stop = low.isin(*STOP_WORDS)
-    prev = F.lag("text", 1).over(Window.partitionBy("doc_id").orderBy("tok_i"))
-    pos = (F.when(low.isin(*PRONOUN_CLASSES), "PRON")
-           .when(F.col("text").rlike(r"^[0-9]+$"), "NUM")
-           .when(~F.col("text").rlike(r"[\p{L}\p{N}]"), "PUNCT")
-           .when(is_title & ~is_stop & prev.isNotNull() & ~prev.isin(".", "!", "?"), "PROPN")
-           .otherwise("NOUN"))
-    return e.select("doc_id", "tok_i", "char_idx", "text", pos.alias("pos"), low.alias("lemma"),
-                    is_stop.alias("is_stop"), is_alpha.alias("is_alpha"), is_title.alias("_title"))
-
-
-def entities(toks: DataFrame) -> DataFrame:
-    """Runs of capitalised, alphabetic, non-stop tokens."""
-    cap = F.col("_title") & F.col("is_alpha") & ~F.col("is_stop")
-    w = Window.partitionBy("doc_id").orderBy("tok_i")
-    t = toks.select("doc_id", "tok_i", "text", cap.alias("_cap"))
-    t = t.withColumn("_run", F.col("tok_i") - F.sum(F.col("_cap").cast("int")).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("_cap")
-    ents = t.groupBy("doc_id", "_run").agg(
-        F.min("tok_i").alias("start_tok"), (F.max("tok_i") + 1).alias("end_tok"),
-        F.array_join(F.array_sort(F.collect_list(F.struct("tok_i", "text")))["text"], " ").alias("text"))
-    low = F.lower("text")
-    last = F.lower(F.element_at(F.split("text", " "), -1))
-    label = (F.when(low.isin(*GPE_NAMES), "GPE").when(last.isin(*ORG_SUFFIXES), "ORG")
-             .when(F.exists(F.array(*[F.lit(s) for s in NORP_ENDINGS]), lambda s: F.endswith(low, s))
-                   & ~F.col("text").contains(" "), "NORP")
-             .otherwise("PERSON"))
-    return ents.select("doc_id", "start_tok", "end_tok", label.alias("label"), "text")
+    gaps = F.transform(F.split(F.col(text_col), TOKEN_RE, -1), lambda g: F.char_length(g))
+    d = docs.select(F.col(id_col).alias("doc_id"), toks.alias("t"), gaps.alias("g"))
+    kind = d.schema["doc_id"].dataType.simpleString()
+    return d.mapInArrow(_annotations, f"doc_id {kind}, toks {TOKENS}, ents {ENTITIES}")
+
+
+def tokens_of(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.explode("toks").alias("t")).select("doc_id", "t.*")
+
+
+def entities_of(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.explode("ents").alias("e")).select("doc_id", "e.*")
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    t = tokens(docs, id_col, text_col)
-    return t.drop("_title"), entities(t)
+    rows = annotate_rows(docs, id_col, text_col)
+    return tokens_of(rows), entities_of(rows)

@@ -1,6 +1,6 @@
 """Word-window chunking, chunk store maintenance and adjacent-chunk merging.
 
-U2 chunk_words, U3 chunk_articles, K3 append_chunks, J3 new_urls_only,
+U2 chunk_words, U3 chunk_articles, K3 append_chunks / append_version, J3 new_urls_only,
 W1/W2 merge_adjacent, A13 store_stats, L2 ordered_chunks.
 
 All of it is per-row array work or key-partitioned windows: a document's chunks are
@@ -109,22 +109,49 @@ def path_exists(spark, path: str) -> bool:
     return jp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jp)
 
 
+STORE_BUCKETS = 64
+
+
+def url_bucket(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(STORE_BUCKETS)).cast("int")
+
+
 def append_chunks(spark, store_path: str, new_chunks: DataFrame) -> DataFrame:
     """K3. Idempotent append: chunks of urls that the store holds completely are skipped,
     and so is every chunk it holds of the others, so a re-run (or a retried micro-batch)
-    appends nothing twice and completes what a failed one left. Returns the store."""
+    appends nothing twice and completes what a failed one left. The store is kept in folders by the
+    hash of the url (``bucket``); only the folders of the batch's urls are read and added to. Returns the store."""
+    new_chunks = new_chunks.withColumn("bucket", url_bucket(F.col("url")))
     fresh = new_chunks
     if path_exists(spark, store_path):
-        asked = new_chunks.select(F.col("url").alias("_a")).distinct()
-        known = (spark.read.parquet(store_path).select(F.col("url").alias("_u"), F.col("chunk_id").alias("_id"), "total_chunks")
+        asked = new_chunks.select(F.col("url").alias("_a"), "bucket").distinct()
+        touched = [r.bucket for r in asked.select("bucket").distinct().collect()]  # at most STORE_BUCKETS numbers
+        known = (spark.read.parquet(store_path).where(F.col("bucket").isin(touched))
+                 .select(F.col("url").alias("_u"), F.col("chunk_id").alias("_id"), "total_chunks")
                  .join(asked, F.col("_u") == F.col("_a"), "left_semi"))
         complete = known.groupBy("_u").agg(F.count_distinct("_id").alias("_n"), F.max("total_chunks").alias("_t")).where("_n >= _t").select("_u")
         fresh = (new_chunks.join(complete, F.col("url") == F.col("_u"), "left_anti")
                  .join(known.select("_id").distinct(), F.col("chunk_id") == F.col("_id"), "left_anti"))
-    fresh.write.mode("append").parquet(store_path)
+    fresh.write.mode("append").partitionBy("bucket").parquet(store_path)
     return spark.read.parquet(store_path)
 
 
+def append_version(spark, store_path: str, new_chunks: DataFrame, version: int) -> DataFrame:
+    """K3 with a store version per batch: the chunks of urls that no earlier version holds become version ``version``
+    (a folder of its own, overwritten, so a repeated batch replaces its rows). Returns the store as of that version."""
+    fresh = new_chunks
+    if path_exists(spark, store_path):
+        earlier = spark.read.parquet(store_path).where(F.col("version") < version)
+        fresh = new_urls_only(new_chunks, earlier)
+    fresh.drop("version").write.mode("overwrite").parquet(f"{store_path.rstrip('/')}/version={version}")
+    return store_as_of(spark, store_path, version)
+
+
+def store_as_of(spark, store_path: str, version: int) -> DataFrame:
+    """The chunks of versions up to ``version``; folders of later ones are not read."""
+    return spark.read.option("basePath", store_path).parquet(store_path).where(F.col("version") <= version)
+
+
 def store_stats(chunks: DataFrame) -> DataFrame:
     """A13. total chunks, distinct articles, average chunks per article (0 when empty)."""
     return chunks.agg(

@@ -105,22 +105,21 @@ def wiki_text(html: str | None, drop_tags=WIKI_DROP_TAGS) -> str:
 
 
 def extract_article_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
-                         drop_tags=ARTICLE_DROP_TAGS) -> DataFrame:
-    """``id_col, content, word_count, success, error`` per page."""
-    drop = tuple(drop_tags)
+                         drop_tags=ARTICLE_DROP_TAGS, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """``id_col, content, word_count, success, error`` per page, and the columns ``keep``, so no caller has to join the pages again."""
+    drop, kept = tuple(drop_tags), [id_col, *keep]
 
     def run(it):
         for pdf in it:
             rows = [article_text(h, drop) for h in pdf[html_col]]
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(),
-                                "content": pd.Series([r[0] for r in rows], dtype="object"),
+            yield pd.DataFrame({**{c: pdf[c] for c in kept}, "content": pd.Series([r[0] for r in rows], dtype="object"),
                                 "word_count": pd.Series([r[1] for r in rows], dtype="int64"),
                                 "success": pd.Series([r[2] for r in rows], dtype="bool"),
                                 "error": pd.Series([r[3] for r in rows], dtype="object")})
 
-    typ = dict(pages.dtypes)[id_col]
-    return pages.select(id_col, html_col).mapInPandas(
-        run, f"{id_col} {typ}, content string, word_count bigint, success boolean, error string")
+    cols = ", ".join(f"`{c}` {dict(pages.dtypes)[c]}" for c in kept)
+    return pages.select(*kept, html_col).mapInPandas(
+        run, f"{cols}, content string, word_count bigint, success boolean, error string")
 
 
 def extract_wiki_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",

@@ -1,7 +1,8 @@
 """Keywords and keyword search: M1 extract_keywords, M2 search_queries,
 J7 keyword_search, J8 keyword_backoff.
 
-Keyword search is an inverted-index AND query written as joins:
+Over a stored corpus, searches run on an inverted index (``operators/inverted.py``). Over a
+table that is searched once, keyword search is the same AND query written as joins:
 claim keywords (few per claim) are semi-joined against the document term table so
 only terms some claim asks for are kept; candidates come from each claim's rarest
 keyword's posting list and are verified against the other keywords by an equi-join
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlens.functions.text import py_strip
+from factlens.operators import inverted as INV
 from factlens.operators.annotate import default_exclusions
 from factlens.operators.filters import date_window, domain_filter
 from factlens.session import ensure_checkpoint_dir
@@ -62,6 +64,22 @@ def extract_keywords(tokens: DataFrame, entities: DataFrame, exclude=None) -> Da
     return allk.select("doc_id", (F.row_number().over(w) - 1).cast("int").alias("kw_idx"), "keyword", "kind")
 
 
+def document_keywords(rows: DataFrame, exclude=None) -> DataFrame:
+    """M1 over ``annotate_rows``: ``doc_id, keywords`` (keyword, kind in order), made document by document without a shuffle; the
+    same as ``extract_keywords`` where lemmas are lower-case, as the default annotator's are. ``exclude`` is a list of words (a table of
+    them goes through ``extract_keywords``)."""
+    out = F.array(*(F.lit(w.lower()) for w in (default_exclusions() if exclude is None else exclude))).cast("array<string>")
+    kept = lambda c: ~F.array_contains(out, F.lower(c))
+    named = F.filter("ents", lambda e: e["label"].isin(*KEYWORD_ENTITY_LABELS))
+    named = F.filter(F.transform(named, lambda e: py_strip(e["text"])), lambda t: (F.char_length(t) > 1) & kept(t))
+    words = F.filter("toks", lambda t: t["pos"].isin(*KEYWORD_POS) & (F.char_length(t["text"]) > 3) & ~t["is_stop"] & t["is_alpha"] & kept(t["text"]))
+    x = rows.select("doc_id", named.alias("named"), F.transform(words, lambda t: t["lemma"]).alias("lemmas"))
+    words = F.array_except(F.transform("lemmas", F.lower), F.transform("named", F.lower))  # distinct, in first-seen order
+    both = F.concat(F.transform("named", lambda t: F.struct(t.alias("keyword"), F.lit("entity").alias("kind"))),
+                    F.transform(words, lambda t: F.struct(t.alias("keyword"), F.lit("word").alias("kind"))))
+    return x.select("doc_id", both.alias("keywords"))
+
+
 def search_queries(tokens: DataFrame, entities: DataFrame) -> DataFrame:
     """M2 (older form): PERSON/ORG/GPE/EVENT entity texts, then VERB lemmas (lower)
     of tokens longer than 3, no de-duplication."""
@@ -130,14 +148,17 @@ def claim_level_terms(keywords: DataFrame, levels) -> DataFrame:
     return x.select("claim_id", F.col("l.level").alias("level"), "term", F.col("l.lim").alias("lim"))
 
 
-def keyword_backoff(keywords: DataFrame, docs: DataFrame, levels=NEWS_LEVELS, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
+def keyword_backoff(keywords: DataFrame, docs: DataFrame | INV.InvertedIndex, levels=NEWS_LEVELS, id_col: str = "doc_id",
+                    text_col: str = "text", scope=None) -> DataFrame:
     """All levels searched in one pass; per claim the first level with at least
-    one hit wins, limited to that level's result count."""
-    lt = claim_level_terms(keywords, levels)
+    one hit wins, limited to that level's result count. ``docs`` is a table or a stored index (then ``scope`` may cut it)."""
+    lt = claim_level_terms(keywords, levels).select("claim_id", "level", "term")
     # the largest page size bounds every level's ranking (partial top-k per task)
-    hits = keyword_search(lt.select("claim_id", "level", "term"), docs, id_col, text_col,
-                          limit=max(lim for _, lim in levels), level_col="level")
+    most = max(lim for _, lim in levels)
+    if isinstance(docs, INV.InvertedIndex):
+        hits = INV.search(docs, lt, ["claim_id", "level"], most, scope)
+    else:
+        hits = keyword_search(lt, docs, id_col, text_col, limit=most, level_col="level")
     lim = F.element_at(F.array(*[F.lit(m) for _, m in levels]), F.col("level") + 1)
     hits = hits.where(F.col("rank") <= lim)
     best = hits.groupBy("claim_id").agg(F.min("level").alias("level"))

@@ -1,16 +1,11 @@
 """Vector retrieval: M7 embed_text, J5 knn_join, J6 multi_query_retrieve, W3 top_k,
 L1 select_evidence.
 
-k-NN plan (exact). Queries and items are hashed into a grid of blocks, the query
-block ``qb`` and the item block ``ib``. Each query row is replicated once per item
-block and each item row once per query block, and ``cogroup`` on ``(qb, ib)`` hands
-one task a bounded tile (``<= q_block`` queries x ``<= i_block`` items; the item
-block, 64 MB of 64-dim vectors, is what a task holds). The task
-scores the tile with numpy matrix products in sub-batches and emits only its local
-top-k per query. A window over ``qid`` then keeps the global top-k from
-``IB * k`` candidates per query. Shuffle volume is ``nq*IB + ni*QB`` rows plus
-``nq*IB*k`` candidates: never ``nq*ni`` pairs, never a whole side in one task, and
-nothing passes through the driver except two row counts.
+k-NN (exact) runs over a pivot index (``operators/pivots.py``): cells around pivots, bounds by the
+triangle inequality, and only the cells that can hold a neighbour are visited; a block of
+them is scored with numpy matrix products. Similarities that are no distances (cosine, inner product) are
+scanned by a grid of blocks: queries in QB, items in IB blocks, each side copied across the other's blocks, so a task holds
+one tile of ``<= q_block`` queries x ``<= i_block`` items and gives its local top-k.
 """
 
 from __future__ import annotations
@@ -22,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factlens.operators import pivots as P
 from factlens.session import ensure_checkpoint_dir
 
 TOKEN_SPLIT_RE = r"[^\p{L}\p{N}]+"
@@ -154,11 +150,12 @@ def _tile_topk(q_ids, Q, i_ids, X, k, metric, exclude_self, sub=None, margin=8):
 def knn_join(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "l2sq",
              q_id: str = "qid", q_vec: str = "embedding", i_id: str = "item_id", i_vec: str = "embedding",
              exclude_self: bool = False, q_block: int = 8192, i_block: int = 131072,
-             items_materialized: bool = False) -> DataFrame:
+             items_materialized: bool = False, index: P.PivotIndex | None = None) -> DataFrame:
     """Exact top-k items per query: ``qid, item_id, score, rank`` (rank 1 = best;
     ties by smaller item_id). ``score`` is ``1 - squared L2`` for ``l2sq``.
     ``items_materialized``: the item side is already a stored table (the vector
-    store), so it is not checkpointed again; its count is a scan of that table."""
+    store), so it is not checkpointed again; its count is a scan of that table.
+    ``index``: a pivot index of the items, where one is at hand."""
     if metric not in ("l2sq", "cosine", "ip"):
         raise ValueError(metric)
     spark = queries.sparkSession
@@ -171,11 +168,14 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "l
     if not items_materialized:
         it = it.checkpoint(eager=True)
     q, it = q.where(F.col("v").isNotNull()), it.where(F.col("v").isNotNull())  # rows without a vector
+    par = spark.sparkContext.defaultParallelism
+    if metric == "l2sq":
+        index = index or P.pivot_index(it, min(i_block, max(2048, math.ceil(it.count() / par))))
+        return P.nearest(index, q, k, exclude_self, _tile_topk, q_block)
     nq, ni = q.count(), it.count()
     # Tile grid: tiles hold at most q_block x i_block pairs; when that gives fewer
     # tiles than the cluster has cores, split further (items first, then queries),
     # never below 256 rows per block.
-    par = spark.sparkContext.defaultParallelism
     IB = max(1, math.ceil(ni / i_block), min(par, ni // 2048))
     QB = max(1, math.ceil(nq / q_block), min(math.ceil(par / IB), nq // 256))
     qx = q.select("qid", "v", F.pmod(F.xxhash64("qid"), F.lit(QB)).alias("qb"),
@@ -185,7 +185,7 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "l
 
     def tile(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(ipdf) == 0:
-            return pd.DataFrame({"qid": [], "item_id": [], "score": []})
+            return P.empty_hits()
         Q = np.stack(qpdf["v"].to_numpy()).astype(np.float64)
         X = np.stack(ipdf["v"].to_numpy()).astype(np.float64)
         # ids of any type count as their rank in the tile (ties go to the smaller id)
@@ -195,6 +195,8 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "l
         codes = [place.get(x, -1 - n) for n, x in enumerate(q_keys.tolist())]
         back = dict(zip(codes, q_keys.tolist()))
         a, b, c = _tile_topk(np.array(codes)[q_at], Q, i_at, X, k, metric, exclude_self)
+        if not a:
+            return P.empty_hits()
         return pd.DataFrame({"qid": [back[int(x)] for x in a], "item_id": i_keys[np.asarray(b, dtype=np.int64)],
                              "score": np.asarray(c, dtype=np.float64)})
 

@@ -203,14 +203,12 @@ def sample_with_replacement(df: DataFrame, label_col: str, id_col: str, seed: in
     r = r.join(cn.withColumnRenamed(label_col, "_label"), F.col(label_col).eqNullSafe(F.col("_label"))).drop("_label")
     plain = r.where((F.col("_c") >= F.col("_n")) & (F.col("rank") <= F.col("_n"))) \
         .withColumn("draw", F.col("rank")).drop("_c", "_n", "rank")
-    # draws are generated as a distributed range per rare label (labels are few),
-    # never as one row exploding n elements
+    # all draws are one distributed range: draw d of the i-th rare label has number i * n + d - 1
     spark = df.sparkSession
-    rare_labels = [(k, c) for k, c in counts.items() if c < n]
-    draws = spark.createDataFrame([], f"{label_col} string, _c long, draw long")
-    for lab, c in rare_labels:
-        draws = draws.unionByName(spark.range(1, n + 1).select(
-            F.lit(lab).cast("string").alias(label_col), F.lit(c).cast("long").alias("_c"), F.col("id").alias("draw")))
+    rare_labels = [(i, k, c) for i, (k, c) in enumerate((k, c) for k, c in counts.items() if c < n)]
+    labels = spark.createDataFrame(rare_labels, f"_i long, {label_col} string, _c long")  # a row a label
+    numbers = spark.range(n * len(rare_labels)).select((F.col("id") / F.lit(max(n, 1))).cast("long").alias("_i"), (F.col("id") % F.lit(max(n, 1)) + 1).alias("draw"))
+    draws = numbers.join(labels, "_i").select(label_col, "_c", "draw")
     key = F.md5(F.concat(F.col("draw").cast("string"), F.lit(f":{seed}:"), F.coalesce(F.col(label_col).cast("string"), F.lit("null"))))
     draws = draws.withColumn("rank", F.pmod(hash_int(key), F.col("_c")) + 1).drop("_c")
     rare = r.where(F.col("_c") < F.col("_n")).drop("_c", "_n").join(draws.withColumnRenamed(label_col, "_label").withColumnRenamed("rank", "_rank"), F.col(label_col).eqNullSafe(F.col("_label")) & (F.col("rank") == F.col("_rank"))).drop("rank", "_label", "_rank")

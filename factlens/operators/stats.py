@@ -1,8 +1,9 @@
 """Profiles and model metrics: A1-A11, A14, A18.
 
 Aggregates are single-pass ``groupBy``/``agg`` (partial + final hash aggregation).
-Exact percentiles use Spark's ``percentile``, whose buffer is a map value -> count,
-so memory follows the number of distinct values (lengths), not rows.
+Exact percentiles of lengths use Spark's ``percentile``, whose buffer is a map value -> count,
+so memory follows the number of distinct values, not rows; quantiles of any column are found by rank
+selection (``quantiles``).
 Running sums over sorted values (ECDF, AUC) never use an unpartitioned window over
 rows: values are first collapsed to distinct values with counts, then summed in two
 levels (equi-depth buckets from approximate quantiles, exact sums inside), see
@@ -11,6 +12,8 @@ levels (equi-depth buckets from approximate quantiles, exact sums inside), see
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,20 +133,62 @@ def null_profile(df: DataFrame) -> DataFrame:
     return agg.selectExpr(f"stack({len(df.columns)}, {pairs}) AS (`column`, nulls)")
 
 
+QUANTILE_BINS = 512
+
+
+def quantiles(df: DataFrame, cols: list[str], qs: tuple[float, ...], bins: int = QUANTILE_BINS) -> dict[str, list[float | None]]:
+    """Exact quantiles (linear between neighbours) by rank selection: every round counts, in one job for all columns and
+    ranks, the values of each range that still holds a wanted rank in ``bins`` equal bins with their least and
+    largest value, and narrows the range to the bin of the rank, until that holds one value. A task keeps ranges x bins
+    counters whatever the number of distinct values. Nulls and NaN are left out."""
+    x = df.select(*(F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in cols))
+    seen = x.agg(*(f(c).alias(f"{c}|{n}") for c in cols for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max)))).first()
+    wanted = {}  # (column, rank) -> [lowest, highest, rows below the range]
+    for c in cols:
+        for q in qs if seen[f"{c}|n"] else ():
+            at = q * (seen[f"{c}|n"] - 1)
+            for rank in {math.floor(at), math.ceil(at)}:
+                wanted[c, rank] = [seen[f"{c}|lo"], seen[f"{c}|hi"], 0]
+    while any(lo < hi for lo, hi, _ in wanted.values()):
+        ranges = sorted({(c, lo, hi) for (c, _), (lo, hi, _) in wanted.items() if lo < hi})
+        entries = []
+        for i, (c, lo, hi) in enumerate(ranges):
+            half = 0.5 if math.isinf(hi - lo) else 1.0  # the width of a range may exceed the largest double
+            part = (F.col(c) * half - F.lit(lo * half)) / F.lit(hi * half - lo * half)
+            here = F.struct(F.lit(i).alias("range"), F.least(F.floor(part * bins), F.lit(bins - 1)).alias("bin"), F.col(c).alias("x"))
+            entries.append(F.when(F.col(c).between(lo, hi), here))
+        hit = x.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*")
+        found = hit.groupBy("range", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        counted = {r: sorted((f.bin, f.n, f.lo, f.hi) for f in found if f.range == i) for i, r in enumerate(ranges)}
+        for (c, rank), state in wanted.items():
+            for _, n, lo, hi in counted.get((c, state[0], state[1]), ()):
+                if rank < state[2] + n:
+                    state[0], state[1] = lo, hi
+                    break
+                state[2] += n
+    out: dict[str, list[float | None]] = {}
+    for c in cols:
+        n, out[c] = seen[f"{c}|n"], []
+        for q in qs:
+            at = q * (n - 1)
+            a, b = ((wanted[c, f(at)][0] for f in (math.floor, math.ceil)) if n else (None, None))
+            out[c].append(a + (b - a) * (at - math.floor(at)) if n else None)
+    return out
+
+
 def describe(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
-    """Count, mean, sample std, min, quartiles (exact), max per numeric column,
+    """Count, mean, sample std, min, quartiles (exact, by rank selection), max per numeric column,
     long form (column, stat, value)."""
+    found = quantiles(df, cols, (0.25, 0.5, 0.75))
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).cast("double").alias(f"{c}|count"), F.avg(x).alias(f"{c}|mean"),
-                 F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"),
-                 F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}|_q"),
-                 F.max(x).alias(f"{c}|max")]
+                 F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"), F.max(x).alias(f"{c}|max")]
     a = df.agg(*aggs)
     rows = []
     for c in cols:
-        q = F.col(f"`{c}|_q`")
+        q = [F.lit(v).cast("double") for v in found[c]]
         for stat, e in (("count", F.col(f"`{c}|count`")), ("mean", F.col(f"`{c}|mean`")),
                         ("std", F.col(f"`{c}|std`")), ("min", F.col(f"`{c}|min`")), ("25%", q[0]),
                         ("50%", q[1]), ("75%", q[2]), ("max", F.col(f"`{c}|max`"))):
@@ -166,9 +211,8 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def classification_metrics(df: DataFrame, actual: str, predicted: str, digits: int = 6) -> DataFrame:
-    """A10: accuracy and support-weighted precision / recall / F1 (zero division -> 0),
-    computed from the confusion matrix (a table of classes^2 rows)."""
+def per_class(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """Per class: support, npred, tp and p, r, f1 (zero division -> 0), from the confusion matrix (a table of classes^2 rows)."""
     cm = confusion_matrix(df, actual, predicted)
     # one pass over the (classes^2-row) matrix: each cell counts towards the support
     # of its actual class, the predictions of its predicted class, and tp when equal
@@ -181,8 +225,27 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str, digits: i
         F.sum("support").alias("support"), F.sum("npred").alias("npred"), F.sum("tp").alias("tp"))
     prec = F.when(F.col("npred") > 0, F.col("tp") / F.col("npred")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
-    per = per.withColumn("p", prec).withColumn("r", rec).withColumn(
+    return per.withColumn("p", prec).withColumn("r", rec).withColumn(
         "f1", F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0))
+
+
+def classification_report(df: DataFrame, actual: str, predicted: str, digits: int = 6) -> DataFrame:
+    """A10 report: a row per class (precision, recall, f1, support), then ``accuracy`` (as f1), ``macro avg`` and ``weighted avg``."""
+    per = per_class(df, actual, predicted)
+    rows = per.select(F.col("cls").cast("string").alias("class"), F.col("p").alias("precision"), F.col("r").alias("recall"), "f1", "support")
+    n = F.sum("support")
+    mean = lambda c: F.sum(F.col(c) * F.col("support")) / n
+    lines = [F.struct(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"), F.lit(None).cast("double").alias("recall"),
+                      (F.sum("tp") / n).alias("f1"), n.alias("support")),
+             F.struct(F.lit("macro avg").alias("class"), F.avg("p").alias("precision"), F.avg("r").alias("recall"), F.avg("f1").alias("f1"), n.alias("support")),
+             F.struct(F.lit("weighted avg").alias("class"), mean("p").alias("precision"), mean("r").alias("recall"), mean("f1").alias("f1"), n.alias("support"))]
+    whole = per.agg(F.array(*lines).alias("l")).select(F.explode("l").alias("l")).select("l.*")
+    return rows.unionByName(whole).select("class", *(_r(F.col(c), digits).alias(c) for c in ("precision", "recall", "f1")), "support")
+
+
+def classification_metrics(df: DataFrame, actual: str, predicted: str, digits: int = 6) -> DataFrame:
+    """A10: accuracy and support-weighted precision / recall / F1."""
+    per = per_class(df, actual, predicted)
     tot = F.sum("support")
     out = per.agg((F.sum("tp") / tot).alias("accuracy"), (F.sum(F.col("p") * F.col("support")) / tot).alias("precision"),
                   (F.sum(F.col("r") * F.col("support")) / tot).alias("recall"),
@@ -200,14 +263,15 @@ def binary_metrics(df: DataFrame, actual: str, predicted: str, score: str, posit
     per = df.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.count_if(pos_a).alias("pos"), F.count_if(~pos_a).alias("neg"))
     rt = running_totals(per, "s", ["neg"])
-    a = rt.agg(F.sum(F.col("pos") * F.col("neg_below") + 0.5 * F.col("pos") * F.col("neg")).alias("num"),
+    wide = lambda c: F.col(c).cast("decimal(18,0)")  # noqa: E731  products of counts pass the range of a long
+    a = rt.agg(F.sum((2 * wide("neg_below") + wide("neg")) * wide("pos")).alias("num"),
                F.sum("pos").alias("npos"), F.sum("neg").alias("nneg")).first()
-    j = c.select("*", F.lit(a["num"]).cast("double").alias("num"), F.lit(a["npos"]).alias("npos"),
+    j = c.select("*", (F.lit(a["num"]).cast("double") / 2).alias("num"), F.lit(a["npos"]).alias("npos"),
                  F.lit(a["nneg"]).alias("nneg"))
     den = F.sqrt((F.col("tp") + F.col("fp")).cast("double") * (F.col("tp") + F.col("fn")) *
                  (F.col("tn") + F.col("fp")) * (F.col("tn") + F.col("fn")))
-    mcc = F.when(den > 0, (F.col("tp") * F.col("tn") - F.col("fp") * F.col("fn")) / den).otherwise(0.0)
-    auc = F.when((F.col("npos") > 0) & (F.col("nneg") > 0), F.col("num") / (F.col("npos") * F.col("nneg")))
+    mcc = F.when(den > 0, (wide("tp") * wide("tn") - wide("fp") * wide("fn")).cast("double") / den).otherwise(0.0)
+    auc = F.when((F.col("npos") > 0) & (F.col("nneg") > 0), F.col("num") / (F.col("npos").cast("double") * F.col("nneg")))
     return j.select("tp", "fp", "tn", "fn", _r(mcc, digits).alias("mcc"), _r(auc, digits).alias("roc_auc"))
 
 

@@ -88,7 +88,7 @@ def k3_append_chunks(spark, sf_dir):
     with each article's chunks exactly once."""
     a = articles(spark, sf_dir)
     path = scratch_path(spark, "chunk-store")
-    C.chunk_articles(a.where(F.col("lang") == "en")).write.parquet(path)
+    C.append_chunks(spark, path, C.chunk_articles(a.where(F.col("lang") == "en")))
     batch = C.dedupe_articles(a.unionByName(a), ["doc_id"])
     for _ in range(2):
         C.append_chunks(spark, path, C.chunk_articles(batch))
@@ -108,10 +108,12 @@ def a13_store_stats(spark, sf_dir):
 top AS (SELECT url FROM ac ORDER BY total_chunks DESC, url LIMIT 1)
 SELECT ac.url, chunk_index, word_count, content FROM ac JOIN top USING (url)""")
 def l2_ordered_chunks(spark, sf_dir):
-    ch = _article_chunks(spark, sf_dir)
-    # The url whose article has the most chunks (ties: smallest url) - a one-row aggregate.
-    top = ch.agg(F.min_by("url", F.struct(-F.col("total_chunks"), F.col("url"))).alias("url"))
-    return ch.join(top, "url").orderBy("chunk_index").select("url", "chunk_index", "word_count", "content")
+    """The chunks of the article with the most of them (ties: smallest url), read from a written store."""
+    path = scratch_path(spark, "ordered-store")
+    _article_chunks(spark, sf_dir).write.parquet(path)  # chunked once
+    ch = spark.read.parquet(path)
+    top = ch.agg(F.min_by("url", F.struct(-F.col("total_chunks"), F.col("url"))).alias("url")).first()["url"]  # one value
+    return C.ordered_chunks(ch, top).select("url", "chunk_index", "word_count", "content")
 
 
 @register("u7_extract_article_text")
@@ -136,8 +138,7 @@ def u3_chunk_pages(spark, sf_dir):
     """Pages -> article text -> 64/8 chunks with url-derived ids (the store's input)."""
     from factlens.operators.html import extract_article_text
 
-    p = Tables(spark, sf_dir).pages
-    txt = extract_article_text(p).where("success").join(p.select("page_id", "url"), "page_id")
+    txt = extract_article_text(Tables(spark, sf_dir).pages, keep=["url"]).where("success")
     ch = C.chunk_articles(txt.select("url", F.col("content").alias("full_content")))
     return ch.select("chunk_id", "url", "chunk_index", "total_chunks", "word_count")
 

@@ -122,6 +122,25 @@ def k1_s1_shard_roundtrip(spark, sf_dir):
     return RD.read_shards(spark, path, "part-")
 
 
+@register("s3_read_json_array", sql="""
+SELECT c_custkey, c_name, CASE WHEN c_nationkey % 2 = 0 THEN CAST(c_acctbal AS DOUBLE) END AS c_acctbal,
+       CASE WHEN c_nationkey % 3 = 0 THEN 'k' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS mixed FROM customer""")
+def s3_read_json_array(spark, sf_dir):
+    """Customers written as one JSON array a nation, with fields that only some files have and a field of two types, read back as one table."""
+    path = scratch_path(spark, "json-arrays")
+    c = Tables(spark, sf_dir).customer
+    text = lambda *fields: F.to_json(F.struct("c_custkey", "c_name", *fields))
+    balance = F.col("c_acctbal").cast("double").alias("c_acctbal")
+    key = F.col("c_custkey")
+    even, third = F.col("c_nationkey") % 2 == 0, F.col("c_nationkey") % 3 == 0
+    mixed = F.concat(F.lit("k"), key.cast("string")).alias("mixed")
+    obj = (F.when(even & third, text(balance, mixed)).when(even, text(balance, key.alias("mixed"))).when(third, text(mixed)).otherwise(text(key.alias("mixed"))))
+    arrays = c.groupBy("c_nationkey").agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list(obj)), F.lit("]")).alias("value"))
+    arrays.repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    r = RD.read_json_array(spark, [f"{path}/*/*.txt"])
+    return r.select(F.col("c_custkey").cast("bigint"), "c_name", F.col("c_acctbal").cast("double"), F.col("mixed").cast("string"))
+
+
 @register("s2_read_delimited", sql="""
 SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS label, o_orderpriority AS statement FROM orders""")
 def s2_read_delimited(spark, sf_dir):

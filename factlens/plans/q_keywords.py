@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factlens.operators import annotate as AN
 from factlens.operators import coref as CR
+from factlens.operators import inverted as INV
 from factlens.operators import keywords as KW
 from factlens.plans.catalog import register
 from factlens.sources.tables import Tables
@@ -38,6 +39,7 @@ def annot_sql(src: str, id_col: str, text_col: str, p: str = "a") -> str:
                         WHEN NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]') THEN 'PUNCT'
                         WHEN is_title AND NOT list_contains({stop}, low) AND prev IS NOT NULL
                              AND prev NOT IN ('.', '!', '?') THEN 'PROPN'
+                        WHEN is_alpha AND len(list_filter({_q(AN.VERB_ENDINGS)}, lambda s: ends_with(low, s))) > 0 THEN 'VERB'
                         ELSE 'NOUN' END AS pos FROM {p}_t0),
 {p}_c AS (SELECT doc_id, tok_i, text, is_title AND is_alpha AND NOT is_stop AS cap FROM {p}_tok),
 {p}_r AS (SELECT *, tok_i - sum(CAST(cap AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY tok_i ROWS UNBOUNDED PRECEDING) AS run
@@ -71,22 +73,19 @@ def m1_sql(p: str = "a") -> str:
 @register("m1_extract_keywords", sql="WITH " + annot_sql("benchmark", "item_id", "text") + m1_sql() + """
 SELECT doc_id, kw_idx, keyword, kind FROM a_kw""")
 def m1_extract_keywords(spark, sf_dir):
-    b = Tables(spark, sf_dir).benchmark
-    toks, ents = AN.annotate(b, "item_id", "text")
-    return KW.extract_keywords(toks, ents)
+    """The tables of tokens and entities, as any annotator gives them."""
+    return _claim_keywords(spark, sf_dir)
 
 
 @register("m1_document_keywords", sql="WITH " + annot_sql("documents", "doc_id", "text") + m1_sql() + """
 SELECT doc_id, count(*) AS n_keywords, count(*) FILTER (WHERE kind = 'entity') AS n_entities,
        md5(string_agg(keyword, '|' ORDER BY kw_idx)) AS keywords_md5 FROM a_kw GROUP BY doc_id""")
 def m1_document_keywords(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents
-    toks, ents = AN.annotate(d, "doc_id", "text")
-    kw = KW.extract_keywords(toks, ents)
-    return kw.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_keywords"), F.count_if(F.col("kind") == "entity").alias("n_entities"),
-        F.md5(F.array_join(F.array_sort(F.collect_list(F.struct("kw_idx", "keyword")))["keyword"], "|"))
-        .alias("keywords_md5"))
+    """One scan of the documents, no shuffle."""
+    kw = KW.document_keywords(AN.annotate_rows(Tables(spark, sf_dir).documents)).where(F.size("keywords") > 0)
+    return kw.select("doc_id", F.size("keywords").cast("bigint").alias("n_keywords"),
+                     F.size(F.filter("keywords", lambda k: k["kind"] == "entity")).cast("bigint").alias("n_entities"),
+                     F.md5(F.array_join(F.transform("keywords", lambda k: k["keyword"]), "|")).alias("keywords_md5"))
 
 
 @register("m2_search_queries", sql="WITH " + annot_sql("benchmark", "item_id", "text") + f""",
@@ -129,41 +128,82 @@ def _search_sql(levels: bool) -> str:
                              levelcond="AND n.level = h.level", levelpart=", level")
 
 
+def document_index(spark, sf_dir):
+    """The stored index of the documents (what an ingest job maintains), with their language as scope."""
+    return INV.build(Tables(spark, sf_dir).documents, scope=("lang",))
+
+
+def _first_terms(spark, sf_dir, n):
+    kw = _claim_keywords(spark, sf_dir).where(F.col("kw_idx") < n)
+    return kw.select(F.col("doc_id").alias("claim_id"), F.explode(F.split(F.lower("keyword"), " ")).alias("term"))
+
+
+def _hits(r, *more):
+    return r.select("claim_id", *more, "doc", F.col("score").cast("bigint"), F.col("rank").cast("int"))
+
+
 @register("j7_keyword_search", sql="WITH " + annot_sql("benchmark", "item_id", "text") + m1_sql() + _search_sql(False) + """
 SELECT claim_id, doc, CAST(score AS BIGINT) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5""")
 def j7_keyword_search(spark, sf_dir):
-    """AND of the words of each claim's first three keywords over whole documents; top 5."""
-    kw = _claim_keywords(spark, sf_dir).where(F.col("kw_idx") < 3)
-    terms = kw.select(F.col("doc_id").alias("claim_id"), F.explode(F.split(F.lower("keyword"), " ")).alias("term"))
-    docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
-    r = KW.keyword_search(terms, docs, "doc_id", "text", limit=5)
-    return r.select("claim_id", "doc", F.col("score").cast("bigint"), F.col("rank").cast("int"))
+    """AND of the words of each claim's first three keywords, over the stored index; top 5."""
+    return _hits(INV.search(document_index(spark, sf_dir), _first_terms(spark, sf_dir, 3), ["claim_id"], 5))
+
+
+@register("j7_keyword_search_scoped", sql="WITH " + annot_sql("benchmark", "item_id", "text") + m1_sql()
+          + _search_sql(False).replace("FROM documents)", "FROM documents WHERE lang = 'en')") + """
+SELECT claim_id, doc, CAST(score AS BIGINT) AS score, CAST(rank AS INTEGER) AS rank FROM ranked""")
+def j7_keyword_search_scoped(spark, sf_dir):
+    """The same within the English documents, every hit."""
+    return _hits(INV.search(document_index(spark, sf_dir), _first_terms(spark, sf_dir, 3), ["claim_id"], scope=F.col("lang") == "en"))
 
 
-_LEVELS_SQL = "lv AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, {n}, {lim})" for i, (n, lim) in enumerate(KW.NEWS_LEVELS)) + ") t(level, n_words, lim))"
+def _levels_sql(levels):
+    return "lv AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {n}, {lim})" for i, (n, lim) in enumerate(levels)) + ") t(level, n_words, lim))"
 
 
-@register("j8_keyword_backoff", sql="WITH " + annot_sql("benchmark", "item_id", "text") + m1_sql() + ",\n" + _LEVELS_SQL
-          + _search_sql(True) + """,
+def _backoff_sql(levels):
+    return "WITH " + annot_sql("benchmark", "item_id", "text") + m1_sql() + ",\n" + _levels_sql(levels) + _search_sql(True) + """,
 lim AS (SELECT r.* FROM ranked r JOIN lv USING (level) WHERE r.rank <= lv.lim),
 best AS (SELECT claim_id, min(level) AS level FROM lim GROUP BY claim_id)
 SELECT claim_id, CAST(level AS INTEGER) AS level, doc, CAST(score AS BIGINT) AS score, CAST(rank AS INTEGER) AS rank
-FROM lim JOIN best USING (claim_id, level)""")
+FROM lim JOIN best USING (claim_id, level)"""
+
+
+def _backoff(spark, sf_dir, levels):
+    r = KW.keyword_backoff(_claim_keywords(spark, sf_dir), document_index(spark, sf_dir), levels)
+    return _hits(r, F.col("level").cast("int"))
+
+
+@register("j8_keyword_backoff", sql=_backoff_sql(KW.NEWS_LEVELS))
 def j8_keyword_backoff(spark, sf_dir):
-    kw = _claim_keywords(spark, sf_dir)
-    docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
-    r = KW.keyword_backoff(kw, docs, KW.NEWS_LEVELS)
-    return r.select("claim_id", F.col("level").cast("int"), "doc", F.col("score").cast("bigint"),
-                    F.col("rank").cast("int"))
+    return _backoff(spark, sf_dir, KW.NEWS_LEVELS)
+
+
+@register("j8_keyword_backoff_index", sql=_backoff_sql(KW.INDEX_LEVELS))
+def j8_keyword_backoff_index(spark, sf_dir):
+    return _backoff(spark, sf_dir, KW.INDEX_LEVELS)
+
+
+@register("j8_keyword_backoff_wiki", sql=_backoff_sql(KW.WIKI_LEVELS))
+def j8_keyword_backoff_wiki(spark, sf_dir):
+    return _backoff(spark, sf_dir, KW.WIKI_LEVELS)
+
+
+# every third conversation opens with entities of other kinds than names of persons, and pronouns for them
+OPENING = "Maria Lopez left Acme Corp for Paris. It thanked her. Many Americans met Bob Stone; they saw him. "
+CONV_SQL = f"(SELECT conv_id || ':' || turn AS doc_id, CASE WHEN conv_id % 3 = 0 THEN '{OPENING}' ELSE '' END || text AS text FROM conversations)"
+
+
+def _turns(spark, sf_dir):
+    opening = F.when(F.col("conv_id") % 3 == 0, OPENING).otherwise("")
+    return Tables(spark, sf_dir).conversations.select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), F.concat(opening, "text").alias("text"))
 
 
-CONV_SQL = "(SELECT conv_id || ':' || turn AS doc_id, text FROM conversations)"
 _APOS_S = "''s"  # SQL literal body for 's
 
 
-def coref_sql(rule: str) -> str:
-    """DuckDB spelling of W6 / W7 over the SQL annotator."""
+def coref_ctes(src: str, rule: str, p: str = "a") -> str:
+    """DuckDB spelling of W6 / W7 over the SQL annotator: CTE {p}_resolved (doc_id, n, text) of ``src`` (doc_id, text)."""
     from factlens.functions.text import POSSESSIVE_RE
 
     labels = ("PERSON", "ORG", "GPE", "NORP")
@@ -174,43 +214,45 @@ def coref_sql(rule: str) -> str:
         "last_value(CASE WHEN label IN (" + ", ".join(f"'{x}'" for x in c) + f") THEN etext END IGNORE NULLS)"
         f" OVER w AS n_{i}" for i, c in enumerate(singular))
     cases = []
-    for p, classes in AN.PRONOUN_CLASSES.items():
+    for pron, classes in AN.PRONOUN_CLASSES.items():
         if rule == "priority" or "NORP" in classes:
             e = "coalesce(" + ", ".join(f"l_{c.lower()}" for c in classes) + ")"
         else:
             e = f"n_{singular.index(classes)}"
-        cases.append(f"WHEN '{p}' THEN {e}")
+        cases.append(f"WHEN '{pron}' THEN {e}")
     poss = _q(AN.POSSESSIVE_PRONOUNS)
     poss_re = POSSESSIVE_RE.replace("'", "''")
-    return "WITH " + annot_sql(CONV_SQL, "doc_id", "text") + f""",
-tl AS (SELECT doc_id, tok_i AS p, 1 AS k, tok_i, char_idx, text, NULL::VARCHAR AS label, NULL::VARCHAR AS etext
-       FROM a_tok WHERE pos = 'PRON' AND list_contains({_q(AN.PRONOUN_CLASSES)}, lower(text))
-       UNION ALL SELECT doc_id, end_tok, 0, NULL, NULL, NULL, label, regexp_replace(text, '{poss_re}', '\\1') FROM a_ent),
-lw AS (SELECT *, {lasts},
+    return annot_sql(src, "doc_id", "text", p) + f""",
+{p}_tl AS (SELECT doc_id, tok_i AS p, 1 AS k, tok_i, char_idx, text, NULL::VARCHAR AS label, NULL::VARCHAR AS etext
+       FROM {p}_tok WHERE pos = 'PRON' AND list_contains({_q(AN.PRONOUN_CLASSES)}, lower(text))
+       UNION ALL SELECT doc_id, end_tok, 0, NULL, NULL, NULL, label, regexp_replace(text, '{poss_re}', '\\1') FROM {p}_ent),
+{p}_lw AS (SELECT *, {lasts},
        {nears}
-       FROM tl WINDOW w AS (PARTITION BY doc_id ORDER BY p, k, tok_i NULLS FIRST
+       FROM {p}_tl WINDOW w AS (PARTITION BY doc_id ORDER BY p, k, tok_i NULLS FIRST
                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-r0 AS (SELECT doc_id, tok_i, char_idx, text, CASE lower(text) {" ".join(cases)} END AS rep FROM lw WHERE k = 1),
-r1 AS (SELECT *, CASE WHEN list_contains({poss}, lower(text)) AND NOT ends_with(rep, '{_APOS_S}')
+{p}_r0 AS (SELECT doc_id, tok_i, char_idx, text, CASE lower(text) {" ".join(cases)} END AS rep FROM {p}_lw WHERE k = 1),
+{p}_r1 AS (SELECT *, CASE WHEN list_contains({poss}, lower(text)) AND NOT ends_with(rep, '{_APOS_S}')
                       THEN rep || '{_APOS_S}' ELSE rep END AS r
-       FROM r0 WHERE rep IS NOT NULL),
-r2 AS (SELECT doc_id, char_idx, length(text) AS len,
+       FROM {p}_r0 WHERE rep IS NOT NULL),
+{p}_r2 AS (SELECT doc_id, char_idx, length(text) AS len,
               CASE WHEN substr(text, 1, 1) = upper(substr(text, 1, 1)) AND substr(text, 1, 1) <> lower(substr(text, 1, 1))
-                   THEN upper(substr(r, 1, 1)) || substr(r, 2) ELSE r END AS r FROM r1),
-pc AS (SELECT r2.*, coalesce(lag(char_idx + len) OVER (PARTITION BY doc_id ORDER BY char_idx), 0) AS prev_end FROM r2),
-pieces AS (SELECT pc.doc_id, string_agg(substr(c.text, pc.prev_end + 1, pc.char_idx - pc.prev_end) || pc.r, ''
+                   THEN upper(substr(r, 1, 1)) || substr(r, 2) ELSE r END AS r FROM {p}_r1),
+{p}_pc AS (SELECT *, coalesce(lag(char_idx + len) OVER (PARTITION BY doc_id ORDER BY char_idx), 0) AS prev_end FROM {p}_r2),
+{p}_pieces AS (SELECT pc.doc_id, string_agg(substr(c.text, pc.prev_end + 1, pc.char_idx - pc.prev_end) || pc.r, ''
                                         ORDER BY pc.char_idx) AS body, max(pc.char_idx + pc.len) AS last_end,
-                  count(*) AS n FROM pc JOIN {CONV_SQL} c USING (doc_id) GROUP BY pc.doc_id)
-SELECT c.doc_id, CAST(coalesce(p.n, 0) AS INTEGER) AS n_replaced,
-       md5(CASE WHEN p.doc_id IS NULL THEN c.text ELSE p.body || substr(c.text, p.last_end + 1) END) AS resolved_md5
-FROM {CONV_SQL} c LEFT JOIN pieces p USING (doc_id)"""
+                  count(*) AS n FROM {p}_pc pc JOIN {src} c USING (doc_id) GROUP BY pc.doc_id),
+{p}_resolved AS (SELECT c.doc_id, CAST(coalesce(p.n, 0) AS INTEGER) AS n, CASE WHEN p.doc_id IS NULL THEN c.text ELSE p.body || substr(c.text, p.last_end + 1) END AS text
+       FROM {src} c LEFT JOIN {p}_pieces p USING (doc_id))"""
+
+
+def coref_sql(rule: str) -> str:
+    return "WITH " + coref_ctes(CONV_SQL, rule) + " SELECT doc_id, n AS n_replaced, md5(text) AS resolved_md5 FROM a_resolved"
 
 
 @register("w6_resolve_pronouns", sql=coref_sql("priority"))
 def w6_resolve_pronouns(spark, sf_dir):
     """Conversation turns with the default annotator; priority rule."""
-    c = Tables(spark, sf_dir).conversations.select(
-        F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
+    c = _turns(spark, sf_dir)
     toks, ents = AN.annotate(c)
     r = CR.resolve_pronouns(c, toks, ents)
     return r.select("doc_id", F.col("n_replaced").cast("int"), F.md5("resolved_text").alias("resolved_md5"))
@@ -218,8 +260,7 @@ def w6_resolve_pronouns(spark, sf_dir):
 
 @register("w7_resolve_pronouns_nearest", sql=coref_sql("nearest"))
 def w7_resolve_pronouns_nearest(spark, sf_dir):
-    c = Tables(spark, sf_dir).conversations.select(
-        F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
+    c = _turns(spark, sf_dir)
     toks, ents = AN.annotate(c)
     r = CR.resolve_pronouns(c, toks, ents, rule="nearest")
     return r.select("doc_id", F.col("n_replaced").cast("int"), F.md5("resolved_text").alias("resolved_md5"))

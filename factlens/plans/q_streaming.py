@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factlens.operators import chunks as C
 from factlens.plans.catalog import register
+from factlens.plans.q_verify import RESPONSES_SQL, _claims_sql
 from factlens.session import scratch_path
 from factlens.sources.tables import Tables
 from factlens.streaming import ingest as IN
@@ -39,11 +40,21 @@ def x3_trending_tumbling(spark, sf_dir):
     return _fmt(TR.trending(Tables(spark, sf_dir).events, "event_type", "ts", "1 day", None, 2))
 
 
-def _stream(spark, sf_dir, name):
-    """A file stream over one table of the folder (the source watches the folder)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    s = (spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", f"{name}.parquet")
-         .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+BATCHES = 4
+
+
+def _stream(spark, sf_dir, name, by):
+    """A file stream over one table: files by ranges of ``by``, written one after the other as a feed would, read one a micro-batch."""
+    table = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = scratch_path(spark, f"stream-{name}")
+    order = F.unix_micros(F.col(by).cast("timestamp")) if by == "ts" else F.col(by)
+    edges = table.agg(F.percentile_approx(order, [i / BATCHES for i in range(1, BATCHES)]).alias("e")).first()["e"] or []
+    part = F.lit(0)
+    for e in edges:
+        part = part + F.when(order > F.lit(e), 1).otherwise(0)
+    for i in range(BATCHES):
+        table.where(F.coalesce(part, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(path)
+    s = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
     # event-time operators need TIMESTAMP (not TIMESTAMP_NTZ); session zone is UTC
     for c, t in s.dtypes:
         if t == "timestamp_ntz":
@@ -51,12 +62,17 @@ def _stream(spark, sf_dir, name):
     return s
 
 
-@register("x3_trending_stream")
+@register("x3_trending_stream", sql="""
+WITH w AS (SELECT event_type AS topic, date_trunc('hour', ts) - INTERVAL 1 HOUR * i AS ws FROM events, range(6) t(i)),
+c AS (SELECT ws, topic, count(*) AS n FROM w GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY n DESC, topic) AS rank FROM c)
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(ws + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
+       topic, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3 AND ws + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def x3_trending_stream(spark, sf_dir):
-    """The same sliding top-3 as a stream: windows are emitted once the watermark
-    (1 hour) passes their end; the last open windows stay in state."""
+    """The same sliding top-3 as a stream: all counts of a window leave the state in the micro-batch in which the watermark
+    (1 hour) passes its end, and are ranked there; windows that are still open at the end stay in state."""
     out, ck = scratch_path(spark, "trending-out"), scratch_path(spark, "trending-ck")
-    q = TR.trending_stream(spark, _stream(spark, sf_dir, "events"), "event_type", "ts", out, ck)
+    q = TR.trending_stream(spark, _stream(spark, sf_dir, "events", "ts"), "event_type", "ts", out, ck)
     q.awaitTermination()
     if C.path_exists(spark, out):
         return _fmt(spark.read.parquet(out))
@@ -65,32 +81,26 @@ def x3_trending_stream(spark, sf_dir):
 
 @register("x1_stream_ingest_articles")
 def x1_stream_ingest_articles(spark, sf_dir):
-    """Pages streamed in (event time derived from the page id), de-duplicated by url
-    within a 1-hour watermark, article text extracted and chunked into a store with
-    an idempotent append per micro-batch."""
+    """Pages streamed in several micro-batches (event time derived from the page id), the first page of every url kept by its state, article text extracted and chunked into a folder a batch."""
     out, ck = scratch_path(spark, "store"), scratch_path(spark, "ingest-ck")
-    s = _stream(spark, sf_dir, "pages").withColumn(
-        "ts", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60))
+    s = _stream(spark, sf_dir, "pages", "page_id").withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60))
     q = IN.stream_ingest_articles(spark, s, out, ck, html=True)
     q.awaitTermination()
     return spark.read.parquet(out).select("chunk_id", "url", "chunk_index", "word_count")
 
 
-@register("x2_stream_verify_posts")
+@register("x2_stream_verify_posts", sql=_claims_sql() + RESPONSES_SQL)
 def x2_stream_verify_posts(spark, sf_dir):
     """Benchmark claims streamed as posts and verified against the static store."""
-    from factlens.operators.ml import KnnVoteClassifier
     from factlens.plans.q_retrieval import vector_store
-    from factlens.plans.q_verify import K_VOTE, evidence_labels, labelled_vectors
+    from factlens.plans.q_verify import claim_classifier, evidence_labels, topic_classifier
 
     out, ck = scratch_path(spark, "verify-out"), scratch_path(spark, "verify-ck")
-    posts = _stream(spark, sf_dir, "benchmark").select(F.col("item_id").alias("post_id"), "text")
-    # the static side (store with vectors, labelled vectors) is materialised once and
-    # reused by every micro-batch
-    store, lv = vector_store(spark, sf_dir), labelled_vectors(spark, sf_dir)
+    posts = _stream(spark, sf_dir, "benchmark", "item_id").select(F.col("item_id").alias("post_id"), "text")
+    # the store with its vectors is materialised once and reused by every micro-batch
+    store = vector_store(spark, sf_dir)
     q = IN.stream_verify_posts(spark, posts, out, ck, chunks=store, evidence_labels=evidence_labels(spark, sf_dir, store),
-                               topic=KnnVoteClassifier.from_vectors(lv, "topic", K_VOTE, exclude_self=False),
-                               claim=KnnVoteClassifier.from_vectors(lv, "claimness", K_VOTE, exclude_self=False))
+                               topic=topic_classifier(spark, sf_dir), claim=claim_classifier(spark, sf_dir))
     q.awaitTermination()
     return spark.read.parquet(out).select("post_id", "is_political", "success", "message",
                                           F.size("fact_check_results").alias("n_results"))

@@ -6,21 +6,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factlens.functions import text as T
+from factlens.operators import cleaning as CL
 from factlens.operators import responses as RSP
 from factlens.operators.sentences import sentence_array, split_sentences
 from factlens.plans.catalog import register
+from factlens.session import scratch_path
 from factlens.sources.tables import Tables, spread
 
-POSTS_SQL = """posts AS (SELECT d.doc_id, concat_ws(' ', p.url, d.text) AS text
+# What a post ends with, by its number: a topic handle, wiki links, a possessive (with and without a last newline), mentions.
+ENDINGS = (" about {@Top news@} and @now", " see [[Main page|the page]] and [[Other]]", " at the end's", " at the end's\n", " thanks @user_1 and @josé\n\nbye", "")
+_END_SQL = " ".join(f"WHEN {i} THEN '" + e.replace("'", "''") + "'" for i, e in enumerate(ENDINGS))
+POSTS_SQL = f"""posts AS (SELECT d.doc_id, concat_ws(' ', p.url, d.text) || CASE d.doc_id % 6 {_END_SQL} END AS text
                FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id)"""
 
 
 def posts(spark, sf_dir):
-    """Documents as posts; the page with the same id lends its url, so the url
-    rules see real links."""
+    """Documents as posts; the page with the same id lends its url, so the url rules see
+    real links, and an ending by number lets every other rule see what it is for."""
     t = Tables(spark, sf_dir)
     p = t.pages.select(F.col("page_id").alias("doc_id"), "url")
-    j = t.documents.join(p, "doc_id", "left").select("doc_id", F.concat_ws(" ", "url", "text").alias("text"))
+    end = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("doc_id") % 6 + 1).cast("int"))
+    j = t.documents.join(p, "doc_id", "left").select("doc_id", F.concat(F.concat_ws(" ", "url", "text"), end).alias("text"))
     return spread(j)
 
 
@@ -148,12 +154,16 @@ def p15_url_parts(spark, sf_dir):
 @register("p16_map_label", sql="""
 SELECT doc_id, 'LABEL_' || CAST(quality + 2 * toxic AS VARCHAR) AS raw_label,
        CASE 'LABEL_' || CAST(quality + 2 * toxic AS VARCHAR) WHEN 'LABEL_0' THEN 'SUPPORTS' WHEN 'LABEL_1' THEN 'REFUTES'
-            WHEN 'LABEL_2' THEN 'NOT ENOUGH INFO' ELSE 'LABEL_' || CAST(quality + 2 * toxic AS VARCHAR) END AS label
+            WHEN 'LABEL_2' THEN 'NOT ENOUGH INFO' ELSE 'LABEL_' || CAST(quality + 2 * toxic AS VARCHAR) END AS label,
+       CASE quality + 2 * toxic WHEN 0 THEN 'SUPPORTS' WHEN 1 THEN 'REFUTES' WHEN 2 THEN 'NOT ENOUGH INFO' ELSE 'ERROR - WHAT?!?' END AS label_by_digit,
+       CAST(CASE WHEN quality + 2 * toxic < 3 THEN quality + 2 * toxic END AS INTEGER) AS label_id,
+       CASE WHEN quality + 2 * toxic = 1 THEN 'Claim' ELSE 'Opinion' END AS claim_label
 FROM labels""")
 def p16_map_label(spark, sf_dir):
     lab = Tables(spark, sf_dir).labels
     raw = F.concat(F.lit("LABEL_"), (F.col("quality") + 2 * F.col("toxic")).cast("string"))
-    return lab.select("doc_id", raw.alias("raw_label"), T.map_label(raw).alias("label"))
+    return lab.select("doc_id", raw.alias("raw_label"), T.map_label(raw).alias("label"), T.map_label_by_digit(raw).alias("label_by_digit"),
+                      T.label_id(T.map_label(raw)).alias("label_id"), T.claim_label(raw).alias("claim_label"))
 
 
 @register("p17_stable_text_id", sql=f"""
@@ -216,10 +226,35 @@ def u6_explode_labels(spark, sf_dir):
             .select("event_id", F.explode("labels").alias("label")).where(F.col("label").isNotNull()))
 
 
+def _answers(events):
+    """5W1H answers about the events: whole, inside prose, cut off, or with other fields."""
+    user, what = F.col("user_id").cast("string"), F.col("event_type")
+    k = F.col("event_id") % 4
+    text = (F.when(k == 0, F.concat(F.lit('{"who": "user '), user, F.lit('", "what": "'), what, F.lit('"}')))
+            .when(k == 1, F.concat(F.lit('assistant\nHere: {"who":\n"user '), user, F.lit('"} done')))
+            .when(k == 2, F.concat(F.lit('{"what": "'), what, F.lit('", "who": ')))
+            .otherwise(F.concat(F.lit('{"why": null, "what": "'), what, F.lit('"}'))))
+    return events.select(F.concat(F.lit("w"), F.col("event_id").cast("string")).alias("response_id"), text.alias("response"))
+
+
+@register("u9_first_responses", sql=f"""
+SELECT 'w' || CAST(event_id AS VARCHAR) AS response_id, CASE WHEN event_id % 4 IN (0, 1) THEN 'user ' || user_id END AS who,
+       CASE WHEN event_id % 4 IN (0, 3) THEN event_type END AS what
+FROM events WHERE event_id % 4 <> 2 ORDER BY response_id LIMIT 25""")
+def u9_first_responses(spark, sf_dir):
+    """The first 25 answers that parse (the stop after N successes is the feature)."""
+    r = RSP.parse_responses(_answers(Tables(spark, sf_dir).events), "response", keep_first=25, order_col="response_id")
+    return r.select("response_id", "who", "what")
+
+
 @register("u9_parse_responses", sql=r"""
 WITH r AS (SELECT 'e' || CAST(event_id AS VARCHAR) AS response_id, props AS response FROM events
            UNION ALL SELECT 'c' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR), text FROM conversations
-           WHERE role = 'assistant'),
+           WHERE role = 'assistant'
+           UNION ALL SELECT 'w' || CAST(event_id AS VARCHAR), CASE event_id % 4
+             WHEN 0 THEN '{"who": "user ' || user_id || '", "what": "' || event_type || '"}'
+             WHEN 1 THEN 'assistant' || chr(10) || 'Here: {"who":' || chr(10) || '"user ' || user_id || '"} done'
+             WHEN 2 THEN '{"what": "' || event_type || '", "who": ' ELSE '{"why": null, "what": "' || event_type || '"}' END FROM events),
 n AS (SELECT response_id, response, __STRIP__ AS t FROM r),
 c AS (SELECT *, CASE WHEN json_valid(t) AND left(t, 1) = '{' THEN t
                      WHEN json_valid(regexp_extract(regexp_replace(t, '^assistant', ''), '(?s)\{.*\}'))
@@ -237,7 +272,8 @@ def u9_parse_responses(spark, sf_dir):
                          F.col("props").alias("response"))
          .unionByName(t.conversations.where(F.col("role") == "assistant").select(
              F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"))
-             .alias("response_id"), F.col("text").alias("response"))))
+             .alias("response_id"), F.col("text").alias("response")))
+         .unionByName(_answers(t.events)))
     p = RSP.parse_responses(r, "response")
     return p.select("response_id", "parsed", "who", "what", "raw")
 
@@ -248,3 +284,41 @@ def p9_nfkd(spark, sf_dir):
     d = Tables(spark, sf_dir).documents
     n = T.nfkd("text")
     return d.select("doc_id", F.char_length(n).cast("bigint").alias("nfkd_len"), F.md5(n).alias("nfkd_md5"))
+
+
+def _profile_sql(name: str) -> tuple[str, dict[str, str]]:
+    """(cleaned text, matches per counter) of a profile over ``text`` in DuckDB."""
+    spell = {"handles_masked": (T.TOPIC_HANDLE_RE, T.sql_unmask_topic_handles), "mentions_masked": (T.MENTION_RE, T.sql_mask_mentions),
+             "lines_joined": ("\n+", T.sql_collapse_newlines), "possessives_cut": (T.POSSESSIVE_RE, T.sql_strip_possessive)}
+    e, found = "text", {}
+    for step in CL.PROFILES[name]:
+        pattern, rule = spell.get(step.counter, (T.URL_RE, T.sql_drop_urls if step is CL.DROP_URLS else T.sql_mask_urls))
+        found[step.counter] = f"len(regexp_extract_all({e}, '" + pattern.replace("'", "''") + "'))"
+        e = rule(e)
+    return e, found
+
+
+def _clean_sql(name: str, columns: str) -> str:
+    e, found = _profile_sql(name)
+    counts = ", ".join(f"CAST({found.get(c, '0')} AS BIGINT) AS {c}" for c in CL.COUNTERS)
+    return f"SELECT '{name}' AS profile, {columns} FROM (SELECT doc_id, text, {e} AS clean, {counts} FROM posts)"
+
+
+@register("p_clean_posts", sql=f"WITH {POSTS_SQL} " + " UNION ALL ".join(
+    _clean_sql(n, "doc_id, md5(clean) AS clean_md5, " + ", ".join(CL.COUNTERS)) for n in CL.PROFILES))
+def p_clean_posts(spark, sf_dir):
+    """Every post under every profile: digest of the cleaned text and the row's own counts."""
+    out = None
+    for name in CL.PROFILES:
+        x = CL.clean_posts(posts(spark, sf_dir), name, counts=True)
+        x = x.select(F.lit(name).alias("profile"), "doc_id", F.md5("clean_text").alias("clean_md5"), *CL.COUNTERS)
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@register("p_clean_posts_counters", sql=f"WITH {POSTS_SQL} " + " UNION ALL ".join(
+    _clean_sql(n, "count(*) AS rows, count(*) FILTER (clean IS DISTINCT FROM text) AS rows_changed, "
+               + ", ".join(f"sum({c})::BIGINT AS {c}" for c in CL.COUNTERS)) for n in CL.PROFILES))
+def p_clean_posts_counters(spark, sf_dir):
+    """The counters of the four cleaning jobs, observed while the cleaned posts are written."""
+    return CL.clean_all(posts(spark, sf_dir), "doc_id", "text", scratch_path(spark, "clean-posts"))

@@ -34,31 +34,14 @@ def _train_docs(spark, sf_dir, label_expr):
         "doc_id", "text", label_expr.alias("label")))
 
 
-def topic_classifier(spark, sf_dir, exclude_self):
+def topic_classifier(spark, sf_dir):
     lab = F.when(F.col("quality") == 1, SE.POLITICAL).otherwise(SE.NON_POLITICAL)
-    return ML.KnnVoteClassifier(_train_docs(spark, sf_dir, lab), "doc_id", "text", "label", K_VOTE,
-                                exclude_self=exclude_self)
-
-
-def labelled_vectors(spark, sf_dir):
-    """Embedded labelled documents with both stand-in labels, checkpointed once so the
-    topic and the claim classifier share one embedding pass."""
-    from factlens.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    t = Tables(spark, sf_dir)
-    d = t.labels.join(t.documents.select("doc_id", "text"), "doc_id").select(
-        F.col("doc_id").alias("id"), "text",
-        F.when(F.col("quality") == 1, SE.POLITICAL).otherwise(SE.NON_POLITICAL).alias("topic"),
-        F.when(F.col("toxic") == 0, "claim").otherwise("other").alias("claimness"))
-    v = R.embed_text(spread(d), "id", "text", 64).checkpoint(eager=True)
-    return v.where(F.col("embedding").isNotNull())
+    return ML.LinearClassifier(_train_docs(spark, sf_dir, lab), "text", "label")
 
 
 def claim_classifier(spark, sf_dir):
     lab = F.when(F.col("toxic") == 0, "claim").otherwise("other")
-    return ML.KnnVoteClassifier(_train_docs(spark, sf_dir, lab), "doc_id", "text", "label", K_VOTE,
-                                exclude_self=False)
+    return ML.LinearClassifier(_train_docs(spark, sf_dir, lab), "text", "label")
 
 
 TOPIC_TRAIN_SQL = """(SELECT l.doc_id AS id, d.text, CASE WHEN l.quality = 1 THEN 'POLITICAL' ELSE 'NON_POLITICAL' END AS label
@@ -67,37 +50,33 @@ CLAIM_TRAIN_SQL = """(SELECT l.doc_id AS id, d.text, CASE WHEN l.toxic = 0 THEN
                       FROM labels l JOIN documents d USING (doc_id))"""
 
 
-def knn_vote_sql(train_sql: str, target_sql: str, name: str, exclude_self: bool, k: int = K_VOTE) -> str:
-    """CTE ``{name}`` (id, label, confidence) = k-NN vote of target rows (id, text)."""
-    cond = "tg.id <> tr.id" if exclude_self else "true"
+def linear_sql(train_sql: str, target_sql: str, name: str) -> str:
+    """CTE ``{name}`` (id, label, confidence): the default classifier's scores of target rows (id, text)."""
+    tokens = f"unnest(string_split_regex(lower(text), '{R.TOKEN_SPLIT_RE}'))"
+    bucket = f"('0x' || substr(md5(tok), 1, 8))::BIGINT % {ML.LINEAR_DIM}"
     return f"""
-{name}_trs AS {train_sql},
-{name}_tgs AS {target_sql},
-{embed_cte(f'{name}_trs', 'id', 'text', 64, f'{name}_tre')},
-{embed_cte(f'{name}_tgs', 'id', 'text', 64, f'{name}_tge')},
-{name}_p AS (SELECT tg.id AS qid, tr.id AS item_id, {l2sim('tg.v', 'tr.v')} AS s
-             FROM {name}_tge tg JOIN {name}_tre tr ON {cond}),
-{name}_r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, item_id) AS rank FROM {name}_p)
-             WHERE rank <= {k}),
-{name}_v AS (SELECT r.qid, t.label, count(*) AS votes, min(r.rank) AS best FROM {name}_r r JOIN {name}_trs t ON t.id = r.item_id
-             GROUP BY r.qid, t.label),
-{name} AS (SELECT qid AS id, label, votes / n AS confidence FROM (
-             SELECT *, sum(votes) OVER (PARTITION BY qid) AS n,
-                    row_number() OVER (PARTITION BY qid ORDER BY votes DESC, best) AS rr FROM {name}_v) WHERE rr = 1)"""
-
-
-@register("m3_score_batch", sql="WITH " + knn_vote_sql(TOPIC_TRAIN_SQL, "(SELECT doc_id AS id, text FROM documents)",
-                                                       "tv", True) + """
+{name}_t AS (SELECT label, {bucket} AS b FROM (SELECT label, {tokens} AS tok FROM {train_sql}) WHERE tok <> ''),
+{name}_c AS (SELECT label, count(*) AS total FROM {name}_t GROUP BY label),
+{name}_w AS (SELECT label, b, ln((n + 1) / (total + {ML.LINEAR_DIM})) AS w FROM (SELECT label, b, count(*) AS n FROM {name}_t GROUP BY ALL) JOIN {name}_c USING (label)),
+{name}_g AS (SELECT id, {bucket} AS b, count(*) AS n FROM (SELECT id, {tokens} AS tok FROM {target_sql}) WHERE tok <> '' GROUP BY ALL),
+{name}_s AS (SELECT g.id, c.label, sum(g.n * coalesce(w.w, ln(1 / (c.total + {ML.LINEAR_DIM})))) / sum(g.n) AS s
+             FROM {name}_g g CROSS JOIN {name}_c c LEFT JOIN {name}_w w ON w.b = g.b AND w.label = c.label GROUP BY g.id, c.label),
+{name} AS (SELECT id, label, confidence FROM (
+             SELECT id, label, 1 / sum(exp({ML.SHARPNESS} * (s - m))) OVER (PARTITION BY id) AS confidence, row_number() OVER (PARTITION BY id ORDER BY s DESC, label) AS r
+             FROM (SELECT *, max(s) OVER (PARTITION BY id) AS m FROM {name}_s)) WHERE r = 1)"""
+
+
+@register("m3_score_batch", sql="WITH " + linear_sql(TOPIC_TRAIN_SQL, "(SELECT doc_id AS id, text FROM documents)",
+                                                       "tv") + """
 SELECT d.doc_id, tv.label, round(tv.confidence, 6) AS confidence FROM documents d LEFT JOIN tv ON tv.id = d.doc_id""")
 def m3_score_batch(spark, sf_dir):
-    """Every document scored by the default topic classifier (k-NN vote over the
-    labelled documents, a document never votes for itself)."""
+    """Every document scored by the default topic classifier, fitted on the labelled documents."""
     d = Tables(spark, sf_dir).documents.select("doc_id", "text")
-    s = ML.score_batch(d, "doc_id", "text", topic_classifier(spark, sf_dir, True))
+    s = ML.score_batch(d, "doc_id", "text", topic_classifier(spark, sf_dir))
     return s.select("doc_id", "label", F.round("confidence", 6).alias("confidence"))
 
 
-POSTS_TOPIC_SQL = knn_vote_sql(TOPIC_TRAIN_SQL, "(SELECT item_id AS id, text FROM benchmark)", "pt", False)
+POSTS_TOPIC_SQL = linear_sql(TOPIC_TRAIN_SQL, "(SELECT item_id AS id, text FROM benchmark)", "pt")
 
 
 @register("f6_topic_gate", sql="WITH " + POSTS_TOPIC_SQL + f"""
@@ -108,28 +87,33 @@ SELECT b.item_id AS post_id, pt.label = 'POLITICAL' AS is_political,
 FROM benchmark b JOIN pt ON pt.id = b.item_id""")
 def f6_topic_gate(spark, sf_dir):
     b = Tables(spark, sf_dir).benchmark.select(F.col("item_id").alias("post_id"), "text")
-    s = ML.score_batch(b, "post_id", "text", topic_classifier(spark, sf_dir, False)).where(F.col("label").isNotNull())
+    s = ML.score_batch(b, "post_id", "text", topic_classifier(spark, sf_dir)).where(F.col("label").isNotNull())
     s = s.withColumn("status", SE.min_length_status("text"))
     g = SE.topic_gate(s)
     return g.select("post_id", "is_political", "classification", F.round("confidence", 6).alias("confidence"))
 
 
-_SENTS_SQL = f"""(SELECT item_id || ':' || pos AS id, item_id AS post_id, pos AS sent_idx, s AS text FROM (
-   SELECT item_id, s, CAST(row_number() OVER (PARTITION BY item_id ORDER BY p) - 1 AS INTEGER) AS pos FROM (
-     SELECT item_id, {T.sql_py_strip('s0')} AS s, p FROM (
-       SELECT item_id, unnest(regexp_split_to_array(text, '{T.SENTENCE_BREAK_RE}')) AS s0,
-              unnest(range(len(regexp_split_to_array(text, '{T.SENTENCE_BREAK_RE}')))) AS p FROM benchmark))
+def sents_sql(src: str, id_col: str) -> str:
+    """(id, post_id, sent_idx, text) of the sentences of ``src`` (id_col, text)."""
+    return f"""(SELECT {id_col} || ':' || pos AS id, {id_col} AS post_id, pos AS sent_idx, s AS text FROM (
+   SELECT {id_col}, s, CAST(row_number() OVER (PARTITION BY {id_col} ORDER BY p) - 1 AS INTEGER) AS pos FROM (
+     SELECT {id_col}, {T.sql_py_strip('s0')} AS s, p FROM (
+       SELECT {id_col}, unnest(regexp_split_to_array(text, '{T.SENTENCE_BREAK_RE}')) AS s0,
+              unnest(range(len(regexp_split_to_array(text, '{T.SENTENCE_BREAK_RE}')))) AS p FROM {src}))
    WHERE length(s) >= 6))"""
 
 
+_SENTS_SQL = sents_sql("benchmark", "item_id")
+
+
 def _post_sentences(spark, sf_dir):
     b = Tables(spark, sf_dir).benchmark.select(F.col("item_id").alias("post_id"), "text")
     s = SE.split_sentences(b, "post_id", "text")
     return s.select(F.concat_ws(":", "post_id", "sent_idx").alias("id"), "post_id", "sent_idx", "text")
 
 
-@register("f7_claim_gate", sql="WITH sents AS " + _SENTS_SQL + "," + knn_vote_sql(
-    CLAIM_TRAIN_SQL, "(SELECT id, text FROM sents)", "cv", False) + """
+@register("f7_claim_gate", sql="WITH sents AS " + _SENTS_SQL + "," + linear_sql(
+    CLAIM_TRAIN_SQL, "(SELECT id, text FROM sents)", "cv") + """
 SELECT s.post_id, CAST(s.sent_idx AS INTEGER) AS sent_idx, s.text, round(cv.confidence, 6) AS confidence,
        true AS is_factual_claim
 FROM sents s JOIN cv ON cv.id = s.id WHERE length(s.text) >= 11 AND (cv.label = 'claim' OR cv.confidence < 0.8)""")
@@ -141,8 +125,8 @@ def f7_claim_gate(spark, sf_dir):
                     "is_factual_claim")
 
 
-@register("a12_post_rollup", sql="WITH sents AS " + _SENTS_SQL + "," + POSTS_TOPIC_SQL + "," + knn_vote_sql(
-    TOPIC_TRAIN_SQL, "(SELECT id, text FROM sents)", "st", False) + """,
+@register("a12_post_rollup", sql="WITH sents AS " + _SENTS_SQL + "," + POSTS_TOPIC_SQL + "," + linear_sql(
+    TOPIC_TRAIN_SQL, "(SELECT id, text FROM sents)", "st") + """,
 agg AS (SELECT s.post_id, avg(CASE WHEN st.label = 'POLITICAL' THEN 1.0 ELSE 0.0 END) AS ratio, avg(st.confidence) AS mc,
                bool_or(st.label = 'POLITICAL' AND st.confidence > 0.8) AS strong, count(*) AS n
         FROM sents s JOIN st ON st.id = s.id GROUP BY s.post_id)
@@ -152,37 +136,40 @@ SELECT pt.id AS post_id, coalesce(agg.ratio > 0.5 OR agg.strong, pt.label = 'POL
 FROM pt LEFT JOIN agg ON agg.post_id = pt.id""")
 def a12_post_rollup(spark, sf_dir):
     b = Tables(spark, sf_dir).benchmark.select(F.col("item_id").alias("post_id"), "text")
-    posts = ML.score_batch(b, "post_id", "text", topic_classifier(spark, sf_dir, False)).where(F.col("label").isNotNull())
+    topic = topic_classifier(spark, sf_dir)  # fitted once for both
+    posts = ML.score_batch(b, "post_id", "text", topic).where(F.col("label").isNotNull())
     s = _post_sentences(spark, sf_dir)
-    ss = ML.score_batch(s, "id", "text", topic_classifier(spark, sf_dir, False)).where(F.col("label").isNotNull())
+    ss = ML.score_batch(s, "id", "text", topic).where(F.col("label").isNotNull())
     r = SE.post_rollup(ss, posts, "post_id")
     return r.select("post_id", "is_political", F.round("confidence", 6).alias("confidence"),
                     F.round("political_ratio", 6).alias("political_ratio"), "n_sentences")
 
 
-@register("m5_pseudo_label", sql="WITH " + knn_vote_sql(
+@register("m5_pseudo_label", sql="WITH " + linear_sql(
     "(SELECT l.doc_id AS id, d.text, 'LABEL_' || CAST(l.quality AS VARCHAR) AS label FROM labels l JOIN documents d USING (doc_id))",
-    "(SELECT doc_id AS id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))", "pl", False) + """
+    "(SELECT doc_id AS id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))", "pl") + """
 SELECT id AS doc_id, CASE label WHEN 'LABEL_0' THEN 'SUPPORTS' WHEN 'LABEL_1' THEN 'REFUTES'
                                 WHEN 'LABEL_2' THEN 'NOT ENOUGH INFO' ELSE label END AS label,
        round(confidence, 6) AS confidence FROM pl WHERE confidence > 0.9995""")
 def m5_pseudo_label(spark, sf_dir):
     """Unlabelled documents pseudo-labelled by a model trained on the labelled ones;
-    only unanimous (confidence > 0.9995) votes are kept."""
+    only confident labels (above 0.9995) are kept."""
     t = Tables(spark, sf_dir)
     train = _train_docs(spark, sf_dir, F.concat(F.lit("LABEL_"), F.col("quality").cast("string")))
-    clf = ML.KnnVoteClassifier(train, "doc_id", "text", "label", K_VOTE, exclude_self=False)
+    clf = ML.LinearClassifier(train, "text", "label")
     unl = spread(t.documents.select("doc_id", "text").join(t.labels.select("doc_id"), "doc_id", "left_anti"))
     p = ML.pseudo_label(unl, "doc_id", "text", clf)
     return p.select("doc_id", "label", F.round("confidence", 6).alias("confidence"))
 
 
 @register("m6_topic_label", sql="""
-SELECT doc_id, CASE WHEN len(list_filter([lang, source], lambda x: x LIKE '%news%')) > 0 THEN 'political' ELSE 'other' END
-       AS topic FROM documents""")
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'political' ELSE 'other' END AS topic, 'political' AS constant_topic,
+       CASE WHEN doc_id % 2 = 1 THEN 'claim' ELSE 'other' END AS claim_topic FROM documents""")
 def m6_topic_label(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents.select("doc_id", F.array("lang", "source").alias("labels"))
-    return d.select("doc_id", ML.topic_label("labels").alias("topic"))
+    """Three rules: names of the labels (every fifth source is marked as news), a set of one topic, and 1/0 flags."""
+    source = F.when(F.col("doc_id") % 5 == 0, F.concat("source", F.lit("_news_room"))).otherwise(F.col("source"))
+    d = Tables(spark, sf_dir).documents.select("doc_id", F.array("lang", source).alias("labels"), (F.col("doc_id") % 2).alias("flag"))
+    return d.select("doc_id", ML.topic_label("labels").alias("topic"), ML.constant_label().alias("constant_topic"), ML.claim_topic("flag").alias("claim_topic"))
 
 
 M8_SQL = """
@@ -406,12 +393,12 @@ def f11_rows_of_label(spark, sf_dir):
     return FL.rows_of_label(Tables(spark, sf_dir).orders, "F", "o_orderstatus").select("o_orderkey", "o_totalprice")
 
 
-@register("f3_confidence_band", sql="WITH " + knn_vote_sql(TOPIC_TRAIN_SQL, "(SELECT doc_id AS id, text FROM documents)",
-                                                          "tv", True) + """
+@register("f3_confidence_band", sql="WITH " + linear_sql(TOPIC_TRAIN_SQL, "(SELECT doc_id AS id, text FROM documents)",
+                                                          "tv") + """
 SELECT id AS doc_id, label FROM tv WHERE confidence > 0.9995""")
 def f3_confidence_band(spark, sf_dir):
     d = Tables(spark, sf_dir).documents.select("doc_id", "text")
-    s = ML.score_batch(d, "doc_id", "text", topic_classifier(spark, sf_dir, True))
+    s = ML.score_batch(d, "doc_id", "text", topic_classifier(spark, sf_dir))
     return FL.confidence_band(s).select("doc_id", "label")
 
 
@@ -431,23 +418,173 @@ def m4_train_text_classifier(spark, sf_dir):
     return classification_metrics(pred, "actual", "label")
 
 
+RESPONSES_SQL = """,
+n AS (SELECT post_id, count(*) AS n FROM claims GROUP BY post_id)
+SELECT g.post_id, g.classification = 'POLITICAL' AND g.is_political AS is_political, g.classification = 'POLITICAL' AND coalesce(n.n, 0) > 0 AS success,
+       CASE WHEN g.classification <> 'POLITICAL' THEN 'Non political content detected.' WHEN coalesce(n.n, 0) = 0 THEN 'No factual claims detected.' END AS message,
+       CAST(CASE WHEN g.classification = 'POLITICAL' THEN coalesce(n.n, 0) ELSE 0 END AS INTEGER) AS n_results
+FROM gate g LEFT JOIN n USING (post_id)"""
+
+
 # ---- flagship -------------------------------------------------------------------------------
 
-def m10_verify_posts(spark, sf_dir):
-    from factlens.plans.verify import verify_posts
+# articles come from three channels, by number
+CHANNELS = ("news", "index", "wiki")
+
+
+def article_table(spark, sf_dir):
+    """Documents as articles of the evidence loop; the store starts with the English ones."""
+    d = Tables(spark, sf_dir).documents
+    return d.select(F.col("doc_id").alias("doc"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), "lang",
+                    F.element_at(F.array(*map(F.lit, CHANNELS)), (F.col("doc_id") % 3 + 1).cast("int")).alias("channel"), F.col("text").alias("full_content"))
+
+
+def url_labels(spark, sf_dir):
+    """Verdict label per article url (unlabelled articles do not vote)."""
+    return Tables(spark, sf_dir).labels.select(
+        F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"),
+        F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "SUPPORTS").when(F.col("toxic") == 1, "REFUTES").otherwise("NOT ENOUGH INFO").alias("label"))
 
-    from factlens.plans.q_retrieval import vector_store
+
+def _verified(spark, sf_dir):
+    from factlens.plans.verify import Articles, verify_posts
+    from factlens.session import scratch_path
 
     t = Tables(spark, sf_dir)
     posts = t.benchmark.select(F.col("item_id").alias("post_id"), "text")
-    store = vector_store(spark, sf_dir)
-    lv = labelled_vectors(spark, sf_dir)
-    topic = ML.KnnVoteClassifier.from_vectors(lv, "topic", K_VOTE, exclude_self=False)
-    claim = ML.KnnVoteClassifier.from_vectors(lv, "claimness", K_VOTE, exclude_self=False)
-    return verify_posts(posts, store, evidence_labels(spark, sf_dir, store), topic=topic, claim=claim)
-
+    table = article_table(spark, sf_dir)
+    path = scratch_path(spark, "evidence-store")
+    start = C.chunk_articles(table.where(F.col("lang") == "en"))
+    start = R.embed_text(start, "chunk_id", "content", 64, keep_text=True)
+    start.where(F.col("embedding").isNotNull()).write.parquet(f"{path}/version=0")
+    return verify_posts(posts, None, url_labels(spark, sf_dir), topic=topic_classifier(spark, sf_dir), claim=claim_classifier(spark, sf_dir),
+                        articles=Articles.of(table), store_path=path, version=1)
+
+
+def flat_response(r):
+    """One plain row per post: counts and digests in place of the nested lists."""
+    micro = lambda c: F.round(c * 1e6).cast("bigint").cast("string")
+    claims = F.transform("extracted_claims", lambda c: F.concat_ws("|", c["text"], micro(c["confidence"])))
+    results = F.transform("fact_check_results", lambda x: F.concat_ws("|", x["claim"], x["verdict"], micro(x["confidence"]), x["evidence_count"].cast("string"),
+                                                                      F.array_join(x["source_urls"], ",")))
+    return r.select("post_id", "is_political", "classification", "success", "message", F.size("extracted_claims").alias("n_claims"),
+                    F.md5(F.array_join(claims, "\n")).alias("claims_md5"), F.md5(F.array_join(results, "\n")).alias("results_md5"))
+
+
+FLAT_SQL = """
+ec AS (SELECT post_id, count(*) AS n, string_agg(text || '|' || CAST(round(confidence * 1e6) AS BIGINT), '\n' ORDER BY sent_idx) AS c FROM claims GROUP BY post_id),
+fr AS (SELECT post_id, string_agg(text || '|' || verdict || '|' || CAST(round(vconf * 1e6) AS BIGINT) || '|' || evidence_count || '|' || urls, '\n' ORDER BY sent_idx) AS r
+       FROM results GROUP BY post_id)
+SELECT g.post_id, g.classification = 'POLITICAL' AND g.is_political AS is_political, g.classification, g.classification = 'POLITICAL' AND coalesce(n, 0) > 0 AS success,
+       CASE WHEN g.classification <> 'POLITICAL' THEN 'Non political content detected.' WHEN coalesce(n, 0) = 0 THEN 'No factual claims detected.' END AS message,
+       CAST(CASE WHEN g.classification = 'POLITICAL' THEN coalesce(n, 0) ELSE 0 END AS INTEGER) AS n_claims,
+       md5(CASE WHEN g.classification = 'POLITICAL' THEN coalesce(c, '') ELSE '' END) AS claims_md5,
+       md5(CASE WHEN g.classification = 'POLITICAL' THEN coalesce(r, '') ELSE '' END) AS results_md5
+FROM gate g LEFT JOIN ec USING (post_id) LEFT JOIN fr USING (post_id)"""
+
+
+def _claims_sql() -> str:
+    """Gates, pronouns and claims of the benchmark posts: CTEs gate and claims."""
+    from factlens.plans.q_keywords import coref_ctes
+
+    return f"""WITH {POSTS_TOPIC_SQL},
+gate AS (SELECT b.item_id AS post_id, b.text, coalesce(pt.label, 'NON_POLITICAL') = 'POLITICAL' AS is_political,
+         CASE WHEN pt.label = 'POLITICAL' OR (coalesce(pt.confidence, 0) < 0.75 AND length({T.sql_py_strip('b.text')}) >= 5) THEN 'POLITICAL' ELSE 'NON_POLITICAL' END AS classification
+         FROM benchmark b LEFT JOIN pt ON pt.id = b.item_id),
+pol AS (SELECT post_id AS doc_id, text FROM gate WHERE classification = 'POLITICAL'),
+{coref_ctes('pol', 'priority', 'r')},
+sents AS {sents_sql('r_resolved', 'doc_id')},
+{linear_sql(CLAIM_TRAIN_SQL, '(SELECT id, text FROM sents)', 'cv')},
+claims AS (SELECT s.id AS claim_id, s.post_id, s.sent_idx, s.text, cv.confidence FROM sents s JOIN cv ON cv.id = s.id
+           WHERE length(s.text) >= 11 AND (cv.label = 'claim' OR cv.confidence < 0.8))"""
+
+
+def _loop_sql() -> str:
+    from factlens.operators import keywords as KW
+    from factlens.plans.q_keywords import annot_sql, m1_sql
+    from factlens.plans.sqlparts import doc_chunks_cte
+
+    levels = ", ".join(f"('{c}', {i}, {n}, {lim})" for c, t in zip(CHANNELS, (KW.NEWS_LEVELS, KW.INDEX_LEVELS, KW.WIKI_LEVELS)) for i, (n, lim) in enumerate(t))
+    return f"""{_claims_sql()},
+{annot_sql('claims', 'claim_id', 'text', 'k')}{m1_sql('k')},
+kd AS (SELECT doc_id AS claim_id, lower(keyword) AS keyword, row_number() OVER (PARTITION BY doc_id ORDER BY min(kw_idx)) - 1 AS kw_idx FROM k_kw GROUP BY doc_id, lower(keyword)),
+lv AS (SELECT * FROM (VALUES {levels}) t(channel, level, n_words, lim)),
+ct AS (SELECT DISTINCT claim_id, channel, level, term FROM (SELECT claim_id, channel, level, unnest(string_split(keyword, ' ')) AS term FROM kd JOIN lv ON kw_idx < n_words) WHERE term <> ''),
+need AS (SELECT claim_id, channel, level, count(*) AS n FROM ct GROUP BY ALL),
+dt AS (SELECT doc, channel, term, count(*) AS tf FROM (
+         SELECT doc_id AS doc, ['news', 'index', 'wiki'][doc_id % 3 + 1] AS channel, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM documents)
+       WHERE term IN (SELECT term FROM ct) GROUP BY ALL),
+found0 AS (SELECT claim_id, channel, level, doc, count(*) AS m, sum(tf) AS score FROM ct JOIN dt USING (channel, term) GROUP BY ALL),
+found1 AS (SELECT f.*, row_number() OVER (PARTITION BY claim_id, channel, level ORDER BY score DESC, doc) AS rank FROM found0 f JOIN need USING (claim_id, channel, level) WHERE m = n),
+found2 AS (SELECT f.*, min(level) OVER (PARTITION BY claim_id, channel) AS best FROM found1 f JOIN lv USING (channel, level) WHERE rank <= lim),
+{doc_chunks_cte(64, 8, 'every')},
+store AS (SELECT * FROM every WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') OR doc_id IN (SELECT doc FROM found2 WHERE level = best)),
+{embed_cte('store', 'chunk_id', 'content', 64, 'ce')},
+{embed_cte('claims', 'claim_id', 'text', 64, 'qe')},
+p AS (SELECT qe.id AS claim_id, ce.id AS chunk_id, {l2sim('qe.v', 'ce.v')} AS s FROM qe CROSS JOIN ce),
+hit AS (SELECT p.claim_id, s.url, s.content, row_number() OVER (PARTITION BY p.claim_id ORDER BY p.s DESC, p.chunk_id) AS rank FROM p JOIN store s USING (chunk_id) QUALIFY rank <= 5),
+{DOC_LABELS_SQL},
+v0 AS (SELECT h.claim_id, dl.label, count(*) AS votes, min(h.rank) AS best FROM hit h JOIN doc_labels dl ON 'doc:' || dl.doc_id = h.url GROUP BY ALL),
+v AS (SELECT claim_id, label AS verdict, votes / n AS confidence FROM (SELECT *, sum(votes) OVER (PARTITION BY claim_id) AS n,
+        row_number() OVER (PARTITION BY claim_id ORDER BY votes DESC, best) AS rr FROM v0) WHERE rr = 1),
+u AS (SELECT claim_id, string_agg(url, ',' ORDER BY f) AS urls FROM (SELECT claim_id, url, min(rank) AS f FROM hit GROUP BY ALL) GROUP BY claim_id),
+rc AS (SELECT claim_id, count(*) AS n_rows FROM hit GROUP BY claim_id),
+results AS (SELECT c.*, CASE WHEN n_rows IS NULL THEN 'NO_EVIDENCE_FOUND' WHEN v.verdict IS NULL THEN 'INSUFFICIENT_EVIDENCE' ELSE v.verdict END AS verdict,
+            coalesce(v.confidence, 0.0) AS vconf, coalesce(n_rows, 0) AS evidence_count, coalesce(urls, '') AS urls
+            FROM claims c LEFT JOIN rc USING (claim_id) LEFT JOIN v USING (claim_id) LEFT JOIN u USING (claim_id)),
+{FLAT_SQL}"""
+
+
+@register("m10_verify_posts", sql=_loop_sql())
+def m10_verify_posts(spark, sf_dir):
+    """The whole check of the benchmark posts with the evidence loop: the store starts with the English articles, what the
+    claims' keywords find in three channels is appended as version 1, and the claims are judged by versions 0 and 1."""
+    return flat_response(_verified(spark, sf_dir))
+
+
+@register("m10_gathered_articles", sql=_loop_sql().split("ec AS (SELECT post_id")[0].rstrip().rstrip(",") + """
+SELECT claim_id, channel, doc FROM found2 WHERE level = best""")
+def m10_gathered_articles(spark, sf_dir):
+    """The search half of the loop alone: the articles that every claim sentence of the political posts finds, by channel."""
+    from factlens.operators import annotate as AN
+    from factlens.operators import coref as CR
+    from factlens.plans.verify import Articles, gather_articles
+
+    b = Tables(spark, sf_dir).benchmark.select(F.col("item_id").alias("doc_id"), "text")
+    scored = ML.score_batch(b, "doc_id", "text", topic_classifier(spark, sf_dir)).withColumn("status", SE.min_length_status("text"))
+    gate = SE.topic_gate(scored.withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).withColumn("label", F.coalesce("label", F.lit(SE.NON_POLITICAL))))
+    pol = gate.where(F.col("classification") == SE.POLITICAL).select("doc_id", "text")
+    resolved = CR.resolve_pronouns(pol, *AN.annotate(pol))
+    s = SE.split_sentences(resolved.select("doc_id", "resolved_text"), "doc_id", "resolved_text").select(F.concat_ws(":", "doc_id", "sent_idx").alias("claim_id"), "text")
+    claims = SE.claim_gate(ML.score_batch(s, "claim_id", "text", claim_classifier(spark, sf_dir)).where(F.col("label").isNotNull()))
+    return gather_articles(claims, Articles.of(article_table(spark, sf_dir)))
+
+
+@register("a15_assemble_response", sql="WITH s AS " + _SENTS_SQL + """,
+k AS (SELECT *, (post_id * 31 + sent_idx) % 5 AS k FROM s),
+gate AS (SELECT item_id AS post_id, text, item_id % 4 <> 1 AS is_political, CASE WHEN item_id % 4 = 0 THEN 'NON_POLITICAL' ELSE 'POLITICAL' END AS classification FROM benchmark),
+claims AS (SELECT id AS claim_id, post_id, sent_idx, text, (sent_idx % 4) / 4 AS confidence FROM k WHERE post_id % 4 <> 2),
+results AS (SELECT c.*, ['NO_EVIDENCE_FOUND', 'INSUFFICIENT_EVIDENCE', 'ERROR', 'INSUFFICIENT_EVIDENCE', 'SUPPORTS'][k.k + 1] AS verdict,
+            CASE WHEN k.k = 4 THEN 0.75 ELSE 0.0 END AS vconf, CASE WHEN k.k IN (3, 4) THEN 2 ELSE 0 END AS evidence_count,
+            CASE WHEN k.k IN (0, 2) THEN '' ELSE 'u' || (k.sent_idx % 3) || ',u' || ((k.sent_idx + 1) % 3) END AS urls
+            FROM claims c JOIN k ON k.id = c.claim_id),
+""" + FLAT_SQL)
+def a15_assemble_response(spark, sf_dir):
+    """Responses of posts that meet every message and every status: by the number of post and sentence a claim has no hits, hits
+    without text, a judge that fails, a judge without a verdict, or a verdict."""
+    from factlens.plans.verify import assemble_response, claim_results
 
-register("m10_verify_posts")(m10_verify_posts)
+    b = Tables(spark, sf_dir).benchmark.select(F.col("item_id").alias("post_id"), "text")
+    gate = b.select("post_id", (F.col("post_id") % 4 != 1).alias("is_political"), F.when(F.col("post_id") % 4 == 0, SE.NON_POLITICAL).otherwise(SE.POLITICAL).alias("classification"))
+    kind = (F.col("post_id") * 31 + F.col("sent_idx")) % 5
+    s = _post_sentences(spark, sf_dir).withColumnRenamed("id", "claim_id").withColumn("k", kind).where(F.col("post_id") % 4 != 2)
+    claims = s.withColumn("confidence", (F.col("sent_idx") % 4) / 4).withColumn("is_factual_claim", F.lit(True))
+    url = lambda i: F.concat(F.lit("u"), ((F.col("sent_idx") + i) % 3).cast("string"))
+    content = F.when(F.col("k") == 1, "").otherwise(F.col("text"))
+    hits = claims.where("k <> 0").select("claim_id", F.explode(F.array(*(F.struct(F.lit(i + 1).alias("rank"), url(i).alias("url")) for i in range(2)))).alias("h"), content.alias("content"))
+    hits = hits.select("claim_id", "h.*", "content")
+    verdicts = claims.where("k >= 2").select("claim_id", F.when(F.col("k") == 4, "SUPPORTS").alias("verdict"), F.lit(0.75).alias("confidence"), (F.col("k") == 2).alias("failed"))
+    return flat_response(assemble_response(b, gate, claims, claim_results(claims, hits, verdicts)))
 
 
 @register("a14_evidence_count_distribution", sql="WITH " + RETRIEVAL_SQL + ",\n" + CLAIM_LABELS_SQL + """,

@@ -2,8 +2,10 @@
 response row per post.
 
 topic score (hook) -> F6 gate -> W6 pronouns -> U1 sentences -> claim score (hook)
--> F7 gate -> M7 embed -> J5 top-k over the chunk store -> A16 bundle -> M8 judge
--> M9 status -> A15 response. The gates are real filters, so later (costlier)
+-> F7 gate -> evidence loop (M1 keywords -> J8 search of the articles -> J3, U3, K3 append)
+-> M7 embed -> J5 top-k over the chunk store -> A16 bundle -> M8 judge
+-> M9 status -> A15 response. The loop is one search and one append for the whole batch: every claim of a batch sees the
+store as it was before and what the batch itself has appended, a version of its own, and nothing of later batches. The gates are real filters, so later (costlier)
 stages only see political posts and claim sentences; every stage is keyed by post
 or claim id, so the job partitions by those ids and never gathers posts on the
 driver.
@@ -11,11 +13,16 @@ driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlens.operators import annotate as AN
+from factlens.operators import chunks as C
 from factlens.operators import coref as CR
+from factlens.operators import inverted as INV
+from factlens.operators import keywords as KW
 from factlens.operators import ml as ML
 from factlens.operators import retrieve as R
 from factlens.operators import sentences as SE
@@ -54,11 +61,58 @@ def assemble_response(posts: DataFrame, gate: DataFrame, claims: DataFrame, resu
         .otherwise(F.lit(None).cast("string")).alias("message"))
 
 
-def verify_posts(posts: DataFrame, chunks: DataFrame, evidence_labels: DataFrame, *, topic, claim,
-                 k: int = 5, annotator=AN.annotate, embedder=None, judge=None) -> DataFrame:
+@dataclass
+class Articles:
+    """What the evidence loop searches: ``table`` (doc, url, channel, full_content and U3's optional columns), its stored
+    index, and per channel the back-off levels of its searches."""
+
+    table: DataFrame
+    index: INV.InvertedIndex
+    channels: tuple = (("news", KW.NEWS_LEVELS), ("index", KW.INDEX_LEVELS), ("wiki", KW.WIKI_LEVELS))
+
+    @classmethod
+    def of(cls, table: DataFrame, **options) -> "Articles":
+        return cls(table, INV.build(table, id_col="doc", text_col="full_content", scope=("channel",)), **options)
+
+
+def claim_keywords(claims: DataFrame, annotator=AN.annotate) -> DataFrame:
+    """M1 per claim, lower-cased and distinct in first-seen order: ``doc_id`` (the claim), kw_idx, keyword."""
+    toks, ents = annotator(claims.select(F.col("claim_id").alias("doc_id"), "text"), "doc_id", "text")
+    kw = KW.extract_keywords(toks, ents).groupBy("doc_id", F.lower("keyword").alias("keyword")).agg(F.min("kw_idx").alias("_i"))
+    return kw.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("_i")) - 1).alias("kw_idx"), "keyword")
+
+
+def gather_articles(claims: DataFrame, articles: Articles, annotator=AN.annotate) -> DataFrame:
+    """The search half of the loop: ``claim_id, channel, doc`` of the first level with hits in each channel."""
+    kw = claim_keywords(claims, annotator).checkpoint(eager=True)  # searched once a channel
+    found = None
+    for channel, levels in articles.channels:
+        hits = KW.keyword_backoff(kw, articles.index, levels, scope=F.col("channel") == channel)
+        hits = hits.select("claim_id", F.lit(channel).alias("channel"), "doc")
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def claim_results(claims: DataFrame, hits: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """M9 per claim with the urls of its hits in first-seen order (none for a claim that the judge failed on)."""
+    status = ML.verdict_status(claims.select("claim_id"), hits, verdicts)
+    first = hits.groupBy("claim_id", "url").agg(F.min("rank").alias("_f"))
+    urls = first.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("_f", "url")))["url"].alias("source_urls"))
+    return (claims.select("claim_id", "post_id", "sent_idx", "text")
+            .join(status.withColumnRenamed("confidence", "verdict_confidence"), "claim_id")
+            .join(urls, "claim_id", "left")
+            .withColumn("source_urls", F.when(F.col("verdict") == "ERROR", F.array().cast("array<string>"))
+                        .otherwise(F.coalesce("source_urls", F.array().cast("array<string>")))))
+
+
+def verify_posts(posts: DataFrame, chunks: DataFrame | None, evidence_labels: DataFrame, *, topic, claim,
+                 k: int = 5, annotator=AN.annotate, embedder=None, judge=None, articles: Articles | None = None,
+                 store_path: str | None = None, version: int = 1) -> DataFrame:
     """``posts``: post_id, text. ``chunks``: chunk_id, url, content and, when the
     store keeps them, its ``embedding`` vectors (the store).
-    ``evidence_labels``: chunk_id, label (votes for the default judge). Hooks:
+    ``evidence_labels``: chunk_id or url, and label (votes for the default judge). ``articles``: searched for every
+    claim's keywords; what is found and new is chunked, embedded and appended, to the versioned store ``store_path`` as
+    ``version`` (K3), or without a path to ``chunks`` for this batch alone. Hooks:
     ``embedder(df, id_col, text_col)`` gives (id, embedding); ``judge(claims, hits)``
     gives (claim_id, verdict, confidence) and, if it can fail on a claim, a boolean
     ``failed`` (status ERROR)."""
@@ -78,19 +132,22 @@ def verify_posts(posts: DataFrame, chunks: DataFrame, evidence_labels: DataFrame
     sents = sents.select(F.concat_ws(":", "post_id", "sent_idx").alias("claim_id"), "post_id", "sent_idx", "text")
     cs = ML.score_batch(sents, "claim_id", "text", claim).where(F.col("label").isNotNull())
     claims = SE.claim_gate(cs, claim_label="claim").checkpoint(eager=True)
+    if articles is not None:
+        found = gather_articles(claims, articles, annotator).select("doc").distinct()
+        new = C.chunk_articles(C.dedupe_articles(articles.table.join(found, "doc"), ["doc"]).drop("doc", "channel"))
+        new = embed(new.select("chunk_id", "content"), "chunk_id", "content").join(new, "chunk_id")
+        if store_path:
+            chunks = C.append_version(posts.sparkSession, store_path, new, version)
+        else:
+            chunks = chunks.unionByName(C.new_urls_only(new, chunks), allowMissingColumns=True).checkpoint(eager=True)
+    elif store_path:
+        chunks = C.store_as_of(posts.sparkSession, store_path, version)
     qv = embed(claims.select("claim_id", "text"), "claim_id", "text")
     cv = (chunks.select("chunk_id", "embedding") if "embedding" in chunks.columns
           else embed(chunks.select("chunk_id", "content"), "chunk_id", "content"))
     hits = R.knn_join(qv, cv, k=k, q_id="claim_id", i_id="chunk_id", items_materialized="embedding" in chunks.columns)
     hits = hits.select(F.col("qid").alias("claim_id"), F.col("item_id").alias("chunk_id"), "score", "rank") \
         .join(chunks.select("chunk_id", "url", "content"), "chunk_id").checkpoint(eager=True)
-    verdicts = judge(claims, hits) if judge else ML.judge(hits, evidence_labels)
-    status = ML.verdict_status(claims.select("claim_id"), hits, verdicts)
-    first = hits.groupBy("claim_id", "url").agg(F.min("rank").alias("_f"))
-    urls = first.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("_f", "url")))["url"].alias("source_urls"))
-    results = (claims.select("claim_id", "post_id", "sent_idx", "text")
-               .join(status.withColumnRenamed("confidence", "verdict_confidence"), "claim_id")
-               .join(urls, "claim_id", "left")
-               .withColumn("source_urls", F.when(F.col("verdict") == "ERROR", F.array().cast("array<string>"))
-                           .otherwise(F.coalesce("source_urls", F.array().cast("array<string>")))))
+    verdicts = judge(claims, hits) if judge else ML.judge(hits, evidence_labels, item_col="url" if "url" in evidence_labels.columns else "chunk_id")
+    results = claim_results(claims, hits, verdicts)
     return assemble_response(posts, gate, claims, results)

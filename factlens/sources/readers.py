@@ -6,6 +6,8 @@ known (no inference pass over the data)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,15 +55,18 @@ def read_delimited(spark: SparkSession, path: str, columns=STATEMENT_COLUMNS, se
 
 
 def read_json_array(spark: SparkSession, paths: list[str], schema: T.StructType | str | None = None) -> DataFrame:
-    """S3: files each holding one JSON array of objects, unioned by column name."""
+    """S3: files each holding one JSON array of objects, unioned by field name. Without a schema all files are read as VARIANT in one
+    job and their fields merged by an aggregate; a field of several types, or of none, becomes a string."""
     r = spark.read.option("multiLine", True)
     if schema is not None:
         return r.schema(schema).json(paths)
-    frames = [r.json(p) for p in paths]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    arrays = r.option("singleVariantColumn", "array").json(paths)
+    items = arrays.lateralJoin(spark.tvf.variant_explode(F.col("array").outer())).select("value")
+    merged = items.agg(F.schema_of_variant_agg("value")).first()[0]
+    if not merged.startswith("OBJECT<"):  # no object in any file
+        return spark.createDataFrame([], T.StructType([]))
+    ddl = re.sub(r"(: |ARRAY<)(?:VOID|VARIANT)(?=[,>])", r"\1STRING", merged).replace("OBJECT<", "STRUCT<")
+    return items.select(F.col("value").cast(ddl).alias("o")).select("o.*")
 
 
 def read_evidence_jsonl(spark: SparkSession, path: str) -> DataFrame:
