@@ -14,7 +14,7 @@ is ``threshold`` or more. The steps follow the chosen-path similarity join (Chri
 3. Small buckets (and the few that no level splits) are compared by sketch. Around each pivot everything that may be
    near is tied to it, with slack for the sketch error and the triangle inequality, so
    no link between members is lost while edges stay linear in the bucket. A bucket of
-   more than ``CROWD`` sets is first cut by a salt, and the pivots of its parts meet.
+   more than ``CROWD`` sets is first cut by a salt, and the pivots of its parts meet in pairs of blocks.
 4. Ties make candidate components (``components``); each component's sets meet once, in blocks of ``BLOCK``, and every pair of
    sets of a component is verified exactly. So a link that no run has seen is found
    too when its documents are connected. Verified links give the
@@ -22,9 +22,9 @@ is ``threshold`` or more. The steps follow the chosen-path similarity join (Chri
 
 Pairs are never emitted: a block returns counts and a spanning forest.
 
-Cases: documents without words (null, empty, punctuation) are alone with 0 links; equal texts link to each other;
-a null id is returned alone with class null and 0 links; rows repeating an id are one
-document (several texts under one id: linked to what any of them links to); other columns are ignored.
+Cases: documents without words (null, empty, punctuation) are alone with 0 links; equal texts link to each other; ids may be of any type that
+has an order; every row is a document of its own, also where rows repeat an id; a null id comes after all others and is no name: the
+class of such rows is the smallest id in it, or null; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factlens.llm import words as W
 from factlens.llm.components import components, forest
@@ -43,7 +44,7 @@ from factlens.llm.tables import arrow_map, stored
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 LEVELS, SKETCH = 3, 64
-SMALL, CROWD, BLOCK = 256, 4096, 2048
+SMALL, CROWD, BLOCK = 256, 4096, 1024
 TIE, CORE = 0.5, 0.9  # sketch similarities, see step 3
 CROWD_TIE, CROWD_CORE, MEET = 0.4, 0.75, 0.2  # the same in crowded buckets, and between their pivots
 
@@ -111,9 +112,9 @@ def _sketches(k: int, threshold: float, runs: int, levels: int):
                 picked = np.concatenate(chosen_tokens)[o] if chosen_tokens else np.zeros(0, np.uint64)
                 pairs = pa.StructArray.from_arrays([pa.array(slots), W.signed(picked)], names=["slot", "token"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), pa.array(size.astype(np.int32)), W.signed(sums[0]), W.signed(sums[1]),
+                    [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(size.astype(np.int32)), W.signed(sums[0]), W.signed(sums[1]),
                      pa.array([s.tobytes() for s in sketch], pa.binary()), _lists(r[o], pairs, n)],
-                    names=["id", "size", "h1", "h2", "sketch", "chosen"])
+                    names=["id", "digest", "size", "h1", "h2", "sketch", "chosen"])
 
     return run
 
@@ -263,20 +264,35 @@ def _verify(threshold: float):
     return run
 
 
+SAME = ["size", "h1", "h2"]
+
+
+def class_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(text, node): the text of one document of every class (node, one: digest and id of a row) that ``nodes`` names; repeated rows come more than once."""
+    ones = classes.join(nodes.select("node").distinct(), "node").select(F.col("one.digest").alias("d"), F.col("one.id").alias("i"), "node")
+    return docs.join(ones, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("i"))).select("text", "node")
+
+
+def digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, digest, text): the digest names the text of a row where ids repeat."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("digest"), text.alias("text"))
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD,
                     recall: float = RECALL, small: int = SMALL, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
-    """One row per document: id (a bigint), class id (the smallest id of its class) and number of links."""
+    """One row per document: id, class id (the smallest id of its class) and number of links."""
     runs = runs_for(recall, threshold)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sk = stored(arrow_map(docs.where("id is not null"),
-        _sketches(shingle, threshold, runs, LEVELS), "id long, size int, h1 long, h2 long, sketch binary, chosen array<struct<slot:int,token:long>>"))
-    sets = sk.where("size > 0")
-    equal = stored(sets.groupBy("size", "h1", "h2").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("weight")))
-    reps = sets.join(equal.select("size", "h1", "h2", "rep"), ["size", "h1", "h2"]).where("id = rep").drop("rep").dropDuplicates(["id", "size", "h1", "h2"])
-    reps = stored(reps.select("id", "sketch", "chosen"))
-
-    level = reps.select("id", F.explode("chosen").alias("c")).select("id", (F.col("c.slot") / LEVELS).cast("int").alias("run"), (F.col("c.slot") % LEVELS).alias("level"), "c.token")
-    paths = level.where("level = 0").select("id", "run", F.xxhash64("run", "token").alias("bucket"))
+    docs = digested(docs, id_col, text_col)
+    schema = T.StructType([docs.schema["id"], docs.schema["digest"], T.StructField("size", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()),
+                           T.StructField("sketch", T.BinaryType()), T.StructField("chosen", T._parse_datatype_string("array<struct<slot:int,token:bigint>>"))])
+    sk = stored(arrow_map(docs, _sketches(shingle, threshold, runs, LEVELS), schema))
+    classes = sk.where("size > 0").groupBy(*SAME).agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.min(F.struct("digest", "id")).alias("one"),
+                                                      F.min("sketch").alias("sketch"), F.min("chosen").alias("chosen"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
+
+    level = classes.select("node", F.explode("chosen").alias("c")).select("node", (F.col("c.slot") / LEVELS).cast("int").alias("run"), (F.col("c.slot") % LEVELS).alias("level"), "c.token")
+    paths = level.where("level = 0").select("node", "run", F.xxhash64("run", "token").alias("bucket"))
     leaves = None
     for depth in range(1, LEVELS + 1):
         counted = paths.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -284,32 +300,34 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         done = paths if depth == LEVELS else paths.where(F.col("n") <= small)
         leaves = done if leaves is None else leaves.unionByName(done)
         if depth < LEVELS:
-            deeper = level.where(F.col("level") == depth).select("id", "run", "token")
-            longer = paths.where(F.col("n") > small).select("id", "run", "bucket").join(deeper, ["id", "run"])
-            paths = stored(longer.select("id", "run", F.xxhash64("bucket", "token").alias("bucket")))  # counted and kept: made once
-    salt = F.when(F.col("n") > crowd, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / crowd))).otherwise(F.lit(-1)).cast("int")
-    members = leaves.select("id", "bucket", salt.alias("salt")).join(reps.select("id", "sketch"), "id").select("bucket", "salt", "id", "sketch")
+            deeper = level.where(F.col("level") == depth).select("node", "run", "token")
+            longer = paths.where(F.col("n") > small).select("node", "run", "bucket").join(deeper, ["node", "run"])
+            paths = stored(longer.select("node", "run", F.xxhash64("bucket", "token").alias("bucket")))  # counted and kept: made once
+    salt = F.when(F.col("n") > crowd, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / crowd))).otherwise(F.lit(-1)).cast("int")
+    members = leaves.select("node", "bucket", salt.alias("salt")).join(classes.select("node", "sketch"), "node").select("bucket", "salt", F.col("node").alias("id"), "sketch")
     ties = stored(arrow_map(members.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "id"),
                             _buckets(False), "u long, v long, bucket long, sketch binary"))
-    pivots = ties.where("bucket is not null").select("bucket", F.lit(-1).alias("salt"), F.col("u").alias("id"), "sketch")
-    met = arrow_map(pivots.repartition("bucket").sortWithinPartitions("bucket", "salt", "id"), _buckets(True), "u long, v long, bucket long, sketch binary")
+    # the pivots of a cut bucket meet in pairs of blocks, so however many there are no task holds them all
+    pivots = ties.where("bucket is not null").select("bucket", F.col("u").alias("id"), "sketch")
+    sizes = pivots.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    paired = F.expr("transform(sequence(0, blocks - 1), x -> least(x, block) * blocks + greatest(x, block))")
+    pivots = pivots.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("bucket", F.explode(paired).alias("salt"), "id", "sketch")
+    met = arrow_map(pivots.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "id"), _buckets(True), "u long, v long, bucket long, sketch binary")
     comp = stored(components(ties.where("bucket is null").select("u", "v").union(met.select("u", "v"))))
 
     crowded = comp.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    member = comp.join(crowded, "root").select(F.col("node").alias("id"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    weights = equal.groupBy(F.col("rep").alias("id")).agg(F.max("weight").alias("weight"))
-    texts = docs.join(member.join(weights, "id"), "id").select("text", "root", "blocks", "id", "weight", "block")
-    tokens = arrow_map(texts, _token_sets(shingle), "tokens array<long>, root long, blocks int, id long, weight long, block int").where(F.size("tokens") > 0)
+    member = comp.join(crowded, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    member = member.join(classes.select("node", "weight"), "node")
+    tokens = arrow_map(class_texts(docs, classes, comp), _token_sets(shingle), "tokens array<long>, node long").dropDuplicates(["node"]).join(member, "node")
     pairs = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as p, greatest(x, block) as q))")
-    dealt = (tokens.select("root", F.explode(pairs).alias("pq"), "tokens", "id", "weight", "block")
-             .select("root", "pq.p", "pq.q", "tokens", "id", "weight", "block").repartition("root", "p", "q").sortWithinPartitions("root", "p", "q"))
+    dealt = (tokens.select("root", F.explode(pairs).alias("pq"), "tokens", "node", "weight", "block")
+             .select("root", "pq.p", "pq.q", "tokens", F.col("node").alias("id"), "weight", "block").repartition("root", "p", "q").sortWithinPartitions("root", "p", "q"))
     verified = stored(arrow_map(dealt, _verify(threshold), "u long, v long, links long"))
-    links = verified.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    classes = components(verified.select("u", "v")).select(F.col("node").alias("rep"), "root")
-
-    per_set = equal.join(links, "rep", "left").join(classes, "rep", "left").select(
-        "size", "h1", "h2", F.coalesce("root", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
-    per_id = (sk.select("id", "size", "h1", "h2").join(per_set, ["size", "h1", "h2"], "left").groupBy("id")
-              .agg(F.coalesce(F.min("class"), F.col("id")).alias("class"), F.coalesce(F.max("links"), F.lit(0)).alias("links")))
-    none = docs.where("id is null").select("id", F.col("id").alias("class"), F.lit(0).cast("long").alias("links"))
-    return per_id.unionByName(none).select(F.col("id").alias(id_col), F.col("class").alias("class_id"), F.col("links").cast("long").alias("n_links"))
+    links = verified.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    found = classes.select("node", "least", "weight", *SAME).join(links, "node", "left").join(components(verified.select("u", "v")), "node", "left")
+    found = found.select("least", *SAME, F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    found = stored(found)
+    per_set = found.join(found.groupBy("root").agg(F.min("least").alias("class")), "root").select(*SAME, "class", "links")
+    out = sk.select("id", *SAME).join(per_set, SAME, "left")
+    return out.select(F.col("id").alias(id_col), F.when(F.col("size") > 0, F.col("class")).otherwise(F.col("id")).alias("class_id"),
+                      F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
