@@ -446,7 +446,7 @@ def url_labels(spark, sf_dir):
         F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "SUPPORTS").when(F.col("toxic") == 1, "REFUTES").otherwise("NOT ENOUGH INFO").alias("label"))
 
 
-def _verified(spark, sf_dir):
+def verified_posts(spark, sf_dir):
     from factlens.plans.verify import Articles, verify_posts
     from factlens.session import scratch_path
 
@@ -539,7 +539,7 @@ results AS (SELECT c.*, CASE WHEN n_rows IS NULL THEN 'NO_EVIDENCE_FOUND' WHEN v
 def m10_verify_posts(spark, sf_dir):
     """The whole check of the benchmark posts with the evidence loop: the store starts with the English articles, what the
     claims' keywords find in three channels is appended as version 1, and the claims are judged by versions 0 and 1."""
-    return flat_response(_verified(spark, sf_dir))
+    return flat_response(verified_posts(spark, sf_dir))
 
 
 @register("m10_gathered_articles", sql=_loop_sql().split("ec AS (SELECT post_id")[0].rstrip().rstrip(",") + """

@@ -24,7 +24,7 @@ SENTS = {
 
 def _tables(spark):
     docs = spark.createDataFrame([(k, v[0]) for k, v in SENTS.items()], "doc_id long, text string")
-    toks = AN.tokens(docs).drop("_title").cache()
+    toks = AN.annotate(docs)[0].cache()
     tl = {}
     for r in toks.collect():
         tl.setdefault(r["doc_id"], []).append(r["text"])
@@ -49,7 +49,7 @@ def test_priority_rule(spark):
 
 def test_nearest_rule_singular(spark):
     docs = spark.createDataFrame([(1, "Paris hosts Acme Corp and it grows.")], "doc_id long, text string")
-    toks = AN.tokens(docs).drop("_title")
+    toks = AN.annotate(docs)[0]
     ents = spark.createDataFrame([(1, 0, 1, "GPE", "Paris"), (1, 2, 4, "ORG", "Acme Corp")],
                                  "doc_id long, start_tok int, end_tok int, label string, text string")
     r = CR.resolve_pronouns(docs, toks, ents, rule="nearest").first()
