@@ -14,7 +14,8 @@ skipped by their statistics and a term of the whole corpus is spread; the docume
 3. A segment is evaluated by one task: its asked blocks once, its claims in parts of ``CLAIMS``; posting lists are
    intersected from the shortest on and only the best ``limit`` documents leave the task.
 
-A scope (domains, language, dates) is one more posting list that every claim has to meet and that adds no score.
+A scope (domains, language, dates) is one more posting list that every claim has to meet and that adds no score. Values of scope columns
+are terms too (``value_term``), so claims that each search a scope of their own can be searched together.
 """
 
 from __future__ import annotations
@@ -43,6 +44,11 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), "")
 
 
+def value_term(column: str, value: str | Column) -> Column:
+    """The term of the documents with a value in a scope column; adds no score."""
+    return F.concat(F.lit(f"{column}="), value.cast("string") if isinstance(value, Column) else F.lit(value))
+
+
 def _segments(tokens: int, docs: int, doc_type: pa.DataType):
     """(doc row, terms) to posting blocks; a row without a term lists the segment's documents."""
     schema = pa.schema([("seg", pa.int64()), ("term", pa.string()), ("n", pa.int32()), ("top", pa.int32()), ("places", pa.list_(pa.int32())),
@@ -116,7 +122,9 @@ def build(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     spark = docs.sparkSession
     path = path or scratch_path(spark, "inverted")
     row = F.struct(F.col(id_col).alias("doc"), *scope)
-    given = docs.where(F.col(id_col).isNotNull()).select(row.alias("row"), terms(F.col(text_col)).alias("terms"))
+    given = docs.where(F.col(id_col).isNotNull()).select(
+        row.alias("row"), F.concat(F.coalesce(terms(F.col(text_col)), F.array().cast("array<string>")),
+                                   F.array_compact(F.array(*(value_term(c, F.col(c)) for c in scope)).cast("array<string>"))).alias("terms"))
     kind = given.schema["row"].dataType
     ints = T.ArrayType(T.IntegerType())
     schema = T.StructType([T.StructField("seg", T.LongType()), T.StructField("term", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("top", T.IntegerType()),
@@ -149,7 +157,7 @@ def _evaluate(pairs: DataFrame, postings: DataFrame, limit: int | None) -> DataF
         at = {t: (np.asarray(p), np.asarray(f)) for t, p, f in zip(blocks["term"], blocks["places"], blocks["tfs"])}
         found: list[list] = [[], [], [], []]
         for claim, words in zip(claims["claim"], claims["terms"]):
-            lists = sorted((at[w] for w in words), key=lambda x: len(x[0]))
+            lists = sorted(((at[w][0], at[w][1] * ("=" not in w)) for w in words), key=lambda x: len(x[0]))  # value terms add no score
             places, score = lists[0][0], lists[0][1].astype(np.int64)
             for p, f in lists[1:]:
                 i = np.minimum(np.searchsorted(p, places), len(p) - 1)
@@ -167,7 +175,7 @@ def search(index: InvertedIndex, claim_terms: DataFrame, keys: list[str], limit:
     """``keys..., doc, score, rank``: the documents that hold all terms (``keys..., term``) of a claim, by total term frequency, then id;
     ``scope`` is a condition on the index's scope columns."""
     ensure_checkpoint_dir(claim_terms.sparkSession)
-    asked = claim_terms.select(F.struct(*keys).alias("key"), F.lower("term").alias("term")).where("term <> ''").distinct()
+    asked = claim_terms.select(F.struct(*keys).alias("key"), F.when(F.contains("term", F.lit("=")), F.col("term")).otherwise(F.lower("term")).alias("term")).where("term <> ''").distinct()
     ids = asked.select("key").distinct().withColumn("claim", F.monotonically_increasing_id()).checkpoint(eager=True)
     asked = asked.join(ids, "key").select("claim", "term")
     postings = index.postings

@@ -2,14 +2,16 @@
 
 Index. A bounded number of items serve as pivots; every item belongs to the cell of its nearest pivot and keeps its
 distance to it. Cells are packed into blocks of at most ``i_block`` items; a larger cell (many equal vectors, say) is
-cut into parts by the hash of the ids. Pivots, cell sizes and radii are the only things that reach the driver:
-``MAX_PIVOTS`` rows whatever the number of items.
+cut into parts by the hash of the ids. Pivots, cell sizes, radii and the ``NEAR`` smallest distances of each cell are the only things that
+reach the driver: ``MAX_PIVOTS`` rows whatever the number of items.
 
 Search. With d the Euclidean distance, p the pivot of a cell with distances between lo and hi, and o the pivot nearest to the
 query q, every item x of the cell has d(q, x) >= d(q, p) - hi, >= lo - d(q, p) and >= (d(q, p)^2 - d(q, o)^2) / (2 d(p, o)).
 
-1. Each query visits the blocks of its nearest cells that hold k items; the k-th best score found is its bound.
-2. It then visits the blocks with a cell that the bounds do not rule out; within a block only such cells are scored.
+1. A cell whose k-th smallest distance to its pivot is r holds k items within d(q, p) + r: the least such sum is the query's bound,
+   known without any item.
+2. The query visits the blocks with a cell that the bounds do not rule out. Within a block its nearest cells are scored first, which tightens
+   the bound, then the cells that are still open; where most of a block is open (vectors without structure) it is scored as a whole.
 
 Items are grouped by block and never copied, unless so many queries ask for one block that they are cut into parts of ``q_block``;
 a query travels once to every block it has to visit, so at worst (vectors without any structure) to all of them.
@@ -25,7 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_PIVOTS = 1024
+MAX_PIVOTS, NEAR = 1024, 64
+DENSE = 0.25  # share of a block's (query, item) pairs from which on it is scored as a whole
 SLACK = 1e-9  # relative; bounds never rule out a tie by rounding
 
 
@@ -38,6 +41,7 @@ class PivotIndex:
     count: np.ndarray
     low: np.ndarray
     high: np.ndarray
+    near: np.ndarray
     first_block: np.ndarray
     parts: np.ndarray
 
@@ -46,7 +50,7 @@ class PivotIndex:
         return int((self.first_block + self.parts).max()) if len(self.parts) else 0
 
     def geometry(self) -> "Geometry":
-        return Geometry(self.pivots, self.low, self.high, self.count, self.first_block, self.parts)
+        return Geometry(self.pivots, self.low, self.high, self.near, self.count, self.first_block, self.parts)
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,8 +61,8 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Geometry:
     """What a task needs to know of the cells."""
 
-    def __init__(self, pivots, low, high, count, first_block, parts):
-        self.pivots, self.low, self.high, self.count, self.first_block, self.parts = pivots, low, high, count, first_block, parts
+    def __init__(self, pivots, low, high, near, count, first_block, parts):
+        self.pivots, self.low, self.high, self.near, self.count, self.first_block, self.parts = pivots, low, high, near, count, first_block, parts
         self.between = np.sqrt(_squared(pivots, pivots))
 
     def distances(self, q: np.ndarray) -> np.ndarray:
@@ -78,6 +82,11 @@ class Geometry:
         """Cells that may hold an item at squared distance ``bound`` or less."""
         return self.lower(d) ** 2 <= (bound + SLACK * (1 + np.abs(bound)))[:, None]
 
+    def bound(self, d: np.ndarray, k: int) -> np.ndarray:
+        """Squared distance within which every query has at least k items."""
+        reach = np.where(self.count >= k, self.near[:, k - 1] if k <= NEAR else self.high, np.inf)
+        return (np.min(d + reach[None, :], axis=1) + 1e-7) ** 2
+
     def home_cells(self, d: np.ndarray, k: int) -> np.ndarray:
         """The nearest cells that together hold k items."""
         order = np.argsort(np.where(self.count[None, :] > 0, d, np.inf), axis=1, kind="stable")
@@ -87,10 +96,10 @@ class Geometry:
         np.put_along_axis(out, order, (before < k) & (per_part > 0), axis=1)
         return out
 
-    def blocks(self, cells: np.ndarray, every_part: bool) -> tuple[np.ndarray, np.ndarray]:
+    def blocks(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, block) of the blocks that hold the marked cells, each once."""
         row, cell = np.nonzero(cells)
-        n = self.parts[cell] if every_part else np.ones(len(cell), dtype=np.int64)
+        n = self.parts[cell]
         row, cell = np.repeat(row, n), np.repeat(cell, n)
         block = self.first_block[cell] + (np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n))
         both = np.unique(np.stack([row, block], axis=1), axis=0) if len(row) else np.zeros((0, 2), dtype=np.int64)
@@ -121,8 +130,13 @@ def pivot_index(items: DataFrame, i_block: int, n_pivots: int | None = None) ->
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema)
     placed = items.mapInPandas(assign, f"{kinds}, cell int, r double").checkpoint(eager=True) if n else items.selectExpr("*", "cast(0 as int) as cell", "cast(0 as double) as r")
     count, low, high = (np.zeros(len(pivots)) for _ in range(3))
+    near = np.full((len(pivots), NEAR), np.inf)
     for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect():
         count[r.cell], low[r.cell], high[r.cell] = r.n, r.lo, r.hi
+    closest = placed.select("cell", "r").mapInPandas(_closest, "cell int, r double")
+    ranked = closest.withColumn("i", F.row_number().over(Window.partitionBy("cell").orderBy("r"))).where(F.col("i") <= NEAR)
+    for r in ranked.collect():  # at most NEAR numbers a cell
+        near[r.cell, r.i - 1] = r.r
     parts, first, block, room = np.ones(len(pivots), dtype=np.int64), np.zeros(len(pivots), dtype=np.int64), -1, 0
     near_first = np.argsort(_squared(pivots[:1], pivots)[0], kind="stable") if len(pivots) else []
     for c in near_first:  # cells of one region share blocks
@@ -138,7 +152,17 @@ def pivot_index(items: DataFrame, i_block: int, n_pivots: int | None = None) ->
         where = F.element_at(F.lit([int(x) for x in first]), F.col("cell") + 1)
         part = F.pmod(F.xxhash64("item_id"), F.element_at(F.lit([int(x) for x in parts]), F.col("cell") + 1).cast("long"))
         placed = placed.withColumn("block", (where + part).cast("int"))
-    return PivotIndex(placed, pivots, count, low, high, first, parts)
+    return PivotIndex(placed, pivots, count, low, high, near, first, parts)
+
+
+def _closest(batches):
+    """The ``NEAR`` smallest distances of every cell in what a task reads."""
+    held = None
+    for pdf in batches:
+        held = pdf if held is None else pd.concat([held, pdf])
+        held = held.sort_values("r", kind="stable").groupby("cell").head(NEAR)
+    if held is not None:
+        yield held
 
 
 def empty_hits() -> pd.DataFrame:
@@ -153,75 +177,61 @@ def search(index: PivotIndex, queries: DataFrame, k: int, exclude_self: bool, to
     item_id = index.items.schema["item_id"].dataType.simpleString()
     need = k + 1 if exclude_self else k
 
-    def route(home: bool):
-        def run(batches):
-            for pdf in batches:
-                for at in range(0, len(pdf), 2048):
-                    some = pdf.iloc[at:at + 2048]
-                    d = geometry.distances(_matrix(some["v"]))
-                    cells = geometry.home_cells(d, need) if home else geometry.open_cells(d, some["bound"].to_numpy(np.float64))
-                    row, block = geometry.blocks(cells, not home)
-                    out = some.iloc[row].copy()
-                    out["block"] = block.astype(np.int32)
-                    yield out
-
-        return run
-
-    def score(home: bool):
-        def run(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
-            if len(qpdf) == 0 or len(ipdf) == 0:
-                return empty_hits()
-            Q, X = _matrix(qpdf["v"]), _matrix(ipdf["v"])
-            q_keys, q_at = np.unique(qpdf["qid"].to_numpy(), return_inverse=True)
-            i_keys, i_at = np.unique(ipdf["item_id"].to_numpy(), return_inverse=True)  # ties go to the smaller id: its rank
-            place = {x: n for n, x in enumerate(i_keys.tolist())} if exclude_self else {}
-            codes = np.array([place.get(x, -1 - n) for n, x in enumerate(q_keys.tolist())], dtype=np.int64)[q_at]
-            back = dict(zip(codes.tolist(), qpdf["qid"].tolist()))
-            d, cell = geometry.distances(Q), ipdf["cell"].to_numpy()
-            bound = qpdf["bound"].to_numpy(np.float64).copy()
-            here = np.unique(cell)
-            first = np.zeros(d.shape, dtype=bool)
-            first[:, here] = geometry.home_cells(d, need)[:, here]
+    def route(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 2048):
+                some = pdf.iloc[at:at + 2048]
+                d = geometry.distances(_matrix(some["v"]))
+                bound = geometry.bound(d, need)
+                row, block = geometry.blocks(geometry.open_cells(d, bound))
+                out = some.iloc[row].copy()
+                out["bound"], out["block"] = bound[row], block.astype(np.int32)
+                yield out
+
+    def score(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(ipdf) == 0:
+            return empty_hits()
+        Q, X = _matrix(qpdf["v"]), _matrix(ipdf["v"])
+        q_keys, q_at = np.unique(qpdf["qid"].to_numpy(), return_inverse=True)
+        i_keys, i_at = np.unique(ipdf["item_id"].to_numpy(), return_inverse=True)  # ties go to the smaller id: its rank
+        place = {x: n for n, x in enumerate(i_keys.tolist())} if exclude_self else {}
+        codes = np.array([place.get(x, -1 - n) for n, x in enumerate(q_keys.tolist())], dtype=np.int64)[q_at]
+        back = dict(zip(codes.tolist(), qpdf["qid"].tolist()))
+        d, cell = geometry.distances(Q), ipdf["cell"].to_numpy()
+        bound = qpdf["bound"].to_numpy(np.float64).copy()
+        here, own = np.unique(cell, return_counts=True)
+        asked = geometry.open_cells(d, bound)[:, here]
+        if (asked * own[None, :]).sum() > DENSE * len(Q) * len(X):
+            found = [topk(codes, Q, i_at, X, k, "l2sq", exclude_self)]
+        else:
+            first = geometry.home_cells(d, need)[:, here] & asked
             found = []
             for cells in (first, None):
                 if cells is None:
-                    if home:
-                        break
-                    cells = geometry.open_cells(d, bound) & ~first
-                for c in here.tolist():
-                    ask, own = np.flatnonzero(cells[:, c]), np.flatnonzero(cell == c)
+                    if found:
+                        bound = np.minimum(bound, 1.0 - _kth(codes, *(np.concatenate(x) for x in zip(*found)), k))
+                    cells = geometry.open_cells(d, bound)[:, here] & ~first
+                for n, c in enumerate(here.tolist()):
+                    ask = np.flatnonzero(cells[:, n])
                     if len(ask):
-                        got = topk(codes[ask], Q[ask], i_at[own], X[own], k, "l2sq", exclude_self)
-                        if got[0]:
-                            found.append(tuple(np.asarray(x) for x in got))
-                if found and not home:
-                    bound = np.minimum(bound, 1.0 - _kth(codes, *(np.concatenate(x) for x in zip(*found)), k))
-            if not found:
-                return empty_hits()
-            q, i, s = (np.concatenate(x) for x in zip(*found))
-            keep = _best(q, i, s, k)
-            return pd.DataFrame({"qid": [back[x] for x in q[keep].tolist()], "item_id": i_keys[i[keep]], "score": s[keep]})
-
-        return run
-
-    def visit(asked: DataFrame, home: bool) -> DataFrame:
-        asked = asked.mapInPandas(route(home), f"qid {qid}, v array<double>, bound double, block int").checkpoint(eager=True)
-        load = {r.block: math.ceil(r.n / q_block) for r in asked.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a block
-        copies = F.lit([int(load.get(b, 0)) for b in range(max(index.n_blocks, 1))])
-        turn: Column = F.element_at(copies, F.col("block") + 1)
-        asked = asked.withColumn("part", F.pmod(F.xxhash64("qid"), turn.cast("long")).cast("int"))
-        items = index.items.where(turn > 0).select("item_id", "v", "cell", "block", F.explode(F.sequence(F.lit(0), turn - 1)).alias("part"))
-        return (asked.groupBy("block", "part").cogroup(items.groupBy("block", "part"))
-                .applyInPandas(score(home), f"qid {qid}, item_id {item_id}, score double"))
+                        of = np.flatnonzero(cell == c)
+                        found.append(topk(codes[ask], Q[ask], i_at[of], X[of], k, "l2sq", exclude_self))
+        q, i, s = (np.concatenate(x) for x in zip(*found)) if found else ([], [], [])
+        if not len(q):
+            return empty_hits()
+        keep = _best(q, i, s, k)
+        return pd.DataFrame({"qid": [back[x] for x in q[keep].tolist()], "item_id": i_keys[i[keep]], "score": s[keep]})
 
     if not len(index.pivots):
         return queries.selectExpr("qid", f"cast(null as {item_id}) as item_id", "cast(null as double) as score").where("false")
-    unbounded = queries.select("qid", "v", F.lit(math.inf).alias("bound"))
-    if index.n_blocks > 1:
-        kth = F.element_at(F.array_sort(F.collect_list(-F.col("score"))), k)  # at most k a visited block
-        seen = visit(unbounded, True).groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, 1 + kth).alias("known"))
-        unbounded = queries.join(seen, "qid", "left").select("qid", "v", F.coalesce("known", F.lit(math.inf)).alias("bound"))
-    return visit(unbounded, False)
+    asked = queries.select("qid", "v").mapInPandas(route, f"qid {qid}, v array<double>, bound double, block int").checkpoint(eager=True)
+    load = {r.block: math.ceil(r.n / q_block) for r in asked.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a block
+    copies = F.lit([int(load.get(b, 0)) for b in range(max(index.n_blocks, 1))])
+    turn: Column = F.element_at(copies, F.col("block") + 1)
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("qid"), turn.cast("long")).cast("int"))
+    items = index.items.where(turn > 0).select("item_id", "v", "cell", "block", F.explode(F.sequence(F.lit(0), turn - 1)).alias("part"))
+    return (asked.groupBy("block", "part").cogroup(items.groupBy("block", "part"))
+            .applyInPandas(score, f"qid {qid}, item_id {item_id}, score double"))
 
 
 def _best(q, i, s, k: int) -> np.ndarray:

@@ -86,16 +86,17 @@ TILE_SCORE_BUDGET = 1 << 24   # doubles in one sub-block score matrix (128 MB)
 
 
 def _tile_topk(q_ids, Q, i_ids, X, k, metric, exclude_self, sub=None, margin=8):
-    """Top-k items per query for one tile; returns (qid, item_id, score) lists.
+    """Top-k items per query for one tile; returns (qid, item_id, score) arrays.
 
     Per sub-block of queries: approximate scores by one matrix product, the
     ``k + margin`` best candidates per row by ``argpartition``, exact re-scores of
     those, order by (score desc, item id). A row whose near-tie band (within 1e-9 of
     its k-th score) does not fit in the candidates is redone over all items."""
-    out_q, out_i, out_s = [], [], []
+    none = np.zeros(0, dtype=np.int64)
+    out_q, out_i, out_s = [none], [none], [np.zeros(0)]
     n = len(i_ids)
     if n == 0 or len(q_ids) == 0:
-        return out_q, out_i, out_s
+        return out_q[0], out_i[0], out_s[0]
     x2 = np.einsum("ij,ij->i", X, X)
     kk = min(k, n)
     c = min(n, kk + margin)
@@ -129,22 +130,20 @@ def _tile_topk(q_ids, Q, i_ids, X, k, metric, exclude_self, sub=None, margin=8):
         order = np.lexsort((cid, -sc), axis=1)[:, :kk]
         top_s = np.take_along_axis(sc, order, axis=1)
         top_i = np.take_along_axis(cid, order, axis=1)
-        for r in range(len(ids)):
-            if safe[r]:
-                keep = np.isfinite(top_s[r])
-                out_q.extend([ids[r]] * int(keep.sum()))
-                out_i.extend(top_i[r][keep].tolist())
-                out_s.extend(top_s[r][keep].tolist())
-                continue
-            row = sims[r]                                     # rare: many near-ties
+        keep = np.isfinite(top_s) & safe[:, None]
+        out_q.append(np.repeat(ids, keep.sum(axis=1)))
+        out_i.append(top_i[keep])
+        out_s.append(top_s[keep])
+        for r in np.flatnonzero(~safe).tolist():              # rare: many near-ties
+            row = sims[r]
             kth = np.partition(row, n - kk)[n - kk]
             cc = np.nonzero((row >= kth - 1e-9) & np.isfinite(row))[0]
             scr = _exact_scores(X[cc], qb[r], metric, row[cc])
             o = np.lexsort((i_ids[cc], -scr))[:kk]
-            out_q.extend([ids[r]] * len(o))
-            out_i.extend(i_ids[cc][o].tolist())
-            out_s.extend(scr[o].tolist())
-    return out_q, out_i, out_s
+            out_q.append(np.repeat(ids[r], len(o)))
+            out_i.append(i_ids[cc][o])
+            out_s.append(scr[o])
+    return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
 
 
 def knn_join(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "l2sq",
@@ -195,10 +194,9 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "l
         codes = [place.get(x, -1 - n) for n, x in enumerate(q_keys.tolist())]
         back = dict(zip(codes, q_keys.tolist()))
         a, b, c = _tile_topk(np.array(codes)[q_at], Q, i_at, X, k, metric, exclude_self)
-        if not a:
+        if not len(a):
             return P.empty_hits()
-        return pd.DataFrame({"qid": [back[int(x)] for x in a], "item_id": i_keys[np.asarray(b, dtype=np.int64)],
-                             "score": np.asarray(c, dtype=np.float64)})
+        return pd.DataFrame({"qid": [back[x] for x in a.tolist()], "item_id": i_keys[b], "score": c})
 
     cand = (qx.groupBy("qb", "ib").cogroup(ix.groupBy("qb", "ib"))
             .applyInPandas(tile, f"qid {q.schema['qid'].dataType.simpleString()}, item_id {it.schema['item_id'].dataType.simpleString()}, score double"))

@@ -84,13 +84,18 @@ def claim_keywords(claims: DataFrame, annotator=AN.annotate) -> DataFrame:
 
 def gather_articles(claims: DataFrame, articles: Articles, annotator=AN.annotate) -> DataFrame:
     """The search half of the loop: ``claim_id, channel, doc`` of the first level with hits in each channel."""
-    kw = claim_keywords(claims, annotator).checkpoint(eager=True)  # searched once a channel
-    found = None
+    kw = claim_keywords(claims, annotator).checkpoint(eager=True)
+    asked = None  # all channels and levels in one search; a channel is a term of its articles
     for channel, levels in articles.channels:
-        hits = KW.keyword_backoff(kw, articles.index, levels, scope=F.col("channel") == channel)
-        hits = hits.select("claim_id", F.lit(channel).alias("channel"), "doc")
-        found = hits if found is None else found.unionByName(hits)
-    return found
+        lt = KW.claim_level_terms(kw, levels).withColumn("channel", F.lit(channel))
+        asked = lt if asked is None else asked.unionByName(lt)
+    keys = ["claim_id", "channel", "level"]
+    limits = asked.select("channel", "level", "lim").distinct()
+    terms = asked.select(*keys, "term").union(asked.select(*keys).distinct().withColumn("term", INV.value_term("channel", F.col("channel"))))
+    most = max(lim for _, levels in articles.channels for _, lim in levels)
+    hits = INV.search(articles.index, terms, keys, most).join(limits, ["channel", "level"]).where(F.col("rank") <= F.col("lim"))
+    best = hits.groupBy("claim_id", "channel").agg(F.min("level").alias("level"))
+    return hits.join(best, keys).select("claim_id", "channel", "doc")
 
 
 def claim_results(claims: DataFrame, hits: DataFrame, verdicts: DataFrame) -> DataFrame:
