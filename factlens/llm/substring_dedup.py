@@ -19,7 +19,7 @@ earlier start) is removed; windows are judged on the input. The steps:
 4. Covered words are cut per document.
 
 Cases: a null text has no words; a null id sorts before every other id; rows that share
-an id are told apart by a checksum of their text (exactly repeated rows are one place, so
+an id are told apart by 96 bits of two hashes of their text (exactly repeated rows are one place, so
 neither is removed for the other); texts shorter than a window are kept; columns other
 than id and text are ignored, whatever their names; an empty table gives an empty result.
 """
@@ -46,8 +46,8 @@ PIECES = 8192
 
 
 def _tags(batch: pa.RecordBatch) -> np.ndarray:
-    """24-bit checksum of each row's text: tells rows apart that share an id."""
-    return np.array([zlib.crc32((t.as_py() or "").encode()) & 0xFFFFFF for t in batch.column(1)], dtype=np.int64)
+    """32-bit checksum of each row's text: with the 64 bits of column ``tag`` it tells rows apart that share an id."""
+    return np.array([zlib.crc32((t.as_py() or "").encode()) for t in batch.column(1)], dtype=np.int64)
 
 
 def _anchors(length: int, gram: int, count_only: bool = False):
@@ -79,8 +79,9 @@ def _anchors(length: int, gram: int, count_only: bool = False):
                 whole = W.rolling(h, 1)
                 place = (tags[lo + row] << 32) | (start - w.first[row])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(lo + row)), W.signed(grams[anchor[b]]), W.signed(whole(start, start + n + length - 1)), pa.array(place), pa.array(n.astype(np.int8))],
-                    names=["id", "anchor", "content", "place", "n"])
+                    [batch.column(0).take(pa.array(lo + row)), batch.column(2).take(pa.array(lo + row)), W.signed(grams[anchor[b]]),
+                     W.signed(whole(start, start + n + length - 1)), pa.array(place), pa.array(n.astype(np.int8))],
+                    names=["id", "tag", "anchor", "content", "place", "n"])
 
     return run
 
@@ -102,14 +103,15 @@ def _pieces(length: int):
                                 to.append(v)
                 if rows:
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(rows)), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.binary())],
-                        names=["id", "anchor", "place", "hot", "words"])
+                        [batch.column(0).take(pa.array(rows)), batch.column(2).take(pa.array(rows)), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
+                         pa.array(out[2], pa.bool_()), pa.array(out[3], pa.binary())],
+                        names=["id", "tag", "anchor", "place", "hot", "words"])
 
     return run
 
 
 def locate(pieces: list[tuple], length: int) -> Iterator[tuple]:
-    """(id, place) of the windows in ``pieces`` (id, place, words) that stand earlier too."""
+    """(id, tag, place) of the windows in ``pieces`` (id, tag, place, words) that stand earlier too."""
     letters: dict[bytes, str] = {}
 
     def letter(word: bytes) -> str:
@@ -119,7 +121,7 @@ def locate(pieces: list[tuple], length: int) -> Iterator[tuple]:
             c = letters[word] = chr(n if n < 0xD800 else n + 0x800)
         return c
 
-    texts = ["".join(map(letter, p[2].split(b" "))) for p in pieces]
+    texts = ["".join(map(letter, p[3].split(b" "))) for p in pieces]
     seen = Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
     confirmed = [x for x, n in seen.items() if n > 1]
     if not confirmed:
@@ -130,15 +132,15 @@ def locate(pieces: list[tuple], length: int) -> Iterator[tuple]:
     automaton.make_automaton()
     first: list = [None] * len(confirmed)
     hits = []
-    for (key, place, _), t in zip(pieces, texts):
+    for (key, tag, place, _), t in zip(pieces, texts):
         for end, n in automaton.iter(t):
-            at = (key is not None, key, place + end - length + 1) if key is not None else (False, 0, place + end - length + 1)
+            at = (key is not None, 0 if key is None else key, tag, place + end - length + 1)
             hits.append((n, at, key))
             if first[n] is None or at < first[n]:
                 first[n] = at
     for n, at, key in hits:
         if at != first[n]:
-            yield key, at[2]
+            yield key, *at[2:]
 
 
 def _shards(length: int, id_type: pa.DataType):
@@ -149,14 +151,15 @@ def _shards(length: int, id_type: pa.DataType):
         def flush():
             found = list(locate(pending, length))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], id_type), pa.array([p for _, p in found], pa.int64())], names=["id", "place"])
+                cols = zip(zip(*found), (id_type, pa.int64(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["id", "tag", "place"])
 
         for batch in batches:
-            for key, anchor, place, text in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            for key, tag, anchor, place, text in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 if len(pending) >= PIECES and anchor != last:
                     yield from flush()
                     pending = []
-                pending.append((key, place, text))
+                pending.append((key, tag, place, text))
                 last = anchor
         yield from flush()
 
@@ -169,13 +172,14 @@ def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, places, texts = [], [], []
-            for r, (place, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            for r, (place, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 ws = text.split(b" ")
                 for i in range(len(ws) - length + 1):
                     rows.append(r)
                     places.append(place + i)
                     texts.append(b" ".join(ws[i:i + length]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.int64()), pa.array(texts, pa.binary())], names=["id", "place", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), batch.column(1).take(pa.array(rows, pa.int64())), pa.array(places, pa.int64()),
+                                               pa.array(texts, pa.binary())], names=["id", "tag", "place", "words"])
 
     return run
 
@@ -185,7 +189,7 @@ def _cut(length: int, with_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, runs, more = (batch.column(c).to_pylist() for c in (2, 3, 4))
+            texts, runs, more = (batch.column(c).to_pylist() for c in (3, 4, 5))
             n_words, n_removed, sha, kept_texts = [], [], [], []
             for text, rs, ms in zip(texts, runs, more):
                 ws = (text or "").encode().split()
@@ -205,8 +209,8 @@ def _cut(length: int, with_text: bool):
                 n_removed.append(int(gone.sum()))
                 sha.append(hashlib.sha256(kept).hexdigest())
                 kept_texts.append(kept.decode())
-            out = [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(kept_texts, pa.string())] * with_text, names=["id", "tag", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
+            out = [*(batch.column(c) for c in range(3)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(out + [pa.array(kept_texts, pa.string())] * with_text, names=["id", "tag", "crc", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
 
     return run
 
@@ -214,50 +218,50 @@ def _cut(length: int, with_text: bool):
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                     gram: int = GRAM, with_text: bool = True, hot_pieces: int = PIECES) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_sha256 (and ``kept``, the words left)."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("tag", F.xxhash64(text))
     key = docs.schema["id"].dataType
-    place = T.StructField("place", T.LongType())
+    tag, place = T.StructField("tag", T.LongType()), T.StructField("place", T.LongType())
+    who = [T.StructField("id", key), tag]
     anchors = arrow_map(docs, _anchors(length, gram), T.StructType([
-        T.StructField("id", key), T.StructField("anchor", T.LongType()), T.StructField("content", T.LongType()), place, T.StructField("n", T.ByteType())]))
+        *who, T.StructField("anchor", T.LongType()), T.StructField("content", T.LongType()), place, T.StructField("n", T.ByteType())]))
     counts = arrow_map(docs, _anchors(length, gram, True), "anchor long, c long")
     again = counts.groupBy("anchor").agg(F.sum("c").alias("c")).filter("c > 1").select("anchor")
     hits = stored(anchors.join(again, "anchor", "left_semi"))
 
-    firsts = stored(hits.groupBy("anchor", "content").agg(F.min(F.struct("id", "place")).alias("first")))
+    at = F.struct("id", "tag", "place")
+    firsts = stored(hits.groupBy("anchor", "content").agg(F.min(at).alias("first")))
     crowd = firsts.groupBy("anchor").agg(F.count("*").alias("kinds"))
     known = firsts.join(crowd, "anchor")
-    marked = hits.join(known, ["anchor", "content"]).withColumn("is_first", F.struct("id", "place").eqNullSafe(F.col("first")))
+    marked = hits.join(known, ["anchor", "content"]).withColumn("is_first", at.eqNullSafe(F.col("first")))
+    crc_of = F.shiftright("place", 32).alias("crc")
     todo = marked.filter("not is_first or kinds > 1").select(
-        "id", F.shiftright("place", 32).alias("tag"),
-        F.struct("place", "n", F.expr("if(is_first, anchor, null)").alias("anchor"), (F.col("kinds") > hot_pieces).alias("hot")).alias("run"))
-    runs = todo.groupBy("id", "tag").agg(F.collect_list("run").alias("runs"))
-    tag = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).bitwiseAND(F.lit(0xFFFFFF))
-    d = docs.withColumn("tag", tag).alias("d")
-    r = runs.alias("r")
-    touched = stored(d.join(r, F.col("d.id").eqNullSafe(F.col("r.id")) & (F.col("d.tag") == F.col("r.tag")))
-                     .select("d.id", "d.text", "d.tag", "r.runs"))
+        "id", "tag", crc_of, F.struct("place", "n", F.expr("if(is_first, anchor, null)").alias("anchor"), (F.col("kinds") > hot_pieces).alias("hot")).alias("run"))
+    runs = todo.groupBy("id", "tag", "crc").agg(F.collect_list("run").alias("runs"))
+    same = lambda a, b: (F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.tag") == F.col(f"{b}.tag"))
+                         & (F.col(f"{a}.crc") == F.col(f"{b}.crc")))
+    d = docs.withColumn("crc", F.shiftright(F.shiftleft(F.crc32(text), 32), 32)).alias("d")
+    touched = stored(d.join(runs.alias("r"), same("d", "r")).select("d.id", "d.text", "d.tag", "d.crc", "r.runs"))
 
     pieces = stored(arrow_map(touched, _pieces(length), T.StructType([
-        T.StructField("id", key), T.StructField("anchor", T.LongType()), place, T.StructField("hot", T.BooleanType()), T.StructField("words", T.BinaryType())])))
+        *who, T.StructField("anchor", T.LongType()), place, T.StructField("hot", T.BooleanType()), T.StructField("words", T.BinaryType())])))
     from pyspark.sql.pandas.types import to_arrow_type
 
-    found = T.StructType([T.StructField("id", key), place])
-    by_shard = arrow_map(pieces.filter("not hot").select("id", "anchor", "place", "words").repartition("anchor").sortWithinPartitions("anchor"),
+    found = T.StructType([*who, place])
+    by_shard = arrow_map(pieces.filter("not hot").select("id", "tag", "anchor", "place", "words").repartition("anchor").sortWithinPartitions("anchor"),
                          _shards(length, to_arrow_type(key)), found)
-    windows = arrow_map(pieces.filter("hot").select("id", "place", "words"), _windows(length), T.StructType([*found.fields, T.StructField("words", T.BinaryType())]))
-    earliest = windows.groupBy("words").agg(F.min(F.struct("id", "place")).alias("first"))
-    by_count = windows.join(earliest, "words").filter(~F.struct("id", "place").eqNullSafe(F.col("first"))).select("id", "place")
-    more = (by_shard.unionByName(by_count).groupBy("id", F.shiftright("place", 32).alias("tag"))
-            .agg(F.collect_list("place").alias("more"))).alias("m")
+    windows = arrow_map(pieces.filter("hot").select("id", "tag", "place", "words"), _windows(length), T.StructType([*found.fields, T.StructField("words", T.BinaryType())]))
+    earliest = windows.groupBy("words").agg(F.min(at).alias("first"))
+    by_count = windows.join(earliest, "words").filter(~at.eqNullSafe(F.col("first"))).select("id", "tag", "place")
+    more = by_shard.unionByName(by_count).groupBy("id", "tag", crc_of).agg(F.collect_list("place").alias("more")).alias("m")
 
-    result = T.StructType([T.StructField("id", key), T.StructField("tag", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+    result = T.StructType([*who, T.StructField("crc", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept", T.StringType())] * with_text)
-    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.tag") == F.col(f"{b}.tag"))
     t = touched.alias("t")
-    changed = arrow_map(t.join(more, same("t", "m"), "left").select("t.id", "t.tag", "t.text", "t.runs", "m.more"), _cut(length, with_text), result)
+    changed = arrow_map(t.join(more, same("t", "m"), "left").select("t.id", "t.tag", "t.crc", "t.text", "t.runs", "m.more"), _cut(length, with_text), result)
     # all other documents keep their words: a narrow pass, only small rows meet the list of changed ones
     nothing = [F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"), F.lit(None).cast("array<bigint>").alias("more")]
-    whole = arrow_map(d.select("id", "tag", "text", *nothing), _cut(length, with_text), result).alias("w")
-    keys = touched.select("id", "tag").distinct().alias("k")
+    whole = arrow_map(d.select("id", "tag", "crc", "text", *nothing), _cut(length, with_text), result).alias("w")
+    keys = touched.select("id", "tag", "crc").distinct().alias("k")
     plain = whole.join(keys, same("w", "k"), "left_anti")
-    return changed.unionByName(plain).drop("tag").withColumnRenamed("id", id_col)
+    return changed.unionByName(plain).drop("tag", "crc").withColumnRenamed("id", id_col)
