@@ -17,14 +17,13 @@ to the executors as a sorted array, so that only matching document fingerprints
 the join; above that bound the join itself, dealt by fingerprint, does all the work. The
 rows after the join are the same either way.
 
-Cases: null texts have no words; a null doc_id is kept as its own row; rows that repeat an id and
-text count as one document; same id, other text: one row each. Null item ids hit words
+Cases: null texts have no words; a null doc_id is kept as its own row; rows that repeat an
+id are documents of their own, one row each. Null item ids hit words
 but are not counted as items. Other columns are ignored. Empty tables give zero hits.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,12 +55,11 @@ def _kept(grams: np.ndarray, starts: np.ndarray, row: np.ndarray, width: int) ->
 
 
 def _fingerprints(span: int, gram: int, lengths: tuple[int, ...], known, items: bool):
-    """Rows (id, tag, n_words, marks); kind 0 is a winnowed k-gram, kind n a whole n-gram."""
+    """Rows (id, row, n_words, marks); kind 0 is a winnowed k-gram, kind n a whole n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = None if known is None else known.value
         for batch in batches:
-            tags = np.array([zlib.crc32((t.as_py() or "").encode()) for t in batch.column(1)], dtype=np.int64)
             for lo, hi, w in W.blocks(batch, "text", W.ALNUM):
                 h = w.hashes()
                 roll = W.rolling(h, 0)
@@ -95,8 +93,8 @@ def _fingerprints(span: int, gram: int, lengths: tuple[int, ...], known, items:
                         around = b" ".join(lower[w.data[s:e]].tobytes() for s, e in zip(w.starts[i:j], w.ends[i:j])).decode()
                         marks[r].append({"kind": kind, "print": p, "at": x - int(w.first[r]), "around": around, "lead": x - i})
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(tags[lo:hi]), pa.array(n.astype(np.int64)), pa.array(marks, pa.list_(_MARK))],
-                    names=["id", "tag", "n_words", "marks"])
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(marks, pa.list_(_MARK))],
+                    names=["id", "row", "n_words", "marks"])
 
     return run
 
@@ -130,8 +128,8 @@ def _extend(span: int, gram: int):
                 m = memo[key]
                 spans.append(m and {"a": at - m[0], "b": at + m[1]})
             yield pa.RecordBatch.from_arrays(
-                [x["id"], x["tag"], x["n_words"], _where(x["item"], spans), pa.array(spans, pa.struct([("a", pa.int32()), ("b", pa.int32())]))],
-                names=["id", "tag", "n_words", "item", "span"])
+                [x["id"], x["row"], x["n_words"], _where(x["item"], spans), pa.array(spans, pa.struct([("a", pa.int32()), ("b", pa.int32())]))],
+                names=["id", "row", "n_words", "item", "span"])
 
     return run
 
@@ -145,9 +143,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans
     (``items``: the item ids as sorted strings; ``spans``: [from, to) word ranges)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"))
-    row = lambda df: T.StructType([T.StructField("id", df.schema["id"].dataType), T.StructField("tag", T.LongType()), T.StructField("n_words", T.LongType()),
+    number = F.monotonically_increasing_id().alias("row")  # one pass reads the documents, so a row keeps its number
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), number)
+    items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"), number)
+    row = lambda df: T.StructType([T.StructField("id", df.schema["id"].dataType), T.StructField("row", T.LongType()), T.StructField("n_words", T.LongType()),
                                    T.StructField("marks", T._parse_datatype_string(_MARK_DDL))])
     marked = arrow_map(items, _fingerprints(span, gram, tuple(range(1, span)), None, True), row(items))
     prints = marked.select(F.col("id").alias("item"), F.explode("marks").alias("m")).select("item", "m.*")
@@ -157,14 +156,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         shared = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in known.collect()], dtype=np.int64)))
     lengths = tuple(sorted(r[0] for r in prints.filter("kind > 0").select("kind").distinct().collect()))
 
-    cands = arrow_map(docs, _fingerprints(span, gram, lengths, shared, False), row(docs)).select("id", "tag", "n_words", F.explode_outer("marks").alias("m")).select("id", "tag", "n_words", "m.*")
+    cands = arrow_map(docs, _fingerprints(span, gram, lengths, shared, False), row(docs)).select("id", "row", "n_words", F.explode_outer("marks").alias("m")).select("id", "row", "n_words", "m.*")
     theirs = prints.select(F.col("kind").alias("i_kind"), F.col("print").alias("i_print"), "item", F.col("around").alias("i_around"), F.col("lead").alias("i_lead"))
     # documents without a candidate have nothing to join: their null key would be one hot key
-    cands = cands.withColumn("print", F.coalesce("print", F.xxhash64("id", "tag"))).withColumn("kind", F.coalesce("kind", F.lit(-1)))
+    cands = cands.withColumn("print", F.coalesce("print", F.xxhash64("row"))).withColumn("kind", F.coalesce("kind", F.lit(-1)))
     joined = cands.join(theirs, (F.col("print") == F.col("i_print")) & (F.col("kind") == F.col("i_kind")), "left")
-    hits = arrow_map(joined.select("id", "tag", "n_words", "kind", "at", "around", "lead", "item", "i_around", "i_lead"), _extend(span, gram), T.StructType([
+    hits = arrow_map(joined.select("id", "row", "n_words", "kind", "at", "around", "lead", "item", "i_around", "i_lead"), _extend(span, gram), T.StructType([
         *row(docs).fields[:3], T.StructField("item", items.schema["id"].dataType), T.StructField("span", T._parse_datatype_string("struct<a:int,b:int>"))]))
-    per_doc = hits.groupBy("id", "tag").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"),
+    per_doc = hits.groupBy("id", "row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"),
                                             F.array_sort(F.transform(F.collect_set("item"), lambda i: i.cast("string"))).alias("items"))
     n_hit = F.expr("aggregate(spans, named_struct('n', 0L, 'upto', 0), (s, x) -> named_struct('n', s.n + greatest(0, x.b - greatest(x.a, s.upto)), 'upto', greatest(s.upto, x.b)), s -> s.n)")
     return per_doc.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
