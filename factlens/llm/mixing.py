@@ -10,17 +10,23 @@ so the sample is reproducible and each marginal is met in expectation.
 Cells are a table (at most sources x languages x topics rows) and stay distributed; every round is one job of
 keyed sums, written to the shared folder.
 
+Sums of weights are decimals, so they do not depend on the order of the tasks and a second run draws the same sample.
+Targets that contradict each other (no weights meet them all) end when three rounds in a row bring nothing: ``rake`` then warns, and
+its column ``residual`` says by what share a cell's marginals still miss their targets.
+
 A target is a mapping of values to shares (shares of values that have no tokens go to the
 others; values without a share divide what ``REST`` names, and without ``REST`` they keep their
 observed share while the named ones divide what is left; ``REST`` of 0 leaves them out) or a number: the power to
 which the observed token shares are raised (1 keeps them, 0 makes them equal).
 
 Cases: null source, language or topic is a value of its own; documents without tokens get no weight and are never drawn;
-null ids draw by the digest of their text; rows repeating an id and text are drawn alike; an empty table gives an empty result.
+null ids draw by the digest of their text; rows repeating an id and text are drawn alike; an empty table gives an empty result; columns of the input that are named like
+the operator's own are replaced.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +40,11 @@ ROUNDS, TOLERANCE = 50, 1e-4
 Targets = Mapping[str, Mapping[str, float] | float]
 
 
+def total(column: str) -> Column:
+    """A sum of doubles that does not depend on their order (18 places)."""
+    return F.sum(F.col(column).cast("decimal(38,18)")).cast("double")
+
+
 def tokens(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")).cast("long")
 
@@ -53,7 +64,7 @@ def _shares(cells: DataFrame, dim: str, target) -> DataFrame:
             if value != REST:
                 named = F.when(F.col("value") == value, F.lit(float(share))).otherwise(named)
         have = have.select("value", "mass", named.alias("named"))
-        rest = have.agg(F.sum(F.when(F.col("named").isNull(), F.col("mass"))).alias("rest"), F.sum("mass").alias("all"), F.sum("named").alias("shares"))
+        rest = have.agg(F.sum(F.when(F.col("named").isNull(), F.col("mass"))).alias("rest"), F.sum("mass").alias("all"), total("named").alias("shares"))
         if REST in target:
             share, scale = F.lit(float(target[REST])) * F.col("mass") / F.col("rest"), F.lit(1.0)
         else:  # what no share is named for is not dropped
@@ -61,27 +72,32 @@ def _shares(cells: DataFrame, dim: str, target) -> DataFrame:
         raw = have.join(F.broadcast(rest)).select("value", F.coalesce(F.col("named") * scale, share).alias("raw"))
     else:
         raw = have.select("value", F.pow("mass", F.lit(float(target))).alias("raw"))
-    whole = raw.agg(F.sum("raw").alias("whole"))  # one row
+    whole = raw.agg(total("raw").alias("whole"))  # one row
     return raw.join(F.broadcast(whole)).select("value", (F.col("raw") / F.col("whole")).alias("share"))
 
 
 def rake(cells: DataFrame, targets: Targets, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``cells`` (the dimensions and ``mass``) with ``weight``: shares that meet every target marginal."""
+    """``cells`` (the dimensions and ``mass``) with ``weight``: shares that meet every target marginal, and ``residual``."""
     wanted = {d: stored(_shares(cells, d, t)) for d, t in targets.items()}
-    state = stored(cells.withColumn("weight", F.col("mass").cast("double")))
+    state = stored(cells.withColumn("weight", F.col("mass").cast("double")).withColumn("residual", F.lit(0.0)))
+    best, stalled, worst = None, 0, 0.0
     for _ in range(rounds):
-        x, errors = state, []
+        x, errors = state.drop("residual"), []
         for dim, want in wanted.items():
-            sums = x.groupBy(F.col(dim).alias("value")).agg(F.sum("weight").alias("sum"))
+            sums = x.groupBy(F.col(dim).alias("value")).agg(total("weight").alias("sum"))
             scale = sums.join(want, sums["value"].eqNullSafe(want["value"])).select(
                 sums["value"].alias("__v"), F.when(F.col("sum") > 0, F.col("share") / F.col("sum")).otherwise(F.lit(0.0)).alias("__by"))
             errors.append(f"__by_{len(errors)}")
             x = x.join(scale, F.col(dim).eqNullSafe(F.col("__v"))).withColumn("weight", F.col("weight") * F.col("__by")).withColumnRenamed("__by", errors[-1]).drop("__v")
-        after = stored(x)
-        worst = after.where("weight > 0").agg(*(F.max(F.abs(F.col(e) - 1)) for e in errors)).first()
-        state = after.drop(*errors)
-        if all(w is None or w <= tolerance for w in worst):
+        off = F.greatest(F.lit(0.0), *(F.abs(F.col(e) - 1) for e in errors))
+        state = stored(x.withColumn("residual", off).drop(*errors))
+        worst = state.where("weight > 0").agg(F.max("residual")).first()[0] or 0.0
+        stalled = stalled + 1 if best is not None and worst > 0.999 * best else 0
+        best = worst if best is None else min(best, worst)
+        if worst <= tolerance or stalled == 3:
             break
+    if worst > tolerance:
+        warnings.warn(f"the targets are missed by up to {worst:.3g} of their shares: they contradict each other or need more rounds", stacklevel=2)
     return state
 
 
@@ -92,13 +108,14 @@ def mixture(docs: DataFrame, targets: Targets, budget: float = 0.5, seed: str =
     ``targets`` name the dimensions (columns of ``docs``, or ``topic``); ``budget`` is the expected share of the input's tokens."""
     dims = list(targets)
     # written once: cells and draws both need the counts, and cutting words costs far more than the copy
+    docs = docs.drop("mix_topic", "mix_tokens", "mix_expected", "mix_copies")
     x = stored(docs.withColumns({"__n": tokens(F.col(text_col)), "__topic": topic_col if topic_col is not None else topic(F.col(text_col))}))
     col = lambda d: F.col("__topic") if d == "topic" else F.col(f"`{d}`")
     cells = x.groupBy(*(col(d).alias(d) for d in dims)).agg(F.sum("__n").alias("mass")).where("mass > 0")
     cells = stored(cells)
     raked = rake(cells, targets)
-    total = F.broadcast(raked.agg(F.sum("mass").alias("__mass"), F.sum("weight").alias("__weight")))  # one row
-    ratio = raked.join(total).select(*(F.col(d).alias(f"__c_{d}") for d in dims), (F.col("weight") / F.col("__weight") * F.col("__mass") * budget / F.col("mass")).alias("__ratio"))
+    whole = F.broadcast(raked.agg(F.sum("mass").alias("__mass"), total("weight").alias("__weight")))  # one row
+    ratio = raked.join(whole).select(*(F.col(d).alias(f"__c_{d}") for d in dims), (F.col("weight") / F.col("__weight") * F.col("__mass") * budget / F.col("mass")).alias("__ratio"))
     on = [col(d).eqNullSafe(F.col(f"__c_{d}")) for d in dims]
     met = x.join(stored(ratio), on, "left")
     who = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
