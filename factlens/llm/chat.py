@@ -1,9 +1,10 @@
 """Chat formatting by schema fingerprints (operator 4), DataFrame functions only.
 
-A record is a JSON text in one of several layouts. Its *fingerprint* is the hash of its
-nested field paths (names and nesting, without value types); the fingerprint selects a declarative
-``Mapping`` that says where the turns are and how roles are named. Records whose paths
-match no mapping are returned with ``status`` = ``unknown`` and their paths, so that a new layout
+A record is a JSON text in one of several layouts. Its *fingerprint* is the hash of those of its
+nested field paths that any mapping asks for (names and nesting, without value types); the fingerprint selects a declarative
+``Mapping`` that says where the turns are and how roles are named. Other fields, at any depth, do not count, so records with
+ids, names or scores beside the turns keep their layout; a mapping's optional paths may be missing. Records whose paths
+match no mapping, or parts of two, are returned with ``status`` = ``unknown`` and all their paths, so that a new layout
 can be declared.
 
 Canonical turns are rendered with a template of my own:
@@ -19,12 +20,13 @@ the rendering: the texts of the assistant's turns.
 
 Cases: null texts and roles are empty strings; conversations without turns render to an
 empty string; rows of a conversation that repeat a turn number are ordered by role and text; a null
-conversation id is a conversation of its own; other columns are ignored.
+conversation id is a conversation of its own; other columns are ignored; texts of any length; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,22 +41,35 @@ LOSS_ROLE = "assistant"
 @dataclass(frozen=True)
 class Mapping:
     """Where the turns of a layout are. Either ``list_path`` with ``role`` and ``text`` fields of
-    its elements, or ``fields``: (role, path) pairs in order; an absent or null field is no turn."""
+    its elements, or ``fields``: (role, path) pairs in order; an absent or null field is no turn. ``optional`` names
+    paths of ``fields`` that may be missing."""
 
     name: str
-    example: str
     list_path: str | None = None
     role: str = ""
     text: str = ""
     fields: tuple[tuple[str, str], ...] = ()
     roles: tuple[tuple[str, str], ...] = ()
+    optional: tuple[str, ...] = ()
+
+    @property
+    def paths(self) -> tuple[str, ...]:
+        """Every path that the mapping asks for; ``a[]`` are the elements of a list, ``a[].b`` their fields b."""
+        return (self.list_path, f"{self.list_path}[]", f"{self.list_path}[].{self.role}", f"{self.list_path}[].{self.text}") if self.list_path else tuple(p for _, p in self.fields)
+
+    @property
+    def layouts(self) -> list[tuple[str, ...]]:
+        """The sets of asked paths that records of this layout have: optional paths or not; a list without elements."""
+        if self.list_path:
+            return [self.paths, (self.list_path,)]
+        some = [p for p in self.paths if p in self.optional]
+        return [tuple(p for p in self.paths if p not in left) for n in range(len(some) + 1) for left in combinations(some, n)]
 
     def turns(self, record: Column) -> Column:
         if self.list_path is None:
             pairs = F.array(*(F.struct(F.lit(r).alias("role"), F.try_variant_get(record, p, "string").alias("text")) for r, p in self.fields))
             return F.filter(pairs, lambda t: t["text"].isNotNull())
         items = F.coalesce(F.try_variant_get(record, self.list_path, f"array<struct<`{self.role}`:string,`{self.text}`:string>>"), F.array())
-        # no list: the example's empty form
         def turn(x: Column) -> Column:
             role = F.coalesce(x[self.role], F.lit(""))
             for theirs, ours in self.roles:
@@ -65,11 +80,11 @@ class Mapping:
 
 
 MAPPINGS = (
-    Mapping("messages", '{"messages":[{"content":"","role":""}]}', "$.messages", "role", "content"),
-    Mapping("share", '{"conversations":[{"from":"","value":""}],"id":0}', "$.conversations", "from", "value", roles=(("human", "user"), ("gpt", "assistant"))),
-    Mapping("dialog", '{"data":{"dialog":[{"speaker":"","utterance":""}],"topic":""}}', "$.data.dialog", "speaker", "utterance"),
-    Mapping("prompt", '{"prompt":"","response":""}', fields=(("user", "$.prompt"), ("assistant", "$.response"))),
-    Mapping("instruction", '{"instruction":"","output":"","system":""}', fields=(("system", "$.system"), ("user", "$.instruction"), ("assistant", "$.output"))),
+    Mapping("messages", "$.messages", "role", "content"),
+    Mapping("share", "$.conversations", "from", "value", roles=(("human", "user"), ("gpt", "assistant"))),
+    Mapping("dialog", "$.data.dialog", "speaker", "utterance"),
+    Mapping("prompt", fields=(("system", "$.system_prompt"), ("user", "$.prompt"), ("assistant", "$.response")), optional=("$.system_prompt",)),
+    Mapping("instruction", fields=(("system", "$.system"), ("user", "$.instruction"), ("assistant", "$.output")), optional=("$.system",)),
 )
 
 
@@ -79,17 +94,32 @@ def field_paths(record: Column) -> Column:
     return F.regexp_replace(F.schema_of_variant(record), types, "$1")
 
 
-def fingerprint(record: Column) -> Column:
-    return F.xxhash64(field_paths(record))
+def _has(record: Column, path: str) -> Column:
+    at, elements, field = path.partition("[]")
+    if not elements:
+        return F.try_variant_get(record, path, "variant").isNotNull()
+    items = F.coalesce(F.try_variant_get(record, at, "array<variant>"), F.array().cast("array<variant>"))
+    return F.exists(items, lambda x: F.try_variant_get(x, f"${field}", "variant").isNotNull()) if field else F.size(items) > 0
+
+
+def fingerprint(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """Hash of the asked paths that a record has."""
+    asked = sorted({p for m in mappings for p in m.paths})
+    return F.xxhash64(F.concat_ws(",", *(F.when(_has(record, p), F.lit(p)) for p in asked)))
+
+
+def prints(m: Mapping) -> list[Column]:
+    """The fingerprints of a mapping's records."""
+    return [F.xxhash64(F.lit(",".join(sorted(x)))) for x in m.layouts]
 
 
 def canonical(records: DataFrame, json_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """``records`` with ``layout``, ``status`` and ``turns`` (array of role and text)."""
-    known = records.withColumn("__v", F.try_parse_json(F.col(json_col))).withColumn("__print", fingerprint(F.col("__v")))
+    known = records.withColumn("__v", F.try_parse_json(F.col(json_col))).withColumn("__print", fingerprint(F.col("__v"), mappings))
     v, p = F.col("__v"), F.col("__print")
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for m in mappings:
-        of_m = p == fingerprint(F.parse_json(F.lit(m.example)))
+        of_m = p.isin(*prints(m))
         layout = F.when(of_m, F.lit(m.name)).otherwise(layout)
         turns = F.when(of_m, m.turns(v)).otherwise(turns)
     status = F.when(v.isNull(), "not json").when(F.col("layout").isNull(), F.concat(F.lit("unknown "), field_paths(v))).otherwise("ok")
