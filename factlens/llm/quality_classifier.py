@@ -85,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = known.where("y = 1").orderBy(*order).limit(FIT_ROWS).unionByName(known.where("y = 0").orderBy(*order).limit(FIT_ROWS))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text").between(1, FIT_BYTES))
     # at most 2 * FIT_ROWS keys are broadcast and as many texts of at most FIT_BYTES come back
-    rows = sorted(((r.id, r.y, r.text.encode()) for r in texts.join(F.broadcast(sample.select("id", "y")), "id").dropDuplicates(["id"]).collect()), key=lambda r: str(r[0]))
+    rows = sorted(((r.id, r.y, r.text.encode()) for r in texts.join(F.broadcast(sample.select("id", "y")), "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()), key=lambda r: str(r[0]))
     sides = [[t for _, y, t in rows if y == k] for k in (0, 1)]
     if min(map(len, sides)) < 8:
         return None
