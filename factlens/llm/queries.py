@@ -114,14 +114,19 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read(spark, sf_dir, "documents"))
 
 
-KEY = "surrogate-key-of-this-corpus"  # a deployment passes its own secret
+KEY = "surrogate-key-of-this-corpus"  # for tests only
+
+
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret that surrogates are drawn with: a deployment sets spark.factlens.surrogate.key."""
+    return spark.conf.get("spark.factlens.surrogate.key", KEY)
 
 
 @query
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factlens.llm.pii import pseudonymize
 
-    return pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), KEY, count_col="n_entities")
+    return pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark), count_col="n_entities")
 
 
 TARGETS = {"source": 0.5, "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}, "topic": 0.7}

@@ -1,6 +1,7 @@
 """The llm operators against brute force, round trips and their edge cases."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -138,10 +139,32 @@ def test_op3_equals_brute_force(spark, known):
 def test_op3_edges(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.decontaminate(frame(spark, EDGES), none).collect()
-    assert len(got) == 10 and not any(r.contaminated for r in got)  # the repeated row counts once
+    assert len(got) == len(EDGES) and not any(r.contaminated for r in got)  # repeated rows come back once each
     assert decontaminate.decontaminate(frame(spark, []), none).count() == 0
 
 
+def test_op1_op3_rows_that_share_an_id(spark):
+    """Many rows without an id: each is told apart by its text, whatever short checksums do (two of these texts have one 24-bit checksum)."""
+    import zlib
+
+    seen, twins = {}, None
+    for i in range(30000):
+        t = " ".join(f"v{i}x{j}" for j in range(21))
+        k = zlib.crc32(t.encode()) & 0xFFFFFF
+        if k in seen and twins is None:
+            twins = (seen[k], t)
+        seen[k] = t
+    texts = list(seen.values())[:20000] + [t for t in twins or ()]
+    part = " ".join(f"v7x{j}" for j in range(20))
+    rows = [(None, t) for t in dict.fromkeys(texts)] + [(5, f"{part} tail"), (6, "clean " * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.kept): r.n_removed for r in substring_dedup.substring_dedup(df).collect()}
+    assert len(got) == len(rows) and got[5, "tail"] == 20 and sum(got.values()) == 20
+    items = spark.createDataFrame([(1, part)], "item_id long, text string")
+    hits = decontaminate.decontaminate(df, items).collect()
+    assert len(hits) == len(rows) and sorted(str(r.doc_id) for r in hits if r.contaminated) == ["5", "None"]
+
+
 # 4
 
 def test_op4_layouts_and_round_trip(spark):
@@ -167,6 +190,28 @@ def test_op4_unknown_records(spark):
     assert got[4].formatted == "### user:\np\n</turn>\n### assistant:\nr\n</turn>\n" and got[1].formatted == ""
 
 
+def test_op4_mixed_layouts(spark):
+    """Records as they come: other fields at every depth, optional fields, no turns, parts of two layouts."""
+    said = "### user:\nq\n</turn>\n### assistant:\na\n</turn>\n"
+    told = "### system:\ns\n</turn>\n" + said
+    cases = [
+        ('{"messages":[{"role":"user","content":"q","name":"x"},{"role":"assistant","content":"a"}]}', "messages", said),
+        ('{"id":3,"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a","score":{"x":[1,{"role":2}]}}],"meta":{"prompt":"no"}}', "messages", said),
+        ('{"messages":[]}', "messages", ""), ('{"messages":[{"role":"user","content":null}]}', "messages", "### user:\n\n</turn>\n"),
+        ('{"conversations":[{"from":"human","value":"q","weight":0},{"from":"gpt","value":"a","weight":1}],"source":"web"}', "share", said),
+        ('{"data":{"dialog":[{"speaker":"user","utterance":"q"},{"speaker":"assistant","utterance":"a"}],"lang":"en"},"n":2}', "dialog", said),
+        ('{"prompt":"q","response":"a","score":0.5,"chosen":true}', "prompt", said), ('{"prompt":"q","response":"a","system_prompt":"s"}', "prompt", told),
+        ('{"instruction":"q","output":"a"}', "instruction", said), ('{"output":"a","id":"7","instruction":"q","system":"s"}', "instruction", told),
+        ('{"prompt":"q"}', None, ""), ('{"messages":[{"text":"q"}]}', None, ""), ('{"prompt":"q","response":"a","instruction":"q","output":"a"}', None, ""), ("[1]", None, ""), ('"x"', None, "")]
+    df = spark.createDataFrame([(i, r) for i, (r, _, _) in enumerate(cases)], "id int, record string")
+    got = {r.id: (r.layout, r.formatted, r.status) for r in chat.format_chats(df, "record").collect()}
+    assert [got[i][:2] for i in range(len(cases))] == [c[1:] for c in cases]
+    assert all((s == "ok") == (layout is not None) for layout, _, s in got.values())
+    long = "word " * 200000
+    one = chat.format_chats(spark.createDataFrame([(1, '{"prompt":"' + long + '","response":"a"}')], "id int, record string"), "record").first()
+    assert len(one.formatted) > len(long) and chat.format_chats(df.where("false"), "record").count() == 0
+
+
 # 5
 
 def test_op5_base_equals_brute_force(spark):
@@ -187,10 +232,43 @@ def test_op5_base_equals_brute_force(spark):
     assert got[10**6 + 2].labels == "mit" and got[10**6 + 5].labels == "cc-by,cc-by-nc-4.0" and got[10**6 + 6].labels == "mit"
 
 
+def brute_labels(index, text):
+    """Every window of every template, without any index."""
+    formed = {x: i for i in range(len(index.vocabulary)) for x in licenses.spellings(index.vocabulary[i])}
+    one = {x: int(index.form[i]) for x, i in formed.items()}
+    ids = [one.get(w, -1) for w in words(text)]
+    return {licenses.TEMPLATES[t][0] for t in range(len(licenses.TEMPLATES)) if licenses.best_window(index, t, ids, 0, len(ids))}
+
+
+PROBES = ["Apache Licence, Version 2.0", "Redistribution and use in source or binary forms, with or without modifications, are permitted", "x = 1  # SPDX-License-Identifier: Apache-2.0",
+          "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX License Identifier: nothing known", "the apache software and its version 2 of the license", "permission is granted to use this",
+          "Permission is hereby granted, at no charge, free of charge to any one person obtaining copies of this software and the associated documentation file"]
+
+
+def test_op5_labels_equal_brute_force(spark):
+    rng = random.Random(9)
+    index = licenses.Index()
+    rows = [r for r in documents(spark) if len(words(r[1])) < 600] + [(10**6 + i, t) for i, t in enumerate(PROBES)]
+    for n, (_, text, _) in enumerate(licenses.TEMPLATES):  # words dropped, changed and pushed apart, around the limit
+        for k in range(6):
+            w = text.split()
+            for _ in range(rng.randrange(len(w) // 4 + 2)):
+                i = rng.randrange(len(w))
+                w[i:i + 1] = rng.choice([[], ["other"], [w[i], "more"], [w[i] + "s"], [rng.choice(index.vocabulary)]])
+            rows.append((2 * 10**6 + 10 * n + k, "Some words before. " + " ".join(w) + " and after"))
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    n_base = 0
+    for i, t in rows:
+        base = set(filter(None, got[i].base_labels.split(",")))
+        n_base += bool(base)
+        assert set(filter(None, got[i].labels.split(","))) == base | brute_labels(index, t), t
+    assert [got[10**6 + i].labels for i in range(len(PROBES))] == ["apache-2.0", "bsd", "apache-2.0", "gpl-3.0", "", "", "", "mit"] and n_base > 10
+
+
 def test_op5_all_notices_of_a_long_file(spark):
     notices = "\n\n".join(f"{n}. {text}." for n, (_, text, _) in enumerate(licenses.TEMPLATES))
     filler = " ".join(licenses.Index().vocabulary)
-    rows = [(1, notices), (2, f"{filler} plain words between. {licenses.TEMPLATES[7][1]} {'x ' * 500} licensed under cc by nc 4 0"), (3, filler)]
+    rows = [(1, notices), (2, f"{filler} plain words between. {licenses.TEMPLATES[13][1]} {'x ' * 500} licensed under cc by nc 4 0"), (3, filler)]
     rows += [(10 + i, f"{label} {text}") for i, (label, text, _) in enumerate(licenses.TEMPLATES) for _ in range(3)]
     got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, rows)).collect()}
     assert {n.label for n in got[1].notices} == {label for label, _, _ in licenses.TEMPLATES} and len(got[1].notices) >= len(licenses.TEMPLATES)
@@ -256,8 +334,12 @@ def test_op6_runs_hold_the_recall_for_any_sizes():
 
 def test_op6_edges(spark):
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(frame(spark, EDGES)).collect()), key=str)
-    assert got == sorted([(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 1), (6, 5, 1), (None, None, 0), (7, 7, 0), (8, 8, 1), (9, 8, 1)], key=str)
+    assert got == sorted([(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 2), (6, 5, 2), (6, 5, 2), (None, None, 0), (7, 7, 0), (8, 8, 1), (9, 8, 1)], key=str)
     assert jaccard_join.jaccard_classes(frame(spark, [])).count() == 0
+    same = " ".join(f"w{i}" for i in range(40))
+    rows = [("d2", same), ("d10", same + " more"), (None, same), ("d3", "other words stand here alone"), (None, None), (None, "null ids too"), (None, "null ids too")]
+    got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == sorted([("d2", "d10", 2), ("d10", "d10", 2), ("None", "d10", 2), ("d3", "d3", 0), ("None", "None", 0), ("None", "None", 1), ("None", "None", 1)])
 
 
 def test_components_of_a_long_path(spark):
@@ -291,8 +373,11 @@ def test_op7_edges_and_ablation(spark):
 def test_op8_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     x = QUERIES["op8_quality_classifier"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id").where("held_out")
-    r = x.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int")).alias("right"), F.count("*").alias("n")).first()
+    r = x.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int")).alias("right"), F.count("*").alias("n"), F.avg((F.col("score") - F.col("quality")) ** 2).alias("brier")).first()
     assert r.n > 500 and r.right > 0.93
+    # calibration (for classes of equal weight) on held-out rows: mean squared error 0.064, where the base rate alone gives 0.11, and the share of good ones rises with the score, bin by bin
+    bins = [b.good for b in x.groupBy(F.floor(F.col("score") * 4 - 1e-9).alias("bin")).agg(F.avg("quality").alias("good"), F.count("*").alias("n")).where("n >= 20").orderBy("bin").collect()]
+    assert r.brier < 0.08 and len(bins) >= 2 and bins == sorted(bins) and bins[0] < 0.3 and bins[-1] > 0.9
 
 
 def test_op8_edges(spark):
@@ -426,6 +511,21 @@ def test_op10_values_without_a_share(spark, tmp_path):
     assert {r.lang for r in mixing.sample(spark.read.parquet(f"{tmp_path}/documents.parquet"), {"lang": {"en": 1.0, "*": 0.0}}).collect()} == {"en"}
 
 
+def test_op10_contradictory_targets_and_own_columns(spark):
+    rows = [(i, "w " * 10, "en" if i % 2 else "de", "s0" if i % 2 else "s1") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"lang": {"en": 0.9, "de": 0.1}, "source": {"s0": 0.1, "s1": 0.9}}  # one cell each: no weights meet both
+    with pytest.warns(UserWarning, match="contradict"):
+        out = mixing.mixture(docs, targets)
+    assert out.count() == 40
+    with pytest.warns(UserWarning):
+        cells = mixing.rake(docs.groupBy("lang", "source").agg(F.lit(200).cast("long").alias("mass")), targets)
+    assert all(r.residual > 0.5 for r in cells.collect())
+    once = mixing.mixture(docs, {"lang": 0.0})
+    twice = mixing.mixture(once, {"lang": 0.0})
+    assert twice.columns == once.columns and sorted(map(str, twice.collect())) == sorted(map(str, once.collect()))
+
+
 # pipeline
 
 def test_pipeline_equals_brute_force(spark):
