@@ -18,7 +18,7 @@ from factlens.llm.jaccard_join import jaccard_classes
 from factlens.llm.mixing import sample
 from factlens.llm.pii import pseudonymize
 from factlens.llm.quality_rules import apply_policy
-from factlens.llm.queries import KEY, TARGETS
+from factlens.llm.queries import TARGETS, surrogate_key
 from factlens.llm.tables import read, stored
 
 
@@ -52,7 +52,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities are replaced; n_chars follows the new text."""
-    out = pseudonymize(docs, KEY)
+    out = pseudonymize(docs, surrogate_key(spark))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
