@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from factlens.session import ensure_checkpoint_dir, scratch_path
 
 SEGMENT_TOKENS, SEGMENT_DOCS = 1 << 20, 1 << 16
-FIRST, CLAIMS = 4, 4096
+FIRST, CLAIMS = 8, 4096
 IN_LIST = 1000  # up to so many asked terms go to the scan as a list, which skips files and row groups
 SCOPE = ""  # the scope's own term; words are never empty
 
