@@ -49,7 +49,7 @@ def raw_claims(spark, sf_dir):
              .when(F.col("toxic") == 1, "REFUTES").otherwise("NOT ENOUGH INFO"))
     challenge = F.when(F.col("lang") == "es", F.lit(" Numerical Reasoning ")).when(F.col("lang") == "de", F.lit("")) \
         .otherwise(F.col("lang"))
-    return d.select(F.col("doc_id").alias("id"), F.element_at(sentence_array("text"), 1).alias("claim"),
+    return d.select(F.col("doc_id").alias("id"), F.get(sentence_array("text"), F.lit(0)).alias("claim"),
                     label.alias("label"), challenge.alias("challenge"), ev.alias("evidence"))
 
 
