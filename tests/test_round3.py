@@ -13,3 +13,14 @@ def test_evidence_claims_of_documents_without_a_sentence(spark, tmp_path):
     assert claims == {1: "A first sentence here", 2: None, 3: None, 4: None}
     refs = QE.s4_read_evidence_jsonl(spark, str(tmp_path)).groupBy("id").agg(F.count(F.lit(1)).alias("n")).collect()
     assert {r.id: r.n for r in refs} == {1: 3, 2: 3, 3: 3, 4: 3}
+
+
+def _is_a_vote(rows, k=5):
+    """Confidences are shares of k votes (the linear classifier's are not)."""
+    return bool(rows) and all(abs(r.confidence * k - round(r.confidence * k)) < 1e-5 for r in rows if r.confidence is not None)
+
+
+def test_documents_are_scored_by_their_nearest_neighbours(spark):
+    from factlens.plans import q_verify as QV
+
+    assert _is_a_vote(QV.m3_score_batch(spark, "/root/testdata/sf0.001").collect())
