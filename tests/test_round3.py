@@ -24,3 +24,10 @@ def test_documents_are_scored_by_their_nearest_neighbours(spark):
     from factlens.plans import q_verify as QV
 
     assert _is_a_vote(QV.m3_score_batch(spark, "/root/testdata/sf0.001").collect())
+
+
+def test_posts_and_sentences_are_scored_by_their_nearest_neighbours(spark):
+    from factlens.plans import q_verify as QV
+
+    rows = QV.a12_post_rollup(spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(abs(r.confidence * 5 * max(r.n_sentences, 1) - round(r.confidence * 5 * max(r.n_sentences, 1))) < 1e-3 for r in rows)
