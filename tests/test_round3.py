@@ -31,3 +31,10 @@ def test_posts_and_sentences_are_scored_by_their_nearest_neighbours(spark):
 
     rows = QV.a12_post_rollup(spark, "/root/testdata/sf0.001").collect()
     assert rows and all(abs(r.confidence * 5 * max(r.n_sentences, 1) - round(r.confidence * 5 * max(r.n_sentences, 1))) < 1e-3 for r in rows)
+
+
+def test_pseudo_labels_are_unanimous_votes(spark):
+    from factlens.plans import q_verify as QV
+
+    rows = QV.m5_pseudo_label(spark, "/root/testdata/sf0.01").collect()
+    assert rows and _is_a_vote(rows) and {r.confidence for r in rows} == {1.0}
