@@ -66,3 +66,24 @@ def test_knn_tasks_hold_a_bounded_number_of_distances():
     geometry = P.Geometry(rng.random((n, 8)), ones * 0.0, ones * 1.0, far, ones, np.arange(n) // 8, ones)
     (row, block), mb = _peak_mb(lambda: geometry.blocks(np.ones((P.ROWS, n), dtype=bool)))
     assert mb < 20 and len(row) == P.ROWS * n // 8 and sorted(set(block.tolist())) == list(range(n // 8))
+
+
+def test_texts_are_embedded_in_slices():
+    import pandas as pd
+
+    texts = pd.Series([None, "", *(f"Word{i} and more words " * 500 for i in range(800)), "Last one"])
+    got, mb = _peak_mb(lambda: R._embed_batch(texts, 64))
+    assert mb < 60 and len(got) == len(texts) and got[0] is None and got[1] is None
+    assert all(np.array_equal(got[i], R._embed_slice(texts.iloc[[i]], 64)[0]) for i in (2, 400, 802))
+    assert [len(t) for t in R.text_slices(pd.Series(["ab", "c", "defgh", None, "i"]), 3)] == [2, 1, 2]
+    assert [len(t) for t in R.text_slices(pd.Series([], dtype=object))] == [0]
+
+
+def test_a_session_sends_bounded_batches_of_texts(spark):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        R.embed_text(spark.createDataFrame([(1, "a b")], "id int, text string"), "id", "text")
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == R.BATCH_ROWS
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
