@@ -79,6 +79,21 @@ def test_texts_are_embedded_in_slices():
     assert [len(t) for t in R.text_slices(pd.Series([], dtype=object))] == [0]
 
 
+def test_tokens_are_annotated_in_slices():
+    import pyarrow as pa
+
+    from factlens.operators import annotate as AN
+
+    words = [["The", "Big", "Bank", "is", "here", "."] * 2000] * 60 + [None, []]
+    gaps = [None if w is None else [0] + [1] * len(w) for w in words]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(words))), pa.array(words), pa.array(gaps)], names=["doc_id", "t", "g"])
+    out = list(AN._annotations(iter([batch])))
+    assert max(len(b.column(1).flatten()) for b in out) <= AN.SLICE_TOKENS
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == list(range(len(words))) and all(r["toks"] == rows[0]["toks"] and r["ents"] == rows[0]["ents"] for r in rows[:60])
+    assert rows[60]["toks"] == rows[61]["toks"] == []
+
+
 def test_a_session_sends_bounded_batches_of_texts(spark):
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     try:
