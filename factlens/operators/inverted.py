@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factlens.operators.retrieve import bounded_batches
 from factlens.session import ensure_checkpoint_dir, scratch_path
 
 SEGMENT_TOKENS, SEGMENT_DOCS = 1 << 20, 1 << 16
@@ -129,6 +130,7 @@ def build(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     ints = T.ArrayType(T.IntegerType())
     schema = T.StructType([T.StructField("seg", T.LongType()), T.StructField("term", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("top", T.IntegerType()),
                            T.StructField("places", ints), T.StructField("tfs", ints), T.StructField("docs", T.ArrayType(kind))])
+    bounded_batches(spark)
     raw = f"{path}/segments"
     given.mapInArrow(_segments(segment_tokens, segment_docs, to_arrow_type(kind)), schema).write.parquet(raw)
     segments = spark.read.schema(schema).parquet(raw)
