@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from factlens.operators import pivots as P
@@ -69,8 +70,6 @@ def test_knn_tasks_hold_a_bounded_number_of_distances():
 
 
 def test_texts_are_embedded_in_slices():
-    import pandas as pd
-
     texts = pd.Series([None, "", *(f"Word{i} and more words " * 500 for i in range(800)), "Last one"])
     got, mb = _peak_mb(lambda: R._embed_batch(texts, 64))
     assert mb < 60 and len(got) == len(texts) and got[0] is None and got[1] is None
@@ -102,3 +101,22 @@ def test_a_session_sends_bounded_batches_of_texts(spark):
         assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == R.BATCH_ROWS
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_the_linear_classifier_counts_in_slices(spark):
+    from factlens.operators import ml as ML
+
+    rows = [(i, f"tax vote senate number{i} " * 400 if i % 2 else f"cat dog garden number{i} " * 400, "a" if i % 2 else "b") for i in range(300)] + [(300, None, "a"), (301, "tax cat", None)]
+    df = spark.createDataFrame(rows, "id int, text string, label string").coalesce(1)
+    assert sum(len(r[1] or "") for r in rows) > 4 * R.SLICE_CHARS  # several slices
+    clf = ML.LinearClassifier(df, "text", "label")
+    labels, weights = clf.model
+    assert labels == ["a", "b"]
+    n = np.zeros((ML.LINEAR_DIM, 2))
+    for _, text, label in rows:
+        if text and label:
+            _, bucket = ML._token_buckets(pd.Series([text]), ML.LINEAR_DIM)
+            np.add.at(n[:, labels.index(label)], bucket, 1)
+    assert np.allclose(weights, np.log((n + 1) / (n.sum(axis=0) + ML.LINEAR_DIM)))
+    got = {r.id: r.label for r in clf.score(df, "id", "text").collect()}
+    assert got[300] is None and all(got[i] == ("a" if i % 2 else "b") for i in range(300))
