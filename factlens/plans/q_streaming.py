@@ -9,6 +9,7 @@ from factlens.operators import chunks as C
 from factlens.plans.catalog import register
 from factlens.plans.q_verify import RESPONSES_SQL, _claims_sql
 from factlens.session import scratch_path
+from factlens.sources.readers import _list_files
 from factlens.sources.tables import Tables
 from factlens.streaming import ingest as IN
 from factlens.streaming import trending as TR
@@ -40,21 +41,42 @@ def x3_trending_tumbling(spark, sf_dir):
     return _fmt(TR.trending(Tables(spark, sf_dir).events, "event_type", "ts", "1 day", None, 2))
 
 
-BATCHES = 4
+BATCHES, FILE_BYTES = 4, 64 << 20  # micro-batches; about the bytes of the input table behind one file of the feed
+
+
+def _bytes(spark, path):
+    """Bytes of a file or folder (metadata, through the Hadoop FS)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def _feed(table, part, path, files):
+    """Write the ranges 0, 1, ... of ``part`` one after the other, each as exactly ``files`` files; False where a range gave fewer."""
+    spark = table.sparkSession
+    for i in range(BATCHES):
+        rows = table.where(F.coalesce(part, F.lit(0)) == i)
+        rows = rows.coalesce(1) if files == 1 else rows.repartition(files)
+        rows.write.mode("append").parquet(path)
+        if files > 1 and len(_list_files(spark, path, "part-")) != files * (i + 1):
+            return False
+    return True
 
 
 def _stream(spark, sf_dir, name, by):
-    """A file stream over one table: files by ranges of ``by``, written one after the other as a feed would, read one a micro-batch."""
-    table = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    path = scratch_path(spark, f"stream-{name}")
+    """A file stream over one table: files by ranges of ``by``, written one range after the other as a feed would, read one range a
+    micro-batch. A range is dealt out over as many files as its share of the table's bytes asks for, so no task writes or reads a whole range."""
+    source = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    table = spark.read.parquet(source)
     order = F.unix_micros(F.col(by).cast("timestamp")) if by == "ts" else F.col(by)
     edges = table.agg(F.percentile_approx(order, [i / BATCHES for i in range(1, BATCHES)]).alias("e")).first()["e"] or []
     part = F.lit(0)
     for e in edges:
         part = part + F.when(order > F.lit(e), 1).otherwise(0)
-    for i in range(BATCHES):
-        table.where(F.coalesce(part, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(path)
-    s = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = -(-_bytes(spark, source) // (BATCHES * FILE_BYTES)) or 1
+    path = scratch_path(spark, f"stream-{name}")
+    while not _feed(table, part, path, files):  # a range of few rows: fewer files for all
+        files, path = files // 2, scratch_path(spark, f"stream-{name}")
+    s = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
     # event-time operators need TIMESTAMP (not TIMESTAMP_NTZ); session zone is UTC
     for c, t in s.dtypes:
         if t == "timestamp_ntz":

@@ -120,3 +120,20 @@ def test_the_linear_classifier_counts_in_slices(spark):
     assert np.allclose(weights, np.log((n + 1) / (n.sum(axis=0) + ML.LINEAR_DIM)))
     got = {r.id: r.label for r in clf.score(df, "id", "text").collect()}
     assert got[300] is None and all(got[i] == ("a" if i % 2 else "b") for i in range(300))
+
+
+def test_a_feed_of_several_files_a_range_gives_the_same_stream(spark, monkeypatch):
+    from factlens.plans import q_streaming as QS
+
+    sf = "/root/testdata/sf0.01"
+    want = sorted(QS.x3_trending_stream(spark, sf).collect())
+    writes, feed = [], QS._feed
+    monkeypatch.setattr(QS, "_feed", lambda table, part, path, files: writes.append((files, path)) or feed(table, part, path, files))
+    monkeypatch.setattr(QS, "FILE_BYTES", QS._bytes(spark, f"{sf}/events.parquet") // 12)
+    assert sorted(QS.x3_trending_stream(spark, sf).collect()) == want
+    files, path = writes[-1]
+    assert files > 1 and len(QS._list_files(spark, path, "part-")) == files * QS.BATCHES
+    monkeypatch.setattr(QS, "FILE_BYTES", max(1, QS._bytes(spark, "/root/testdata/sf0.001/pages.parquet") // 400))  # more files than rows
+    assert QS._stream(spark, "/root/testdata/sf0.001", "pages", "page_id").isStreaming
+    files, path = writes[-1]
+    assert spark.read.parquet(path).count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
