@@ -137,3 +137,21 @@ def test_a_feed_of_several_files_a_range_gives_the_same_stream(spark, monkeypatc
     assert QS._stream(spark, "/root/testdata/sf0.001", "pages", "page_id").isStreaming
     files, path = writes[-1]
     assert spark.read.parquet(path).count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
+
+
+def test_a_tile_is_scored_in_one_array():
+    rng = np.random.default_rng(1)
+    X, Q = rng.random((R.I_BLOCK, 16)), rng.random((128, 16))
+    X[900:940], Q[3] = X[900], X[900]  # more equal items than candidates
+    for metric in ("l2sq", "cosine", "ip"):
+        (q, i, s), mb = _peak_mb(lambda: R._tile_topk(np.arange(len(Q)), Q, np.arange(len(X)), X, 5, metric, True))  # noqa: B023
+        assert mb < 50 and len(q) == 5 * len(Q)
+        norms = np.linalg.norm(X, axis=1)
+        for n in (0, 3, 77):
+            sims = {"l2sq": 1 - ((X - Q[n]) ** 2).sum(axis=1), "ip": X @ Q[n], "cosine": X @ Q[n] / (norms * np.linalg.norm(Q[n]))}[metric]
+            sims[n] = -np.inf
+            assert np.allclose(np.sort(sims)[::-1][:5], s[q == n]) and (n != 3 or metric != "l2sq" or i[q == n].tolist() == list(range(900, 905)))
+    wide = np.repeat(X, 8, axis=1)
+    v = pd.Series(list(wide))
+    m, mb = _peak_mb(lambda: P._matrix(v))
+    assert np.array_equal(m, wide) and mb < 1.6 * wide.nbytes / 1e6
