@@ -155,3 +155,18 @@ def test_a_tile_is_scored_in_one_array():
     v = pd.Series(list(wide))
     m, mb = _peak_mb(lambda: P._matrix(v))
     assert np.array_equal(m, wide) and mb < 1.6 * wide.nbytes / 1e6
+
+
+def test_a_text_classifier_scores_in_a_session_that_has_observed(spark):
+    from pyspark.sql import Observation
+
+    from factlens.operators import ml as ML
+
+    rows = [(i, "tax vote senate" if i % 2 else "cat dog garden", "a" if i % 2 else "b") for i in range(12)]
+    df = spark.createDataFrame(rows, "id int, text string, label string")
+    seen = Observation("seen")  # from now on the session holds what cannot be sent to a task
+    df.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 12}
+    clf = ML.train_text_classifier(df, "text", "label")
+    assert {r.id: r.label for r in clf.score(df, "id", "text").collect()} == {i: label for i, _, label in rows}
+    assert clf.labels == ["a", "b"]
