@@ -170,3 +170,13 @@ def test_a_text_classifier_scores_in_a_session_that_has_observed(spark):
     clf = ML.train_text_classifier(df, "text", "label")
     assert {r.id: r.label for r in clf.score(df, "id", "text").collect()} == {i: label for i, _, label in rows}
     assert clf.labels == ["a", "b"]
+
+
+def test_a_text_classifier_is_fitted_on_a_split_written_once(spark):
+    from factlens.plans import q_verify as QV
+
+    out = QV.m4_train_text_classifier(spark, "/root/testdata/sf0.001")
+    read = out.inputFiles()
+    assert read and all("text-split" in f for f in read)  # no join with the whole documents is left
+    row = out.first()
+    assert (row.accuracy, row.precision, row.recall, row.f1, row.n) == (0.875, 0.765625, 0.875, 0.816667, 8)  # as with the joined tables
