@@ -180,3 +180,12 @@ def test_a_text_classifier_is_fitted_on_a_split_written_once(spark):
     assert read and all("text-split" in f for f in read)  # no join with the whole documents is left
     row = out.first()
     assert (row.accuracy, row.precision, row.recall, row.f1, row.n) == (0.875, 0.765625, 0.875, 0.816667, 8)  # as with the joined tables
+
+
+def test_a_text_classifier_takes_null_texts(spark):
+    from factlens.operators import ml as ML
+
+    rows = [(i, "tax vote senate" if i % 2 else "cat dog garden", "a" if i % 2 else "b") for i in range(12)]
+    df = spark.createDataFrame(rows + [(12, None, "a"), (13, "", "a")], "id int, text string, label string")
+    got = {r.id: (r.label, r.confidence) for r in ML.train_text_classifier(df, "text", "label").score(df, "id", "text").collect()}
+    assert len(got) == 14 and got[12] == got[13] and all(got[i][0] == label for i, _, label in rows)
