@@ -66,10 +66,11 @@ def test_what_is_written_does_not_grow_with_the_product(spark):
     assert _bytes(folder) - before < 1.5 * 4000 * 16 * 8  # the items once (packed); was 2.8 times, although each block's copy of a query packs well
 
 
-def test_documents_are_embedded_once(spark, monkeypatch):
-    """Regression: the labelled documents were embedded twice, and their texts shuffled for it."""
+@pytest.mark.parametrize("query", ["m3_score_batch", "m5_pseudo_label"])
+def test_documents_are_embedded_once(spark, monkeypatch, query):
+    """Regression: texts were shuffled for their labels, and embedded in two steps (m3: the labelled ones twice)."""
     from factlens.plans import q_verify as QV
 
     made, embed = [], R.embed_text
     monkeypatch.setattr(R, "embed_text", lambda *a, **b: made.append(a) or embed(*a, **b))
-    assert QV.m3_score_batch(spark, "/root/testdata/sf0.001").count() == 200 and len(made) == 1
+    assert getattr(QV, query)(spark, "/root/testdata/sf0.001").count() > 0 and len(made) == 1
